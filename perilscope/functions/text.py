@@ -75,10 +75,14 @@ def leading_year(text: ColumnLike) -> Column:
 def tokens(text: ColumnLike) -> Column:
     """Parts between slashes, bracketed remarks removed; one part if nothing is left."""
     bare = F.regexp_replace(col_of(text), r"\(.*?\)", "")
-    parts = F.filter(
-        F.transform(F.split(bare, "/"), lambda part: strip(part)), lambda part: part != ""
+    parts = F.filter(F.transform(F.split(bare, "/"), strip), lambda part: part != "")
+    # an array of one element binds the parts, so that they are worked out once
+    return F.get(
+        F.transform(
+            F.array(parts), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(strip(bare)))
+        ),
+        F.lit(0),
     )
-    return F.when(F.size(parts) > 0, parts).when(bare.isNotNull(), F.array(strip(bare)))
 
 
 def replace_synonym(text: ColumnLike, synonyms: Mapping[str, str] | None) -> Column:

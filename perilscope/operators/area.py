@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perilscope.columns import col_of
+from perilscope.columns import col_of, cols_of
 from perilscope.functions.numbers import (
     argmax_label,
     bin_right_closed,
@@ -66,41 +66,42 @@ def area_shares(
 
     known_theme, known_severity = F.col("_theme").isNotNull(), F.col("_severe").isNotNull()
     impact = counts.agg(
-        *[
-            F.coalesce(
-                percent(
-                    total((F.col("_theme") == t) & F.col("_severe")),
-                    total((F.col("_theme") == t) & known_severity),
-                    None,
-                ),
-                F.lit(0.0),
-            ).alias(f"{prefix}_impact")
-            for t, prefix in themes.items()
-        ]
+        F.struct(
+            *[
+                F.coalesce(
+                    percent(
+                        total((F.col("_theme") == t) & F.col("_severe")),
+                        total((F.col("_theme") == t) & known_severity),
+                        None,
+                    ),
+                    F.lit(0.0),
+                ).alias(prefix)
+                for t, prefix in themes.items()
+            ]
+        ).alias("impact")
     )
-    sums = (
-        counts.where(F.col("_area").isNotNull() & (known_theme | known_severity))
-        .groupBy("_area")
-        .agg(
-            total(known_severity).alias("_severity_rows"),
-            total(F.col("_severe")).alias("_severe_rows"),
-            total(known_theme).alias("_theme_rows"),
-            *[total(F.col("_theme") == t).alias(f"_{p}_rows") for t, p in themes.items()],
-        )
+    sums = counts.groupBy("_area").agg(
+        total(F.col("_area").isNotNull() & (known_theme | known_severity)).alias("_rows"),
+        total(known_severity).alias("_severity_rows"),
+        total(F.col("_severe")).alias("_severe_rows"),
+        total(known_theme).alias("_theme_rows"),
+        *[total(F.col("_theme") == t).alias(f"_{p}_rows") for t, p in themes.items()],
     )
+    # filtered after the sums: a filter on the counts would be pushed into their scan, and
+    # the shuffle of the counts could not serve the impacts as well
+    sums = sums.where(F.col("_rows") > 0)
     shares = sums.select(
         F.col("_area").alias(area),
         percent("_severe_rows", "_severity_rows").alias("severity_pct"),
         *[percent(f"_{p}_rows", "_theme_rows").alias(f"{p}_pct") for p in themes.values()],
     )
-    # one row of overall impacts, read as scalars
-    return shares.withColumns(
-        {
-            f"{p}_score": round_even(
-                F.col(f"{p}_pct") * impact.select(f"{p}_impact").scalar(), 2
-            )
+    # the overall impacts are one row of the same counts, read as a scalar
+    return shares.withColumn("_impact", impact.scalar()).select(
+        *cols_of(shares.columns),
+        *[
+            round_even(F.col(f"{p}_pct") * F.col("_impact")[p], 2).alias(f"{p}_score")
             for p in themes.values()
-        }
+        ],
     )
 
 
@@ -125,19 +126,23 @@ def area_summary(
     null scores and no recommendation.
     """
     shares = area_shares(df, area, theme, severity, severe, themes)
-    pct = {t: f"{p}_pct" for t, p in themes.items()}
     score = {t: f"{p}_score" for t, p in themes.items()}
-    order = ranked_labels(score)
-    out = (
-        shares.withColumn("risk_score", weighted_score(weights))
-        .withColumn("priority_level", bin_right_closed("risk_score", band_edges, band_labels))
-        .withColumn("dominant_theme", argmax_label(pct))
-        .withColumn("recommended_campaign", F.get(order, F.lit(0)))
-        .withColumn(
-            "supporting_campaigns",
-            F.when(F.size(order) > 1, F.concat_ws(" > ", F.slice(order, 2, 2))),
-        )
-        .withColumn("confidence", confidence(score))
+    scored = shares.withColumns(
+        {
+            "risk_score": weighted_score(weights),
+            "dominant_theme": argmax_label({t: f"{p}_pct" for t, p in themes.items()}),
+            "_order": ranked_labels(score),
+        }
+    )
+    named = scored.select(
+        *cols_of([*shares.columns, "risk_score"]),
+        bin_right_closed("risk_score", band_edges, band_labels).alias("priority_level"),
+        "dominant_theme",
+        F.get("_order", F.lit(0)).alias("recommended_campaign"),
+        F.when(F.size("_order") > 1, F.concat_ws(" > ", F.slice("_order", 2, 2))).alias(
+            "supporting_campaigns"
+        ),
+        confidence(score).alias("confidence"),
     )
     fields = {
         "band": "priority_level",
@@ -149,15 +154,16 @@ def area_summary(
     }
     same, other, insight = texts
     agree = F.col("dominant_theme") == F.col("recommended_campaign")
-    out = out.withColumn(
-        "reason", F.when(agree, render(same, fields)).otherwise(render(other, fields))
-    ).withColumn("insight", render(insight, fields))
-    if products is None:
-        return out.withColumn("insurance_recommendation", F.lit(default_product))
+    told = named.withColumns(
+        {
+            "reason": F.when(agree, render(same, fields)).otherwise(render(other, fields)),
+            "insight": render(insight, fields),
+        }
+    )
     return lookup(
-        out,
+        told,
         ["recommended_campaign", "priority_level"],
-        products,
+        products or {},
         "insurance_recommendation",
         default_product,
     )
@@ -185,4 +191,4 @@ def attach_detail(
     return joined.withColumn(
         "recommended_campaign_detail",
         F.coalesce("recommended_campaign_detail", F.lit(default)),
-    ).select(*[col_of(c) for c in [*summary.columns, "recommended_campaign_detail"]])
+    ).select(*cols_of([*summary.columns, "recommended_campaign_detail"]))

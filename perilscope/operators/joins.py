@@ -14,6 +14,7 @@ from perilscope.columns import col_of, cols_of
 from perilscope.functions.text import strip
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+CASE_LIMIT = 40
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -77,14 +78,22 @@ def join_checked(
     return spread_left_join(left, right, keys)
 
 
+def lookup_value(keys: Sequence[Column], table: Mapping, default: object = None) -> Column:
+    """The entry of a small dictionary for the key columns, as an expression."""
+    out = F.lit(default)
+    for entry, value in reversed(table.items()):
+        parts = entry if isinstance(entry, tuple) else (entry,)
+        test = reduce(lambda a, b: a & b, [k == part for k, part in zip(keys, parts)])
+        out = F.when(test, F.lit(value)).otherwise(out)
+    return out
+
+
 def lookup_frame(df: DataFrame, keys: Sequence[str], table: Mapping, value: str) -> DataFrame:
-    """A dictionary as a frame; its size is known, so it may be broadcast."""
+    """A dictionary as a frame of known size."""
     rows = [(k if isinstance(k, tuple) else (k,)) for k in table]
     arrays = [pa.array([r[i] for r in rows]) for i in range(len(keys))]
     arrays.append(pa.array(list(table.values())))
-    return df.sparkSession.createDataFrame(
-        pa.Table.from_arrays(arrays, names=[*keys, value])
-    )
+    return df.sparkSession.createDataFrame(pa.Table.from_arrays(arrays, names=[*keys, value]))
 
 
 def lookup(
@@ -96,12 +105,17 @@ def lookup(
 ) -> DataFrame:
     """Add the table's ``value`` for the key columns, ``default`` where there is none.
 
-    A dictionary is broadcast. A frame with unique keys is joined as Spark sees fit.
+    A small dictionary becomes an expression, a larger one a broadcast. A frame with unique
+    keys is joined as Spark sees fit.
     """
-    right = F.broadcast(lookup_frame(df, keys, table, value)) if isinstance(table, Mapping) else table
-    joined = df.join(right.select(*cols_of([*keys, value])), list(keys), "left")
-    filled = F.coalesce(col_of(value), F.lit(default)) if default is not None else col_of(value)
-    return joined.select(*cols_of(df.columns), filled.alias(value))
+    if isinstance(table, Mapping) and len(table) <= CASE_LIMIT:
+        return df.withColumn(value, lookup_value(cols_of(keys), table, default))
+    if isinstance(table, Mapping):
+        table = F.broadcast(lookup_frame(df, keys, table, value))
+    joined = df.join(table.select(*cols_of([*keys, value])), list(keys), "left")
+    return joined.select(
+        *cols_of(df.columns), F.coalesce(col_of(value), F.lit(default)).alias(value)
+    )
 
 
 def join_key(value: Column) -> Column:

@@ -1,9 +1,10 @@
 """Ordered rule tables that turn text into labels.
 
 A rule table is small and belongs to the plan: it becomes a constant array, and every stage
-is a column expression on the text. Rows are classified where they are, without a join or
-a shuffle, however many of them carry the same text. Only the costly fuzzy stages run on
-the distinct texts that are still open.
+is a column expression on the text. ``classify`` evaluates it once per distinct text, found
+by a pre-aggregated pass, and joins the labels back: broadcast if their size is small,
+else by a shuffle that splits hot texts. ``label_of`` is the expression itself, for rows
+that pass only once (streams) or tables whose texts hardly repeat.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilscope.columns import ColumnLike, col_of
+from perilscope.columns import ColumnLike, col_of, cols_of
 from perilscope.functions.numbers import percent
 from perilscope.functions.similarity import (
     allowed_edits,
@@ -175,36 +176,24 @@ def classify(
     min_score: float = 97,
     label: str = "theme",
 ) -> tuple[DataFrame, DataFrame]:
-    """Add ``label`` by the cascade; also returns the distinct texts without one, sorted.
+    """Add ``label`` by the cascade; also returns the distinct texts without one, sorted."""
+    labelled = distinct_texts(df, column).withColumn(
+        label, label_of(column, rules, synonyms, stages, min_score)
+    )
+    labelled = materialise(labelled)
+    return attach_by_text(df, column, labelled, label), unmapped_texts(labelled, column, label)
 
-    Fuzzy stages must come last. They are worked out once per open text in a job of its
-    own, and what they find is joined back by text.
-    """
-    pairs = rule_list(rules)
-    cheap = [s for s in stages if s in ("exact", "token")]
-    costly = list(stages[len(cheap):])
-    if any(s in ("exact", "token") for s in costly):
-        raise ValueError("exact and token stages must come before the fuzzy ones")
-    first = label_of(column, pairs, synonyms, cheap) if cheap else F.lit(None).cast("string")
-    out = df.withColumn(label, first)
-    if costly:
-        opened = out.where(col_of(label).isNull() & col_of(column).isNotNull())
-        found = (
-            opened.select(col_of(column).alias("_text"))
-            .distinct()
-            .withColumn("_found", label_of("_text", pairs, synonyms, costly, min_score))
-            .where(F.col("_found").isNotNull())
-        )
-        out = attach_found(out, column, label, found)
-    return out, unmapped_texts(out, column, label)
+
+def distinct_texts(df: DataFrame, column: str) -> DataFrame:
+    return df.select(col_of(column)).where(col_of(column).isNotNull()).distinct()
 
 
-def attach_found(df: DataFrame, column: str, label: str, found: DataFrame) -> DataFrame:
-    """Fill null labels from a (_text, _found) frame."""
-    keyed = df.withColumn("_text", F.when(col_of(label).isNull(), col_of(column)))
-    joined = join_checked(keyed, materialise(found), ["_text"])
-    filled = F.coalesce(col_of(label), F.col("_found")).alias(label)
-    return joined.select(*[filled if c == label else col_of(c) for c in df.columns])
+def attach_by_text(df: DataFrame, column: str, labelled: DataFrame, label: str) -> DataFrame:
+    """Join labels back by text: broadcast if they are small, else with hot texts split."""
+    labels = labelled.select(*cols_of([column, label]))
+    others = [c for c in df.columns if c != label]
+    joined = join_checked(df.select(*cols_of(others)), labels, [column])
+    return joined.select(*cols_of([*others, label]))
 
 
 def unmapped_texts(df: DataFrame, column: str, label: str) -> DataFrame:
@@ -358,9 +347,8 @@ def keyword_report(
     """One row per distinct text: its theme and the reason for it."""
     text = F.col("cause")
     out = (
-        df.where(col_of(column).isNotNull())
+        distinct_texts(df, column)
         .select(col_of(column).alias("cause"))
-        .distinct()
         .withColumn("hit", F.when(_usable(text), _keyword_hit(text, themes)))
     )
     open_text = _usable(text) & F.col("hit").isNull()
@@ -411,18 +399,7 @@ def keyword_theme(
 
     Returns the labelled rows and the ``keyword_report``.
     """
-    text = col_of(column)
-    out = df.withColumn(label, F.when(_usable(text), _keyword_hit(text, themes)["label"]))
-    if fuzzy:
-        found = (
-            out.where(col_of(label).isNull() & _usable(text))
-            .select(text.alias("_text"))
-            .distinct()
-            .withColumn("_found", _keyword_fuzzy(F.col("_text"), themes, min_score)["label"])
-            .where(F.col("_found").isNotNull())
-        )
-        out = attach_found(out, column, label, found)
-    return (
-        out.withColumn(label, F.coalesce(col_of(label), F.lit(other))),
-        keyword_report(df, column, themes, min_score, other, fuzzy),
-    )
+    report = materialise(keyword_report(df, column, themes, min_score, other, fuzzy))
+    labels = report.select(F.col("cause").alias(column), F.col("theme").alias(label))
+    out = attach_by_text(df, column, labels, label)
+    return out.withColumn(label, F.coalesce(col_of(label), F.lit(other))), report

@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from perilscope.columns import col_of
 from perilscope.functions.dates import quarter_of_short_month
@@ -125,12 +124,10 @@ def run_pipeline(
     df = joins.lookup(
         df, ["campaign_theme", plan.severity], plan.row_products, "insurance_recommendation",
         plan.default_row_product,
-    ) if plan.row_products else df.withColumn(
-        "insurance_recommendation", F.lit(plan.default_row_product)
     )
     summary = areas.area_summary(
         df, plan.area, "campaign_theme", plan.severity, plan.severe, plan.themes, plan.weights,
-        products=plan.area_products or None, default_product=plan.default_area_product,
+        products=plan.area_products, default_product=plan.default_area_product,
         texts=plan.texts,
     )
     summary = areas.sort_by_risk(
