@@ -1 +1,241 @@
-"""x"""
+"""Schema repair, cleaning and unions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks.fixtures import INCIDENT, incident, table
+from checks.registry import check
+from perilscope.operators import cleaning, schema
+from perilscope.session import materialise
+from perilscope.sources.outputs import read_output, write_outputs
+from perilscope.sources.tables import promote_header, read_sheet, read_table
+
+# the same dirty texts in both dialects
+_DIRTY = """CASE l_linenumber WHEN 1 THEN concat('  ', l_returnflag, ' ') WHEN 2 THEN 'nan'
+  WHEN 3 THEN ' <NA>' WHEN 4 THEN 'None' WHEN 5 THEN '   ' ELSE l_linestatus END"""
+_NUMBER = """CASE l_linenumber WHEN 1 THEN CAST(CAST(l_quantity AS INT) AS STRING)
+  WHEN 2 THEN concat(' ', CAST(CAST(l_quantity AS INT) AS STRING), '.5 ') WHEN 3 THEN '5d'
+  WHEN 4 THEN 'nan' WHEN 5 THEN concat('-', CAST(CAST(l_quantity AS INT) AS STRING), 'e2')
+  WHEN 6 THEN 'forty' END"""
+_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+def _line(spark, folder, **columns):
+    return table(spark, folder, "lineitem").select(
+        *_KEY.split(", "), *[F.expr(e).alias(n) for n, e in columns.items()]
+    )
+
+
+@check(
+    f"""SELECT {_KEY}, CASE WHEN trim(t) NOT IN ('', 'nan', '<NA>', 'None') THEN trim(t) END AS flag,
+  l_returnflag AS other
+FROM (SELECT *, {_DIRTY} AS t FROM lineitem)"""
+)
+def clean_strings(spark, folder):
+    return cleaning.blank_to_null(_line(spark, folder, flag=_DIRTY, other="l_returnflag"))
+
+
+@check(
+    rf"""SELECT {_KEY}, CASE WHEN regexp_matches(trim(t), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$')
+  THEN try_cast(trim(t) AS DOUBLE) END AS amount, l_discount AS rate
+FROM (SELECT *, {_NUMBER} AS t FROM lineitem)"""
+)
+def coerce_numeric(spark, folder):
+    df = _line(spark, folder, amount=_NUMBER, rate="l_discount")
+    return cleaning.coerce_numeric(df, ["amount", "rate", "absent"])
+
+
+@check(f"SELECT {_KEY}, l_returnflag AS flag FROM lineitem")
+def drop_empty_columns(spark, folder):
+    df = _line(
+        spark, folder,
+        **{"Unnamed: 0": "l_tax", "flag": "l_returnflag", "never": "CAST(NULL AS STRING)",
+           "also never": "CASE WHEN l_linenumber > 7 THEN 1 END"},
+    )
+    return schema.drop_empty_columns(schema.drop_unnamed(df))
+
+
+@check(
+    f"""WITH {INCIDENT}
+SELECT row_key, coalesce(cause, 'Unknown') AS cause, coalesce(severity, 'Unknown') AS severity,
+       'Unknown' AS visibility FROM incident"""
+)
+def fill_unknown(spark, folder):
+    df = incident(spark, folder, "row_key", "cause", "severity")
+    return cleaning.fill_unknown(df, ["cause", "severity", "visibility"])
+
+
+@check(
+    f"""WITH {INCIDENT}
+SELECT area, coalesce(surface, 'Unknown') AS surface, coalesce(cause, 'Unknown') AS cause,
+       severity FROM incident WHERE severity IS NOT NULL AND age IS NOT NULL"""
+)
+def training_set(spark, folder):
+    df = incident(spark, folder, "row_key", "area", "surface", "cause", "severity")
+    return cleaning.training_set(
+        df, ["area", "surface", "cause", "absent"], "severity", ["area"], ["surface", "cause"]
+    )
+
+
+@check(f"SELECT {_KEY}, l_tax FROM lineitem")
+def select_existing(spark, folder):
+    df = table(spark, folder, "lineitem")
+    return schema.select_existing(df, [*_KEY.split(", "), "not there", "l_tax"])
+
+
+@check("SELECT c_custkey, c_mktsegment FROM customer")
+def drop_personal(spark, folder):
+    df = table(spark, folder, "customer").withColumnsRenamed(
+        {"c_name": "full\n name", "c_acctbal": "account balance"}
+    )
+    return schema.drop_personal(
+        df, ["full name", "accountbalance", "c_nationkey", "no such column"]
+    )
+
+
+@check(
+    """SELECT c_custkey AS id, c_name AS "full name", c_mktsegment AS segment, 2568 AS year
+FROM customer"""
+)
+def rename_resolve(spark, folder):
+    df = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("  full\n  name "),
+        F.col("c_mktsegment").alias("old segment"), F.col("c_acctbal").alias("spare"),
+    )
+    out, _ = schema.resolve_columns(
+        df, ["id", "fullname"], ["segment"], {"old segment": "segment", "nothing": "x"}
+    )
+    out = schema.drop_optional(schema.tag(out, "year", 2568), "spare", "absent")
+    return out.withColumnRenamed("fullname", "full name")
+
+
+@check()
+def fuzzy_columns(spark, folder):
+    """Resolved names of a table whose columns are spelled differently, and the report."""
+    df = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("employee idd"), F.col("c_name").alias("Full Name"),
+        F.col("c_mktsegment").alias("market segmnt"),
+    )
+    out, report = schema.resolve_columns(
+        df, ["employee id"], ["market segment", "Full  Name", "spare"]
+    )
+    size = out.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in out.columns])
+    filled = size.unpivot([], size.columns, "target", "filled")
+    return report.join(filled, "target", "left")
+
+
+@check("SELECT c_custkey, c_mktsegment AS value FROM customer")
+def find_column(spark, folder):
+    df = table(spark, folder, "customer")
+    name = schema.find_column(df, ["no such", "segment"], "c_name")
+    assert schema.find_column(df, "nowhere", "c_name") == "c_name"
+    return df.select("c_custkey", F.col(name).alias("value"))
+
+
+@check(
+    """SELECT (c_custkey + 3)::BIGINT AS line, CAST(c_custkey AS VARCHAR) AS "customer key",
+  c_name AS name, c_mktsegment AS "Unnamed: 2" FROM customer"""
+)
+def promote_header_row(spark, folder):
+    customer = table(spark, folder, "customer")
+    body = customer.select(
+        (F.col("c_custkey") + 3).alias("line"), F.col("c_custkey").cast("string").alias("c0"),
+        F.col("c_name").alias("c1"), F.col("c_mktsegment").alias("c2"),
+    )
+    # a title, a blank and the real header stand above the body
+    rows = F.array(
+        *[
+            F.struct(F.lit(n).cast("bigint").alias("line"), *[F.lit(v).cast("string").alias(f"c{i}")
+              for i, v in enumerate(cells)])
+            for n, cells in [
+                (0, ("list of 2025", None, None)), (1, (None, None, None)),
+                (2, ("customer key", "name", None)),
+            ]
+        ]
+    )
+    top = customer.where("c_custkey = 0").select(F.explode(rows).alias("r")).select("r.*")
+    return promote_header(body.unionByName(top), "line", ["key"])
+
+
+@check(
+    f"""WITH {INCIDENT}
+SELECT row_key, severity, speed, CASE WHEN year = 1999 THEN NULL ELSE price END AS price,
+       year + 543 AS year
+FROM incident WHERE year IN (1999, 2000)"""
+)
+def union_years(spark, folder):
+    df = incident(spark, folder, "row_key", "severity", "speed", "price", "year")
+    first = df.where("year = 1999").select("row_key", "severity", "speed")
+    second = df.where("year = 2000").select("price", F.col("speed").alias("velocity"), "row_key",
+                                            "severity")
+    return cleaning.union_years(
+        {2542: first, 2543: schema.rename(second, {"velocity": "speed", "gone": "x"})}
+    )
+
+
+@check(f"WITH {INCIDENT} SELECT DISTINCT area, month FROM incident")
+def distinct_causes(spark, folder):
+    return cleaning.distinct_values(incident(spark, folder, "area", "month"), ["area", "month"])
+
+
+@check(f"WITH {INCIDENT} SELECT row_key, cause, severity FROM incident WHERE cause IS NOT NULL")
+def drop_missing(spark, folder):
+    return cleaning.drop_missing(incident(spark, folder, "row_key", "cause", "severity"), ["cause"])
+
+
+def _folder(spark, name: str) -> str:
+    """A folder that every task can reach: next to the session's checkpoints."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        materialise(spark.range(1))
+    return f"{sc.getCheckpointDir()}/outputs/{name}"
+
+
+@check(
+    f"""WITH {INCIDENT}
+SELECT area, severity, count(*) AS n FROM incident WHERE severity IS NOT NULL GROUP BY ALL"""
+)
+def write_read_back(spark, folder):
+    """Counts written under a run id and read back; the empty frame is not written."""
+    df = incident(spark, folder, "area", "severity")
+    counts = df.where("severity IS NOT NULL").groupBy("area", "severity").agg(
+        F.count("*").alias("n")
+    )
+    base = _folder(spark, "round_trip")
+    paths = write_outputs(
+        {"counts": counts, "unmapped": df.where("severity = 'never'"), "joined": None},
+        base, "r1",
+    )
+    assert list(paths) == ["counts"]
+    return read_output(spark, base, "counts", "r1").select("area", "severity", "n")
+
+
+@check("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_mktsegment FROM customer")
+def read_csv_table(spark, folder):
+    """A table written as CSV with a header and read again as text."""
+    df = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
+    path = write_outputs({"customer": df}, _folder(spark, "csv"), "r1.csv", "csv")["customer"]
+    return read_table(spark, path)
+
+
+@check(
+    """SELECT CAST(c_custkey AS VARCHAR) AS "key", c_mktsegment AS segment FROM customer"""
+)
+def read_sheet_with_header_row(spark, folder):
+    """A CSV whose header is not its first line: read as cells, then promoted."""
+    customer = table(spark, folder, "customer")
+    cells = F.array(
+        F.struct(F.lit("report").alias("a"), F.lit("").alias("b"), F.lit(0).alias("o")),
+        F.struct(F.lit("key").alias("a"), F.lit("segment").alias("b"), F.lit(1).alias("o")),
+    )
+    top = customer.where("c_custkey = 0").select(F.explode(cells).alias("r")).select("r.a", "r.b", "r.o")
+    body = customer.select(
+        F.col("c_custkey").cast("string").alias("a"), F.col("c_mktsegment").alias("b"),
+        F.lit(2).alias("o"),
+    )
+    sheet = top.union(body).orderBy("o").select("a", "b")
+    base = _folder(spark, "sheet")
+    sheet.write.mode("overwrite").csv(base)
+    df = read_sheet(spark, base, 2)
+    return promote_header(df, "line", ["key"]).drop("line")

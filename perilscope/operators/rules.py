@@ -185,7 +185,14 @@ def classify(
 
 
 def distinct_texts(df: DataFrame, column: str) -> DataFrame:
-    return df.select(col_of(column)).where(col_of(column).isNotNull()).distinct()
+    """The distinct texts, spread over all shuffle partitions.
+
+    Matching a text costs far more than reading it, so the partitions must not be merged
+    by their size in bytes, as adaptive execution would do after ``distinct`` alone.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = df.select(col_of(column)).where(col_of(column).isNotNull()).distinct()
+    return texts.repartition(partitions, col_of(column))
 
 
 def attach_by_text(df: DataFrame, column: str, labelled: DataFrame, label: str) -> DataFrame:
