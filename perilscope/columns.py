@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,21 @@ def cols_of(values: Iterable[ColumnLike]) -> list[Column]:
     return [col_of(v) for v in values]
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once.
+
+    Inside higher-order functions Spark evaluates an expression at every place it stands;
+    the variable of a lambda over an array of one element is evaluated once.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def constant(value: object, schema: str) -> Column:
+    """A nested constant. Spark folds it into a literal of the plan, and it takes one call
+    to build, where a column per element would take thousands."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), schema)
+
+
 def bounded_values(df: DataFrame, column: str, limit: int = 1000) -> list:
     """Distinct non-null values in ascending order, for plan building.
 

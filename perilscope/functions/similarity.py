@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from perilscope.columns import ColumnLike, col_of
+from perilscope.columns import ColumnLike, bind, col_of
 
 WORD = 60
 FULL = (1 << WORD) - 1
@@ -29,11 +29,8 @@ def _words(length: Column) -> Column:
 
 def char_masks(text: ColumnLike) -> Column:
     """Map from each character to the bit words of its places."""
-    chars = _chars(col_of(text))
-    distinct = F.array_distinct(chars)
-    word_ids = F.sequence(F.lit(0), _words(F.size(chars)) - 1)
 
-    def word(ch: Column, k: Column) -> Column:
+    def word(chars: Column, ch: Column, k: Column) -> Column:
         start = F.struct(F.lit(0).cast("bigint").alias("m"), F.lit(1).cast("bigint").alias("bit"))
         return F.aggregate(
             F.slice(chars, k * WORD + 1, F.lit(WORD)),
@@ -45,21 +42,28 @@ def char_masks(text: ColumnLike) -> Column:
             lambda s: s["m"],
         )
 
-    return F.map_from_arrays(
-        distinct, F.transform(distinct, lambda ch: F.transform(word_ids, lambda k: word(ch, k)))
-    )
+    def masks(chars: Column) -> Column:
+        word_ids = F.sequence(F.lit(0), _words(F.size(chars)) - 1)
+        return F.map_from_entries(
+            F.transform(
+                F.array_distinct(chars),
+                lambda ch: F.struct(ch, F.transform(word_ids, lambda k: word(chars, ch, k))),
+            )
+        )
+
+    return bind(_chars(col_of(text)), masks)
 
 
-def literal_masks(text: str) -> Column:
-    """``char_masks`` of a constant, computed while planning."""
+def mask_entry(text: str) -> dict:
+    """``char_masks`` and length of a constant, computed while planning, for ``constant``."""
     words = max(1, math.ceil(len(text) / WORD))
     masks: dict[str, list[int]] = {}
     for place, ch in enumerate(text):
         masks.setdefault(ch, [0] * words)[place // WORD] |= 1 << (place % WORD)
-    entries = []
-    for ch, values in masks.items():
-        entries += [F.lit(ch), F.array(*[F.lit(v).cast("bigint") for v in values])]
-    return F.create_map(*entries)
+    return {"length": len(text), "masks": masks}
+
+
+MASK_FIELDS = "length: int, masks: map<string, array<bigint>>"
 
 
 def lcs_from_masks(text: Column, masks: Column, length: Column) -> Column:
@@ -100,11 +104,7 @@ def ratio_from_masks(text: Column, masks: Column, length: Column) -> Column:
 def indel_ratio(a: ColumnLike, b: ColumnLike) -> Column:
     """``200 * LCS / (len(a) + len(b))``: 100 for equal texts, 0 for nothing in common."""
     left, right = col_of(a), col_of(b)
-    # an array of one element binds the masks, so that they are built once per row
-    bound = F.array(char_masks(right))
-    ratio = F.get(
-        F.transform(bound, lambda m: ratio_from_masks(left, m, F.length(right))), F.lit(0)
-    )
+    ratio = bind(char_masks(right), lambda m: ratio_from_masks(left, m, F.length(right)))
     empty = F.when((F.length(left) == 0) & (F.length(right) == 0), F.lit(100.0)).otherwise(0.0)
     return F.when((F.length(left) > 0) & (F.length(right) > 0), ratio).when(
         left.isNotNull() & right.isNotNull(), empty
@@ -123,9 +123,14 @@ def partial_ratio(a: ColumnLike, b: ColumnLike) -> Column:
     work grows with the product of the lengths.
     """
     left, right = col_of(a), col_of(b)
+    la, lb = F.length(left), F.length(right)
+
+    def side(short: Column, long: Column) -> Column:
+        return F.struct(short.alias("short"), long.alias("long"))
 
-    def best(short: Column, long: Column) -> Column:
-        n, total = F.length(short), F.length(long)
+    def best(pair: Column) -> Column:
+        short, long = pair["short"], pair["long"]
+        n = F.length(short)
 
         def score(masks: Column) -> Column:
             def window(start: Column) -> Column:
@@ -134,16 +139,18 @@ def partial_ratio(a: ColumnLike, b: ColumnLike) -> Column:
                 )
                 return ratio_from_masks(cut, masks, n)
 
-            return F.array_max(F.transform(F.sequence(F.lit(2) - n, total), window))
+            return F.array_max(F.transform(F.sequence(F.lit(2) - n, F.length(long)), window))
 
-        return F.get(F.transform(F.array(char_masks(short)), score), F.lit(0))
+        return bind(char_masks(short), score)
 
-    la, lb = F.length(left), F.length(right)
-    usable = (la > 0) & (lb > 0)
+    # texts of equal length take both parts
+    pairs = (
+        F.when(la < lb, F.array(side(left, right)))
+        .when(la > lb, F.array(side(right, left)))
+        .otherwise(F.array(side(left, right), side(right, left)))
+    )
     return (
-        F.when(usable & (la < lb), best(left, right))
-        .when(usable & (la > lb), best(right, left))
-        .when(usable, F.greatest(best(left, right), best(right, left)))
+        F.when((la > 0) & (lb > 0), F.array_max(F.transform(pairs, best)))
         .when((la == 0) & (lb == 0), F.lit(100.0))
         .when(left.isNotNull() & right.isNotNull(), F.lit(0.0))
     )
@@ -164,19 +171,17 @@ def _seed_pattern(word: str, edits: int) -> str:
     return f"(?s)(?=((?:{'|'.join(options)}).{{0,{len(word)}}}))"
 
 
-def word_entry(word: str, min_score: float) -> Column:
+def word_entry(word: str, min_score: float) -> dict:
     """A constant word with what ``partial_ratio_to`` needs to find and score it."""
     edits = math.floor(2 * len(word) * (100.0 - min_score) / 100.0 + 1e-9)
-    return F.struct(
-        F.lit(word).alias("word"),
-        F.lit(len(word)).alias("length"),
-        F.lit(_seed_pattern(word, edits)).alias("seeds"),
-        literal_masks(word).alias("masks"),
-    )
+    return {"word": word, "seeds": _seed_pattern(word, edits), **mask_entry(word)}
+
+
+WORD_FIELDS = f"word: string, seeds: string, {MASK_FIELDS}"
 
 
 def partial_ratio_to(text: ColumnLike, entry: Column) -> Column:
-    """``partial_ratio`` with a ``word_entry``, exact from its ``min_score`` on, else lower.
+    """``partial_ratio`` with a constant ``word_entry``, exact from its ``min_score`` on, else lower.
 
     Windows that cannot reach ``min_score`` are never scored, so the work is linear in the
     length of a long text.

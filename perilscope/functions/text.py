@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from perilscope.columns import ColumnLike, col_of
+from perilscope.columns import ColumnLike, bind, col_of, constant
 
 # Characters that count as white space, and the Thai decimal digits.
 WHITESPACE = (
@@ -27,9 +27,9 @@ def western_digits(text: ColumnLike) -> Column:
     return F.translate(col_of(text), THAI_DIGITS, "0123456789")
 
 
-def literal_map(table: Mapping[str, object]) -> Column:
+def literal_map(table: Mapping[str, str]) -> Column:
     """A small lookup table as a constant of the plan."""
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return constant(dict(table), "map<string, string>")
 
 
 def duration_months(
@@ -76,13 +76,7 @@ def tokens(text: ColumnLike) -> Column:
     """Parts between slashes, bracketed remarks removed; one part if nothing is left."""
     bare = F.regexp_replace(col_of(text), r"\(.*?\)", "")
     parts = F.filter(F.transform(F.split(bare, "/"), strip), lambda part: part != "")
-    # an array of one element binds the parts, so that they are worked out once
-    return F.get(
-        F.transform(
-            F.array(parts), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(strip(bare)))
-        ),
-        F.lit(0),
-    )
+    return bind(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(strip(bare))))
 
 
 def replace_synonym(text: ColumnLike, synonyms: Mapping[str, str] | None) -> Column:

@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilscope.columns import ColumnLike, col_of, cols_of
+from perilscope.columns import ColumnLike, col_of, cols_of, constant
 from perilscope.functions.numbers import percent
 from perilscope.functions.similarity import (
+    MASK_FIELDS,
+    WORD_FIELDS,
     allowed_edits,
-    literal_masks,
+    mask_entry,
     partial_ratio_to,
     ratio_from_masks,
     word_entry,
@@ -63,17 +65,12 @@ def rule_frame(spark: SparkSession, rules: RuleTable) -> DataFrame:
 
 
 def _rule_array(pairs: Sequence[tuple[str, str]], masks: bool = False) -> Column:
-    entries = []
-    for place, (pattern, label) in enumerate(pairs):
-        fields = [
-            F.lit(pattern).alias("pattern"),
-            F.lit(label).alias("label"),
-            F.lit(-place).alias("place"),
-        ]
-        if masks:
-            fields += [F.lit(len(pattern)).alias("length"), literal_masks(pattern).alias("masks")]
-        entries.append(F.struct(*fields))
-    return F.array(*entries)
+    entries = [
+        {"pattern": p, "label": x, "place": -i, **(mask_entry(p) if masks else {})}
+        for i, (p, x) in enumerate(pairs)
+    ]
+    fields = "pattern: string, label: string, place: int" + (f", {MASK_FIELDS}" if masks else "")
+    return constant(entries, f"array<struct<{fields}>>")
 
 
 def exact_label(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -100,8 +97,8 @@ def token_label(text: Column, pairs: Sequence[tuple[str, str]], min_token_len: i
     return F.get(F.array_compact(F.transform(usable, first_rule)), F.lit(0))
 
 
-def _best_fuzzy(text: Column, table: Column, min_score: float) -> Column:
-    """(score, place, label) of the most similar rule, null below ``min_score``.
+def _similar(text: Column, table: Column, min_score: float, place: Column) -> Column:
+    """(score, text_place, place, label) of the rules with at least ``min_score``.
 
     The edit distance is never above the number of insertions and deletions, so a bounded
     Levenshtein distance rules out nearly all rules before one is scored.
@@ -115,17 +112,19 @@ def _best_fuzzy(text: Column, table: Column, min_score: float) -> Column:
     def scored(rule: Column) -> Column:
         return F.struct(
             ratio_from_masks(text, rule["masks"], rule["length"]).alias("score"),
+            (-place).alias("text_place"),
             rule["place"].alias("place"),
             rule["label"].alias("label"),
         )
 
     found = F.transform(F.filter(table, near), scored)
-    return F.array_max(F.filter(found, lambda s: s["score"] >= F.lit(float(min_score))))
+    return F.filter(found, lambda s: s["score"] >= F.lit(float(min_score)))
 
 
 def fuzzy_label(text: Column, pairs: Sequence[tuple[str, str]], min_score: float = 97) -> Column:
     """Label of the most similar rule from ``min_score`` on, the first one of equal ones."""
-    return _best_fuzzy(text, _rule_array(pairs, masks=True), min_score)["label"]
+    found = _similar(text, _rule_array(pairs, masks=True), min_score, F.lit(0))
+    return F.array_max(found)["label"]
 
 
 def token_fuzzy_label(
@@ -133,18 +132,9 @@ def token_fuzzy_label(
 ) -> Column:
     """``fuzzy_label`` of the best token, the first one of equally good ones."""
     table = _rule_array(pairs, masks=True)
-
-    def best(token: Column, place: Column) -> Column:
-        hit = _best_fuzzy(token, table, min_score)
-        return F.when(
-            hit.isNotNull(),
-            F.struct(
-                hit["score"].alias("score"), (-place).alias("token"), hit["label"].alias("label")
-            ),
-        )
-
     usable = F.filter(tokens(text), lambda t: t != "")
-    return F.array_max(F.array_compact(F.transform(usable, best)))["label"]
+    found = F.transform(usable, lambda t, i: _similar(t, table, min_score, i))
+    return F.array_max(F.flatten(found))["label"]
 
 
 def label_of(
@@ -290,53 +280,46 @@ def priority_class(
 
 def _keyword_hit(text: Column, themes: Mapping[str, Sequence[str]]) -> Column:
     """(token, label) of the first token that contains a keyword, themes in order."""
-    table = F.array(
-        *[
-            F.struct(F.lit(k).alias("label"), F.array(*[F.lit(w) for w in ws]).alias("words"))
-            for k, ws in themes.items()
-        ]
+    table = constant(
+        [{"label": k, "words": list(ws)} for k, ws in themes.items()],
+        "array<struct<label: string, words: array<string>>>",
     )
 
     def theme(token: Column) -> Column:
         hit = F.filter(table, lambda r: F.exists(r["words"], lambda w: token.contains(w)))
-        label = F.get(hit, F.lit(0))["label"]
-        return F.when(label.isNotNull(), F.struct(token.alias("token"), label.alias("label")))
+        return F.struct(token.alias("token"), F.get(hit, F.lit(0))["label"].alias("label"))
 
-    return F.get(F.array_compact(F.transform(tokens(text), theme)), F.lit(0))
+    found = F.filter(F.transform(tokens(text), theme), lambda h: h["label"].isNotNull())
+    return F.get(found, F.lit(0))
 
 
 def _keyword_fuzzy(text: Column, themes: Mapping[str, Sequence[str]], min_score: float) -> Column:
     """(score, ..., label, token, word) of the best window of a token with a keyword."""
-    entries, place = [], 0
-    for label, words in themes.items():
-        for word in words:
-            entries.append(
-                F.struct(
-                    F.lit(label).alias("label"),
-                    F.lit(-place).alias("place"),
-                    word_entry(word, min_score).alias("entry"),
-                )
-            )
-            place += 1
-    table = F.array(*entries)
-
-    def best(token: Column, index: Column) -> Column:
-        return F.array_max(
-            F.transform(
-                table,
-                lambda r: F.struct(
-                    partial_ratio_to(token, r["entry"]).alias("score"),
-                    (-index).alias("token_place"),
-                    r["place"].alias("place"),
-                    r["label"].alias("label"),
-                    token.alias("token"),
-                    r["entry"]["word"].alias("word"),
-                ),
-            )
+    words = [(label, word) for label, group in themes.items() for word in group]
+    table = constant(
+        [
+            {"label": label, "place": -i, "entry": word_entry(word, min_score)}
+            for i, (label, word) in enumerate(words)
+        ],
+        f"array<struct<label: string, place: int, entry: struct<{WORD_FIELDS}>>>",
+    )
+
+    def scored(token: Column, index: Column) -> Column:
+        return F.transform(
+            table,
+            lambda r: F.struct(
+                partial_ratio_to(token, r["entry"]).alias("score"),
+                (-index).alias("token_place"),
+                r["place"].alias("place"),
+                r["label"].alias("label"),
+                token.alias("token"),
+                r["entry"]["word"].alias("word"),
+            ),
         )
 
-    top = F.array_max(F.transform(F.filter(tokens(text), lambda t: t != ""), best))
-    return F.when(top["score"] >= F.lit(float(min_score)), top)
+    usable = F.filter(tokens(text), lambda t: t != "")
+    found = F.flatten(F.transform(usable, scored))
+    return F.array_max(F.filter(found, lambda s: s["score"] >= F.lit(float(min_score))))
 
 
 def _usable(text: Column) -> Column:

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # call sites for error messages cost more than building the plan itself
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
