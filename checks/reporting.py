@@ -1 +1,176 @@
-"""x"""
+"""Slices, counts, key figures and statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks.fixtures import CASCADE, INCIDENT, SEVERE, THEMES, incident, table, themed
+from checks.registry import check, r
+from checks.summaries import _SHARES
+from perilscope.functions.numbers import round_even
+from perilscope.functions.text import natural_key
+from perilscope.operators import area as areas
+from perilscope.operators import report
+
+
+@check(
+    f"""WITH {INCIDENT}
+SELECT row_key, area, month FROM incident
+WHERE month IN ('Jan', 'Mar', 'Jul') AND area IN ('NATION_2', 'NATION_10', 'NATION_24')"""
+)
+def filtered_slice(spark, folder):
+    df = incident(spark, folder, "row_key", "area", "month")
+    return report.slice_rows(
+        df,
+        {"month": ["Jan", "Mar", "Jul"], "area": ["NATION_2", "NATION_10", "NATION_24"],
+         "row_key": []},
+    )
+
+
+@check(
+    f"""WITH {INCIDENT}
+SELECT row_key, area, quarter FROM incident WHERE quarter = 3 AND cause IS NULL"""
+)
+def quarter_slice(spark, folder):
+    df = incident(spark, folder, "row_key", "area", "quarter", "cause")
+    out = report.slice_rows(df, {"quarter": [3], "area": None})
+    return out.where(F.col("cause").isNull()).drop("cause")
+
+
+@check("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def value_counts(spark, folder):
+    return report.value_counts(table(spark, folder, "events"), "event_type")
+
+
+@check(f"WITH {INCIDENT} SELECT severity, count(*) AS n FROM incident GROUP BY severity")
+def value_counts_nulls(spark, folder):
+    return report.value_counts(incident(spark, folder, "severity"), "severity", dropna=False)
+
+
+@check(
+    f"""WITH {INCIDENT}
+SELECT cause, count(*) AS n FROM incident WHERE cause IS NOT NULL GROUP BY cause
+ORDER BY n DESC, cause LIMIT 20"""
+)
+def top20_causes(spark, folder):
+    return report.value_counts(incident(spark, folder, "cause"), "cause", top=20)
+
+
+@check(f"WITH {INCIDENT} SELECT month, count(*) AS n FROM incident GROUP BY month")
+def month_counts_calendar(spark, folder):
+    return report.counts_by_month(incident(spark, folder, "month"), "month")
+
+
+@check(
+    """WITH wanted(event_type) AS (VALUES ('view'), ('click'), ('absent'))
+SELECT event_type, n FROM wanted
+LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) USING (event_type)"""
+)
+def reindexed_counts(spark, folder):
+    counts = report.value_counts(table(spark, folder, "events"), "event_type")
+    return report.reindex(counts, "event_type", ["view", "click", "absent"])
+
+
+@check(
+    f"""WITH {_SHARES}
+SELECT (SELECT count(*) FROM themed) AS reports,
+  (SELECT count(*) FILTER (WHERE priority_level = 'High') FROM banded) AS high_areas,
+  (SELECT {r("avg(risk_score)", 1)} FROM banded) AS mean_score,
+  (SELECT {r("count(theme)::DOUBLE / count(*) * 100", 1)} FROM themed) AS mapped_pct,
+  (SELECT theme FROM themed WHERE theme IS NOT NULL GROUP BY theme
+   ORDER BY count(*) DESC, theme LIMIT 1) AS top_theme"""
+)
+def kpis(spark, folder):
+    df = themed(spark, folder, "area", "severity")
+    summary = areas.area_summary(df, "area", "theme", "severity", SEVERE, THEMES)
+    return report.kpis(df, summary, "theme")
+
+
+@check(
+    f"""WITH {INCIDENT}
+SELECT segment, sum(speed) AS value FROM incident GROUP BY segment
+ORDER BY value DESC, segment LIMIT 1"""
+)
+def group_sum_argmax(spark, folder):
+    return report.group_top(incident(spark, folder, "segment", "speed"), ["segment"], "speed")
+
+
+@check(
+    f"""WITH {CASCADE}
+SELECT theme, cause, avg(speed) AS value FROM themed WHERE theme IS NOT NULL
+GROUP BY theme, cause ORDER BY value DESC, theme, cause LIMIT 5"""
+)
+def top5_mean(spark, folder):
+    df = themed(spark, folder, "cause", "speed").where("theme IS NOT NULL")
+    return report.group_top(df, ["theme", "cause"], "speed", "mean", 5)
+
+
+@check(
+    f"""WITH {CASCADE}
+SELECT theme, avg(speed) AS value FROM themed GROUP BY theme"""
+)
+def group_mean(spark, folder):
+    return report.group_measure(themed(spark, folder, "speed"), ["theme"], "speed", "mean")
+
+
+@check(
+    f"""WITH {INCIDENT}
+SELECT count(DISTINCT CASE WHEN speed > 49 AND severity = 'long' THEN employee END) AS n FROM incident"""
+)
+def distinct_if(spark, folder):
+    df = incident(spark, folder, "employee", "speed", "severity")
+    return report.distinct_if(df, "employee", (F.col("speed") > 49) & (F.col("severity") == "long"))
+
+
+@check(
+    "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS "count", {r(f"avg({c})", 6)} AS mean,
+  {r(f"stddev_samp({c})", 6)} AS std, min({c})::DOUBLE AS min,
+  {r(f"quantile_cont({c}, 0.25)", 6)} AS q1, {r(f"quantile_cont({c}, 0.5)", 6)} AS median,
+  {r(f"quantile_cont({c}, 0.75)", 6)} AS q3, max({c})::DOUBLE AS max FROM lineitem"""
+        for c in ("l_quantity", "l_linenumber", "l_extendedprice")
+    )
+    + ")"
+)
+def describe(spark, folder):
+    out = report.describe(
+        table(spark, folder, "lineitem"), ["l_quantity", "l_linenumber", "l_extendedprice"]
+    )
+    return out.withColumns(
+        {c: round_even(c, 6) for c in ("mean", "std", "q1", "median", "q3")}
+    )
+
+
+@check(
+    f"""WITH {INCIDENT}, n AS (
+  SELECT count(*) - count(cause) AS cause, count(*) - count(severity) AS severity,
+         count(*) - count(area) AS area, count(*) - count(row_key) AS row_key FROM incident
+)
+SELECT * FROM (UNPIVOT n ON cause, severity, area, row_key INTO NAME "column" VALUE nulls)
+ORDER BY nulls DESC, "column" LIMIT 3"""
+)
+def null_counts(spark, folder):
+    df = incident(spark, folder, "row_key", "area", "cause", "severity")
+    return report.null_counts(df, 3)
+
+
+@check(
+    f"""WITH {INCIDENT}
+SELECT area, severity, count(*) AS n FROM incident GROUP BY ALL
+ORDER BY severity NULLS LAST, n DESC, area LIMIT 17"""
+)
+def rank_rows(spark, folder):
+    df = incident(spark, folder, "area", "severity").groupBy("area", "severity").agg(
+        F.count("*").alias("n")
+    )
+    return report.rank_rows(df, ["severity", "n", "area"], [True, False, True], 17)
+
+
+@check(
+    f"""WITH {INCIDENT}
+SELECT area FROM (SELECT DISTINCT area FROM incident) ORDER BY substr(area, 8)::INT LIMIT 11"""
+)
+def natural_area_list(spark, folder):
+    df = incident(spark, folder, "area").distinct()
+    return report.rank_rows(df, [natural_key("area")], [True], 11)
