@@ -76,7 +76,9 @@ def tokens(text: ColumnLike) -> Column:
     """Parts between slashes, bracketed remarks removed; one part if nothing is left."""
     bare = F.regexp_replace(col_of(text), r"\(.*?\)", "")
     parts = F.filter(F.transform(F.split(bare, "/"), strip), lambda part: part != "")
-    return bind(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(strip(bare))))
+    return bind(
+        parts, lambda p: F.when(F.size(p) > 0, p).when(F.size(p) == 0, F.array(strip(bare)))
+    )
 
 
 def replace_synonym(text: ColumnLike, synonyms: Mapping[str, str] | None) -> Column:

@@ -35,17 +35,18 @@ def spread_left_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
-    salts: int = 256,
+    salts: int | None = None,
     hot_rows: int = 1_000_000,
     max_hot: int = 1000,
 ) -> DataFrame:
     """Left equi join that stays even when one key holds a large part of ``left``.
 
     The ``max_hot`` most frequent keys among those with at least ``hot_rows`` rows, found by
-    one pre-aggregated pass over the key columns, are split over ``salts``, and their right
-    rows repeated once per salt. Any other key holds less than ``1 / max_hot`` of the rows.
+    one pre-aggregated pass over the key columns, are split over ``salts`` (as many as there
+    are shuffle partitions if not given), and their right rows repeated once per salt. Any other key holds less than ``1 / max_hot`` of the rows.
     Rows with a null key match nothing and are spread the same way.
     """
+    salts = salts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key_hash = F.xxhash64(*cols_of(keys))
     hot = [
         r["h"]

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -74,35 +75,40 @@ def split_flag(
     buckets, a second one ranks only the rows of the bucket that the threshold falls into.
     So no label, however large, is sorted as a whole, and the flag itself is a comparison.
     """
-    classes = bounded_values(df, label, CATEGORY_LIMIT)
     digest = F.md5(F.concat_ws("|", *cols_of(key), F.lit(str(seed))))
     place = F.concat_ws("|", digest, *cols_of(key))
-    bucket = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
-    rows = df.select(col_of(label).alias("_l"), bucket.alias("_b"), place.alias("_h")).where(
-        F.col("_l").isNotNull()
-    )
-    sizes = rows.groupBy("_l", "_b").agg(F.count("*").alias("n"))
+    rows = df.select(col_of(label).alias("_l"), place.alias("_h")).where(F.col("_l").isNotNull())
+    rows = rows.withColumn("_b", F.substring("_h", 1, 4))
     by_label = Window.partitionBy("_l")
+    sizes = rows.groupBy("_l", "_b").agg(F.count("*").alias("n"))
     cut = (
         sizes.withColumn("upto", F.sum("n").over(by_label.orderBy("_b")))
         .withColumn("quota", F.floor(F.sum("n").over(by_label) * F.lit(test)))
         .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
         .select("_l", "_b", (F.col("quota") - (F.col("upto") - F.col("n"))).alias("need"))
-        .where(F.col("_l").isin(classes))
     )
-    # one row per label, of which there are at most CATEGORY_LIMIT
+    cut = _one_per_class(cut, label)
     threshold = (
         rows.join(F.broadcast(cut), ["_l", "_b"])
-        .withColumn("rank", F.row_number().over(Window.partitionBy("_l").orderBy("_h")))
+        .withColumn("rank", F.row_number().over(by_label.orderBy("_h")))
         .where(F.col("rank") == F.col("need"))
         .select(F.col("_l"), F.col("_h").alias("_limit"))
     )
+    threshold = _one_per_class(threshold, label)
     flagged = df.join(F.broadcast(threshold), col_of(label) == F.col("_l"), "left")
     return flagged.withColumn("is_test", F.coalesce(place <= F.col("_limit"), F.lit(False))).drop(
         "_l", "_limit"
     )
 
 
+def _one_per_class(df: DataFrame, label: str) -> DataFrame:
+    """The rows of a frame with one row per class, as constants; too many are an error."""
+    rows = df.limit(CATEGORY_LIMIT + 1).collect()
+    if len(rows) > CATEGORY_LIMIT:
+        raise ValueError(f"column {label!r} has more than {CATEGORY_LIMIT} classes")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def stratified_split(
     df: DataFrame, label: str, key: Sequence[str], test: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
@@ -153,6 +159,8 @@ def fit_forest(
     train = _assembled(df, encoding, features).select(
         "_features", (F.array_position(known, col_of(label)) - 1).cast("double").alias("_label")
     )
+    # the trainer passes over its input many times
+    train = train.where(F.col("_label") >= 0).persist(StorageLevel.MEMORY_AND_DISK)
     model = RandomForestClassifier(
         featuresCol="_features",
         labelCol="_label",
@@ -161,7 +169,8 @@ def fit_forest(
         seed=seed,
         maxBins=max(32, encoding.largest + 1),
         featureSubsetStrategy="sqrt",
-    ).fit(train.where(F.col("_label") >= 0))
+    ).fit(train)
+    train.unpersist()
     return Forest(model, list(features), encoding, classes)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -130,17 +130,8 @@ def value_at(values: DataFrame, rank: int, few: int = 1_000_000) -> float:
     return upto.where(F.col("upto") > rank - below).agg(F.min("v").alias("v")).first()["v"]
 
 
-def quartiles(df: DataFrame, name: str, few: int = 1_000_000) -> list[float | None]:
-    """Exact quartiles, interpolated between neighbours."""
-    values = df.select(col_of(name).cast("double").alias("v")).where(
-        F.col("v").isNotNull() & ~F.isnan("v")
-    )
-    n = values.count()
-    if n == 0:
-        return [None, None, None]
-    if n <= few:
-        shares = [F.lit(p) for p in (0.25, 0.5, 0.75)]
-        return values.agg(F.percentile("v", F.array(*shares)).alias("q")).first()["q"]
+def quartiles(values: DataFrame, n: int, few: int = 1_000_000) -> list[float]:
+    """Exact quartiles of the ``n`` values of column ``v``, interpolated between neighbours."""
     out = []
     for share in (0.25, 0.5, 0.75):
         rank, part = int(share * (n - 1)), share * (n - 1) % 1
@@ -157,21 +148,35 @@ DESCRIPTION = pa.schema(
 
 
 def describe(df: DataFrame, names: Sequence[str], few: int = 1_000_000) -> DataFrame:
-    """One row per numeric column: count, mean, std, min, quartiles, max."""
-    places = {name: i for i, name in enumerate(names)}
-    measures = []
-    for name, i in places.items():
+    """One row per numeric column: count, mean, std, min, quartiles, max.
+
+    Quartiles come from the values themselves while a column has at most ``few`` of them,
+    and from ``value_at`` beyond.
+    """
+
+    def number(name: str) -> Column:
         value = col_of(name).cast("double")
-        v = F.when(~F.isnan(value), value)
-        measures += [
-            F.count(v).alias(f"count{i}"), F.avg(v).alias(f"mean{i}"),
-            F.stddev_samp(v).alias(f"std{i}"), F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"),
-        ]
-    found = df.agg(*measures).first()
+        return F.when(~F.isnan(value), value)
+
+    def row(measures: Mapping[str, Callable[[Column], Column]], chosen: Sequence[str]) -> dict:
+        parts = [m(number(c)).alias(f"{k}{names.index(c)}") for c in chosen for k, m in measures.items()]
+        return df.agg(*parts).first().asDict() if parts else {}
+
+    names = list(names)
+    found = row(
+        {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}, names
+    )
+    small = [c for i, c in enumerate(names) if found[f"count{i}"] <= few]
+    shares = F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])
+    found |= row({"q": lambda v: F.percentile(v, shares)}, small)
+    for i, c in enumerate(names):
+        if c not in small:
+            values = df.select(number(c).alias("v")).where(F.col("v").isNotNull())
+            found[f"q{i}"] = quartiles(values, found[f"count{i}"], few)
     rows = [
-        (name, found[f"count{i}"], found[f"mean{i}"], found[f"std{i}"], found[f"min{i}"],
-         *quartiles(df, name, few), found[f"max{i}"])
-        for name, i in places.items()
+        (c, *[found[f"{k}{i}"] for k in ("count", "mean", "std", "min")],
+         *(found[f"q{i}"] or [None] * 3), found[f"max{i}"])
+        for i, c in enumerate(names)
     ]
     columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(DESCRIPTION)]
     return df.sparkSession.createDataFrame(pa.Table.from_arrays(columns, schema=DESCRIPTION))

@@ -16,7 +16,7 @@ from perilscope.operators.cleaning import blank_to_null, fill_unknown, union_yea
 from perilscope.operators.crosstab import to_wide
 from perilscope.operators.ranking import cause_share
 from perilscope.operators.trend import expand_values, modal_profile, yoy_trend
-from perilscope.session import materialise
+from perilscope.session import materialise, spread_over_cores
 
 
 def future_profile(
@@ -139,10 +139,12 @@ def forecast_input(first: DataFrame, second: DataFrame, plan: ForecastPlan) -> t
 def run_forecast(first: DataFrame, second: DataFrame, plan: ForecastPlan) -> ForecastResult:
     """Train on two years, evaluate, and forecast the coming quarters by area and cause.
 
-    The cleaned table is computed once, since several model passes read it.
+    The columns that the model and the forecast read are computed once, since they pass
+    over them many times; ``cleaned`` stays as lazy as it came.
     """
-    df, cause = forecast_input(first, second, plan)
-    df = materialise(df)
+    cleaned, cause = forecast_input(first, second, plan)
+    needed = [*plan.key, *plan.features, plan.area, cause, "campaign_theme", "year"]
+    df = spread_over_cores(materialise(schema.select_existing(cleaned, dict.fromkeys(needed))))
     label = "campaign_theme"
     encoding = model.OrdinalEncoding.fit(df, plan.features)
     train, test = model.stratified_split(df, label, plan.key, 0.2, plan.seed)
@@ -164,7 +166,7 @@ def run_forecast(first: DataFrame, second: DataFrame, plan: ForecastPlan) -> For
     return ForecastResult(
         forecast=forecast.withColumn("quarter", quarter_label("quarter")),
         themes=themes.withColumn("quarter", quarter_label("quarter")),
-        cleaned=df,
+        cleaned=cleaned,
         accuracy=model.accuracy(judged, label, "pred"),
         importances=model.importances(fitted, df),
         report=model.classification_report(judged, label, "pred"),

@@ -45,3 +45,12 @@ def materialise(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread_over_cores(df: DataFrame) -> DataFrame:
+    """Repartition a materialised frame that has fewer partitions than there are cores.
+
+    So it only ever moves small data: a large table has more partitions than that.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
