@@ -110,7 +110,15 @@ def rename_resolve(spark, folder):
     return out.withColumnRenamed("fullname", "full name")
 
 
-@check()
+@check(
+    f"""SELECT target, status, source, score, CASE WHEN source IS NOT NULL
+  THEN (SELECT count(*) FROM customer) END AS filled
+FROM (VALUES
+  ('employee id', 'fuzzy', 'employee idd', {200 * 11}::DOUBLE / 23),
+  ('market segment', 'fuzzy', 'market segmnt', {200 * 13}::DOUBLE / 27),
+  ('Full  Name', 'normalized', 'Full Name', 100.0::DOUBLE),
+  ('spare', 'NOT FOUND', NULL, 0.0::DOUBLE)) AS t(target, status, source, score)"""
+)
 def fuzzy_columns(spark, folder):
     """Resolved names of a table whose columns are spelled differently, and the report."""
     df = table(spark, folder, "customer").select(
@@ -184,7 +192,7 @@ def drop_missing(spark, folder):
     return cleaning.drop_missing(incident(spark, folder, "row_key", "cause", "severity"), ["cause"])
 
 
-def _folder(spark, name: str) -> str:
+def shared_folder(spark, name: str) -> str:
     """A folder that every task can reach: next to the session's checkpoints."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -202,7 +210,7 @@ def write_read_back(spark, folder):
     counts = df.where("severity IS NOT NULL").groupBy("area", "severity").agg(
         F.count("*").alias("n")
     )
-    base = _folder(spark, "round_trip")
+    base = shared_folder(spark, "round_trip")
     paths = write_outputs(
         {"counts": counts, "unmapped": df.where("severity = 'never'"), "joined": None},
         base, "r1",
@@ -215,7 +223,7 @@ def write_read_back(spark, folder):
 def read_csv_table(spark, folder):
     """A table written as CSV with a header and read again as text."""
     df = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
-    path = write_outputs({"customer": df}, _folder(spark, "csv"), "r1.csv", "csv")["customer"]
+    path = write_outputs({"customer": df}, shared_folder(spark, "csv"), "r1.csv", "csv")["customer"]
     return read_table(spark, path)
 
 
@@ -235,7 +243,7 @@ def read_sheet_with_header_row(spark, folder):
         F.lit(2).alias("o"),
     )
     sheet = top.union(body).orderBy("o").select("a", "b")
-    base = _folder(spark, "sheet")
+    base = shared_folder(spark, "sheet")
     sheet.write.mode("overwrite").csv(base)
     df = read_sheet(spark, base, 2)
     return promote_header(df, "line", ["key"]).drop("line")

@@ -4,12 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import CASCADE, INCIDENT, RULES, SEVERE, THEMES, incident, table, themed
-from checks.registry import check, r
+from checks.cleaning import shared_folder
+from checks.fixtures import (
+    AREA_PRODUCTS,
+    CASCADE,
+    INCIDENT,
+    RULES,
+    SEVERE,
+    SYNONYMS,
+    THEMES,
+    incident,
+    table,
+    themed,
+)
+from checks.registry import check, r, values
+from checks.summaries import _SHARES
 from perilscope.functions.numbers import round_even
 from perilscope.operators import model, trend
 from perilscope.operators.crosstab import to_wide
-from perilscope.plans import forecast, incident as pipeline
+from perilscope.plans import forecast
+from perilscope.plans import incident as pipeline
+from perilscope.sources.outputs import read_output
 
 _TREND = f"""{CASCADE},
 cells AS (
@@ -151,6 +166,18 @@ def forecast_counts(spark, folder):
     )
 
 
+@check(
+    f"""WITH {_PROBS}
+SELECT (SELECT count(DISTINCT area) FROM forecast WHERE trend > 1.1) AS rising_areas,
+  (SELECT theme FROM forecast GROUP BY theme
+   ORDER BY {r("sum(estimated_prob)", 4)} DESC, theme LIMIT 1) AS top_theme"""
+)
+def forecast_kpis(spark, folder):
+    df = themed(spark, folder, "area", "cause", "year", "quarter")
+    out = forecast.subcause_forecast(_probs(df), df, "area", "theme", "cause", _trend(df))
+    return forecast.forecast_kpis(out, "area", "theme")
+
+
 _CODED = ["area", "priority", "severity"]
 
 
@@ -267,8 +294,11 @@ def _years(spark, folder):
 
 @check()
 def forest_forecast(spark, folder):
-    """The whole forecast run: sub-cause probabilities for the coming quarters."""
-    return forecast.run_forecast(*_years(spark, folder), _plan()).forecast
+    """The whole forecast run, its results written and read back."""
+    result = forecast.run_forecast(*_years(spark, folder), _plan())
+    base = shared_folder(spark, "forecast")
+    forecast.write_forecast(result, base, "r1")
+    return read_output(spark, base, "forecast", "r1").drop("run_id")
 
 
 @check()
@@ -292,19 +322,47 @@ def forecast_input(spark, folder):
     return df.select("row_key", "quarter", "area", "year", "factor", "traffic")
 
 
-@check()
+@check(
+    f"""WITH {_SHARES},
+counted AS (
+  SELECT area, theme, cause, count(*) AS n FROM themed
+  WHERE theme IS NOT NULL AND cause IS NOT NULL GROUP BY area, theme, cause
+),
+top AS (
+  SELECT *, row_number() OVER (PARTITION BY area, theme ORDER BY n DESC, cause) AS rank
+  FROM counted QUALIFY rank <= 3
+),
+detail AS (
+  SELECT area, theme, string_agg(cause || ' (' || n || ')', ' • ' ORDER BY rank) AS causes
+  FROM top GROUP BY area, theme
+),
+{values("products", "theme, band, product", [(*k, v) for k, v in AREA_PRODUCTS.items()])}
+SELECT r.area, risk_score, priority_level, recommended_campaign, supporting_campaigns, confidence,
+       coalesce(product, 'basic') AS insurance_recommendation,
+       coalesce(causes, '-') AS recommended_campaign_detail
+FROM recommended r LEFT JOIN detail d ON r.area = d.area AND recommended_campaign = d.theme
+LEFT JOIN products p ON recommended_campaign = p.theme AND priority_level = band"""
+)
 def pipeline_end_to_end(spark, folder):
-    """The incident run from a dirty table to the sorted area table."""
+    """The incident run from a dirty table to the area table, written and read back."""
     raw = incident(
         spark, folder, "row_key", "area", "cause", "severity", "age", "month", "employee"
     ).select(
-        F.col("area").alias(" area "), F.col("cause").alias("cause  text"), "severity",
+        F.concat(F.lit(" "), "area").alias(" area "), F.col("cause").alias("cause  text"),
+        F.coalesce("severity", F.lit("nan")).alias("severity"),
         F.col("age").cast("string").alias("age"), F.lower("month").alias("month"),
         F.col("employee").alias("employee id"), F.lit(None).cast("string").alias("empty"),
     )
     plan = pipeline.IncidentPlan(
         area="area", cause="cause text", severity="severity", severe=SEVERE, themes=THEMES,
-        rules=RULES, optional=["age", "month", "employee id"], numbers=["age"], age="age",
-        month="month", personal=["employee id"], employee="employee id",
+        rules=RULES, synonyms=SYNONYMS, stages=("exact", "token"),
+        optional=["age", "month", "employee id"], numbers=["age"], age="age", month="month",
+        personal=["employee id"], employee="employee id", area_products=AREA_PRODUCTS,
+    )
+    result = pipeline.run_pipeline(raw, plan)
+    base = shared_folder(spark, "pipeline")
+    pipeline.write_run(result, plan, base, "r1")
+    return read_output(spark, base, "area_summary", "r1").select(
+        "area", "risk_score", "priority_level", "recommended_campaign", "supporting_campaigns",
+        "confidence", "insurance_recommendation", "recommended_campaign_detail",
     )
-    return pipeline.run_pipeline(raw, plan).area_summary.drop("reason", "insight")

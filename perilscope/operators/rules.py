@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilscope.columns import ColumnLike, col_of, cols_of, constant
+from perilscope.columns import ColumnLike, bind, col_of, cols_of, constant
 from perilscope.functions.numbers import percent
 from perilscope.functions.similarity import (
     MASK_FIELDS,
@@ -147,14 +147,15 @@ def label_of(
 ) -> Column:
     """The cascade as one expression; a later stage runs only where the earlier ones fail."""
     pairs = rule_list(rules)
-    bare = replace_synonym(text, synonyms)
     stage = {
-        "exact": lambda: exact_label(bare, pairs),
-        "token": lambda: token_label(bare, pairs, min_token_len),
-        "fuzzy": lambda: fuzzy_label(bare, pairs, min_score),
-        "token_fuzzy": lambda: token_fuzzy_label(bare, pairs, min_score),
+        "exact": lambda t: exact_label(t, pairs),
+        "token": lambda t: token_label(t, pairs, min_token_len),
+        "fuzzy": lambda t: fuzzy_label(t, pairs, min_score),
+        "token_fuzzy": lambda t: token_fuzzy_label(t, pairs, min_score),
     }
-    return F.coalesce(*[stage[s]() for s in stages])
+    return bind(
+        replace_synonym(text, synonyms), lambda t: F.coalesce(*[stage[s](t) for s in stages])
+    )
 
 
 def classify(

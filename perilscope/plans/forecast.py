@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from perilscope.columns import col_of, cols_of
 from perilscope.functions.dates import quarter_label, quarter_of_month
 from perilscope.functions.numbers import argmax_label, round_even
-from perilscope.operators import model, rules, schema
+from perilscope.operators import model, report, rules, schema
 from perilscope.operators.cleaning import blank_to_null, fill_unknown, union_years
 from perilscope.operators.crosstab import to_wide
 from perilscope.operators.ranking import cause_share
 from perilscope.operators.trend import expand_values, modal_profile, yoy_trend
 from perilscope.session import materialise, spread_over_cores
+from perilscope.sources.outputs import write_outputs
 
 
 def future_profile(
@@ -171,3 +172,25 @@ def run_forecast(first: DataFrame, second: DataFrame, plan: ForecastPlan) -> For
         importances=model.importances(fitted, df),
         report=model.classification_report(judged, label, "pred"),
     )
+
+
+def write_forecast(
+    result: ForecastResult, base: str, run_id: str, fmt: str = "parquet"
+) -> dict[str, str]:
+    """Write what a report reads back: both forecasts, the importances and the accuracy."""
+    frames = {
+        "forecast": result.forecast,
+        "theme_forecast": result.themes,
+        "importances": result.importances,
+        "accuracy": result.accuracy,
+    }
+    return write_outputs(frames, base, run_id, fmt, skip_empty=("forecast", "theme_forecast"))
+
+
+def forecast_kpis(forecast: DataFrame, area: str, theme: str, rising: float = 1.1) -> DataFrame:
+    """One row: the theme with the largest summed probability, and the number of areas
+    with a trend above ``rising``."""
+    totals = forecast.groupBy(col_of(theme).alias("t")).agg(F.sum("estimated_prob").alias("p"))
+    top = totals.agg(F.min_by("t", F.struct(-F.col("p"), F.col("t"))).alias("top_theme"))
+    areas = report.distinct_if(forecast, area, F.col("trend") > rising, "rising_areas")
+    return areas.withColumn("top_theme", top.scalar())
