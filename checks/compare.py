@@ -70,7 +70,7 @@ def main(folder: str, names: list[str]) -> int:
             result = QUERIES[name](spark, folder).toArrow()
             took = time.time() - start
             if name in ORACLES:
-                found = difference(result, con.execute(ORACLES[name]).to_arrow_table())
+                found = difference(result, con.sql(ORACLES[name]).to_arrow_table())
             else:
                 found = None
         except Exception as error:  # noqa: BLE001

@@ -92,7 +92,10 @@ def incident(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
         df = df.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     flag = F.col("l_returnflag")
     shown = {
-        "row_key": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+        "row_key": F.concat_ws(
+            "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+            F.round(F.col("l_extendedprice") * 100).cast("bigint"),
+        ),
         "area": F.col("n_name"),
         "cause": F.when(
             F.col("l_linenumber") != 7,
@@ -121,7 +124,8 @@ def incident(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 INCIDENT = """incident AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_key,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                   round(l_extendedprice * 100)::BIGINT) AS row_key,
          n_name AS area,
          CASE WHEN l_linenumber <> 7
               THEN concat(p_name, ' (', p_brand, ')/', lower(p_type)) END AS cause,

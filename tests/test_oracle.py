@@ -30,4 +30,4 @@ def test_query(spark, sql, name):
         assert node not in plan
     found = df.toArrow()
     if name in ORACLES:
-        assert difference(found, sql.execute(ORACLES[name]).to_arrow_table()) is None
+        assert difference(found, sql.sql(ORACLES[name]).to_arrow_table()) is None
