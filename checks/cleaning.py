@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import INCIDENT, incident, table
 from checks.registry import check
 from perilscope.operators import cleaning, schema
-from perilscope.session import materialise
+from perilscope.session import shared_dir
 from perilscope.sources.outputs import read_output, write_outputs
 from perilscope.sources.tables import promote_header, read_sheet, read_table
 
@@ -194,10 +194,7 @@ def drop_missing(spark, folder):
 
 def shared_folder(spark, name: str) -> str:
     """A folder that every task can reach: next to the session's checkpoints."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        materialise(spark.range(1))
-    return f"{sc.getCheckpointDir()}/outputs/{name}"
+    return f"{shared_dir(spark)}/outputs/{name}"
 
 
 @check(

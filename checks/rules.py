@@ -327,7 +327,8 @@ report AS (
 
 @check(f"WITH RECURSIVE {_KEYWORD_REPORT} SELECT * FROM report")
 def keyword_fuzzy(spark, folder):
-    return rules.keyword_report(incident(spark, folder, "cause"), "cause", KEYWORDS)
+    report = rules.keyword_report(incident(spark, folder, "cause"), "cause", KEYWORDS)
+    return report.drop("n")
 
 
 @check(

@@ -38,21 +38,23 @@ def spread_left_join(
     salts: int | None = None,
     hot_rows: int = 1_000_000,
     max_hot: int = 1000,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left equi join that stays even when one key holds a large part of ``left``.
 
     The ``max_hot`` most frequent keys among those with at least ``hot_rows`` rows, found by
     one pre-aggregated pass over the key columns, are split over ``salts`` (as many as there
     are shuffle partitions if not given), and their right rows repeated once per salt. Any other key holds less than ``1 / max_hot`` of the rows.
-    Rows with a null key match nothing and are spread the same way.
+    Rows with a null key match nothing and are spread the same way. ``counts`` saves the
+    pass where the rows per key are known: a frame of the keys and ``n``.
     """
     salts = salts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key_hash = F.xxhash64(*cols_of(keys))
+    if counts is None:
+        counts = left.groupBy(*cols_of(keys)).agg(F.count("*").alias("n"))
     hot = [
         r["h"]
-        for r in left.groupBy(*cols_of(keys))
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= hot_rows)
+        for r in counts.where(F.col("n") >= hot_rows)
         .orderBy(F.desc("n"))
         .limit(max_hot)
         .select(key_hash.alias("h"))
@@ -71,12 +73,16 @@ def spread_left_join(
 
 
 def join_checked(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], limit: int = BROADCAST_BYTES
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    counts: DataFrame | None = None,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Left join that broadcasts ``right`` if its size is within ``limit``, else spreads keys."""
     if fits_broadcast(right, limit):
         return left.join(F.broadcast(right), list(keys), "left")
-    return spread_left_join(left, right, keys)
+    return spread_left_join(left, right, keys, counts=counts)
 
 
 def lookup_value(keys: Sequence[Column], table: Mapping, default: object = None) -> Column:

@@ -72,8 +72,10 @@ def split_flag(
     """Add ``is_test``: the first ``floor(test * n)`` rows of each label by a hash of the key.
 
     The hash order gives each label one threshold. A first pass counts labels and hash
-    buckets, a second one ranks only the rows of the bucket that the threshold falls into.
+    buckets, a second one ranks only the keys of the bucket that the threshold falls into.
     So no label, however large, is sorted as a whole, and the flag itself is a comparison.
+    Rows with equal keys stay on one side; a group of them that would exceed the share is
+    left to the training side.
     """
     digest = F.md5(F.concat_ws("|", *cols_of(key), F.lit(str(seed))))
     place = F.concat_ws("|", digest, *cols_of(key))
@@ -88,11 +90,14 @@ def split_flag(
         .select("_l", "_b", (F.col("quota") - (F.col("upto") - F.col("n"))).alias("need"))
     )
     cut = _one_per_class(cut, label)
+    counts = rows.join(F.broadcast(cut), ["_l", "_b"]).groupBy("_l", "_b", "need", "_h").agg(
+        F.count("*").alias("n")
+    )
+    inside = F.sum("n").over(by_label.orderBy("_h")) <= F.col("need")
     threshold = (
-        rows.join(F.broadcast(cut), ["_l", "_b"])
-        .withColumn("rank", F.row_number().over(by_label.orderBy("_h")))
-        .where(F.col("rank") == F.col("need"))
-        .select(F.col("_l"), F.col("_h").alias("_limit"))
+        counts.withColumn("_in", F.when(inside, F.col("_h")))
+        .groupBy("_l")
+        .agg(F.coalesce(F.max("_in"), F.max("_b")).alias("_limit"))
     )
     threshold = _one_per_class(threshold, label)
     flagged = df.join(F.broadcast(threshold), col_of(label) == F.col("_l"), "left")

@@ -176,21 +176,25 @@ def classify(
 
 
 def distinct_texts(df: DataFrame, column: str) -> DataFrame:
-    """The distinct texts, spread over all shuffle partitions.
+    """The distinct texts with their number of rows ``n``, spread over all shuffle partitions.
 
     Matching a text costs far more than reading it, so the partitions must not be merged
-    by their size in bytes, as adaptive execution would do after ``distinct`` alone.
+    by their size in bytes, as adaptive execution would do after the counting alone.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = df.select(col_of(column)).where(col_of(column).isNotNull()).distinct()
+    known = df.select(col_of(column)).where(col_of(column).isNotNull())
+    texts = known.groupBy(col_of(column)).agg(F.count("*").alias("n"))
     return texts.repartition(partitions, col_of(column))
 
 
 def attach_by_text(df: DataFrame, column: str, labelled: DataFrame, label: str) -> DataFrame:
-    """Join labels back by text: broadcast if they are small, else with hot texts split."""
+    """Join labels back by text: broadcast if they are small, else with hot texts split.
+
+    ``labelled`` has the text, its label and its number of rows ``n``.
+    """
     labels = labelled.select(*cols_of([column, label]))
     others = [c for c in df.columns if c != label]
-    joined = join_checked(df.select(*cols_of(others)), labels, [column])
+    joined = join_checked(df.select(*cols_of(others)), labels, [column], labelled)
     return joined.select(*cols_of([*others, label]))
 
 
@@ -335,11 +339,11 @@ def keyword_report(
     other: str = "other",
     fuzzy: bool = True,
 ) -> DataFrame:
-    """One row per distinct text: its theme and the reason for it."""
+    """One row per distinct text: its number of rows ``n``, its theme and the reason for it."""
     text = F.col("cause")
     out = (
         distinct_texts(df, column)
-        .select(col_of(column).alias("cause"))
+        .select(col_of(column).alias("cause"), "n")
         .withColumn("hit", F.when(_usable(text), _keyword_hit(text, themes)))
     )
     open_text = _usable(text) & F.col("hit").isNull()
@@ -372,6 +376,7 @@ def keyword_report(
     )
     return out.select(
         "cause",
+        "n",
         F.coalesce(theme, F.lit(other)).alias("theme"),
         reason.otherwise(listed).alias("reason"),
     )
@@ -391,6 +396,6 @@ def keyword_theme(
     Returns the labelled rows and the ``keyword_report``.
     """
     report = materialise(keyword_report(df, column, themes, min_score, other, fuzzy))
-    labels = report.select(F.col("cause").alias(column), F.col("theme").alias(label))
+    labels = report.select(F.col("cause").alias(column), "n", F.col("theme").alias(label))
     out = attach_by_text(df, column, labels, label)
     return out.withColumn(label, F.coalesce(col_of(label), F.lit(other))), report

@@ -29,21 +29,28 @@ def session(app: str = "perilscope", master: str | None = None, **extra: str) ->
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str | None:
+    """The folder all executors reach, as ``spark.checkpoint.dir`` names it.
+
+    A local session without that setting gets a temporary folder, a cluster none.
+    """
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and sc.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="perilscope-")
+    if folder is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, for frames that several later jobs read.
 
-    Writes to the checkpoint folder that the cluster names in ``spark.checkpoint.dir``, so
-    that a lost executor costs nothing. A local session without that setting gets a
-    temporary folder; a cluster without it keeps the lineage and caches with spill to disk.
+    A checkpoint in the shared folder, so that a lost executor costs nothing. Where a
+    cluster names no such folder, the lineage stays and the frame is cached with spill.
     """
-    sc = df.sparkSession.sparkContext
-    folder = sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder is None and sc.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="perilscope-checkpoint-")
-    if folder is None:
+    if shared_dir(df.sparkSession) is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -87,6 +87,19 @@ def test_split_is_stratified_disjoint_and_stable(frame):
     assert {r["k"] for r in other.collect()} != first
 
 
+def test_split_keeps_copies_together(frame):
+    keys = ["copy"] * 40 + [str(i) for i in range(60)]
+    df = frame(k=keys, y=["a"] * 100)
+    for seed in range(6):
+        flags = model.split_flag(df, "y", ["k"], seed=seed).groupBy("k").agg(
+            F.min("is_test").alias("lo"), F.max("is_test").alias("hi"), F.count("*").alias("n")
+        ).collect()
+        assert all(r["lo"] == r["hi"] for r in flags)
+        assert sum(r["n"] for r in flags if r["hi"]) <= 20
+    unique = model.split_flag(df.where("k <> 'copy'"), "y", ["k"])
+    assert unique.where("is_test").count() == 12
+
+
 def test_classification_report(frame):
     df = frame(y=["a", "a", "a", "b", "b", "c"], p=["a", "a", "b", "b", "a", "b"])
     rows = {r["class"]: r for r in model.classification_report(df, "y", "p").collect()}
