@@ -82,7 +82,13 @@ def incident(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
         homes = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
         df = df.join(homes.select("s_suppkey", "n_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     if {"cause", "age"} & set(columns):
-        part = table(spark, folder, "part")
+        # the text is built per part, not per incident
+        part = table(spark, folder, "part").select(
+            "p_partkey", "p_size",
+            F.concat(
+                F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(")/"), F.lower("p_type")
+            ).alias("p_text"),
+        )
         df = df.join(part, F.col("l_partkey") == F.col("p_partkey"))
     if {"employee", "priority", "segment"} & set(columns):
         orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -97,12 +103,7 @@ def incident(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
             F.round(F.col("l_extendedprice") * 100).cast("bigint"),
         ),
         "area": F.col("n_name"),
-        "cause": F.when(
-            F.col("l_linenumber") != 7,
-            F.concat(
-                F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(")/"), F.lower("p_type")
-            ),
-        ),
+        "cause": F.when(F.col("l_linenumber") != 7, F.col("p_text")),
         "severity": F.when(
             ~((F.col("l_linenumber") == 6) & (F.col("l_quantity") > 45)),
             F.when(flag == "R", "long").when(flag == "A", "short").otherwise("none"),

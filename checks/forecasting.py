@@ -301,6 +301,53 @@ def forest_forecast(spark, folder):
     return read_output(spark, base, "forecast", "r1").drop("run_id")
 
 
+_PLAN_RULES = [(p, t) for t, ps in _plan().themes.items() for p in ps]
+_SUBCAUSES = f"""{INCIDENT},
+{values("rules", "pattern, label, ord", [(*x, i) for i, x in enumerate(_PLAN_RULES)])},
+labels AS (
+  SELECT cause, arg_min(label, ord) AS label
+  FROM (SELECT DISTINCT cause FROM incident) JOIN rules ON contains(cause, pattern) GROUP BY cause
+),
+themed AS (
+  SELECT i.*, coalesce(label, 'Handling') AS theme
+  FROM incident i LEFT JOIN labels x ON i.cause = x.cause WHERE year IN (1999, 2000)
+),
+cells AS (
+  SELECT area, theme, count(*) FILTER (WHERE year = 1999 AND quarter IN (1, 2)) AS n1,
+         count(*) FILTER (WHERE year = 2000 AND quarter IN (1, 2)) AS n2,
+         sum(count(*) FILTER (WHERE year = 1999)) OVER (PARTITION BY area) AS all1,
+         sum(count(*) FILTER (WHERE year = 2000)) OVER (PARTITION BY area) AS all2
+  FROM themed GROUP BY area, theme
+),
+trends AS (
+  SELECT area, theme, CASE WHEN all1 = 0 OR all2 = 0 THEN 1.0::DOUBLE
+    WHEN n1 > 0 THEN least(greatest((n2 / all2::DOUBLE) / (n1 / all1::DOUBLE), 0.8::DOUBLE), 1.5::DOUBLE)
+    WHEN n2 > 0 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS trend
+  FROM cells
+),
+counted AS (
+  SELECT area, theme, cause, count(*) AS n FROM themed WHERE cause IS NOT NULL
+  GROUP BY area, theme, cause
+),
+top AS (
+  SELECT area, theme, cause FROM counted
+  QUALIFY row_number() OVER (PARTITION BY area, theme ORDER BY n DESC, cause) <= 3
+)"""
+
+
+@check(
+    f"""WITH {_SUBCAUSES}
+SELECT q AS quarter, area, theme AS campaign_theme, {r("trend", 2)} AS trend, cause AS sub_cause,
+       true AS is_share
+FROM top JOIN trends USING (area, theme), (VALUES ('Q3'), ('Q4')) AS v(q)"""
+)
+def forest_forecast_rows(spark, folder):
+    """Of the whole forecast run, all that does not depend on the forest itself."""
+    out = forecast.run_forecast(*_years(spark, folder), _plan(3, 3)).forecast
+    share = F.col("base_prob").between(0, 100) & (F.col("estimated_prob") <= F.col("base_prob") * 1.5)
+    return out.select("quarter", "area", "campaign_theme", "trend", "sub_cause", share.alias("is_share"))
+
+
 @check()
 def forest_importance(spark, folder):
     plan = _plan()

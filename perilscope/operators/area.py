@@ -47,6 +47,7 @@ def area_shares(
     severity: str,
     severe: Sequence[str],
     themes: Mapping[str, str],
+    score_digits: int | None = 2,
 ) -> DataFrame:
     """Per area: severe share, theme shares and theme scores (share times overall impact).
 
@@ -95,13 +96,14 @@ def area_shares(
         percent("_severe_rows", "_severity_rows").alias("severity_pct"),
         *[percent(f"_{p}_rows", "_theme_rows").alias(f"{p}_pct") for p in themes.values()],
     )
+
+    def score(prefix: str) -> Column:
+        exact = F.col(f"{prefix}_pct") * F.col("_impact")[prefix]
+        return exact if score_digits is None else round_even(exact, score_digits)
+
     # the overall impacts are one row of the same counts, read as a scalar
     return shares.withColumn("_impact", impact.scalar()).select(
-        *cols_of(shares.columns),
-        *[
-            round_even(F.col(f"{p}_pct") * F.col("_impact")[p], 2).alias(f"{p}_score")
-            for p in themes.values()
-        ],
+        *cols_of(shares.columns), *[score(p).alias(f"{p}_score") for p in themes.values()]
     )
 
 
@@ -118,14 +120,16 @@ def area_summary(
     products: Mapping[tuple[str, str], str] | None = None,
     default_product: str = "basic",
     texts: tuple[str, str, str] = (REASON_SAME, REASON_OTHER, INSIGHT),
+    score_digits: int | None = 2,
 ) -> DataFrame:
     """One row per area: shares, scores, risk score and band, themes, texts, product.
 
     ``themes`` maps each theme to the prefix of its columns; their order breaks ties.
     ``weights`` names columns of the summary. An area without any theme keeps its row, with
-    null scores and no recommendation.
+    null scores and no recommendation. Texts may name ``{area} {band} {score} {dominant}
+    {recommended} {supporting} {confidence}``.
     """
-    shares = area_shares(df, area, theme, severity, severe, themes)
+    shares = area_shares(df, area, theme, severity, severe, themes, score_digits)
     score = {t: f"{p}_score" for t, p in themes.items()}
     scored = shares.withColumns(
         {
@@ -145,6 +149,7 @@ def area_summary(
         confidence(score).alias("confidence"),
     )
     fields = {
+        "area": area,
         "band": "priority_level",
         "score": one_decimal("risk_score"),
         "dominant": "dominant_theme",

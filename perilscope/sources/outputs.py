@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def run_name(tag: str = "", at: datetime | None = None) -> str:
+    """A run id from a tag and the time."""
+    stamp = (at or datetime.now()).strftime("%Y%m%d_%H%M%S")
+    return f"{tag}_{stamp}" if tag else stamp
+
+
 def run_path(base: str, name: str, run_id: str) -> str:
     return f"{base.rstrip('/')}/{name}/run_id={run_id}"
 

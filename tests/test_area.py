@@ -49,12 +49,12 @@ def test_area_without_theme_keeps_its_row(rows):
 
 
 def test_products_texts_and_detail(rows):
-    out = summary(rows, products={("A", "Medium"): "p1"}, texts=("{band}={score}", "other", "{confidence}"))
+    out = summary(rows, products={("A", "Medium"): "p1"}, texts=("{area}:{band}={score}", "other", "{confidence}"))
     out = area.attach_detail(out, rows, "area", "theme", "cause")
     found = {r["area"]: r for r in out.collect()}
     assert found["1"]["insurance_recommendation"] == "p1"
     assert found["2"]["insurance_recommendation"] == "basic"
-    assert found["1"]["reason"] == "Medium=22.5" and found["1"]["insight"] == "100.0"
+    assert found["1"]["reason"] == "1:Medium=22.5" and found["1"]["insight"] == "100.0"
     assert found["1"]["recommended_campaign_detail"] == "x (2)"
     assert found["2"]["recommended_campaign_detail"] == "w (1) • z (1)"
     assert found["3"]["recommended_campaign_detail"] == "-"
@@ -62,6 +62,11 @@ def test_products_texts_and_detail(rows):
     assert order == ["2", "1", "3"]
 
 
+def test_scores_without_rounding(rows):
+    exact = {r["area"]: r["a_score"] for r in summary(rows, score_digits=None).collect()}
+    assert exact["1"] == 66.7 * (2 / 3 * 100.0)
+
+
 def test_partitioning_does_not_change_the_summary(rows):
     wide, narrow = (sorted(summary(rows.repartition(n)).collect()) for n in (1, 7))
     assert wide == narrow

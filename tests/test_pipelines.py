@@ -1,3 +1,4 @@
+import datetime
 import os
 
 import pyarrow as pa
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from perilscope import presets
 from perilscope.plans import forecast, incident
-from perilscope.sources.outputs import read_output, write_outputs
+from perilscope.sources.outputs import read_output, run_name, write_outputs
 from perilscope.sources.tables import promote_header, read_sheet, read_table
 
 
@@ -126,6 +127,11 @@ def test_forecast_run(spark, frame, tmp_path):
     assert figures["top_theme"] in presets.THEMES
 
 
+def test_run_name():
+    at = datetime.datetime(2025, 1, 2, 3, 4, 5)
+    assert run_name("sheet1", at) == "sheet1_20250102_030405" and run_name(at=at) == "20250102_030405"
+
+
 def test_empty_frames_are_not_written(spark, frame, tmp_path):
     df = frame(a=[1, 2])
     paths = write_outputs(
