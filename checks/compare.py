@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -56,12 +57,16 @@ def difference(spark_arrow, sql_arrow) -> str | None:
 
 def main(folder: str, names: list[str]) -> int:
     from checks import ORACLES, QUERIES
+    from perilscope.operators import joins
     from perilscope.session import session
 
     spark = session("compare", "local[8]", spark__sql__shuffle__partitions="8",
                     spark__ui__enabled="false",
                     spark__ui__showConsoleProgress="false", spark__driver__memory="16g")
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("NO_BROADCAST"):  # as with tables too large for one
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        joins.BROADCAST_BYTES = -1
     con = database(folder)
     bad = 0
     for name in names or sorted(QUERIES):

@@ -17,8 +17,12 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 CASE_LIMIT = 40
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the values of ``df`` take at most ``limit`` bytes, by one aggregate over it."""
+def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether the values of ``df`` take at most ``limit`` bytes, by one aggregate over it.
+
+    ``BROADCAST_BYTES`` is the limit if none is given.
+    """
+    limit = BROADCAST_BYTES if limit is None else limit
     per_row = reduce(
         lambda a, b: a + b,
         [
@@ -77,7 +81,7 @@ def join_checked(
     right: DataFrame,
     keys: Sequence[str],
     counts: DataFrame | None = None,
-    limit: int = BROADCAST_BYTES,
+    limit: int | None = None,
 ) -> DataFrame:
     """Left join that broadcasts ``right`` if its size is within ``limit``, else spreads keys."""
     if fits_broadcast(right, limit):
@@ -112,14 +116,15 @@ def lookup(
 ) -> DataFrame:
     """Add the table's ``value`` for the key columns, ``default`` where there is none.
 
-    A small dictionary becomes an expression, a larger one a broadcast. A frame with unique
-    keys is joined as Spark sees fit.
+    A small dictionary becomes an expression, a larger one a broadcast. A frame, whose keys
+    must be unique, is broadcast if its size allows it, else joined with hot keys split.
     """
     if isinstance(table, Mapping) and len(table) <= CASE_LIMIT:
         return df.withColumn(value, lookup_value(cols_of(keys), table, default))
     if isinstance(table, Mapping):
-        table = F.broadcast(lookup_frame(df, keys, table, value))
-    joined = df.join(table.select(*cols_of([*keys, value])), list(keys), "left")
+        joined = df.join(F.broadcast(lookup_frame(df, keys, table, value)), list(keys), "left")
+    else:
+        joined = join_checked(df, table.select(*cols_of([*keys, value])), keys)
     return joined.select(
         *cols_of(df.columns), F.coalesce(col_of(value), F.lit(default)).alias(value)
     )

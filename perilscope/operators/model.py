@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perilscope.columns import bounded_values, col_of, cols_of
+from perilscope.columns import bounded_values, col_of, cols_of, constant
 from perilscope.functions.numbers import round_even, safe_ratio
 
 CATEGORY_LIMIT = 1000
@@ -54,7 +54,7 @@ class OrdinalEncoding:
         return cls({n: sorted(values) for n, values in found.items()})
 
     def code(self, name: str) -> Column:
-        known = F.array(*[F.lit(v) for v in self.categories[name]])
+        known = constant(self.categories[name], "array<string>")
         return (F.array_position(known, category_text(name)) - 1).cast("double")
 
     def transform(self, df: DataFrame, suffix: str = "_code") -> DataFrame:
@@ -159,10 +159,13 @@ def fit_forest(
 ) -> Forest:
     """Random forest on ordinal codes, which the trees treat as numbers."""
     encoding = encoding or OrdinalEncoding.fit(df, features)
-    classes = bounded_values(df, label, CATEGORY_LIMIT)
-    known = F.array(*[F.lit(c) for c in classes])
+    classes = [str(c) for c in bounded_values(df, label, CATEGORY_LIMIT)]
+    known = constant(classes, "array<string>")
     train = _assembled(df, encoding, features).select(
-        "_features", (F.array_position(known, col_of(label)) - 1).cast("double").alias("_label")
+        "_features",
+        (F.array_position(known, col_of(label).cast("string")) - 1)
+        .cast("double")
+        .alias("_label"),
     )
     # the trainer passes over its input many times
     train = train.where(F.col("_label") >= 0).persist(StorageLevel.MEMORY_AND_DISK)
@@ -191,14 +194,14 @@ def importances(forest: Forest, df: DataFrame) -> DataFrame:
 
 def predict_long(forest: Forest, df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, theme, prob): one row per class."""
-    names = F.array(*[F.lit(c) for c in forest.classes])
+    names = constant(forest.classes, "array<string>")
     scored = forest.score(df).select(*cols_of(keys), F.posexplode("probs").alias("place", "prob"))
     return scored.select(*cols_of(keys), F.get(names, F.col("place")).alias("theme"), "prob")
 
 
 def predict_class(forest: Forest, df: DataFrame, alias: str = "pred") -> DataFrame:
     """Add the most probable class, the first one of equal ones."""
-    names = F.array(*[F.lit(c) for c in forest.classes])
+    names = constant(forest.classes, "array<string>")
     best = (F.array_position("probs", F.array_max("probs")) - 1).cast("int")
     return forest.score(df).withColumn(alias, F.get(names, best)).drop("probs")
 
