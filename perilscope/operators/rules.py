@@ -167,7 +167,10 @@ def classify(
     min_score: float = 97,
     label: str = "theme",
 ) -> tuple[DataFrame, DataFrame]:
-    """Add ``label`` by the cascade; also returns the distinct texts without one, sorted."""
+    """Add ``label`` by the cascade; also returns the distinct texts without one, sorted.
+
+    The distinct texts are labelled at once, in jobs of their own; the result is lazy.
+    """
     labelled = distinct_texts(df, column).withColumn(
         label, label_of(column, rules, synonyms, stages, min_score)
     )

@@ -46,6 +46,7 @@ class IncidentPlan:
     age_bins: tuple[Sequence[float], Sequence[str]] = ((0, 20, 25, 30, 100),
                                                        ("<20", "20-25", "26-30", ">30"))
     weights: Mapping[str, float] = field(default_factory=lambda: dict(areas.WEIGHTS))
+    bands: tuple[Sequence[float], Sequence[str]] = (areas.BAND_EDGES, areas.BAND_LABELS)
     area_products: Mapping[tuple[str, str], str] = field(default_factory=dict)
     default_area_product: str = "basic"
     row_products: Mapping[tuple[str, str], str] = field(default_factory=dict)
@@ -127,7 +128,7 @@ def run_pipeline(
     )
     summary = areas.area_summary(
         df, plan.area, "campaign_theme", plan.severity, plan.severe, plan.themes, plan.weights,
-        products=plan.area_products, default_product=plan.default_area_product,
+        *plan.bands, products=plan.area_products, default_product=plan.default_area_product,
         texts=plan.texts,
     )
     summary = areas.sort_by_risk(
