@@ -17,6 +17,7 @@ from perilscope.columns import bounded_values, col_of, cols_of, constant
 from perilscope.functions.numbers import round_even, safe_ratio
 
 CATEGORY_LIMIT = 1000
+PREFIX_DIGITS = (3, 6)
 
 
 def category_text(name: str) -> Column:
@@ -71,28 +72,38 @@ def split_flag(
 ) -> DataFrame:
     """Add ``is_test``: the first ``floor(test * n)`` rows of each label by a hash of the key.
 
-    The hash order gives each label one threshold. A first pass counts labels and hash
-    buckets, a second one ranks only the keys of the bucket that the threshold falls into.
-    So no label, however large, is sorted as a whole, and the flag itself is a comparison.
-    Rows with equal keys stay on one side; a group of them that would exceed the share is
-    left to the training side.
+    The hash order gives each label one threshold. Counting by hash prefix tells the prefix
+    that holds it, twice with a longer prefix; only the keys with the last one are ranked,
+    about one in 16 million. So no label, however large, is sorted as a whole, and the flag
+    itself is a comparison. Rows with equal keys stay on one side; a group of them that
+    would exceed the share is left to the training side.
     """
     digest = F.md5(F.concat_ws("|", *cols_of(key), F.lit(str(seed))))
     place = F.concat_ws("|", digest, *cols_of(key))
     rows = df.select(col_of(label).alias("_l"), place.alias("_h")).where(F.col("_l").isNotNull())
-    rows = rows.withColumn("_b", F.substring("_h", 1, 4))
     by_label = Window.partitionBy("_l")
-    sizes = rows.groupBy("_l", "_b").agg(F.count("*").alias("n"))
-    cut = (
-        sizes.withColumn("upto", F.sum("n").over(by_label.orderBy("_b")))
-        .withColumn("quota", F.floor(F.sum("n").over(by_label) * F.lit(test)))
-        .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-        .select("_l", "_b", (F.col("quota") - (F.col("upto") - F.col("n"))).alias("need"))
-    )
-    cut = _one_per_class(cut, label)
-    counts = rows.join(F.broadcast(cut), ["_l", "_b"]).groupBy("_l", "_b", "need", "_h").agg(
-        F.count("*").alias("n")
+
+    def within(cut: DataFrame, digits: int) -> DataFrame:
+        prefixed = rows.withColumn("_b", F.substring("_h", 1, digits))
+        return prefixed.join(F.broadcast(cut), ["_l", "_b"])
+
+    def crossing(sizes: DataFrame) -> DataFrame:
+        """The prefix in which the count reaches ``need``, and what is needed of it."""
+        before = F.col("upto") - F.col("n")
+        found = sizes.withColumn("upto", F.sum("n").over(by_label.orderBy("_b"))).where(
+            (F.col("upto") >= F.col("need")) & (before < F.col("need"))
+        )
+        return _one_per_class(found.select("_l", "_b", (F.col("need") - before).alias("need")), label)
+
+    rows_per = F.count("*").alias("n")
+    first, second = PREFIX_DIGITS
+    sizes = rows.groupBy("_l", F.substring("_h", 1, first).alias("_b")).agg(rows_per)
+    cut = crossing(
+        sizes.withColumn("need", F.floor(F.sum("n").over(by_label) * F.lit(test)))
     )
+    longer = F.substring("_h", 1, second).alias("_b")
+    cut = crossing(within(cut, first).groupBy("_l", "need", longer).agg(rows_per))
+    counts = within(cut, second).groupBy("_l", "_b", "need", "_h").agg(rows_per)
     inside = F.sum("n").over(by_label.orderBy("_h")) <= F.col("need")
     threshold = (
         counts.withColumn("_in", F.when(inside, F.col("_h")))
