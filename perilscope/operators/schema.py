@@ -21,11 +21,19 @@ def drop_unnamed(df: DataFrame, prefix: str = "Unnamed") -> DataFrame:
     return df.select(*cols_of(c for c in df.columns if not c.startswith(prefix)))
 
 
-def drop_empty_columns(df: DataFrame) -> DataFrame:
-    """Drop columns without any value, after one aggregate over all of them."""
-    places = {f"n{i}": name for i, name in enumerate(df.columns)}
-    counts = df.agg(*[F.count(col_of(name)).alias(key) for key, name in places.items()]).first()
-    return df.select(*cols_of(name for key, name in places.items() if counts[key] > 0))
+def drop_empty_columns(df: DataFrame, first: int = 1000) -> DataFrame:
+    """Drop columns without any value.
+
+    Most columns have one in the ``first`` rows; the whole table is read only for those that
+    have none there, and only these columns of it.
+    """
+    head = df.take(first)
+    filled = {c for i, c in enumerate(df.columns) if any(row[i] is not None for row in head)}
+    rest = {f"n{i}": c for i, c in enumerate(df.columns) if c not in filled}
+    if rest:
+        counts = df.agg(*[F.count(col_of(c)).alias(key) for key, c in rest.items()]).first()
+        filled |= {c for key, c in rest.items() if counts[key] > 0}
+    return df.select(*cols_of(c for c in df.columns if c in filled))
 
 
 def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:

@@ -14,6 +14,12 @@ def test_drops(frame):
     assert schema.drop_empty_columns(df).columns == ["Unnamed: 0", "a"]
 
 
+def test_a_late_value_keeps_its_column(frame):
+    df = frame(a=[1] * 9, b=[None] * 8 + ["x"], c=[None] * 9, types={"c": pa.string()})
+    assert schema.drop_empty_columns(df, first=2).columns == ["a", "b"]
+    assert schema.drop_empty_columns(df).columns == ["a", "b"]
+
+
 def test_resolve_by_white_space_and_similarity(frame):
     df = frame(
         **{" area\n name ": ["x"], "cause of it": ["y"], "severty": ["z"], "old": [1], "spare": [2]}
