@@ -1,4 +1,4 @@
-"""The reference has no streaming operators, so there are none here.
+"""There are no streaming operators to match, so there are none here.
 
 Row-level operators (functions, ``label_of``, ``first_contains``, ``priority_class``,
 ``lookup`` with a dictionary) keep no state and also work on a streaming DataFrame.
