@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -12,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # call sites for error messages cost more than building the plan itself
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -32,12 +36,14 @@ def session(app: str = "perilscope", master: str | None = None, **extra: str) ->
 def shared_dir(spark: SparkSession) -> str | None:
     """The folder all executors reach, as ``spark.checkpoint.dir`` names it.
 
-    A local session without that setting gets a temporary folder, a cluster none.
+    Without that setting, a session whose executor is the driver itself gets a temporary
+    folder, which goes when the process ends; any other gets none.
     """
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and sc.master.startswith("local"):
+    if folder is None and re.fullmatch(r"local(\[.*\])?", sc.master):
         folder = tempfile.mkdtemp(prefix="perilscope-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if folder is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
@@ -46,14 +52,23 @@ def shared_dir(spark: SparkSession) -> str | None:
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, for frames that several later jobs read.
 
-    A checkpoint in the shared folder, so that a lost executor costs nothing. Where a
-    cluster names no such folder, the lineage stays and the frame is cached with spill.
+    A checkpoint in the shared folder, so that a lost executor costs nothing. Spark removes
+    its files once the frame is no longer used, with the setting that ``session`` makes. A
+    cluster that names no such folder is an error.
     """
     if shared_dir(df.sparkSession) is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
     return df.checkpoint(eager=True)
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for each call, in the shared folder, for files a run writes."""
+    folder = shared_dir(spark)
+    if folder is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def spread_over_cores(df: DataFrame) -> DataFrame:
     """Repartition a materialised frame that has fewer partitions than there are cores.
 
