@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilscope.llm import mixing, sharding, warc
+from perilscope.llm import chat, decontamination, mixing, sharding, warc
 from perilscope.session import run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,82 @@ SELECT k.doc_id, size, source_size, target, taken, a.position, b.position AS pos
 FROM k LEFT JOIN x a ON a.doc_id = k.doc_id AND a.e = 0
   LEFT JOIN x b ON b.doc_id = k.doc_id AND b.e = 1
 """
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BENCHMARK_WORDS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@query(f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {BENCHMARK_WORDS} AS w FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, {BENCHMARK_WORDS} AS w FROM benchmark
+), g AS (
+  SELECT DISTINCT item, least(len(w), 13) AS n,
+    unnest(list_transform(range(0, len(w) - least(len(w), 13) + 1),
+      lambda i: array_to_string(w[i + 1:i + least(len(w), 13)], ' '))) AS gram
+  FROM b WHERE len(w) > 0
+), dw AS (
+  SELECT rid, n, unnest(range(0, len(w) - n + 1)) AS i,
+    unnest(list_transform(range(0, len(w) - n + 1),
+      lambda i: array_to_string(w[i + 1:i + n], ' '))) AS gram
+  FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n
+), hit AS (
+  SELECT rid, item, i, n FROM dw JOIN g USING (n, gram)
+), places AS (
+  SELECT rid, count(DISTINCT p) AS n_hit
+  FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid)
+""")
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.report(docs, table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+#: Texts that look like the marks of the template.
+ODD_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query(r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, len(regexp_extract_all(text,
+      '<\\*/?s>|\[\\*/?INST\]|\[\\*/?ROLE\]|\[\\*TEXT\]')) + length(text) AS t,
+    len(regexp_extract_all(role,
+      '<\\*/?s>|\[\\*/?INST\]|\[\\*/?ROLE\]|\[\\*TEXT\]')) + length(role) AS r
+  FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+    AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+    AS loss_sha256,
+  sum(t + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 4 ELSE r + 26 END)::BIGINT
+    AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame(ODD_CONVERSATION, "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.unionByName(odd)))
