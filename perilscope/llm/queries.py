@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilscope.llm import chat, decontamination, mixing, sharding, warc
+from perilscope.llm import chat, decontamination, mixing, secrets, sharding, warc
 from perilscope.session import run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,3 +238,19 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.createDataFrame(ODD_CONVERSATION, "conv_id bigint, turn bigint, role string, text string")
     return chat.read_back(chat.format_conversations(rows.unionByName(odd)))
+
+
+@query()
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.scan(docs).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda s: s["kind"] < len(secrets.PATTERNS))
+
+    def count(kind: int):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined(F.col("secrets")).alias("spans"),
+    )
