@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilscope.llm import chat, decontamination, mixing, secrets, sharding, warc
+from perilscope.llm import chat, decontamination, mixing, quality, secrets, sharding, warc
 from perilscope.session import run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,3 +254,10 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"),
         secrets.joined(F.col("secrets")).alias("spans"),
     )
+
+
+@query()
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rated = quality.rate(docs.select("doc_id", "text"), table(spark, folder, "labels"))
+    return rated.select("doc_id", *quality.MEASURES, "score", "base_failed", "kept")
