@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilscope.llm import chat, decontamination, mixing, quality, secrets, sharding, warc
+from perilscope.llm import (
+    chat, decontamination, language, mixing, quality, secrets, sharding, warc,
+)
 from perilscope.session import run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,3 +263,18 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     rated = quality.rate(docs.select("doc_id", "text"), table(spark, folder, "labels"))
     return rated.select("doc_id", *quality.MEASURES, "score", "base_failed", "kept")
+
+
+def held_out(id: str = "doc_id"):
+    """Documents that no language model learns from."""
+    return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+@query()
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(~held_out()))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte"
+    )
