@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from perilscope.llm.frames import col_of, cols_of, fresh
-from perilscope.llm.words import BLOCK, utf8
+from perilscope.llm.words import BLOCK, parts, utf8
 
 UNKNOWN = "und"
 ORDER = 3
@@ -87,7 +87,7 @@ def train(
         raise ValueError(f"more than {rules.max_languages} languages")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 0)):
             texts, langs = batch.column(0), batch.column(1)
             for name in pc.unique(langs):
                 keys, n = four_grams(texts.filter(pc.equal(langs, name)))
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, len(keep))):
             lang, score, bits = predict(batch.column(len(keep)), shared.value)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], lang, pa.array(score), pa.array(bits)],

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from perilscope.llm.frames import col_of, cols_of, fresh
 from perilscope.llm.words import (
-    BLOCK, SPACE, mix, multipliers, shingles, sums_by, utf8, words,
+    BLOCK, SPACE, mix, multipliers, parts, shingles, sums_by, utf8, words,
 )
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -190,7 +190,7 @@ def fit(
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((2, 1 << rules.bits), np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 0)):
             good = pc.equal(batch.column(1), 1).fill_null(False)
             out += count_grams(batch.column(0), good.to_numpy(zero_copy_only=False), rules)
         seen = np.flatnonzero(out[0])
@@ -213,7 +213,7 @@ def fit(
     weights = np.rint(ratio * SCALE).astype(np.int64)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 0)):
             found = score_texts(batch.column(0), weights, rules)
             n = measures(batch.column(0))
             ok = ~base_failed(n, rules)
@@ -275,7 +275,7 @@ def rate(
     given = docs.select(*cols_of(keep), col_of(text).cast("string").alias(source))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, len(keep))):
             texts = batch.column(len(keep))
             found = measures(texts)
             failed = base_failed(found, rules)

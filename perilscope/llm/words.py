@@ -71,6 +71,17 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def parts(batch: pa.RecordBatch, column: int, size: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of rows with about ``size`` bytes of text, one row at least."""
+    ends = np.cumsum(np.diff(utf8(batch.column(column))[1]))
+    at = 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        end = max(int(np.searchsorted(ends, done + size, "right")), at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 @dataclass
 class Words:
     """``hashes`` of all words; those of text ``i`` are ``first[i]`` up to ``first[i + 1]``."""
