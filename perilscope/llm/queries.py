@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perilscope.llm import (
-    chat, decontamination, language, mixing, neardup, quality, secrets, sharding, warc,
+    chat, decontamination, language, mixing, neardup, quality, repeats, secrets, sharding, warc,
 )
 from perilscope.session import run_folder
 
@@ -284,3 +284,8 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
 def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs, rules=neardup.Rules(width=4))
+
+
+@query()
+def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.summary(table(spark, folder, "documents").select("doc_id", "text"))
