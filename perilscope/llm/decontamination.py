@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from perilscope.columns import constant
 from perilscope.llm.frames import (
-    col_of, cols_of, fresh, join_counted, materialise, text_or_empty,
+    col_of, cols_of, computed_once, fresh, join_counted, materialise, text_or_empty,
 )
 
 WINDOW = 13
@@ -190,10 +190,11 @@ def with_hits(
     held = F.octet_length(F.concat_ws(" ", "gram")) + F.octet_length(F.concat_ws(" ", "items"))
     count, size = found.agg(F.count("*"), F.coalesce(F.sum(held + 200), F.lit(0))).first()
     words, hits = fresh("words", docs.columns), fresh("hits", docs.columns)
-    worded = docs.withColumn(words, words_of(text))
+    worded = docs.withColumn(words, computed_once(words_of(text)))
     if size <= limit:
         buckets = 1 << max(4, (16 * count - 1).bit_length())
-        worded = worded.withColumn(hits, hits_in_row(F.col(words), found, buckets))
+        found_hits = hits_in_row(F.col(words), found, buckets)
+        worded = worded.withColumn(hits, computed_once(found_hits))
     else:
         worded = hits_by_join(worded, words, hits, found)
     return worded, words, hits
@@ -253,8 +254,8 @@ def remove_spans(
     worded, _, hits = with_hits(docs, benchmark, text, **options)
     raw, gaps = fresh("raw", worded.columns), fresh("gaps", worded.columns)
     cut = worded.withColumn(
-        raw, F.regexp_extract_all(text_or_empty(text), F.lit(RAW_WORD), F.lit(0))
-    ).withColumn(gaps, F.split(text_or_empty(text), RAW_WORD, -1))
+        raw, computed_once(F.regexp_extract_all(text_or_empty(text), F.lit(RAW_WORD), F.lit(0)))
+    ).withColumn(gaps, computed_once(F.split(text_or_empty(text), RAW_WORD, -1)))
     kept = F.transform(
         raw,
         lambda w, i: F.concat(

@@ -32,6 +32,15 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def computed_once(value: Column) -> Column:
+    """``value``, kept by the optimizer as a column of its own.
+
+    A filter on a column is otherwise pushed below it, with the column's expression in its
+    place; inside lambdas that expression would then be worked out for every element.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def small(df: DataFrame, row_bytes: int, limit: int | None = None) -> bool:
     """Whether the rows of ``df``, of at most ``row_bytes`` each, fit a broadcast."""
     limit = BROADCAST_BYTES if limit is None else limit
@@ -78,6 +87,6 @@ def join_counted(
 
 
 __all__ = [
-    "BROADCAST_BYTES", "WORDS", "col_of", "cols_of", "fresh", "join_counted", "materialise",
+    "BROADCAST_BYTES", "WORDS", "col_of", "cols_of", "computed_once", "fresh", "join_counted", "materialise",
     "same", "small", "text_or_empty",
 ]

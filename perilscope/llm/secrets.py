@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilscope.columns import bind, constant
-from perilscope.llm.frames import col_of, cols_of, fresh, same, text_or_empty
+from perilscope.llm.frames import col_of, cols_of, computed_once, fresh, same, text_or_empty
 
 ASSIGN = (
     r"((?i:password|passwd|secret|token|api_?key))"
@@ -197,8 +197,8 @@ def scan(
     keep = [c for c in docs.columns if c.lower() != into.lower()]
     base, more = fresh("base", keep), fresh("more", keep)
     whole = text_or_empty(text)
-    found = docs.withColumn(base, base_spans(whole)).withColumn(
-        more, spans_of(whole, rules.token, 0, 0, len(PATTERNS), rules.token)
+    found = docs.withColumn(base, computed_once(base_spans(whole))).withColumn(
+        more, computed_once(spans_of(whole, rules.token, 0, 0, len(PATTERNS), rules.token))
     )
     free = F.filter(
         more,
@@ -208,7 +208,8 @@ def scan(
         free,
         lambda s: ratio(whole.substr(s["start"] + 1, s["end"] - s["start"]), model) > rules.limit,
     )
-    return found.select(*cols_of(keep), F.array_sort(F.concat(col_of(base), likely)).alias(into))
+    every = F.array_sort(F.concat(col_of(base), likely))
+    return found.select(*cols_of(keep), computed_once(every).alias(into))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
