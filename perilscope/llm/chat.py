@@ -273,6 +273,13 @@ def fold(node: tuple, escape: Escape) -> tuple:
 
 def fold_block(nodes: list[tuple], escape: Escape) -> list[tuple]:
     out: list[tuple] = []
+
+    def add(node: tuple) -> None:
+        if node[0] == "text" and out and out[-1][0] == "text":
+            node = ("text", out.pop()[1] + node[1])
+        if node != ("text", ""):
+            out.append(node)
+
     for node in nodes:
         kind = node[0]
         if kind == "show":
@@ -289,13 +296,11 @@ def fold_block(nodes: list[tuple], escape: Escape) -> list[tuple]:
             test = fold(node[1], escape)
             yes, no = fold_block(node[2], escape), fold_block(node[3], escape)
             if test[0] == "value":
-                out += yes if test[1] else no
+                for chosen in yes if test[1] else no:
+                    add(chosen)
                 continue
             node = ("if", test, yes, no)
-        if node[0] == "text" and out and out[-1][0] == "text":
-            node = ("text", out.pop()[1] + node[1])
-        if node != ("text", ""):
-            out.append(node)
+        add(node)
     return out
 
 
