@@ -137,22 +137,17 @@ def hits_by_join(worded: DataFrame, words: str, hits: str, found: DataFrame) ->
     def two(gram: Column) -> list[Column]:
         return [F.xxhash64(gram).alias("h"), F.xxhash64(F.lit("2"), gram).alias("g")]
 
-    grams = F.flatten(
-        F.array(
-            *[
-                F.when(
-                    n >= size,
-                    F.transform(
-                        F.sequence(F.lit(0), n - size),
-                        lambda i, size=size: F.struct(
-                            i.alias("s"), (i + size).alias("e"), *two(F.slice(words, i + 1, size))
-                        ),
-                    ),
-                ).otherwise(F.array().cast("array<struct<s:int,e:int,h:bigint,g:bigint>>"))
-                for size in lengths
-            ]
-        )
-    ) if lengths else F.array().cast("array<struct<s:int,e:int,h:bigint,g:bigint>>")
+    none = F.array().cast("array<struct<s:int,e:int,h:bigint,g:bigint>>")
+
+    def of_length(size: int) -> Column:
+        def gram(i: Column) -> Column:
+            return F.struct(
+                i.alias("s"), (i + size).alias("e"), *two(F.slice(words, i + 1, size))
+            )
+
+        return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), gram)).otherwise(none)
+
+    grams = F.flatten(F.array(*[of_length(size) for size in lengths])) if lengths else none
     each = (
         keyed.groupBy(key).agg(F.first(words).alias(words), F.count("*").alias("rows"))
         .select(key, "rows", F.explode(grams).alias("x"))
