@@ -41,15 +41,19 @@ class Rules:
     """Limits of the Markov stage and of its training.
 
     ``sample_docs`` documents, those with the smallest hashes of their ids, give the ordinary
-    identifiers, and ``sample_values`` matches of the patterns the random strings.
+    identifiers, and ``sample_values`` matches of the patterns the random strings. Ordinary
+    tokens have ``ordinary_chars`` characters at most: what is long enough to be judged is not
+    learned from, or unknown secrets would pass as ordinary.
     """
 
     token: str = "[A-Za-z0-9+/_=-]{20,}"
     ordinary: str = "[A-Za-z0-9+/_=-]{6,}"
-    limit: float = 1.0
+    ordinary_chars: int = 19
+    limit: float = 0.5
     sample_docs: int = 5_000
     sample_values: int = 20_000
-    smoothing: float = 0.5
+    rare: float = 0.01
+    backoff: float = 4.0
 
 
 def spans_of(text: Column, pattern: str, group: int, least: int, kind: int, hint: str) -> Column:
@@ -117,8 +121,11 @@ def pairs_of(token: Column) -> Column:
 def train(docs: DataFrame, id: str, text: str, rules: Rules) -> list[float]:
     """The log-likelihood ratio, random against ordinary, of each transition.
 
-    Without any sample of a kind its model is even, by the smoothing. Random strings need a
-    digit and 16 characters: an assigned plain word is a secret but not a random string.
+    A transition's share is mixed with that of its second character, which counts as much as
+    ``backoff`` transitions; ``rare`` is spread over all characters. So a transition that neither
+    sample has tells nothing.
+    Random strings need a digit and 16 characters: an assigned plain word is a secret but not a
+    random string.
     """
     whole = text_or_empty(text)
     values = F.concat(
@@ -146,7 +153,7 @@ def train(docs: DataFrame, id: str, text: str, rules: Rules) -> list[float]:
     tokens = F.regexp_extract_all(rest, F.lit(rules.ordinary), F.lit(0))
     ordinary = docs.join(F.broadcast(ids), col_of(id) == F.col("sample_id"), "left_semi").select(
         F.explode(tokens).alias("token"), F.lit(0).alias("random")
-    )
+    ).where(F.length("token") <= rules.ordinary_chars)
     counts = (
         random.union(ordinary)
         .select("random", F.explode(pairs_of(F.col("token"))).alias("pair"))
@@ -154,17 +161,24 @@ def train(docs: DataFrame, id: str, text: str, rules: Rules) -> list[float]:
         .count()
         .collect()
     )
-    table = [[[rules.smoothing] * STATES for _ in range(STATES)] for _ in range(2)]
-    for row in counts:
-        table[row["random"]][row["pair"] // STATES][row["pair"] % STATES] += row["count"]
-    out = []
-    for a in range(STATES):
-        sums = [sum(table[r][a]) for r in (0, 1)]
-        out += [
-            round(math.log(table[1][a][b] / sums[1]) - math.log(table[0][a][b] / sums[0]), 6)
-            for b in range(STATES)
+    logs = []
+    for kind in (1, 0):
+        seen = [[0] * STATES for _ in range(STATES)]
+        for row in counts:
+            if row["random"] == kind:
+                seen[row["pair"] // STATES][row["pair"] % STATES] = row["count"]
+        each = [sum(column) for column in zip(*seen)]
+        share = [
+            (1 - rules.rare) * n / max(sum(each), 1) + rules.rare / STATES for n in each
         ]
-    return out
+        logs.append(
+            [
+                math.log((n + rules.backoff * p) / (sum(after) + rules.backoff))
+                for after in seen
+                for n, p in zip(after, share)
+            ]
+        )
+    return [round(a - b, 6) for a, b in zip(*logs)]
 
 
 def ratio(token: Column, model: list[float]) -> Column:
