@@ -163,7 +163,8 @@ SCALE = float(1 << 20)
 
 
 def labelled_ids(labels: DataFrame, id: str, quality: str, rules: Rules) -> DataFrame:
-    """At most ``rules.labelled`` ids with ``good``: 1 if every label of the id says so."""
+    """At most ``rules.labelled`` ids with ``good``: 1 if every label of the id says so. Those
+    with ``part`` 0 are for the n-grams, the others for the threshold."""
     return (
         labels.select(col_of(id).alias("label_id"), col_of(quality).alias("q"))
         .where("label_id is not null and q is not null")
@@ -171,6 +172,7 @@ def labelled_ids(labels: DataFrame, id: str, quality: str, rules: Rules) -> Data
         .agg(F.min(F.when(F.col("q") > 0, 1).otherwise(0)).alias("good"))
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(rules.labelled)
+        .withColumn("part", F.pmod(F.xxhash64("label_id", F.lit("part")), F.lit(2)).cast("int"))
     )
 
 
@@ -191,7 +193,7 @@ def fit(
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((2, 1 << rules.bits), np.int64)
         for batch in (part for whole in batches for part in parts(whole, 0)):
-            good = pc.equal(batch.column(1), 1).fill_null(False)
+            good = pc.fill_null(batch.column(1), False)
             out += count_grams(batch.column(0), good.to_numpy(zero_copy_only=False), rules)
         seen = np.flatnonzero(out[0])
         yield pa.RecordBatch.from_arrays(
@@ -199,7 +201,7 @@ def fit(
         )
 
     counts = (
-        joined.select("text", "good")
+        joined.select("text", ((F.col("good") == 1) & (F.col("part") == 0)).alias("trusted"))
         .mapInArrow(count, "b bigint, n bigint, t bigint")
         .groupBy("b")
         .agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
@@ -222,7 +224,7 @@ def fit(
             )
 
     scored = (
-        joined.where("good is not null")
+        joined.where("good is not null and part = 1")
         .select("text", "good")
         .mapInArrow(score, "score double, good int, ok boolean")
         .where("ok")
@@ -245,7 +247,8 @@ def threshold(scores: np.ndarray, good: np.ndarray, rules: Rules) -> float:
     dropped = np.concatenate([[0], np.cumsum(~good)]) / (~good).sum()
     first = np.flatnonzero(np.concatenate([[True], scores[1:] > scores[:-1]]))
     best = first[np.argmax((dropped - lost)[first])]
-    return float(min(scores[best], limit))
+    # in the middle between the last that goes and the first that stays
+    return float(min((scores[max(best - 1, 0)] + scores[best]) / 2, limit))
 
 
 def base_failed(found: dict[str, np.ndarray], rules: Rules) -> np.ndarray:
