@@ -350,6 +350,11 @@ def near_duplicates(
     component has the smallest id that is not null, if any. Repeated rows are one document
     and share their result.
     """
+    return judged(docs, id, text, rules).drop("uid").withColumnRenamed("id", id)
+
+
+def judged(docs: DataFrame, id: str, text: str, rules: Rules) -> DataFrame:
+    """The result of ``near_duplicates`` with the ``uid`` of each row and its id as ``id``."""
     sketched = materialise(sketch(docs, id, text, rules))
     found = links(docs, sketched, id, text, rules)
     per_class = sketched.where("node is not null").groupBy("node").agg(
@@ -366,11 +371,11 @@ def near_duplicates(
             single.select("node", F.col("least").alias("component"), "rows")
         )
     named = materialise(named.withColumn("grouped", F.lit(True)))
-    base = sketched.select("id", "n_shingles", "node")
+    base = sketched.select("id", "uid", "n_shingles", "node")
     joined = join_counted(base, named, ["node"], "rows")
     component = F.when(F.col("grouped"), F.col("component")).otherwise(F.col("id"))
     return joined.select(
-        F.col("id").alias(id), "n_shingles", component.alias("component_id"),
+        "id", "uid", "n_shingles", component.alias("component_id"),
         same(component, F.col("id")).alias("kept"),
     )
 
@@ -379,11 +384,12 @@ def drop_near_duplicates(
     docs: DataFrame, id: str = "doc_id", text: str = "text", rules: Rules = Rules()
 ) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest id. A row without
-    an id goes if its component has a row with one, and otherwise stays."""
-    judged = near_duplicates(docs, id, text, rules)
+    an id goes if its component has a row with one, and otherwise stays. Rows that agree in id
+    and text are one document, and stay or go together."""
     gone = fresh("gone", docs.columns)
-    removed = materialise(judged.where("not kept").select(col_of(id).alias(gone)).distinct())
+    found = judged(docs, id, text, rules).where("not kept")
+    removed = materialise(found.select(F.col("uid").alias(gone)).distinct())
     removed = F.broadcast(removed) if small(removed, 32) else removed
-    return docs.join(removed, same(col_of(id), col_of(gone)), "left_anti").select(
+    return docs.join(removed, uid(id, text) == col_of(gone), "left_anti").select(
         *cols_of(docs.columns)
     )

@@ -251,13 +251,13 @@ def compared(found: DataFrame, rules: Rules) -> DataFrame:
 
 
 def with_lists(texts: DataFrame, lists: DataFrame, row_bytes: int, how: str) -> DataFrame:
-    """Texts with the row that ``lists`` has for their ``ord``: a broadcast if the measured size
-    allows it, else a shuffle."""
-    # rows of ord and an array: the array's length says how large they are
-    rows, length = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("list")), F.lit(0))).first()
+    """Texts joined with lists: two columns, the number of the text and an array. A broadcast
+    if the measured size allows it, else a shuffle."""
+    name, items = lists.columns
+    rows, length = lists.agg(F.count("*"), F.coalesce(F.sum(F.size(items)), F.lit(0))).first()
     if rows * 64 + length * row_bytes <= BROADCAST_BYTES:
         lists = F.broadcast(lists)
-    return texts.join(lists, "ord", how)
+    return texts.join(lists, name, how)
 
 
 def bytes_of(texts: DataFrame, wanted: DataFrame, rules: Rules) -> DataFrame:
@@ -457,12 +457,15 @@ def repeated_ranges(texts: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def with_ranges(docs: DataFrame, id: str, text: str, rules: Rules) -> DataFrame:
-    """``docs`` with ``ord``, and ``list``, null where nothing is repeated."""
+def with_ranges(docs: DataFrame, id: str, text: str, rules: Rules) -> tuple[DataFrame, str]:
+    """``docs`` with the ranges to remove, in a column named in the result, null for none."""
     numbered, name = in_order(docs, id, text)
     texts = numbered.select(col_of(name).alias("ord"), text_or_empty(text).alias("text"))
-    lists = repeated_ranges(texts, rules)
-    return with_lists(numbered.withColumnRenamed(name, "ord"), lists, 16, "left")
+    ranges = fresh("ranges", numbered.columns)
+    lists = repeated_ranges(texts, rules).select(
+        F.col("ord").alias(name), F.col("list").alias(ranges)
+    )
+    return with_lists(numbered, lists, 16, "left").drop(name), ranges
 
 
 def kept_bytes(text: bytes, spans: Iterable[dict]) -> bytes:
@@ -483,7 +486,8 @@ def summary(
     ids follow each other by their texts, so the second of two equal rows goes as a whole.
     Null and empty texts, and texts shorter than a string, lose nothing.
     """
-    joined = with_ranges(docs.select(*cols_of(dict.fromkeys([id, text]))), id, text, rules)
+    given = docs.select(col_of(id).alias("id"), col_of(text).cast("string").alias("text"))
+    joined, ranges = with_ranges(given, "id", "text", rules)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
@@ -505,7 +509,7 @@ def summary(
             )
 
     id_type = docs.schema[id].dataType.simpleString()
-    return joined.select(col_of(id), text_or_empty(text).alias("text_bytes"), "list").mapInArrow(
+    return joined.select("id", text_or_empty("text"), ranges).mapInArrow(
         run, f"`{id}` {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     )
 
@@ -516,7 +520,7 @@ def remove_repeats(
     """``docs`` with the repeated bytes taken out of the texts. A character of which bytes are
     left over is replaced by U+FFFD."""
     names = docs.columns
-    joined = with_ranges(docs, id, text, rules)
+    joined, ranges = with_ranges(docs, id, text, rules)
     at = names.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -530,4 +534,4 @@ def remove_repeats(
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*cols_of(names), "list").mapInArrow(run, docs.schema)
+    return joined.select(*cols_of([*names, ranges])).mapInArrow(run, docs.schema)
