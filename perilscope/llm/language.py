@@ -75,16 +75,23 @@ def train(
     named = docs.select(
         col_of(id).alias("id"), col_of(lang).cast("string").alias("lang")
     ).where("id is not null and lang is not null")
-    first = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    sizes = {
+        r["lang"]: r["count"]
+        for r in named.groupBy("lang").count().limit(rules.max_languages + 1).collect()
+    }
+    if len(sizes) > rules.max_languages:
+        raise ValueError(f"more than {rules.max_languages} languages")
+    # some four times as many as wanted have a hash this small, so the ranking sees few rows
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    near = F.lit(False)
+    for name, size in sizes.items():
+        share = min(1.0, 4 * rules.per_language / size)
+        near |= (F.col("lang") == name) & (draw < int(share * (1 << 30)) + 1)
+    first = W.partitionBy("lang").orderBy(draw, "id")
     chosen = (
-        named.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rules.per_language)
-        .select("id", "lang").distinct()
+        named.where(near).withColumn("n", F.row_number().over(first))
+        .where(F.col("n") <= rules.per_language).select("id", "lang").distinct()
     )
-    names = [
-        r["lang"] for r in named.select("lang").distinct().limit(rules.max_languages + 1).collect()
-    ]
-    if len(names) > rules.max_languages:
-        raise ValueError(f"more than {rules.max_languages} languages")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in parts(whole, 0)):
@@ -107,7 +114,7 @@ def train(
         .groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
     )
     return build(
-        sorted(names, key=lambda s: s.encode()), counts["lang"].to_pylist(),
+        sorted(sizes, key=lambda s: s.encode()), counts["lang"].to_pylist(),
         counts["key"].to_numpy(), counts["n"].to_numpy(), rules,
     )
 
@@ -116,6 +123,8 @@ def build(
     languages: list[str], lang: list[str], keys: np.ndarray, counts: np.ndarray, rules: Rules
 ) -> Model:
     """The table of code lengths from counts of four bytes by language."""
+    if not languages or not len(keys):
+        return Model([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((1, 0), np.int32))
     of = {name: i for i, name in enumerate(languages)}
     who = np.array([of[name] for name in lang], np.int64)
     grams = np.stack([(keys >> s) & 255 for s in (24, 16, 8, 0)])
