@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perilscope.llm.frames import materialise
+from perilscope.llm.frames import join_counted, materialise
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -33,10 +33,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lower = roots.join(least, "node", "left").select(
             "node", "root", F.least("root", "near").alias("next")
         )
-        above = lower.select(F.col("node").alias("next"), F.col("next").alias("top"))
+        lower = materialise(lower)
+        # a node that many have as their root is joined by its number of rows
+        above = lower.where("next <> node").select(
+            F.col("node").alias("next"), F.col("next").alias("top")
+        )
+        above = materialise(lower.groupBy("next").agg(F.count("*").alias("n")).join(above, "next"))
+        top = F.coalesce("top", "next")
         moved = materialise(
-            lower.join(above, "next").select(
-                "node", F.col("top").alias("root"), (F.col("top") < F.col("root")).alias("moved")
+            join_counted(lower, above, ["next"], "n").select(
+                "node", top.alias("root"), (top < F.col("root")).alias("moved")
             )
         )
         roots = moved.drop("moved")
