@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from perilscope.llm.frames import (
-    BROADCAST_BYTES, col_of, cols_of, fresh, join_counted, materialise, text_or_empty,
+    BROADCAST_BYTES, col_of, cols_of, fresh, materialise, text_or_empty,
 )
 from perilscope.llm.suffixes import common_prefixes, suffix_array
 from perilscope.llm.words import (
@@ -35,12 +35,12 @@ PLACE_BITS = np.uint64(24)
 class Rules:
     """Strings of ``length`` bytes are filed by substrings of ``gram`` bytes. A shard is about
     ``shard`` bytes; a place with more than ``crowd`` different stretches is not dealt to one
-    shard, its strings are compared one by one by 128 bits of hashes."""
+    shard; its strings are compared one by one by 128 bits of hashes."""
 
     length: int = 100
     gram: int = 32
     shard: int = 2 * BLOCK
-    crowd: int = 5_000
+    crowd: int = 1_000
 
 
 def in_order(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, str]:
@@ -124,36 +124,35 @@ FOUND = pa.schema(
 FOUND_DDL = "place bigint, content bigint, ord bigint, lo bigint, strings int, kind tinyint"
 
 
+def combined(held: list[tuple]) -> pa.RecordBatch:
+    """Stretches ``(text, start, strings, place, content)`` as rows of ``FOUND``: OPEN, but for
+    those that equal an earlier one of the same call, which are REPEATED, with a place of their
+    own that only spreads them."""
+    doc, lo, strings, place, content = (np.concatenate(c) for c in zip(*held))
+    order = np.lexsort((lo, doc, content, place))
+    doc, lo, strings, place, content = (c[order] for c in (doc, lo, strings, place, content))
+    again = np.zeros(len(doc), bool)
+    again[1:] = (content[1:] == content[:-1]) & (place[1:] == place[:-1])
+    d, start, end = merged(doc[again], lo[again], lo[again] + strings[again])
+    spread = mix(d.astype(np.uint64) + start.astype(np.uint64))
+    cols = [
+        np.concatenate([place[~again], spread]).view(np.int64),
+        np.concatenate([content[~again], np.zeros(len(d), np.uint64)]).view(np.int64),
+        np.concatenate([doc[~again], d]), np.concatenate([lo[~again], start]),
+        np.concatenate([strings[~again], end - start]),
+        np.repeat([OPEN, REPEATED], [int((~again).sum()), len(d)]),
+    ]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(cols, FOUND)], schema=FOUND
+    )
+
+
 def filed(texts: DataFrame, rules: Rules, flush: int = 16 * BLOCK) -> DataFrame:
-    """The stretches of all texts (``ord``, ``text``) with ``kind`` OPEN. Those that occur
-    earlier in the same part of a task's input are REPEATED, with their place set anyhow."""
+    """The stretches of all texts (``ord``, ``text``), combined within about ``flush`` bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-
-        def out() -> pa.RecordBatch:
-            doc, lo, strings, place, content = (np.concatenate(c) for c in zip(*held))
-            order = np.lexsort((lo, doc, content, place))
-            doc, lo, strings, place, content = (
-                c[order] for c in (doc, lo, strings, place, content)
-            )
-            again = np.zeros(len(doc), bool)
-            again[1:] = (content[1:] == content[:-1]) & (place[1:] == place[:-1])
-            r = merged(doc[again], lo[again], lo[again] + strings[again])
-            fresh_place = mix(r[0].astype(np.uint64) + r[1].astype(np.uint64)) >> PLACE_BITS
-            cols = [
-                np.concatenate([place[~again], fresh_place]).astype(np.int64),
-                np.concatenate([content[~again], np.zeros(len(r[0]), np.uint64)]).view(np.int64),
-                np.concatenate([doc[~again], r[0]]), np.concatenate([lo[~again], r[1]]),
-                np.concatenate([strings[~again], r[2] - r[1]]),
-                np.repeat([OPEN, REPEATED], [int((~again).sum()), len(r[0])]),
-            ]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(cols, FOUND)],
-                schema=FOUND,
-            )
-
         for batch in (part for whole in batches for part in parts(whole, 1)):
             data, offsets = utf8(batch.column(1))
             ords = batch.column(0).to_numpy()
@@ -161,10 +160,10 @@ def filed(texts: DataFrame, rules: Rules, flush: int = 16 * BLOCK) -> DataFrame:
                 held.append((ords[text], lo, strings, place, content))
             size += len(data)
             if size >= flush and held:
-                yield out()
+                yield combined(held)
                 held, size = [], 0
         if held:
-            yield out()
+            yield combined(held)
 
     return texts.select("ord", "text").mapInArrow(run, FOUND_DDL)
 
@@ -311,7 +310,7 @@ def equal_in_shard(pieces: list[bytes], doc: np.ndarray, lo: np.ndarray, rules:
     hashes = prefix_hashes(data)
     array = suffix_array(data.astype(np.uint16), hashes, rules.length)
     room = begin[owner + 1] - np.arange(len(data))
-    shared = common_prefixes(array, hashes, room, rules.length)
+    shared = common_prefixes(array, hashes, room, rules.length, least=rules.length)
     # a suffix with the whole length in common belongs to the group of the one before it; those
     # with less room than that separate nothing, they stand before the longer ones
     ordered = array[room[array] >= rules.length]
@@ -366,46 +365,38 @@ def in_shards(stretched: DataFrame, rules: Rules) -> DataFrame:
 
 
 def one_by_one(stretched: DataFrame, rules: Rules) -> DataFrame:
-    """Repeated strings in crowded places: the first of equal hashes is found by a minimum that
-    is combined before it is shuffled, so no task holds a place."""
+    """Repeated strings in crowded places: each string is a stretch of its own, filed under its
+    own hash, so what is left of a place is a row for each string and part of a task's input."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(0, len(batch), 2_000):
-                part = batch.slice(s, 2_000)
-                pieces = part.column(2).to_pylist()
-                size = np.array([len(p) for p in pieces], np.int64)
-                begin = np.concatenate([[0], np.cumsum(size)])
-                data = np.frombuffer(b"".join(pieces), np.uint8)
-                hashes = prefix_hashes(data)
-                count = size - rules.length + 1
-                row = np.repeat(np.arange(len(size)), count)
+        held: list[tuple] = []
+        size = 0
+        for whole in batches:
+            for s in range(0, len(whole), 2_000):
+                batch = whole.slice(s, 2_000)
+                ords, los = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                pieces = batch.column(2).to_pylist()
+                length = np.array([len(p) for p in pieces], np.int64)
+                begin = np.cumsum(length) - length
+                hashes = prefix_hashes(np.frombuffer(b"".join(pieces), np.uint8))
+                count = length - rules.length + 1
+                row = np.repeat(np.arange(len(length)), count)
                 at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 start = begin[row] + at
-                one = span_hashes(hashes, start, start + rules.length)
-                two = span_hashes(hashes, start, start + rules.gram) ^ mix(
+                place = span_hashes(hashes, start, start + rules.length)
+                content = span_hashes(hashes, start, start + rules.gram) ^ mix(
                     span_hashes(hashes, start + rules.gram, start + rules.length) + np.uint64(1)
                 )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                     part.column(0).take(pa.array(row)), pa.array(part.column(1).to_numpy()[row] + at)],
-                    ["one", "two", "ord", "lo"],
-                )
+                held.append((ords[row], los[row] + at, np.ones(len(at), np.int64), place, content))
+                size += len(at)
+                if size >= 500_000:
+                    yield combined(held)
+                    held, size = [], 0
+        if held:
+            yield combined(held)
 
-    each = materialise(
-        stretched.select("ord", "lo", "bytes").mapInArrow(
-            run, "one bigint, two bigint, ord bigint, lo bigint"
-        )
-    )
-    first = materialise(
-        each.groupBy("one", "two")
-        .agg(F.min(F.struct("ord", "lo")).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-    )
-    joined = join_counted(each, first, ["one", "two"], "n").where(
-        "first is not null and (ord <> first.ord or lo <> first.lo)"
-    )
-    return joined.select("ord", "lo", F.lit(1).alias("strings"))
+    each = stretched.select("ord", "lo", "bytes").mapInArrow(run, FOUND_DDL)
+    return compared(each, rules).where(F.col("kind") == REPEATED).select("ord", "lo", "strings")
 
 
 def repeated_ranges(texts: DataFrame, rules: Rules) -> DataFrame:

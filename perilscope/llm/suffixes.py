@@ -133,16 +133,22 @@ def suffix_array(text: np.ndarray, hashes: np.ndarray, depth: int) -> np.ndarray
 
 
 def common_prefixes(
-    array: np.ndarray, hashes: np.ndarray, room: np.ndarray, depth: int
+    array: np.ndarray, hashes: np.ndarray, room: np.ndarray, depth: int, least: int = 0
 ) -> np.ndarray:
     """For each suffix, in the order of the text, how much of ``depth`` symbols it shares with
-    the one before it in the array; ``room`` says how far a suffix may be read."""
+    the one before it in the array; ``room`` says how far a suffix may be read. Less than
+    ``least`` counts as nothing."""
     before = np.full(len(array), -1, np.int64)
     before[array[1:]] = array[:-1]
     at = np.flatnonzero(before >= 0)
     other = before[at]
     most = np.minimum(np.minimum(room[at], room[other]), depth)
-    low, high = np.zeros(len(at), np.int64), most
+    if least:
+        far = most >= least
+        at, other, most = at[far], other[far], most[far]
+        alike = span_hashes(hashes, at, at + least) == span_hashes(hashes, other, other + least)
+        at, other, most = at[alike], other[alike], most[alike]
+    low, high = np.full(len(at), least), most
     while (open := low < high).any():
         middle = (low + high + 1) // 2
         equal = span_hashes(hashes, at, at + middle) == span_hashes(hashes, other, other + middle)
