@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from perilscope.llm.frames import (
-    BROADCAST_BYTES, col_of, cols_of, fresh, materialise, text_or_empty,
+    col_of, cols_of, fresh, materialise, text_or_empty,
 )
 from perilscope.llm.suffixes import common_prefixes, suffix_array
 from perilscope.llm.words import (
@@ -249,22 +249,13 @@ def compared(found: DataFrame, rules: Rules) -> DataFrame:
     return ordered.mapInArrow(run, FOUND_DDL).drop("content")
 
 
-def with_lists(texts: DataFrame, lists: DataFrame, row_bytes: int, how: str) -> DataFrame:
-    """Texts joined with lists: two columns, the number of the text and an array. A broadcast
-    if the measured size allows it, else a shuffle."""
-    name, items = lists.columns
-    rows, length = lists.agg(F.count("*"), F.coalesce(F.sum(F.size(items)), F.lit(0))).first()
-    if rows * 64 + length * row_bytes <= BROADCAST_BYTES:
-        lists = F.broadcast(lists)
-    return texts.join(lists, name, how)
-
-
 def bytes_of(texts: DataFrame, wanted: DataFrame, rules: Rules) -> DataFrame:
     """The bytes of stretches: ``place``, ``crowded``, ``ord``, ``lo``, ``bytes``."""
-    lists = materialise(
-        wanted.groupBy("ord").agg(F.collect_list(F.struct("lo", "strings", "place", "crowded")).alias("list"))
+    # about a tenth of the texts in size, so this is a shuffle at any scale
+    lists = wanted.groupBy("ord").agg(
+        F.collect_list(F.struct("lo", "strings", "place", "crowded")).alias("list")
     )
-    joined = with_lists(texts, lists, 40, "inner").select("text", "ord", "list")
+    joined = texts.join(lists, "ord").select("text", "ord", "list")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in parts(whole, 0)):
@@ -456,7 +447,7 @@ def with_ranges(docs: DataFrame, id: str, text: str, rules: Rules) -> tuple[Data
     lists = repeated_ranges(texts, rules).select(
         F.col("ord").alias(name), F.col("list").alias(ranges)
     )
-    return with_lists(numbered, lists, 16, "left").drop(name), ranges
+    return numbered.join(lists, name, "left").drop(name), ranges
 
 
 def kept_bytes(text: bytes, spans: Iterable[dict]) -> bytes:
