@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import INCIDENT, incident, table
 from checks.registry import check
 from perilscope.operators import cleaning, schema
-from perilscope.session import shared_dir
+from perilscope.session import run_folder
 from perilscope.sources.outputs import read_output, write_outputs
 from perilscope.sources.tables import promote_header, read_sheet, read_table
 
@@ -115,6 +115,7 @@ def rename_resolve(spark, folder):
   THEN (SELECT count(*) FROM customer) END AS filled
 FROM (VALUES
   ('employee id', 'fuzzy', 'employee idd', {200 * 11}::DOUBLE / 23),
+  ('home', 'fuzzy', 'name of home nation', 90.0::DOUBLE),
   ('market segment', 'fuzzy', 'market segmnt', {200 * 13}::DOUBLE / 27),
   ('Full  Name', 'normalized', 'Full Name', 100.0::DOUBLE),
   ('spare', 'NOT FOUND', NULL, 0.0::DOUBLE)) AS t(target, status, source, score)"""
@@ -124,9 +125,10 @@ def fuzzy_columns(spark, folder):
     df = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("employee idd"), F.col("c_name").alias("Full Name"),
         F.col("c_mktsegment").alias("market segmnt"),
+        F.col("c_nationkey").alias("name of home nation"),
     )
     out, report = schema.resolve_columns(
-        df, ["employee id"], ["market segment", "Full  Name", "spare"]
+        df, ["employee id"], ["market segment", "Full  Name", "home", "spare"]
     )
     size = out.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in out.columns])
     filled = size.unpivot([], size.columns, "target", "filled")
@@ -192,11 +194,6 @@ def drop_missing(spark, folder):
     return cleaning.drop_missing(incident(spark, folder, "row_key", "cause", "severity"), ["cause"])
 
 
-def shared_folder(spark, name: str) -> str:
-    """A folder that every task can reach: next to the session's checkpoints."""
-    return f"{shared_dir(spark)}/outputs/{name}"
-
-
 @check(
     f"""WITH {INCIDENT}
 SELECT area, severity, count(*) AS n FROM incident WHERE severity IS NOT NULL GROUP BY ALL"""
@@ -207,7 +204,7 @@ def write_read_back(spark, folder):
     counts = df.where("severity IS NOT NULL").groupBy("area", "severity").agg(
         F.count("*").alias("n")
     )
-    base = shared_folder(spark, "round_trip")
+    base = run_folder(spark, "round_trip")
     paths = write_outputs(
         {"counts": counts, "unmapped": df.where("severity = 'never'"), "joined": None},
         base, "r1",
@@ -220,7 +217,7 @@ def write_read_back(spark, folder):
 def read_csv_table(spark, folder):
     """A table written as CSV with a header and read again as text."""
     df = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
-    path = write_outputs({"customer": df}, shared_folder(spark, "csv"), "r1.csv", "csv")["customer"]
+    path = write_outputs({"customer": df}, run_folder(spark, "csv"), "r1.csv", "csv")["customer"]
     return read_table(spark, path)
 
 
@@ -228,19 +225,49 @@ def read_csv_table(spark, folder):
     """SELECT CAST(c_custkey AS VARCHAR) AS "key", c_mktsegment AS segment FROM customer"""
 )
 def read_sheet_with_header_row(spark, folder):
-    """A CSV whose header is not its first line: read as cells, then promoted."""
+    """A CSV in files of unequal size, whose header is not its first line, read as cells."""
     customer = table(spark, folder, "customer")
     cells = F.array(
-        F.struct(F.lit("report").alias("a"), F.lit("").alias("b"), F.lit(0).alias("o")),
-        F.struct(F.lit("key").alias("a"), F.lit("segment").alias("b"), F.lit(1).alias("o")),
+        F.struct(F.lit("report").alias("a"), F.lit("").alias("b")),
+        F.struct(F.lit("key").alias("a"), F.lit("segment").alias("b")),
+    )
+    top = customer.agg(F.count("*")).select(F.explode(cells).alias("r")).select("r.*")
+    base = run_folder(spark, "sheet")
+    top.write.csv(f"{base}/1")
+    rows = customer.select(F.col("c_custkey").cast("string"), "c_mktsegment")
+    rows.repartition(3).write.csv(f"{base}/2")
+    df = read_sheet(spark, f"{base}/*", 2)
+    return promote_header(df, "line", ["key"]).drop("line")
+
+
+@check(
+    """SELECT CAST(c_custkey AS VARCHAR) AS area, c_name AS "speed (digits)",
+  c_mktsegment || chr(10) || '"x"' AS cause FROM customer"""
+)
+def read_form_export(spark, folder):
+    """A form export: line breaks in a column name and in values."""
+    df = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("area"), F.col("c_name").alias("speed \n(digits)"),
+        F.concat("c_mktsegment", F.lit('\n"x"')).alias("cause"),
     )
-    top = customer.agg(F.count("*")).select(F.explode(cells).alias("r")).select("r.a", "r.b", "r.o")
+    base = run_folder(spark, "form") + ".csv"
+    df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(base)
+    return schema.squash_names(read_table(spark, base, multi_line=True))
+
+
+@check(
+    """SELECT CAST(c_custkey AS VARCHAR) AS "key", c_name AS "Unnamed: 1", c_mktsegment AS segment
+FROM customer"""
+)
+def promote_first_row(spark, folder):
+    """Without a row that has a marker, the first row is the header."""
+    customer = table(spark, folder, "customer")
     body = customer.select(
-        F.col("c_custkey").cast("string").alias("a"), F.col("c_mktsegment").alias("b"),
-        F.lit(2).alias("o"),
+        F.col("c_custkey").alias("line"), F.col("c_custkey").cast("string").alias("c0"),
+        F.col("c_name").alias("c1"), F.col("c_mktsegment").alias("c2"),
     )
-    sheet = top.union(body).orderBy("o").select("a", "b")
-    base = shared_folder(spark, "sheet")
-    sheet.write.mode("overwrite").csv(base)
-    df = read_sheet(spark, base, 2)
-    return promote_header(df, "line", ["key"]).drop("line")
+    top = customer.agg(
+        F.lit(-1).cast("bigint").alias("line"), F.first(F.lit("key")).alias("c0"),
+        F.first(F.lit(None).cast("string")).alias("c1"), F.first(F.lit("segment")).alias("c2"),
+    )
+    return promote_header(body.unionByName(top), "line", ["no such mark"]).drop("line")

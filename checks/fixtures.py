@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.registry import values
-from perilscope.operators.rules import classify
+from perilscope.operators.rules import classify, classify_counts
 
 THEMES = {"Handling": "handling", "Attention": "attention", "Road": "road", "Speed": "speed"}
 SEVERE = ["long"]
@@ -153,9 +153,33 @@ TOKENS_SQL = r"""
   list_filter(list_transform(string_split(regexp_replace({0}, '\(.*?\)', '', 'g'), '/'),
                              lambda x: trim(x)), lambda x: x <> '')"""
 
-# the cascade without its fuzzy stages, on distinct texts
-CASCADE = f"""{INCIDENT},
-{RULES_SQL},
+# length of the longest common subsequence of each (a, b) of a table ``cand``, by the textbook
+# table, one row of it per character of ``a``
+LCS = """walk AS (
+  SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: 0) AS row
+  FROM (SELECT DISTINCT a, b FROM cand)
+  UNION ALL
+  SELECT a, b, i + 1,
+    list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc,
+      CASE WHEN substr(a, i + 1, 1) = substr(b, j::INT, 1) THEN row[j] + 1
+           ELSE greatest(acc[j], row[j + 1]) END), [0])
+  FROM walk WHERE i < length(a)
+),
+scored AS (
+  SELECT a, b, 200.0::DOUBLE * row[length(b) + 1] / (length(a) + length(b)) AS score
+  FROM walk WHERE i = length(a)
+)"""
+
+
+def near(a: str, b: str, min_score: float) -> str:
+    allowed = f"floor((length({a}) + length({b})) * {(100 - min_score) / 100}::DOUBLE + 1e-9)"
+    return f"levenshtein({a}, {b}) <= {allowed}"
+
+
+def texts_sql(rules_sql: str = RULES_SQL) -> str:
+    """The distinct texts and their tokens, with the rules and synonyms they are matched with."""
+    return f"""{INCIDENT},
+{rules_sql},
 {SYNONYMS_SQL},
 texts AS (
   SELECT cause, coalesce(target, trim(cause)) AS text
@@ -171,18 +195,59 @@ token_hit AS (
   FROM tokened JOIN rules ON contains(pattern, token) OR contains(token, pattern)
   GROUP BY cause
 ),
-exact_hit AS (SELECT cause, label FROM texts JOIN rules ON text = pattern),
+exact_hit AS (SELECT cause, label FROM texts JOIN rules ON text = pattern)"""
+
+
+THEMED = """themed AS (
+  SELECT i.*, c.theme FROM incident i LEFT JOIN cascade c ON i.cause = c.cause
+)"""
+
+# the cascade without its fuzzy stages, on distinct texts
+TWO_STAGES = f"""{texts_sql()},
 cascade AS (
   SELECT t.cause, coalesce(e.label, k.label) AS theme
   FROM texts t LEFT JOIN exact_hit e ON t.cause = e.cause LEFT JOIN token_hit k ON t.cause = k.cause
 ),
-themed AS (
-  SELECT i.*, c.theme FROM incident i LEFT JOIN cascade c ON i.cause = c.cause
-)"""
+{THEMED}"""
+
+
+def cascade_sql(rules_sql: str = RULES_SQL) -> str:
+    """The whole cascade, for ``WITH RECURSIVE``."""
+    return f"""{texts_sql(rules_sql)},
+near AS (
+  SELECT text AS a, pattern AS b FROM texts JOIN rules ON {near("text", "pattern", 97)}
+  UNION SELECT token, pattern FROM tokened JOIN rules ON {near("token", "pattern", 97)}
+),
+cand AS (SELECT DISTINCT a, b FROM near),
+{LCS},
+whole AS (
+  SELECT cause, label, row_number() OVER (PARTITION BY cause ORDER BY score DESC, ord) AS place
+  FROM texts JOIN scored ON text = a JOIN rules ON b = pattern WHERE score >= 97
+),
+part_hit AS (
+  SELECT cause, label, row_number() OVER (PARTITION BY cause ORDER BY score DESC, pos, ord) AS place
+  FROM tokened JOIN scored ON token = a JOIN rules ON b = pattern WHERE score >= 97
+),
+cascade AS (
+  SELECT t.cause, coalesce(e.label, k.label, w.label, p.label) AS theme
+  FROM texts t LEFT JOIN exact_hit e ON t.cause = e.cause LEFT JOIN token_hit k ON t.cause = k.cause
+  LEFT JOIN (FROM whole WHERE place = 1) w ON t.cause = w.cause
+  LEFT JOIN (FROM part_hit WHERE place = 1) p ON t.cause = p.cause
+),
+{THEMED}"""
+
+
+CASCADE = cascade_sql()
 
 
 def themed(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Incident rows with their theme by the exact and token stages."""
+    """Incident rows with their theme by the whole cascade."""
     df = incident(spark, folder, *dict.fromkeys([*columns, "cause"]))
-    df, _ = classify(df, "cause", RULES, SYNONYMS, ("exact", "token"))
+    df, _ = classify(df, "cause", RULES, SYNONYMS)
     return df.select(*columns, "theme")
+
+
+def themed_counts(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Counts ``n`` of the incident rows by some columns and theme."""
+    df = incident(spark, folder, *dict.fromkeys([*columns, "cause"]))
+    return classify_counts(df, columns, "cause", RULES, SYNONYMS)[0]

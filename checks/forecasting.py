@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.cleaning import shared_folder
 from checks.fixtures import (
     AREA_PRODUCTS,
     CASCADE,
     INCIDENT,
+    ROW_PRODUCTS,
     RULES,
     SEVERE,
     SYNONYMS,
@@ -16,6 +16,7 @@ from checks.fixtures import (
     incident,
     table,
     themed,
+    themed_counts,
 )
 from checks.registry import check, r, values
 from checks.summaries import _SHARES
@@ -24,6 +25,7 @@ from perilscope.operators import model, trend
 from perilscope.operators.crosstab import to_wide
 from perilscope.plans import forecast
 from perilscope.plans import incident as pipeline
+from perilscope.session import run_folder
 from perilscope.sources.outputs import read_output
 
 _TREND = f"""{CASCADE},
@@ -42,13 +44,13 @@ trend AS (
 )"""
 
 
-def _trend(df):
-    return trend.yoy_trend(df, "area", "theme", "year", "quarter", 1999, 2000)
+def _trend(df, n=None):
+    return trend.yoy_trend(df, "area", "theme", "year", "quarter", 1999, 2000, n=n)
 
 
-@check(f"WITH {_TREND} SELECT * FROM trend")
+@check(f"WITH RECURSIVE {_TREND} SELECT * FROM trend")
 def yoy_trend(spark, folder):
-    return _trend(themed(spark, folder, "area", "year", "quarter"))
+    return _trend(themed_counts(spark, folder, "area", "year", "quarter"), "n")
 
 
 _FEATURES = ["priority", "segment", "surface", "severity"]
@@ -114,7 +116,7 @@ def _probs(df):
 
 
 @check(
-    f"""WITH {_PROBS}
+    f"""WITH RECURSIVE {_PROBS}
 SELECT quarter, area, theme, base_prob, trend, sub_cause, estimated_prob FROM forecast"""
 )
 def subcause_forecast(spark, folder):
@@ -123,7 +125,7 @@ def subcause_forecast(spark, folder):
 
 
 @check(
-    f"""WITH {_PROBS}
+    f"""WITH RECURSIVE {_PROBS}
 SELECT quarter, area, theme, base_prob, sub_cause, history_pct, plain_prob AS estimated_prob
 FROM forecast"""
 )
@@ -133,7 +135,7 @@ def subcause_forecast_plain(spark, folder):
 
 
 @check(
-    f"""WITH {_PROBS},
+    f"""WITH RECURSIVE {_PROBS},
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY quarter, area
     ORDER BY prob DESC, list_position({list(THEMES)!r}, theme)) AS place FROM probs
@@ -149,7 +151,7 @@ def theme_forecast(spark, folder):
 
 
 @check(
-    f"""WITH {_PROBS}
+    f"""WITH RECURSIVE {_PROBS}
 SELECT quarter, area, {", ".join(f"max(prob) FILTER (WHERE theme = '{t}') AS {t}" for t in THEMES)}
 FROM probs GROUP BY quarter, area"""
 )
@@ -158,7 +160,7 @@ def theme_prob_wide(spark, folder):
     return to_wide(probs, ["quarter", "area"], "theme", "prob", {t: t for t in THEMES})
 
 
-@check(f"WITH {_PROBS} SELECT quarter, count(*) AS n FROM forecast GROUP BY quarter")
+@check(f"WITH RECURSIVE {_PROBS} SELECT quarter, count(*) AS n FROM forecast GROUP BY quarter")
 def forecast_counts(spark, folder):
     df = themed(spark, folder, "area", "cause", "year", "quarter")
     return forecast.forecast_counts(
@@ -167,7 +169,7 @@ def forecast_counts(spark, folder):
 
 
 @check(
-    f"""WITH {_PROBS}
+    f"""WITH RECURSIVE {_PROBS}
 SELECT (SELECT count(DISTINCT area) FROM forecast WHERE trend > 1.1) AS rising_areas,
   (SELECT theme FROM forecast GROUP BY theme
    ORDER BY {r("sum(estimated_prob)", 4)} DESC, theme LIMIT 1) AS top_theme"""
@@ -178,7 +180,8 @@ def forecast_kpis(spark, folder):
     return forecast.forecast_kpis(out, "area", "theme")
 
 
-_CODED = ["area", "priority", "severity"]
+# causes are some 2000 texts at the smallest scale of the comparison
+_CODED = ["area", "priority", "severity", "cause"]
 
 
 @check(
@@ -268,7 +271,8 @@ def model_accuracy(spark, folder):
     return model.accuracy(_judged(spark, folder), "label", "pred")
 
 
-def _plan(trees: int = 10, depth: int = 5) -> forecast.ForecastPlan:
+def _plan() -> forecast.ForecastPlan:
+    """The forest of the original size, learned from some 20,000 labelled rows."""
     themes: dict[str, list[str]] = {}
     for pattern, label in RULES[:11]:
         themes.setdefault(label, []).append(pattern)
@@ -280,7 +284,7 @@ def _plan(trees: int = 10, depth: int = 5) -> forecast.ForecastPlan:
         factor_default="Man", surface="surface",
         features=["quarter", "area", "surface", "priority", "traffic", "factor"],
         key=["row_key"], years=(1999, 2000), second_year_renames={"place": "area"},
-        drop=["course"], trees=trees, depth=depth,
+        drop=["course"], trees=200, depth=10, train_rows=20_000,
     )
 
 
@@ -292,13 +296,29 @@ def _years(spark, folder):
     return first, second.withColumn("course", F.lit("yes"))
 
 
-@check()
+@check(
+    f"""WITH {INCIDENT}
+SELECT q AS quarter, area, true AS whole, true AS top_is_largest, true AS as_written
+FROM (SELECT DISTINCT area FROM incident WHERE year IN (1999, 2000)), (VALUES ('Q3'), ('Q4')) AS v(q)"""
+)
 def forest_forecast(spark, folder):
-    """The whole forecast run, its results written and read back."""
+    """The whole forecast run, written and read back, by what must hold for any forest: the
+    probabilities of an area sum to 100 and the top theme has the largest one."""
     result = forecast.run_forecast(*_years(spark, folder), _plan())
-    base = shared_folder(spark, "forecast")
+    base = run_folder(spark, "forecast")
     forecast.write_forecast(result, base, "r1")
-    return read_output(spark, base, "forecast", "r1").drop("run_id")
+    back = read_output(spark, base, "theme_forecast", "r1").drop("run_id")
+    frames = [result.themes, back.select(*result.themes.columns)]
+    same = frames[0].exceptAll(frames[1]).union(frames[1].exceptAll(frames[0])).isEmpty()
+    probs = {c.removeprefix("prob_"): c for c in back.columns if c.startswith("prob_")}
+    total = sum((F.col(c) for c in probs.values()), F.lit(0.0))
+    largest = F.greatest(*[F.col(c) for c in probs.values()])
+    of_top = F.coalesce(*[F.when(F.col("top_theme") == t, F.col(c)) for t, c in probs.items()])
+    return back.select(
+        "quarter", "area", (F.abs(total - 100.0) < 0.05).alias("whole"),
+        ((of_top == largest) & (F.col("top_prob") == largest)).alias("top_is_largest"),
+        F.lit(same).alias("as_written"),
+    )
 
 
 _PLAN_RULES = [(p, t) for t, ps in _plan().themes.items() for p in ps]
@@ -343,17 +363,28 @@ FROM top JOIN trends USING (area, theme), (VALUES ('Q3'), ('Q4')) AS v(q)"""
 )
 def forest_forecast_rows(spark, folder):
     """Of the whole forecast run, all that does not depend on the forest itself."""
-    out = forecast.run_forecast(*_years(spark, folder), _plan(3, 3)).forecast
+    out = forecast.run_forecast(*_years(spark, folder), _plan()).forecast
     share = F.col("base_prob").between(0, 100) & (F.col("estimated_prob") <= F.col("base_prob") * 1.5)
     return out.select("quarter", "area", "campaign_theme", "trend", "sub_cause", share.alias("is_share"))
 
 
-@check()
+@check(
+    f"""SELECT feature, true AS is_share, true AS all_is_100
+FROM (VALUES {", ".join(f"('{f}')" for f in _plan().features)}) AS v(feature)"""
+)
 def forest_importance(spark, folder):
+    """Importances of exactly the given features, which are shares of 100."""
     plan = _plan()
     df, _ = forecast.forecast_input(*_years(spark, folder), plan)
-    fitted = model.fit_forest(df, plan.features, "campaign_theme", 5, 4)
-    return model.importances(fitted, df)
+    fitted = model.fit_forest(
+        df, plan.features, "campaign_theme", plan.trees, plan.depth, train_rows=plan.train_rows
+    )
+    found = model.importances(fitted, df)
+    total = found.agg(F.sum("importance").alias("t")).scalar()
+    return found.select(
+        "feature", F.col("importance").between(0, 100).alias("is_share"),
+        (F.abs(total - 100.0) < 0.05).alias("all_is_100"),
+    )
 
 
 @check(
@@ -370,7 +401,7 @@ def forecast_input(spark, folder):
 
 
 @check(
-    f"""WITH {_SHARES},
+    f"""WITH RECURSIVE {_SHARES},
 counted AS (
   SELECT area, theme, cause, count(*) AS n FROM themed
   WHERE theme IS NOT NULL AND cause IS NOT NULL GROUP BY area, theme, cause
@@ -392,24 +423,42 @@ LEFT JOIN products p ON recommended_campaign = p.theme AND priority_level = band
 )
 def pipeline_end_to_end(spark, folder):
     """The incident run from a dirty table to the area table, written and read back."""
+    return _incident_run(spark, folder, "area_summary").select(
+        "area", "risk_score", "priority_level", "recommended_campaign", "supporting_campaigns",
+        "confidence", "insurance_recommendation", "recommended_campaign_detail",
+    )
+
+
+@check(
+    f"""WITH RECURSIVE {CASCADE},
+{values("products", "theme, severity, product", [(*k, v) for k, v in ROW_PRODUCTS.items()])}
+SELECT row_key, t.cause AS "cause text", t.theme AS campaign_theme,
+       coalesce(product, 'basic') AS insurance_recommendation
+FROM themed t LEFT JOIN products p ON t.theme = p.theme AND t.severity = p.severity"""
+)
+def pipeline_rows(spark, folder):
+    """The row-level output of the same run, read back."""
+    return _incident_run(spark, folder, "rows").select(
+        "row_key", "cause text", "campaign_theme", "insurance_recommendation"
+    )
+
+
+def _incident_run(spark, folder, name):
     raw = incident(
         spark, folder, "row_key", "area", "cause", "severity", "age", "month", "employee"
     ).select(
         F.concat(F.lit(" "), "area").alias(" area "), F.col("cause").alias("cause  text"),
         F.coalesce("severity", F.lit("nan")).alias("severity"),
         F.col("age").cast("string").alias("age"), F.lower("month").alias("month"),
-        F.col("employee").alias("employee id"), F.lit(None).cast("string").alias("empty"),
+        F.col("employee").alias("employee id"), F.col("row_key"), F.lit(None).cast("string").alias("empty"),
     )
     plan = pipeline.IncidentPlan(
         area="area", cause="cause text", severity="severity", severe=SEVERE, themes=THEMES,
-        rules=RULES, synonyms=SYNONYMS, stages=("exact", "token"),
+        rules=RULES, synonyms=SYNONYMS, row_products=ROW_PRODUCTS,
         optional=["age", "month", "employee id"], numbers=["age"], age="age", month="month",
         personal=["employee id"], employee="employee id", area_products=AREA_PRODUCTS,
     )
     result = pipeline.run_pipeline(raw, plan)
-    base = shared_folder(spark, "pipeline")
+    base = run_folder(spark, "incidents")
     pipeline.write_run(result, plan, base, "r1")
-    return read_output(spark, base, "area_summary", "r1").select(
-        "area", "risk_score", "priority_level", "recommended_campaign", "supporting_campaigns",
-        "confidence", "insurance_recommendation", "recommended_campaign_detail",
-    )
+    return read_output(spark, base, name, "r1")

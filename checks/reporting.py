@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import CASCADE, INCIDENT, SEVERE, THEMES, incident, table, themed
+from checks.fixtures import CASCADE, INCIDENT, SEVERE, THEMES, incident, table, themed, themed_counts
 from checks.registry import check, r
 from checks.summaries import _SHARES
 from perilscope.functions.numbers import round_even
@@ -72,7 +72,7 @@ def reindexed_counts(spark, folder):
 
 
 @check(
-    f"""WITH {_SHARES}
+    f"""WITH RECURSIVE {_SHARES}
 SELECT (SELECT count(*) FROM themed) AS reports,
   (SELECT count(*) FILTER (WHERE priority_level = 'High') FROM banded) AS high_areas,
   (SELECT {r("avg(risk_score)", 1)} FROM banded) AS mean_score,
@@ -81,9 +81,9 @@ SELECT (SELECT count(*) FROM themed) AS reports,
    ORDER BY count(*) DESC, theme LIMIT 1) AS top_theme"""
 )
 def kpis(spark, folder):
-    df = themed(spark, folder, "area", "severity")
-    summary = areas.area_summary(df, "area", "theme", "severity", SEVERE, THEMES)
-    return report.kpis(df, summary, "theme")
+    df = themed_counts(spark, folder, "area", "severity")
+    summary = areas.area_summary(df, "area", "theme", "severity", SEVERE, THEMES, n="n")
+    return report.kpis(df, summary, "theme", n="n")
 
 
 @check(
@@ -96,7 +96,7 @@ def group_sum_argmax(spark, folder):
 
 
 @check(
-    f"""WITH {CASCADE}
+    f"""WITH RECURSIVE {CASCADE}
 SELECT theme, cause, avg(speed) AS value FROM themed WHERE theme IS NOT NULL
 GROUP BY theme, cause ORDER BY value DESC, theme, cause LIMIT 5"""
 )
@@ -106,7 +106,7 @@ def top5_mean(spark, folder):
 
 
 @check(
-    f"""WITH {CASCADE}
+    f"""WITH RECURSIVE {CASCADE}
 SELECT theme, avg(speed) AS value FROM themed GROUP BY theme"""
 )
 def group_mean(spark, folder):
@@ -122,37 +122,49 @@ def distinct_if(spark, folder):
     return report.distinct_if(df, "employee", (F.col("speed") > 49) & (F.col("severity") == "long"))
 
 
-@check(
-    "SELECT * FROM ("
-    + " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count({c}) AS "count", {r(f"avg({c})", 6)} AS mean,
+_DESCRIBED = ("l_quantity", "l_linenumber", "l_extendedprice")
+_DESCRIBE = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS "count", {r(f"avg({c})", 6)} AS mean,
   {r(f"stddev_samp({c})", 6)} AS std, min({c})::DOUBLE AS min,
   {r(f"quantile_cont({c}, 0.25)", 6)} AS q1, {r(f"quantile_cont({c}, 0.5)", 6)} AS median,
   {r(f"quantile_cont({c}, 0.75)", 6)} AS q3, max({c})::DOUBLE AS max FROM lineitem"""
-        for c in ("l_quantity", "l_linenumber", "l_extendedprice")
-    )
-    + ")"
+    for c in _DESCRIBED
 )
-def describe(spark, folder):
-    out = report.describe(
-        table(spark, folder, "lineitem"), ["l_quantity", "l_linenumber", "l_extendedprice"]
-    )
+
+
+def _described(spark, folder, **options):
+    out = report.describe(table(spark, folder, "lineitem"), _DESCRIBED, **options)
     return out.withColumns(
         {c: round_even(c, 6) for c in ("mean", "std", "q1", "median", "q3")}
     )
 
 
+@check(_DESCRIBE)
+def describe(spark, folder):
+    return _described(spark, folder)
+
+
+@check(_DESCRIBE)
+def describe_in_ranges(spark, folder):
+    """The same by narrowing ranges, as for columns too large to rank."""
+    return _described(spark, folder, few=500)
+
+
+_COLUMNS = [
+    "row_key", "area", "cause", "severity", "age", "speed", "date", "year", "quarter", "month",
+    "surface", "employee", "priority", "segment", "line", "price",
+]
+
+
 @check(
     f"""WITH {INCIDENT}, n AS (
-  SELECT count(*) - count(cause) AS cause, count(*) - count(severity) AS severity,
-         count(*) - count(area) AS area, count(*) - count(row_key) AS row_key FROM incident
+  SELECT {", ".join(f"count(*) - count({c}) AS {c}" for c in _COLUMNS)} FROM incident
 )
-SELECT * FROM (UNPIVOT n ON cause, severity, area, row_key INTO NAME "column" VALUE nulls)
-ORDER BY nulls DESC, "column" LIMIT 3"""
+SELECT * FROM (UNPIVOT n ON {", ".join(_COLUMNS)} INTO NAME "column" VALUE nulls)
+ORDER BY nulls DESC, "column" LIMIT 15"""
 )
 def null_counts(spark, folder):
-    df = incident(spark, folder, "row_key", "area", "cause", "severity")
-    return report.null_counts(df, 3)
+    return report.null_counts(incident(spark, folder, *_COLUMNS))
 
 
 @check(
@@ -169,8 +181,8 @@ def rank_rows(spark, folder):
 
 @check(
     f"""WITH {INCIDENT}
-SELECT area FROM (SELECT DISTINCT area FROM incident) ORDER BY substr(area, 8)::INT LIMIT 11"""
+SELECT area FROM (SELECT DISTINCT area FROM incident) ORDER BY substr(area, 8)::INT"""
 )
 def natural_area_list(spark, folder):
     df = incident(spark, folder, "area").distinct()
-    return report.rank_rows(df, [natural_key("area")], [True], 11)
+    return report.rank_rows(df, [natural_key("area")], [True])

@@ -7,52 +7,23 @@ from pyspark.sql import functions as F
 from checks.fixtures import (
     CASCADE,
     INCIDENT,
+    LCS,
     RULES,
     RULES_SQL,
     SYNONYMS,
-    SYNONYMS_SQL,
     TOKENS_SQL,
+    TWO_STAGES,
+    cascade_sql,
     incident,
+    near,
     table,
+    texts_sql,
     themed,
 )
 from checks.registry import check, r, values
 from perilscope.operators import rules
 
-_TEXTS = f"""{INCIDENT},
-{RULES_SQL},
-{SYNONYMS_SQL},
-texts AS (
-  SELECT cause, coalesce(target, trim(cause)) AS text
-  FROM (SELECT DISTINCT cause FROM incident WHERE cause IS NOT NULL)
-  LEFT JOIN synonyms ON trim(cause) = source
-),
-split AS (SELECT cause, text, {TOKENS_SQL.format("text")} AS toks FROM texts),
-tokened AS (
-  SELECT cause, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM split
-)"""
-
-# length of the longest common subsequence of each (a, b) of a table ``cand``, by the textbook
-# table, one row of it per character of ``a``
-_LCS = """walk AS (
-  SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: 0) AS row
-  FROM (SELECT DISTINCT a, b FROM cand)
-  UNION ALL
-  SELECT a, b, i + 1,
-    list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc,
-      CASE WHEN substr(a, i + 1, 1) = substr(b, j::INT, 1) THEN row[j] + 1
-           ELSE greatest(acc[j], row[j + 1]) END), [0])
-  FROM walk WHERE i < length(a)
-),
-scored AS (
-  SELECT a, b, 200.0::DOUBLE * row[length(b) + 1] / (length(a) + length(b)) AS score
-  FROM walk WHERE i = length(a)
-)"""
-
-
-def _near(a: str, b: str, min_score: float) -> str:
-    allowed = f"floor((length({a}) + length({b})) * {(100 - min_score) / 100}::DOUBLE + 1e-9)"
-    return f"levenshtein({a}, {b}) <= {allowed}"
+_TEXTS = texts_sql()
 
 
 def _labelled(spark, folder, stages, min_score=97.0):
@@ -70,32 +41,32 @@ def rule_exact(spark, folder):
 
 
 @check(
-    f"""WITH {CASCADE}
+    f"""WITH {TWO_STAGES}
 SELECT row_key, i.cause, label AS theme FROM incident i LEFT JOIN token_hit h ON i.cause = h.cause"""
 )
 def rule_token_contains(spark, folder):
     return _labelled(spark, folder, ("token",))[0]
 
 
-@check(f"WITH {CASCADE} SELECT row_key, cause, theme FROM themed")
+@check(f"WITH {TWO_STAGES} SELECT row_key, cause, theme FROM themed")
 def rule_cascade(spark, folder):
     return _labelled(spark, folder, ("exact", "token"))[0]
 
 
-@check(f"WITH {CASCADE} SELECT cause, theme FROM cascade")
+@check(f"WITH {TWO_STAGES} SELECT cause, theme FROM cascade")
 def rule_cascade_by_row(spark, folder):
     """The cascade as a plain expression on the rows, as a stream would use it."""
     df = incident(spark, folder, "cause").where("cause IS NOT NULL").distinct()
     return df.withColumn("theme", rules.label_of("cause", RULES, SYNONYMS, ("exact", "token")))
 
 
-@check(f"WITH {CASCADE} SELECT cause FROM cascade WHERE theme IS NULL")
+@check(f"WITH RECURSIVE {CASCADE} SELECT cause FROM cascade WHERE theme IS NULL")
 def rule_unmapped(spark, folder):
-    return _labelled(spark, folder, ("exact", "token"))[1]
+    return _labelled(spark, folder, rules.STAGES)[1]
 
 
 @check(
-    f"""WITH {CASCADE}
+    f"""WITH RECURSIVE {CASCADE}
 SELECT count(theme) AS mapped, count(*) FILTER (WHERE theme IS NULL) AS unmapped,
        {r("count(theme)::DOUBLE / count(*) * 100", 1)} AS mapped_pct FROM themed"""
 )
@@ -198,9 +169,9 @@ def rule_table(spark, folder):
 @check(
     f"""WITH RECURSIVE {_TEXTS},
 cand AS (
-  SELECT DISTINCT text AS a, pattern AS b FROM texts JOIN rules ON {_near("text", "pattern", 97)}
+  SELECT DISTINCT text AS a, pattern AS b FROM texts JOIN rules ON {near("text", "pattern", 97)}
 ),
-{_LCS},
+{LCS},
 hit AS (
   SELECT cause, arg_max(label, score * 1000 - ord) AS label
   FROM texts JOIN scored ON text = a JOIN rules ON b = pattern WHERE score >= 97 GROUP BY cause
@@ -214,9 +185,9 @@ def rule_fuzzy(spark, folder):
 @check(
     f"""WITH RECURSIVE {_TEXTS},
 cand AS (
-  SELECT DISTINCT token AS a, pattern AS b FROM tokened JOIN rules ON {_near("token", "pattern", 70)}
+  SELECT DISTINCT token AS a, pattern AS b FROM tokened JOIN rules ON {near("token", "pattern", 70)}
 ),
-{_LCS},
+{LCS},
 hit AS (
   SELECT cause, label,
          row_number() OVER (PARTITION BY cause ORDER BY score DESC, pos, ord) AS place
@@ -229,37 +200,36 @@ def token_fuzzy(spark, folder):
     return _labelled(spark, folder, ("token_fuzzy",), 70.0)[0]
 
 
-@check(
-    f"""WITH RECURSIVE {_TEXTS},
-near AS (
-  SELECT text AS a, pattern AS b FROM texts JOIN rules ON {_near("text", "pattern", 97)}
-  UNION SELECT token, pattern FROM tokened JOIN rules ON {_near("token", "pattern", 97)}
-),
-cand AS (SELECT DISTINCT a, b FROM near),
-{_LCS},
-token_hit AS (
-  SELECT cause, arg_min(label, pos * 1000 + ord) AS label
-  FROM tokened JOIN rules ON contains(pattern, token) OR contains(token, pattern) GROUP BY cause
-),
-exact_hit AS (SELECT cause, label FROM texts JOIN rules ON text = pattern),
-whole AS (
-  SELECT cause, label, row_number() OVER (PARTITION BY cause ORDER BY score DESC, ord) AS place
-  FROM texts JOIN scored ON text = a JOIN rules ON b = pattern WHERE score >= 97
-),
-part_hit AS (
-  SELECT cause, label, row_number() OVER (PARTITION BY cause ORDER BY score DESC, pos, ord) AS place
-  FROM tokened JOIN scored ON token = a JOIN rules ON b = pattern WHERE score >= 97
-)
-SELECT t.cause, coalesce(e.label, k.label, w.label, p.label) AS theme
-FROM texts t LEFT JOIN exact_hit e ON t.cause = e.cause LEFT JOIN token_hit k ON t.cause = k.cause
-LEFT JOIN (FROM whole WHERE place = 1) w ON t.cause = w.cause
-LEFT JOIN (FROM part_hit WHERE place = 1) p ON t.cause = p.cause"""
-)
+@check(f"WITH RECURSIVE {CASCADE} SELECT cause, theme FROM cascade")
 def rule_full_cascade(spark, folder):
     df = incident(spark, folder, "cause").where("cause IS NOT NULL").distinct()
     return rules.classify(df, "cause", RULES, SYNONYMS)[0]
 
 
+def _many_rules(size: int = 148) -> list[tuple[str, str]]:
+    """A rule table of the size of the largest one in use: the rules above and whole texts."""
+    themes = ["Handling", "Attention", "Road", "Speed"]
+    texts = [
+        f"{kind} {part} (Brand#{brand})/{sort}"
+        for brand in range(1, 26)
+        for kind, part, sort in (
+            ("small", "lever", "large"), ("new", "bracket", "promo"), ("cold", "sprocket", "standard"),
+            ("blue", "cog", "economyy"), ("red", "anvill", "smal"), ("old", "rod", "large"),
+        )
+    ]
+    more = [(t, themes[i % 4]) for i, t in enumerate(texts)]
+    return [*RULES, *more][:size]
+
+
+_MANY_SQL = values("rules", "pattern, label, ord", [(p, x, i) for i, (p, x) in enumerate(_many_rules())])
+
+
+@check(f"WITH RECURSIVE {cascade_sql(_MANY_SQL)} SELECT row_key, cause, theme FROM themed")
+def rule_cascade_148(spark, folder):
+    df = incident(spark, folder, "row_key", "cause")
+    return rules.classify(df, "cause", _many_rules(), SYNONYMS)[0]
+
+
 KEYWORDS = {
     "Forged": ["anvyl", "hot"],
     "Fixing": ["bolts", "old bolt"],
@@ -303,7 +273,7 @@ cuts AS (
   FROM starts
 ),
 cand AS (SELECT DISTINCT a, b FROM cuts),
-{_LCS},
+{LCS},
 partial AS (
   SELECT token, word, max(score) AS score FROM cuts JOIN scored USING (a, b) GROUP BY token, word
 ),

@@ -210,7 +210,8 @@ def synonym_replace(spark, folder):
 
 
 @check(
-    """SELECT name, concat('NATION_', lpad(substr(name, 8), 20, '0')) AS sort_key FROM (
+    """SELECT name, concat('NATION_', lpad(length(ltrim(substr(name, 8), '0'))::VARCHAR, 10, '0'),
+  ltrim(substr(name, 8), '0')) AS sort_key FROM (
   SELECT n_name AS name FROM nation
   UNION SELECT concat('NATION_', s_suppkey * 7 + 30) FROM supplier)"""
 )

@@ -9,18 +9,22 @@ from checks.fixtures import (
     CASCADE,
     INCIDENT,
     ROW_PRODUCTS,
+    RULES,
     SEVERE,
     SEVERITIES,
+    SYNONYMS,
     THEMES,
     incident,
     table,
     themed,
+    themed_counts,
 )
 from checks.registry import check, r, values
 from perilscope.functions.numbers import bin_right_closed, percent, weighted_score
 from perilscope.operators import area as areas
 from perilscope.operators import crosstab as ct
 from perilscope.operators import joins, ranking, trend
+from perilscope.operators.rules import classify
 
 
 def _pct(part: str, total: str, digits: int = 1) -> str:
@@ -90,10 +94,10 @@ recommended AS (
 
 
 def _summary(spark, folder):
-    df = themed(spark, folder, "area", "severity")
+    df = themed_counts(spark, folder, "area", "severity")
     return areas.area_summary(
         df, "area", "theme", "severity", SEVERE, THEMES,
-        products=AREA_PRODUCTS, default_product="basic",
+        products=AREA_PRODUCTS, default_product="basic", n="n",
     )
 
 
@@ -103,14 +107,14 @@ _SCORE_COLUMNS = [
 ]
 
 
-@check(f"WITH {_SHARES} SELECT {', '.join(_SCORE_COLUMNS)} FROM banded")
+@check(f"WITH RECURSIVE {_SHARES} SELECT {', '.join(_SCORE_COLUMNS)} FROM banded")
 def area_risk_summary(spark, folder):
     summary = _summary(spark, folder).select(*_SCORE_COLUMNS)
     return areas.sort_by_risk(summary, "area")
 
 
 @check(
-    f"""WITH {_SHARES},
+    f"""WITH RECURSIVE {_SHARES},
 {values("products", "theme, band, product", [(*k, v) for k, v in AREA_PRODUCTS.items()])}
 SELECT area, dominant_theme, recommended_campaign, supporting_campaigns, confidence,
        coalesce(product, 'basic') AS insurance_recommendation
@@ -124,7 +128,7 @@ def area_recommendation(spark, folder):
 
 
 @check(
-    f"""WITH {_SHARES},
+    f"""WITH RECURSIVE {_SHARES},
 said AS (
   SELECT *, coalesce(priority_level, '-') AS band,
          format('{{:.1f}}', round_even(risk_score * 10, 0) / 10) AS score,
@@ -150,7 +154,7 @@ def area_explanation(spark, folder):
 
 
 @check(
-    f"""WITH {_SHARES},
+    f"""WITH RECURSIVE {_SHARES},
 counted AS (
   SELECT area, theme, cause, count(*) AS n FROM themed
   WHERE theme IS NOT NULL AND cause IS NOT NULL GROUP BY ALL
@@ -167,29 +171,33 @@ SELECT r.area, recommended_campaign, coalesce(causes, '-') AS recommended_campai
 FROM recommended r LEFT JOIN detail d ON r.area = d.area AND recommended_campaign = d.theme"""
 )
 def attach_detail(spark, folder):
-    df = themed(spark, folder, "area", "severity", "cause")
-    summary = areas.area_summary(df, "area", "theme", "severity", SEVERE, THEMES)
-    return areas.attach_detail(summary, df, "area", "theme", "cause").select(
+    df = themed_counts(spark, folder, "area", "severity", "cause")
+    summary = areas.area_summary(df, "area", "theme", "severity", SEVERE, THEMES, n="n")
+    return areas.attach_detail(summary, df, "area", "theme", "cause", count="n").select(
         "area", "recommended_campaign", "recommended_campaign_detail"
     )
 
 
 @check(
-    f"""WITH {CASCADE}
+    f"""WITH RECURSIVE {CASCADE}
 SELECT area, {", ".join(f"count(*) FILTER (WHERE theme = {t!r}) AS {t}" for t in [*THEMES, "Unused"])}
 FROM themed WHERE area IS NOT NULL AND theme IS NOT NULL GROUP BY area"""
 )
 def theme_crosstab(spark, folder):
-    return ct.crosstab(themed(spark, folder, "area"), "area", "theme", [*THEMES, "Unused"])
+    return ct.crosstab(
+        themed_counts(spark, folder, "area"), "area", "theme", [*THEMES, "Unused"], n="n"
+    )
 
 
 @check(
-    f"""WITH {CASCADE}
+    f"""WITH RECURSIVE {CASCADE}
 SELECT area, {", ".join(f"{_pct(_count(f'theme = {t!r}'), 'count(*)')} AS {t}" for t in THEMES)}
 FROM themed WHERE theme IS NOT NULL GROUP BY area"""
 )
 def theme_share(spark, folder):
-    return ct.crosstab(themed(spark, folder, "area"), "area", "theme", list(THEMES), True)
+    return ct.crosstab(
+        themed_counts(spark, folder, "area"), "area", "theme", list(THEMES), True, n="n"
+    )
 
 
 _BY_GROUP = f"""{INCIDENT},
@@ -227,12 +235,14 @@ def worst_group(spark, folder):
 
 
 @check(
-    f"""WITH {CASCADE}
+    f"""WITH RECURSIVE {CASCADE}
 SELECT theme, {_count("severity = 'long'")} / count(*)::DOUBLE * 100 AS impact
 FROM themed WHERE theme IS NOT NULL AND severity IS NOT NULL GROUP BY theme"""
 )
 def theme_impact(spark, folder):
-    return ct.theme_impact(themed(spark, folder, "severity"), "theme", "severity", SEVERE)
+    return ct.theme_impact(
+        themed_counts(spark, folder, "severity"), "theme", "severity", SEVERE, "n"
+    )
 
 
 @check(
@@ -248,18 +258,19 @@ def cause_severity_share(spark, folder):
 
 
 @check(
-    f"""WITH {_SHARES}
+    f"""WITH RECURSIVE {_SHARES}
 SELECT area, theme AS "Theme", pct AS "%" FROM long_pct"""
 )
 def theme_share_long(spark, folder):
     wide = areas.area_shares(
-        themed(spark, folder, "area", "severity"), "area", "theme", "severity", SEVERE, THEMES
+        themed_counts(spark, folder, "area", "severity"), "area", "theme", "severity", SEVERE, THEMES,
+        n="n",
     )
     return ct.to_long(wide, ["area"], {f"{p}_pct": t for t, p in THEMES.items()}, "Theme", "%")
 
 
 @check(
-    f"""WITH {CASCADE},
+    f"""WITH RECURSIVE {CASCADE},
 counted AS (
   SELECT area, theme, cause, count(*) AS n FROM themed
   WHERE theme IS NOT NULL AND cause IS NOT NULL GROUP BY ALL
@@ -273,12 +284,12 @@ FROM top GROUP BY area, theme"""
 )
 def topn_cause_text(spark, folder):
     return ranking.top_causes_text(
-        themed(spark, folder, "area", "cause"), ["area", "theme"], "cause"
+        themed_counts(spark, folder, "area", "cause"), ["area", "theme"], "cause", count="n"
     )
 
 
 @check(
-    f"""WITH {CASCADE},
+    f"""WITH RECURSIVE {CASCADE},
 counted AS (
   SELECT area, theme, cause, count(*) AS n FROM themed
   WHERE theme IS NOT NULL AND cause IS NOT NULL GROUP BY ALL
@@ -289,11 +300,13 @@ SELECT area, theme, cause, n,
 FROM counted QUALIFY rank <= 3"""
 )
 def cause_share_top3(spark, folder):
-    return ranking.cause_share(themed(spark, folder, "area", "cause"), ["area", "theme"], "cause")
+    return ranking.cause_share(
+        themed_counts(spark, folder, "area", "cause"), ["area", "theme"], "cause", count="n"
+    )
 
 
 @check(
-    f"""WITH {CASCADE},
+    f"""WITH RECURSIVE {CASCADE},
 {values("products", "p_theme, p_severity, product", [(*k, v) for k, v in ROW_PRODUCTS.items()])}
 SELECT row_key, t.theme, t.severity, coalesce(product, 'basic (default)') AS product
 FROM themed t LEFT JOIN products p ON t.theme = p_theme AND t.severity = p_severity"""
@@ -329,13 +342,16 @@ def master_join(spark, folder):
 
 
 @check(
-    f"""WITH {CASCADE}
+    f"""WITH RECURSIVE {CASCADE}
 SELECT row_key, cause, severity, cause AS actual_cause, theme AS advice
 FROM themed"""
 )
 def personalised_output(spark, folder):
     raw = incident(spark, folder, "row_key", "cause", "severity")
-    derived = themed(spark, folder, "row_key", "cause").withColumnRenamed("theme", "campaign_theme")
+
+    def derived(df):
+        return classify(df, "cause", RULES, SYNONYMS, label="campaign_theme")[0]
+
     return joins.personalised(
         raw, derived, "row_key",
         {"cause": "actual_cause", "campaign_theme": "advice", "absent": "nowhere"},
@@ -343,7 +359,7 @@ def personalised_output(spark, folder):
 
 
 @check(
-    f"""WITH {CASCADE},
+    f"""WITH RECURSIVE {CASCADE},
 a AS (SELECT area, {_pct(_count("severity = 'long'"), 'count(*)')} AS severity_pct
       FROM themed WHERE severity IS NOT NULL AND line < 6 GROUP BY area),
 b AS (SELECT area, {_pct(_count("theme = 'Road'"), 'count(*)')} AS road_pct
@@ -366,7 +382,7 @@ def aligned_series(spark, folder):
 
 
 @check(
-    f"""WITH {_SHARES}
+    f"""WITH RECURSIVE {_SHARES}
 SELECT area, {", ".join(r(f"{p}_pct * coalesce((SELECT impact FROM impact WHERE theme = {t!r}), 0)", 2) + f" AS {p}_score" for t, p in THEMES.items())},
        {r("road_pct * 0.25::DOUBLE + speed_pct * 0.75::DOUBLE", 1)} AS other_score
 FROM shares"""
@@ -379,3 +395,19 @@ def theme_scores(spark, folder):
         weighted_score({"road_pct": 0.25, "speed_pct": 0.75}, 1).alias("other_score"),
     )
 
+
+
+@check(
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, s_name
+FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 > 0) ON l_suppkey = s_suppkey"""
+)
+def join_mixed_keys(spark, folder):
+    """Keys of different types on the two sides, all of them hot."""
+    left = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").cast("int").alias("l_suppkey")
+    )
+    right = table(spark, folder, "supplier").where("s_suppkey % 3 > 0").select(
+        F.col("s_suppkey").alias("l_suppkey"), "s_name"
+    )
+    joined = joins.spread_left_join(left, right, ["l_suppkey"], salts=4, hot_rows=10)
+    return joined.withColumn("l_suppkey", F.col("l_suppkey").cast("bigint"))

@@ -40,6 +40,18 @@ def constant(value: object, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), schema)
 
 
+def rows_of(n: str | None, condition: Column | None = None) -> Column:
+    """The number of rows, of those that meet a condition if given.
+
+    With a column ``n``, each row stands for so many: a frame of counts gives the results of
+    the rows that were counted.
+    """
+    if n is None:
+        return F.count("*") if condition is None else F.count_if(condition)
+    rows = col_of(n) if condition is None else F.when(condition, col_of(n))
+    return F.coalesce(F.sum(rows), F.lit(0)).cast("bigint")
+
+
 def bounded_values(df: DataFrame, column: str, limit: int = 1000) -> list:
     """Distinct non-null values in ascending order, for plan building.
 

@@ -21,7 +21,7 @@ MONTH_SPELLINGS = (
     ("เม.ย.", "เมษายน", "apr", "april", "4", "04", "4.0"),
     ("พ.ค.", "พฤษภาคม", "may", "5", "05", "5.0"),
     ("มิ.ย.", "มิถุนายน", "jun", "june", "6", "06", "6.0"),
-    ("ก.ค.", "กรกฎาคม", "jul", "july", "7", "07", "7.0"),
+    ("ก.ค.", "กรกฎาคม", "jul", "july", "7", "07", "7.0", "07.0"),
     ("ส.ค.", "สิงหาคม", "aug", "august", "8", "08", "8.0"),
     ("ก.ย.", "กันยายน", "sep", "september", "9", "09", "9.0"),
     ("ต.ค.", "ตุลาคม", "oct", "october", "10", "10.0"),

@@ -89,10 +89,17 @@ def replace_synonym(text: ColumnLike, synonyms: Mapping[str, str] | None) -> Col
     return F.coalesce(F.element_at(literal_map(synonyms), bare), bare)
 
 
-def natural_key(text: ColumnLike, width: int = 20) -> Column:
-    """Sort key in which runs of digits compare as numbers (of up to ``width`` digits)."""
-    padded = F.regexp_replace(western_digits(text), r"(\d+)", "0" * width + "$1")
-    return F.regexp_replace(padded, rf"\d*(\d{{{width}}})", "$1")
+def natural_key(text: ColumnLike) -> Column:
+    """Sort key in which runs of digits, of any length, compare as numbers: each is written as
+    the number of its digits, leading zeros left out, and the digits."""
+
+    def part(piece: Column) -> Column:
+        digits = F.ltrim(piece, F.lit("0"))
+        size = F.lpad(F.length(digits).cast("string"), 10, "0")
+        return F.when(piece.rlike(r"^\d"), F.concat(size, digits)).otherwise(piece)
+
+    pieces = F.regexp_extract_all(western_digits(text), F.lit(r"\d+|\D+"), F.lit(0))
+    return F.array_join(F.transform(pieces, part), "")
 
 
 def render(template: str, fields: Mapping[str, ColumnLike], missing: str = "-") -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perilscope.columns import col_of, cols_of
+from perilscope.columns import col_of, cols_of, rows_of
 from perilscope.functions.numbers import (
     argmax_label,
     bin_right_closed,
@@ -48,19 +48,20 @@ def area_shares(
     severe: Sequence[str],
     themes: Mapping[str, str],
     score_digits: int | None = 2,
+    n: str | None = None,
 ) -> DataFrame:
     """Per area: severe share, theme shares and theme scores (share times overall impact).
 
     Shares are rounded before they are multiplied, the impact is not. Each share has its own
     denominator: rows with a known theme, rows with a known severity, and for the impact
     rows with both. One pass over the data counts (area, theme, severity class); all else
-    works on those counts.
+    works on those counts. ``n`` names the column with the rows that a row stands for.
     """
     counts = df.groupBy(
         col_of(area).alias("_area"),
         col_of(theme).alias("_theme"),
         F.when(col_of(severity).isNotNull(), col_of(severity).isin(list(severe))).alias("_severe"),
-    ).agg(F.count("*").alias("n"))
+    ).agg(rows_of(n).alias("n"))
 
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
@@ -121,6 +122,7 @@ def area_summary(
     default_product: str = "basic",
     texts: tuple[str, str, str] = (REASON_SAME, REASON_OTHER, INSIGHT),
     score_digits: int | None = 2,
+    n: str | None = None,
 ) -> DataFrame:
     """One row per area: shares, scores, risk score and band, themes, texts, product.
 
@@ -129,7 +131,7 @@ def area_summary(
     null scores and no recommendation. Texts may name ``{area} {band} {score} {dominant}
     {recommended} {supporting} {confidence}``.
     """
-    shares = area_shares(df, area, theme, severity, severe, themes, score_digits)
+    shares = area_shares(df, area, theme, severity, severe, themes, score_digits, n)
     score = {t: f"{p}_score" for t, p in themes.items()}
     scored = shares.withColumns(
         {
@@ -187,9 +189,11 @@ def attach_detail(
     n: int = 3,
     text: str = "{cause} ({n})",
     default: str = "-",
+    count: str | None = None,
 ) -> DataFrame:
-    """Add the leading causes of the recommended theme of each area as one text."""
-    detail = top_causes_text(df, [area, theme], cause, n, text).withColumnsRenamed(
+    """Add the leading causes of the recommended theme of each area as one text. ``count`` names
+    the column of ``df`` with the rows that a row stands for."""
+    detail = top_causes_text(df, [area, theme], cause, n, text, count=count).withColumnsRenamed(
         {theme: "recommended_campaign", "causes": "recommended_campaign_detail"}
     )
     joined = summary.join(detail, [area, "recommended_campaign"], "left")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perilscope.columns import bounded_values, col_of, cols_of
+from perilscope.columns import bounded_values, col_of, cols_of, rows_of
 from perilscope.functions.numbers import percent
 
 
@@ -18,17 +18,21 @@ def crosstab(
     values: Sequence | None = None,
     normalize: bool = False,
     digits: int | None = 1,
+    n: str | None = None,
+    most: int = 10_000,
 ) -> DataFrame:
     """One row per ``row`` value, one column per ``col`` value; nulls on either side left out.
 
-    Given ``values`` become the columns, also absent ones. Shares are percentages of all
-    non-null rows of the ``row`` value. One aggregate with map-side counts, no pivot pass.
+    Given ``values`` become the columns, also absent ones; otherwise all there are, of which
+    more than ``most`` are an error, since they are columns of the plan. Shares are percentages
+    of all non-null rows of the ``row`` value. One aggregate with map-side counts, no pivot
+    pass. ``n`` names the column with the rows that a row of ``df`` stands for.
     """
-    names = bounded_values(df, col) if values is None else list(values)
+    names = bounded_values(df, col, most) if values is None else list(values)
     known = df.where(col_of(row).isNotNull() & col_of(col).isNotNull())
     counts = known.groupBy(col_of(row)).agg(
-        F.count("*").alias("_total"),
-        *[F.count_if(col_of(col) == v).alias(f"_v{i}") for i, v in enumerate(names)],
+        rows_of(n).alias("_total"),
+        *[rows_of(n, col_of(col) == v).alias(f"_v{i}") for i, v in enumerate(names)],
     )
 
     def cell(i: int) -> Column:
@@ -47,12 +51,13 @@ def share_long(df: DataFrame, row: str, col: str, digits: int | None = 1) -> Dat
     )
 
 
-def theme_impact(df: DataFrame, theme: str, severity: str, severe: Sequence[str]) -> DataFrame:
+def theme_impact(
+    df: DataFrame, theme: str, severity: str, severe: Sequence[str], n: str | None = None
+) -> DataFrame:
     """Unrounded share of severe rows per theme, in percent."""
     known = df.where(col_of(theme).isNotNull() & col_of(severity).isNotNull())
-    return known.groupBy(col_of(theme)).agg(
-        (F.count_if(col_of(severity).isin(list(severe))) / F.count("*") * F.lit(100.0)).alias("impact")
-    )
+    hit = rows_of(n, col_of(severity).isin(list(severe)))
+    return known.groupBy(col_of(theme)).agg((hit / rows_of(n) * F.lit(100.0)).alias("impact"))
 
 
 def worst_group(table: DataFrame, group: str, col: str) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DataType, StringType
 
 from perilscope.columns import col_of, cols_of
 from perilscope.functions.text import strip
+from perilscope.session import materialise
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 CASE_LIMIT = 40
@@ -35,45 +36,67 @@ def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
     return (df.agg(F.sum(per_row.cast("bigint")).alias("b")).first()["b"] or 0) <= limit
 
 
+def common_type(spark: SparkSession, one: DataType, other: DataType) -> DataType:
+    """The type as which Spark compares two columns."""
+    if one == other:
+        return one
+    both = F.coalesce(F.lit(None).cast(one), F.lit(None).cast(other))
+    return spark.range(0).select(both.alias("k")).schema["k"].dataType
+
+
 def spread_left_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     salts: int | None = None,
     hot_rows: int = 1_000_000,
-    max_hot: int = 1000,
     counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left equi join that stays even when one key holds a large part of ``left``.
 
-    The ``max_hot`` most frequent keys among those with at least ``hot_rows`` rows, found by
-    one pre-aggregated pass over the key columns, are split over ``salts`` (as many as there
-    are shuffle partitions if not given), and their right rows repeated once per salt. Any other key holds less than ``1 / max_hot`` of the rows.
-    Rows with a null key match nothing and are spread the same way. ``counts`` saves the
-    pass where the rows per key are known: a frame of the keys and ``n``.
+    Keys are compared as their common type. All keys with at least ``hot_rows`` rows, and at
+    least one row in 100,000, are split over ``salts`` (as many as there are shuffle
+    partitions if not given), and their right rows repeated once per salt. There are at most
+    100,000 of them, so they are told to both sides by a broadcast. Rows with a null key match
+    nothing and are spread the same way. ``counts`` saves the pass over the key columns where
+    the rows per key are known: a frame of the keys and ``n``.
     """
-    salts = salts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key_hash = F.xxhash64(*cols_of(keys))
+    spark = left.sparkSession
+    salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    types = {k: common_type(spark, left.schema[k].dataType, right.schema[k].dataType) for k in keys}
+    inner = {k: f"_key{i}" for i, k in enumerate(keys)}
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumns({inner[k]: col_of(k).cast(types[k]) for k in keys})
+
     if counts is None:
         counts = left.groupBy(*cols_of(keys)).agg(F.count("*").alias("n"))
-    hot = [
-        r["h"]
-        for r in counts.where(F.col("n") >= hot_rows)
-        .orderBy(F.desc("n"))
-        .limit(max_hot)
-        .select(key_hash.alias("h"))
-        .collect()
-    ]
-    some_null = reduce(lambda a, b: a | b, [col_of(k).isNull() for k in keys])
+    counts = keyed(counts).groupBy(*inner.values()).agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(
+        materialise(
+            counts.where(F.col("n") >= max(hot_rows, total // 100_000))
+            .na.drop(subset=list(inner.values()))
+            .select(*inner.values(), F.lit(True).alias("_hot"))
+        )
+    )
+    some_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in inner.values()])
     # the partition id also spreads exact copies of a row; both parts survive a task retry
     spread = F.pmod(
         F.xxhash64(*cols_of(left.columns), F.spark_partition_id()), F.lit(salts)
     ).cast("int")
-    is_hot = key_hash.isin(hot) if hot else F.lit(False)
-    salted_left = left.withColumn("_salt", F.when(some_null | is_hot, spread).otherwise(F.lit(0)))
+    is_hot = F.coalesce("_hot", F.lit(False))
+    salted_left = keyed(left).join(hot, [*inner.values()], "left").withColumn(
+        "_salt", F.when(some_null | is_hot, spread).otherwise(F.lit(0))
+    )
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.withColumn("_salt", F.explode(copies))
-    return salted_left.join(salted_right, [*keys, "_salt"], "left").drop("_salt")
+    salted_right = (
+        keyed(right).drop(*keys).join(hot, [*inner.values()], "left")
+        .withColumn("_salt", F.explode(copies)).drop("_hot")
+    )
+    joined = salted_left.join(salted_right, [*inner.values(), "_salt"], "left")
+    others = [c for c in left.columns if c not in keys]
+    return joined.select(*cols_of([*keys, *others, *[c for c in right.columns if c not in keys]]))
 
 
 def join_checked(
@@ -117,17 +140,18 @@ def lookup(
     """Add the table's ``value`` for the key columns, ``default`` where there is none.
 
     A small dictionary becomes an expression, a larger one a broadcast. A frame, whose keys
-    must be unique, is broadcast if its size allows it, else joined with hot keys split.
+    must be unique, is broadcast if its size allows it, else joined with hot keys split. An
+    existing column called ``value`` is replaced; the new one is the last.
     """
+    others = [c for c in df.columns if c != value]
+    df = df.select(*cols_of(others))
     if isinstance(table, Mapping) and len(table) <= CASE_LIMIT:
         return df.withColumn(value, lookup_value(cols_of(keys), table, default))
     if isinstance(table, Mapping):
         joined = df.join(F.broadcast(lookup_frame(df, keys, table, value)), list(keys), "left")
     else:
         joined = join_checked(df, table.select(*cols_of([*keys, value])), keys)
-    return joined.select(
-        *cols_of(df.columns), F.coalesce(col_of(value), F.lit(default)).alias(value)
-    )
+    return joined.select(*cols_of(others), F.coalesce(col_of(value), F.lit(default)).alias(value))
 
 
 def join_key(value: Column) -> Column:
@@ -151,12 +175,31 @@ def join_master(
 
 
 def personalised(
-    raw: DataFrame, derived: DataFrame, key: str | Sequence[str], names: Mapping[str, str]
+    raw: DataFrame,
+    derived: DataFrame | Callable[[DataFrame], DataFrame],
+    key: str | Sequence[str],
+    names: Mapping[str, str],
 ) -> DataFrame:
     """``raw`` with the existing ones of some derived columns under new names.
 
-    Rows belong together by ``key``, which must be unique in both.
+    ``derived`` is best a function that works on the rows of ``raw`` and keeps them all: the
+    raw values then travel along, and nothing is joined. A frame is joined by ``key``, which
+    must be unique in both; rows with a null key are spread.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    picked = [col_of(old).alias(new) for old, new in names.items() if old in derived.columns]
-    return raw.join(derived.select(*cols_of(keys), *picked), keys, "left")
+
+    def picked(columns: Sequence[str]) -> dict[str, str]:
+        return {old: new for old, new in names.items() if old in columns}
+
+    if callable(derived):
+        kept = {c: f"_raw_{i}" for i, c in enumerate(raw.columns)}
+        out = derived(raw.withColumns({new: col_of(c) for c, new in kept.items()}))
+        return out.select(
+            *[F.col(new).alias(c) for c, new in kept.items()],
+            *[col_of(old).alias(new) for old, new in picked(out.columns).items()],
+        )
+    chosen = derived.select(
+        *cols_of(keys), *[col_of(old).alias(new) for old, new in picked(derived.columns).items()]
+    )
+    joined = spread_left_join(raw, chosen, keys)
+    return joined.select(*cols_of([*raw.columns, *picked(derived.columns).values()]))

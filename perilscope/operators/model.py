@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,9 +14,13 @@ from pyspark.sql import functions as F
 
 from perilscope.columns import bounded_values, col_of, cols_of, constant
 from perilscope.functions.numbers import round_even, safe_ratio
+from perilscope.operators.joins import BROADCAST_BYTES, join_checked
+from perilscope.session import materialise
 
-CATEGORY_LIMIT = 1000
 PREFIX_DIGITS = (3, 6)
+#: Partitions of the training rows: a fixed number, since the forest draws its samples by
+#: partition and must not change with the cluster.
+TRAIN_PARTITIONS = 16
 
 
 def category_text(name: str) -> Column:
@@ -27,15 +30,23 @@ def category_text(name: str) -> Column:
 
 @dataclass(frozen=True)
 class OrdinalEncoding:
-    """Codes 0, 1, ... of the sorted categories of each column; -1 for unknown ones."""
+    """Codes 0, 1, ... of the sorted categories of each column; -1 for unknown ones.
 
-    categories: dict[str, list[str]]
+    ``codes`` has the columns ``place`` (of the name in ``names``), ``v`` and ``code``, for any
+    number of categories.
+    """
+
+    names: list[str]
+    codes: DataFrame
+    sizes: dict[str, int]
 
     @classmethod
-    def fit(
-        cls, df: DataFrame, names: Sequence[str], limit: int = CATEGORY_LIMIT
-    ) -> OrdinalEncoding:
-        """Learn the categories; a column with more than ``limit`` of them is an error."""
+    def fit(cls, df: DataFrame, names: Sequence[str]) -> OrdinalEncoding:
+        """Learn the categories, by one pass over the rows.
+
+        The distinct categories are dealt by ranges and ranked within them; the sizes of the
+        ranges say where each range begins.
+        """
         pairs = F.explode(
             F.array(
                 *[
@@ -45,26 +56,40 @@ class OrdinalEncoding:
             )
         )
         distinct = df.select(pairs.alias("p")).select("p.*").distinct()
-        rows = distinct.limit(limit * len(names) + 1).collect()
-        found: dict[str, list[str]] = {n: [] for n in names}
-        for row in rows:
-            found[names[row["place"]]].append(row["v"])
-        too_many = [n for n, values in found.items() if len(values) > limit]
-        if too_many or len(rows) > limit * len(names):
-            raise ValueError(f"more than {limit} categories in {too_many or names}")
-        return cls({n: sorted(values) for n, values in found.items()})
-
-    def code(self, name: str) -> Column:
-        known = constant(self.categories[name], "array<string>")
-        return (F.array_position(known, category_text(name)) - 1).cast("double")
+        dealt = materialise(
+            distinct.repartitionByRange("place", "v").withColumn("part", F.spark_partition_id())
+        )
+        ranges = dealt.groupBy("place", "part").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("place").orderBy("part")
+        starts = ranges.withColumn("start", F.sum("n").over(before) - F.col("n")).drop("n")
+        rank = F.row_number().over(Window.partitionBy("place", "part").orderBy("v"))
+        codes = materialise(
+            dealt.withColumn("rank", rank).join(starts, ["place", "part"]).select(
+                "place", "v", (F.col("start") + F.col("rank") - 1).cast("double").alias("code")
+            )
+        )
+        sizes = {r["place"]: r["n"] for r in codes.groupBy("place").agg(F.count("*").alias("n")).collect()}
+        return cls(list(names), codes, {n: sizes.get(i, 0) for i, n in enumerate(names)})
+
+    def coded(self, df: DataFrame, into: Mapping[str, str]) -> DataFrame:
+        """``df`` with the codes of the columns ``into`` names as keys, in new columns."""
+        columns = list(df.columns)
+        for name, target in into.items():
+            own = self.codes.where(F.col("place") == self.names.index(name)).select(
+                F.col("v").alias("_category"), F.col("code").alias(target)
+            )
+            df = join_checked(df.withColumn("_category", category_text(name)), own, ["_category"])
+            columns.append(target)
+            df = df.withColumn(target, F.coalesce(F.col(target), F.lit(-1.0))).select(*cols_of(columns))
+        return df
 
     def transform(self, df: DataFrame, suffix: str = "_code") -> DataFrame:
         """Add a code column per encoded column."""
-        return df.withColumns({n + suffix: self.code(n) for n in self.categories})
+        return self.coded(df, {n: n + suffix for n in self.names})
 
     @property
     def largest(self) -> int:
-        return max(len(v) for v in self.categories.values())
+        return max(self.sizes.values(), default=0)
 
 
 def split_flag(
@@ -72,20 +97,46 @@ def split_flag(
 ) -> DataFrame:
     """Add ``is_test``: the first ``floor(test * n)`` rows of each label by a hash of the key.
 
+    Where a label has a single row, or one of the sides would have fewer rows than there are
+    labels, all rows with a label are split as one. Rows without a label are for training.
+
     The hash order gives each label one threshold. Counting by hash prefix tells the prefix
     that holds it, twice with a longer prefix; only the keys with the last one are ranked,
     about one in 16 million. So no label, however large, is sorted as a whole, and the flag
     itself is a comparison. Rows with equal keys stay on one side; a group of them that
-    would exceed the share is left to the training side.
+    would exceed the share is left to the training side. The rows are read twice: for labels
+    and hashes, which are kept, and for the result.
     """
     digest = F.md5(F.concat_ws("|", *cols_of(key), F.lit(str(seed))))
     place = F.concat_ws("|", digest, *cols_of(key))
-    rows = df.select(col_of(label).alias("_l"), place.alias("_h")).where(F.col("_l").isNotNull())
+    rows = materialise(
+        df.select(col_of(label).cast("string").alias("_l"), place.alias("_h")).where(
+            F.col("_l").isNotNull()
+        )
+    )
+    first, second = PREFIX_DIGITS
+    rows_per = F.count("*").alias("n")
+    sizes = materialise(rows.groupBy("_l", F.substring("_h", 1, first).alias("_b")).agg(rows_per))
+    least, total, labels = (
+        sizes.groupBy("_l").agg(F.sum("n").alias("n"))
+        .agg(F.min("n"), F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    )
+    sides = (int(total * test), total - int(total * test))
+    if labels and (least < 2 or min(sides) < labels):
+        one = F.lit("all")
+        rows, sizes = rows.withColumn("_l", one), sizes.groupBy("_b").agg(F.sum("n").alias("n"))
+        sizes, of_row = sizes.withColumn("_l", one), F.when(col_of(label).isNotNull(), one)
+    else:
+        of_row = col_of(label).cast("string")
     by_label = Window.partitionBy("_l")
 
     def within(cut: DataFrame, digits: int) -> DataFrame:
         prefixed = rows.withColumn("_b", F.substring("_h", 1, digits))
-        return prefixed.join(F.broadcast(cut), ["_l", "_b"])
+        return prefixed.join(per_label(cut), ["_l", "_b"])
+
+    def per_label(cut: DataFrame) -> DataFrame:
+        """A frame with at most one row for each label, broadcast if that is small."""
+        return F.broadcast(cut) if labels * 200 <= BROADCAST_BYTES else cut
 
     def crossing(sizes: DataFrame) -> DataFrame:
         """The prefix in which the count reaches ``need``, and what is needed of it."""
@@ -93,38 +144,24 @@ def split_flag(
         found = sizes.withColumn("upto", F.sum("n").over(by_label.orderBy("_b"))).where(
             (F.col("upto") >= F.col("need")) & (before < F.col("need"))
         )
-        return _one_per_class(found.select("_l", "_b", (F.col("need") - before).alias("need")), label)
+        return found.select("_l", "_b", (F.col("need") - before).alias("need"))
 
-    rows_per = F.count("*").alias("n")
-    first, second = PREFIX_DIGITS
-    sizes = rows.groupBy("_l", F.substring("_h", 1, first).alias("_b")).agg(rows_per)
-    cut = crossing(
-        sizes.withColumn("need", F.floor(F.sum("n").over(by_label) * F.lit(test)))
-    )
+    cut = crossing(sizes.withColumn("need", F.floor(F.sum("n").over(by_label) * F.lit(test))))
     longer = F.substring("_h", 1, second).alias("_b")
     cut = crossing(within(cut, first).groupBy("_l", "need", longer).agg(rows_per))
     counts = within(cut, second).groupBy("_l", "_b", "need", "_h").agg(rows_per)
     inside = F.sum("n").over(by_label.orderBy("_h")) <= F.col("need")
-    threshold = (
+    threshold = materialise(
         counts.withColumn("_in", F.when(inside, F.col("_h")))
         .groupBy("_l")
         .agg(F.coalesce(F.max("_in"), F.max("_b")).alias("_limit"))
     )
-    threshold = _one_per_class(threshold, label)
-    flagged = df.join(F.broadcast(threshold), col_of(label) == F.col("_l"), "left")
-    return flagged.withColumn("is_test", F.coalesce(place <= F.col("_limit"), F.lit(False))).drop(
-        "_l", "_limit"
+    flagged = df.withColumn("_l", of_row).join(per_label(threshold), "_l", "left")
+    return flagged.withColumn("is_test", F.coalesce(place <= F.col("_limit"), F.lit(False))).select(
+        *cols_of(df.columns), "is_test"
     )
 
 
-def _one_per_class(df: DataFrame, label: str) -> DataFrame:
-    """The rows of a frame with one row per class, as constants; too many are an error."""
-    rows = df.limit(CATEGORY_LIMIT + 1).collect()
-    if len(rows) > CATEGORY_LIMIT:
-        raise ValueError(f"column {label!r} has more than {CATEGORY_LIMIT} classes")
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
 def stratified_split(
     df: DataFrame, label: str, key: Sequence[str], test: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
@@ -154,9 +191,10 @@ class Forest:
 
 
 def _assembled(df: DataFrame, encoding: OrdinalEncoding, features: Sequence[str]) -> DataFrame:
-    codes = [f"_code{i}" for i in range(len(features))]
-    coded = df.withColumns({c: encoding.code(f) for c, f in zip(codes, features)})
-    return VectorAssembler(inputCols=codes, outputCol="_features").transform(coded).drop(*codes)
+    codes = {f: f"_code{i}" for i, f in enumerate(features)}
+    coded = encoding.coded(df, codes)
+    assembler = VectorAssembler(inputCols=list(codes.values()), outputCol="_features")
+    return assembler.transform(coded).drop(*codes.values())
 
 
 def fit_forest(
@@ -167,29 +205,42 @@ def fit_forest(
     depth: int = 10,
     seed: int = 42,
     encoding: OrdinalEncoding | None = None,
+    max_classes: int = 1000,
+    max_bins: int = 4096,
+    train_rows: int | None = None,
 ) -> Forest:
-    """Random forest on ordinal codes, which the trees treat as numbers."""
+    """Random forest on ordinal codes, which the trees treat as numbers.
+
+    A label with more than ``max_classes`` values is an error. A feature with more than
+    ``max_bins`` codes is split at quantiles of them. ``train_rows``, if given, bounds the
+    labelled rows that are learned from: about so many, drawn by a hash of the whole row.
+    """
     encoding = encoding or OrdinalEncoding.fit(df, features)
-    classes = [str(c) for c in bounded_values(df, label, CATEGORY_LIMIT)]
+    classes = [str(c) for c in bounded_values(df, label, max_classes)]
+    if train_rows is not None:
+        share = min(1.0, train_rows / max(1, df.count()))
+        draw = F.pmod(F.xxhash64(*cols_of(df.columns), F.lit(seed)), F.lit(1 << 30))
+        df = df.where(draw < int(share * (1 << 30)))
     known = constant(classes, "array<string>")
-    train = _assembled(df, encoding, features).select(
-        "_features",
-        (F.array_position(known, col_of(label).cast("string")) - 1)
-        .cast("double")
-        .alias("_label"),
+    codes = {f: f"_code{i}" for i, f in enumerate(features)}
+    place = F.array_position(known, col_of(label).cast("string")) - 1
+    coded = encoding.coded(df.select(*cols_of(dict.fromkeys([*features, label]))), codes)
+    names = [*codes.values(), "_label"]
+    # the trainer passes over its input many times, and draws by partition and place
+    train = materialise(
+        coded.withColumn("_label", place.cast("double")).where(F.col("_label") >= 0)
+        .select(*names).repartition(TRAIN_PARTITIONS, *names).sortWithinPartitions(*names)
     )
-    # the trainer passes over its input many times
-    train = train.where(F.col("_label") >= 0).persist(StorageLevel.MEMORY_AND_DISK)
+    train = VectorAssembler(inputCols=list(codes.values()), outputCol="_features").transform(train)
     model = RandomForestClassifier(
         featuresCol="_features",
         labelCol="_label",
         numTrees=trees,
         maxDepth=depth,
         seed=seed,
-        maxBins=max(32, encoding.largest + 1),
+        maxBins=max(32, min(encoding.largest + 1, max_bins)),
         featureSubsetStrategy="sqrt",
-    ).fit(train)
-    train.unpersist()
+    ).fit(train.select("_features", "_label"))
     return Forest(model, list(features), encoding, classes)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perilscope.columns import col_of, cols_of
+from perilscope.columns import col_of, cols_of, rows_of
 from perilscope.functions.dates import month_key
 from perilscope.functions.numbers import round_even
 
@@ -45,10 +46,11 @@ def reindex(df: DataFrame, key: str, keys: Sequence) -> DataFrame:
 
 
 def kpis(
-    df: DataFrame, areas: DataFrame, theme: str, high: str = "High"
+    df: DataFrame, areas: DataFrame, theme: str, high: str = "High", n: str | None = None
 ) -> DataFrame:
-    """One row: reports, areas in the top band, mean score, mapped share, leading theme."""
-    counts = df.groupBy(col_of(theme).alias("theme")).agg(F.count("*").alias("n"))
+    """One row: reports, areas in the top band, mean score, mapped share, leading theme. ``n``
+    names the column with the rows that a row of ``df`` stands for."""
+    counts = df.groupBy(col_of(theme).alias("theme")).agg(rows_of(n).alias("n"))
     summary = areas.agg(
         F.count_if(col_of("priority_level") == high).alias("high_areas"),
         F.avg("risk_score").alias("mean_score"),
@@ -103,41 +105,88 @@ def rank_rows(
     return ordered if n is None else ordered.limit(n)
 
 
-def value_at(values: DataFrame, rank: int, few: int = 1_000_000) -> float:
-    """The value of column ``v`` with ``rank`` rows before it in ascending order, exactly.
+def exact_quantiles(
+    df: DataFrame, numbers: Sequence[Column], counts: Sequence[int], shares: Sequence[float],
+    few: int = 1_000_000, accuracy: int = 10_000,
+) -> list[list[float] | None]:
+    """For each number column its quantiles, interpolated between neighbours, exactly.
 
-    Approximate quantiles give bounds around the rank; counting tells whether the value is
-    one of the bounds or lies between them, and the next round looks only there. Ranks are
-    taken on at most ``few`` rows, so no task holds the values of the whole column.
+    Each share is looked for in a range of values, at first in all. While a range holds more
+    than ``few`` values, one pass over ``df`` finds approximate bounds around each rank and
+    another counts below and between them, for all columns and shares at once. At last the
+    values within the ranges are counted and ranked; no task holds more than ``few``.
     """
-    below, rows, accuracy = 0, values.count(), 10_000
-    while rows > few:
-        share, margin = (rank - below) / rows, 2.0 / accuracy
-        around = [max(0.0, share - margin), min(1.0, share + margin)]
-        lo, hi = values.agg(F.percentile_approx("v", around, accuracy).alias("b")).first()["b"]
-        v = F.col("v")
-        parts = (v < lo, v == lo, (v > lo) & (v < hi), (v == hi) & (v > lo), v > hi)
-        sizes = values.agg(*[F.count_if(p).alias(f"p{i}") for i, p in enumerate(parts)]).first()
-        for part, size in zip(parts, sizes):
-            if rank < below + size:
-                break
-            below += size
-        if part is parts[1] or part is parts[3]:
-            return lo if part is parts[1] else hi
-        values, rows = values.where(part), size
-    counts = values.groupBy("v").agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v")))
-    return upto.where(F.col("upto") > rank - below).agg(F.min("v").alias("v")).first()["v"]
-
-
-def quartiles(values: DataFrame, n: int, few: int = 1_000_000) -> list[float]:
-    """Exact quartiles of the ``n`` values of column ``v``, interpolated between neighbours."""
-    out = []
-    for share in (0.25, 0.5, 0.75):
-        rank, part = int(share * (n - 1)), share * (n - 1) % 1
-        lo = value_at(values, rank, few)
-        hi = value_at(values, rank + 1, few) if part else lo
-        out.append(lo + (hi - lo) * part)
+
+    @dataclass
+    class Range:
+        column: int
+        rank: int
+        part: float
+        below: int
+        size: int
+        lo: float | None = None
+        hi: float | None = None
+
+        def inside(self) -> Column:
+            v = numbers[self.column]
+            return v.isNotNull() if self.lo is None else v.between(F.lit(self.lo), F.lit(self.hi))
+
+    wanted = [
+        Range(i, int(p * (n - 1)), p * (n - 1) % 1, 0, n)
+        for i, n in enumerate(counts) if n for p in shares
+    ]
+
+    def row(columns: Sequence[Column]) -> list:
+        return list(df.agg(*[c.alias(f"a{i}") for i, c in enumerate(columns)]).first())
+
+    margin = 2.0 / accuracy
+    while wide := [r for r in wanted if r.size > few and (r.lo is None or r.lo != r.hi)]:
+        around = []
+        for r in wide:
+            at = [(r.rank - r.below) / r.size - margin, (r.rank + 1 - r.below) / r.size + margin]
+            ends = F.array(*[F.lit(min(max(x, 0.0), 1.0)) for x in at])
+            v = F.when(r.inside(), numbers[r.column])
+            around.append(F.percentile_approx(v, ends, F.lit(accuracy)))
+        bounds = row(around)
+        counted = []
+        for r, (lo, hi) in zip(wide, bounds):
+            v = numbers[r.column]
+            counted += [F.count_if(r.inside() & (v < lo)), F.count_if(r.inside() & v.between(F.lit(lo), F.lit(hi)))]
+        sizes = row(counted)
+        narrowed = False
+        for k, (r, (lo, hi)) in enumerate(zip(wide, bounds)):
+            under, within = sizes[2 * k], sizes[2 * k + 1]
+            if r.below + under <= r.rank and r.rank + bool(r.part) < r.below + under + within:
+                narrowed |= within < r.size or lo == hi
+                r.below, r.size, r.lo, r.hi = r.below + under, within, lo, hi
+        margin *= 1.0 if narrowed else 4.0
+    places = F.array(
+        *[F.struct(F.lit(k).alias("k"), F.when(r.inside(), numbers[r.column]).alias("v"))
+          for k, r in enumerate(wanted) if r.lo is None or r.lo != r.hi]
+    )
+    found: dict[int, dict[int, float]] = {}
+    if any(r.lo is None or r.lo != r.hi for r in wanted):
+        values = df.select(F.explode(places).alias("x")).select("x.*").where(F.col("v").isNotNull())
+        upto = values.groupBy("k", "v").agg(F.count("*").alias("c")).withColumn(
+            "upto", F.sum("c").over(Window.partitionBy("k").orderBy("v"))
+        )
+        ranks = F.create_map(
+            *[F.lit(x) for k, r in enumerate(wanted) for x in (k, r.rank - r.below)]
+        )
+        rank, before = F.element_at(ranks, F.col("k")), F.col("upto") - F.col("c")
+        hits = upto.withColumn("r", rank).select(
+            "k", "v", ((before <= F.col("r")) & (F.col("r") < F.col("upto"))).alias("at"),
+            ((before <= F.col("r") + 1) & (F.col("r") + 1 < F.col("upto"))).alias("next"),
+        ).where("at or next")
+        for h in hits.collect():
+            for step, hit in ((0, h["at"]), (1, h["next"])):
+                if hit:
+                    found.setdefault(h["k"], {})[step] = h["v"]
+    out: list[list[float] | None] = [None] * len(counts)
+    for k, r in enumerate(wanted):
+        lo = found[k][0] if k in found else r.lo
+        hi = found[k].get(1, lo) if k in found else r.lo
+        out[r.column] = [*(out[r.column] or []), lo + (hi - lo) * r.part]
     return out
 
 
@@ -150,32 +199,23 @@ DESCRIPTION = pa.schema(
 def describe(df: DataFrame, names: Sequence[str], few: int = 1_000_000) -> DataFrame:
     """One row per numeric column: count, mean, std, min, quartiles, max.
 
-    Quartiles come from the values themselves while a column has at most ``few`` of them,
-    and from ``value_at`` beyond.
+    Quartiles by ``exact_quantiles``.
     """
 
     def number(name: str) -> Column:
         value = col_of(name).cast("double")
         return F.when(~F.isnan(value), value)
 
-    def row(measures: Mapping[str, Callable[[Column], Column]], chosen: Sequence[str]) -> dict:
-        parts = [m(number(c)).alias(f"{k}{names.index(c)}") for c in chosen for k, m in measures.items()]
-        return df.agg(*parts).first().asDict() if parts else {}
-
     names = list(names)
-    found = row(
-        {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}, names
-    )
-    small = [c for i, c in enumerate(names) if found[f"count{i}"] <= few]
-    shares = F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])
-    found |= row({"q": lambda v: F.percentile(v, shares)}, small)
-    for i, c in enumerate(names):
-        if c not in small:
-            values = df.select(number(c).alias("v")).where(F.col("v").isNotNull())
-            found[f"q{i}"] = quartiles(values, found[f"count{i}"], few)
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    found = df.agg(
+        *[m(number(c)).alias(f"{k}{i}") for i, c in enumerate(names) for k, m in measures.items()]
+    ).first()
+    counts = [found[f"count{i}"] for i in range(len(names))]
+    quantiles = exact_quantiles(df, [number(c) for c in names], counts, (0.25, 0.5, 0.75), few)
     rows = [
         (c, *[found[f"{k}{i}"] for k in ("count", "mean", "std", "min")],
-         *(found[f"q{i}"] or [None] * 3), found[f"max{i}"])
+         *(quantiles[i] or [None] * 3), found[f"max{i}"])
         for i, c in enumerate(names)
     ]
     columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(DESCRIPTION)]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilscope.columns import ColumnLike, bind, col_of, cols_of, constant
+from perilscope.columns import ColumnLike, bind, col_of, cols_of, constant, rows_of
 from perilscope.functions.numbers import percent
 from perilscope.functions.similarity import (
     MASK_FIELDS,
@@ -39,16 +39,18 @@ STAGES = ("exact", "token", "fuzzy", "token_fuzzy")
 def rule_list(rules: RuleTable, limit: int = RULE_LIMIT) -> list[tuple[str, str]]:
     """(pattern, label) pairs in order, from label groups, pairs or a (pattern, label, ord) frame.
 
-    A frame is read by the driver; one with more than ``limit`` rows is an error.
+    More than ``limit`` rules are an error, however they are given: they are part of the plan.
     """
     if isinstance(rules, DataFrame):
         rows = rules.select("pattern", "label", "ord").limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"rule table has more than {limit} rows")
-        return [(r["pattern"], r["label"]) for r in sorted(rows, key=lambda r: r["ord"])]
-    if isinstance(rules, Mapping):
-        return [(p, label) for label, patterns in rules.items() for p in patterns]
-    return [(p, label) for p, label in rules]
+        pairs = [(r["pattern"], r["label"]) for r in sorted(rows, key=lambda r: r["ord"])]
+    elif isinstance(rules, Mapping):
+        pairs = [(p, label) for label, patterns in rules.items() for p in patterns]
+    else:
+        pairs = [(p, label) for p, label in rules]
+    if len(pairs) > limit:
+        raise ValueError(f"rule table has more than {limit} rows")
+    return pairs
 
 
 def rule_frame(spark: SparkSession, rules: RuleTable) -> DataFrame:
@@ -171,23 +173,59 @@ def classify(
 
     The distinct texts are labelled at once, in jobs of their own; the result is lazy.
     """
-    labelled = distinct_texts(df, column).withColumn(
-        label, label_of(column, rules, synonyms, stages, min_score)
-    )
-    labelled = materialise(labelled)
+    labelled = label_texts(df, column, rules, synonyms, stages, min_score, label)
     return attach_by_text(df, column, labelled, label), unmapped_texts(labelled, column, label)
 
 
-def distinct_texts(df: DataFrame, column: str) -> DataFrame:
+def classify_counts(
+    df: DataFrame,
+    keys: Sequence[str],
+    column: str,
+    rules: RuleTable,
+    synonyms: Mapping[str, str] | None = None,
+    stages: Sequence[str] = STAGES,
+    min_score: float = 97,
+    label: str = "theme",
+) -> tuple[DataFrame, DataFrame]:
+    """The counts ``n`` of the rows by ``keys`` and ``column``, with their ``label``; also the
+    labelled distinct texts, for ``attach_by_text``.
+
+    The rows are read once, to be counted; labels are joined with the counts.
+    """
+    by = list(dict.fromkeys([*keys, column]))
+    counts = materialise(df.groupBy(*cols_of(by)).agg(F.count("*").alias("n")))
+    labelled = label_texts(counts, column, rules, synonyms, stages, min_score, label, "n")
+    joined = join_checked(counts, labelled.select(*cols_of([column, label])), [column])
+    return joined.select(*cols_of([*by, "n", label])), labelled
+
+
+def label_texts(
+    df: DataFrame,
+    column: str,
+    rules: RuleTable,
+    synonyms: Mapping[str, str] | None = None,
+    stages: Sequence[str] = STAGES,
+    min_score: float = 97,
+    label: str = "theme",
+    n: str | None = None,
+) -> DataFrame:
+    """The distinct texts with ``n``, their number of rows, and their label, computed once."""
+    texts = distinct_texts(df, column, n)
+    return materialise(
+        texts.withColumn(label, label_of(column, rules, synonyms, stages, min_score))
+    )
+
+
+def distinct_texts(df: DataFrame, column: str, n: str | None = None) -> DataFrame:
     """The distinct texts with their number of rows ``n``, spread over all shuffle partitions.
 
     Matching a text costs far more than reading it, so the partitions must not be merged
     by their size in bytes, as adaptive execution would do after the counting alone.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = df.select(col_of(column)).where(col_of(column).isNotNull())
-    texts = known.groupBy(col_of(column)).agg(F.count("*").alias("n"))
-    return texts.repartition(partitions, col_of(column))
+    known = df.where(col_of(column).isNotNull())
+    some = known.groupBy(col_of(column)).agg(rows_of(n).alias("n"))
+    return some.repartition(partitions, col_of(column))
 
 
 def attach_by_text(df: DataFrame, column: str, labelled: DataFrame, label: str) -> DataFrame:

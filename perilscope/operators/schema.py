@@ -21,19 +21,12 @@ def drop_unnamed(df: DataFrame, prefix: str = "Unnamed") -> DataFrame:
     return df.select(*cols_of(c for c in df.columns if not c.startswith(prefix)))
 
 
-def drop_empty_columns(df: DataFrame, first: int = 1000) -> DataFrame:
-    """Drop columns without any value.
-
-    Most columns have one in the ``first`` rows; the whole table is read only for those that
-    have none there, and only these columns of it.
-    """
-    head = df.take(first)
-    filled = {c for i, c in enumerate(df.columns) if any(row[i] is not None for row in head)}
-    rest = {f"n{i}": c for i, c in enumerate(df.columns) if c not in filled}
-    if rest:
-        counts = df.agg(*[F.count(col_of(c)).alias(key) for key, c in rest.items()]).first()
-        filled |= {c for key, c in rest.items() if counts[key] > 0}
-    return df.select(*cols_of(c for c in df.columns if c in filled))
+def drop_empty_columns(df: DataFrame) -> DataFrame:
+    """Drop columns without any value, by one aggregate over all of them."""
+    found = df.agg(
+        *[F.max(col_of(c).isNotNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
+    ).first()
+    return df.select(*cols_of(c for i, c in enumerate(df.columns) if found[f"n{i}"]))
 
 
 def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -54,8 +47,8 @@ def squash_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def name_score(a: str, b: str) -> float:
-    """``indel_ratio`` of two column names, for the driver."""
+def plain_score(a: str, b: str) -> float:
+    """``indel_ratio`` of two texts, for the driver."""
     row = [0] * (len(b) + 1)
     for x in a:
         diagonal = 0
@@ -64,6 +57,49 @@ def name_score(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
 
 
+def part_score(a: str, b: str) -> float:
+    """The best ``plain_score`` of the shorter text and a part of the longer one, of its length
+    or cut off at an end."""
+    short, long = sorted((a, b), key=len)
+    cuts = {long[max(i, 0) : i + len(short)] for i in range(1 - len(short), len(long))}
+    return max((plain_score(short, c) for c in cuts if c), default=0.0 if long else 100.0)
+
+
+def words_score(a: str, b: str, part: bool = False) -> float:
+    """Scores that disregard the order of words and, by sets, words that both have."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    score = part_score if part else plain_score
+    both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    if part and both:
+        return 100.0
+    ordered = score(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    if part:
+        return max(ordered, part_score(left, right))
+    if both and not (left and right):
+        return 100.0
+    one, other = (f"{both} {s}".strip() for s in (left, right))
+    shared = max(plain_score(both, one), plain_score(both, other)) if both else 0.0
+    return max(ordered, plain_score(one, other), shared)
+
+
+def name_score(a: str, b: str) -> float:
+    """How alike two column names are, from 0 to 100: the plain ratio, or, at a discount, that of
+    their words in any order, or of the shorter name and the best part of the longer one.
+
+    Parts count from half as long again on, at 90 %, and at 60 % beyond eight times the length;
+    words count at 95 % of that.
+    """
+    if not a or not b:
+        return 0.0
+    plain, apart = plain_score(a, b), max(len(a), len(b)) / min(len(a), len(b))
+    if apart < 1.5:
+        return max(plain, 0.95 * words_score(a, b))
+    share = 0.9 if apart <= 8 else 0.6
+    return max(plain, share * part_score(a, b), 0.95 * share * words_score(a, b, part=True))
+
+
 def resolve_columns(
     df: DataFrame,
     required: Sequence[str],

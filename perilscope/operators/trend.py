@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perilscope.columns import col_of, cols_of
+from perilscope.columns import col_of, cols_of, rows_of
 from perilscope.functions.numbers import clip
 from perilscope.operators.cleaning import UNKNOWN
 
@@ -26,22 +26,24 @@ def yoy_trend(
     hi: float = 1.5,
     only_new: float = 1.2,
     same_period_denominator: bool = False,
+    n: str | None = None,
 ) -> DataFrame:
     """(area, theme, trend): share of the theme in some quarters of year 2 over year 1.
 
     The numerators count the theme in these quarters; the denominators all rows of the area
     in the year (only those quarters if ``same_period_denominator``). The quotient is
     limited to ``[lo, hi]``; ``only_new`` if only year 2 has rows of the theme, 1 if a year
-    is empty or has none. One pass over the data; the totals come from its counts.
+    is empty or has none. One pass over the data; the totals come from its counts. ``n`` names
+    the column with the rows that a row of ``df`` stands for.
     """
     in_period = col_of(quarter).isin(list(quarters))
 
     def counted(value: int, alias: str):
-        return F.count_if((col_of(year) == value) & in_period).alias(alias)
+        return rows_of(n, (col_of(year) == value) & in_period).alias(alias)
 
     def total(value: int, alias: str):
         rows = col_of(year) == value
-        return F.count_if(rows & in_period if same_period_denominator else rows).alias(alias)
+        return rows_of(n, rows & in_period if same_period_denominator else rows).alias(alias)
 
     cells = (
         df.where(col_of(area).isNotNull())

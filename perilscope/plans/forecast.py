@@ -16,7 +16,7 @@ from perilscope.operators.cleaning import blank_to_null, fill_unknown, union_yea
 from perilscope.operators.crosstab import to_wide
 from perilscope.operators.ranking import cause_share
 from perilscope.operators.trend import expand_values, modal_profile, yoy_trend
-from perilscope.session import materialise, spread_over_cores
+from perilscope.session import materialise
 from perilscope.sources.outputs import write_outputs
 
 
@@ -101,6 +101,7 @@ class ForecastPlan:
     trees: int = 200
     depth: int = 10
     seed: int = 42
+    train_rows: int | None = None
 
 
 @dataclass(frozen=True)
@@ -145,15 +146,19 @@ def run_forecast(first: DataFrame, second: DataFrame, plan: ForecastPlan) -> For
     """
     cleaned, cause = forecast_input(first, second, plan)
     needed = [*plan.key, *plan.features, plan.area, cause, "campaign_theme", "year"]
-    df = spread_over_cores(materialise(schema.select_existing(cleaned, dict.fromkeys(needed))))
+    df = materialise(schema.select_existing(cleaned, dict.fromkeys(needed)))
     label = "campaign_theme"
     encoding = model.OrdinalEncoding.fit(df, plan.features)
     train, test = model.stratified_split(df, label, plan.key, 0.2, plan.seed)
-    fitted = model.fit_forest(train, plan.features, label, plan.trees, plan.depth, plan.seed, encoding)
+    settings = dict(
+        trees=plan.trees, depth=plan.depth, seed=plan.seed, encoding=encoding,
+        train_rows=plan.train_rows,
+    )
+    fitted = model.fit_forest(train, plan.features, label, **settings)
     judged = materialise(
         model.predict_class(fitted, test).select(col_of(label), F.col("pred"))
     )
-    final = model.fit_forest(df, plan.features, label, plan.trees, plan.depth, plan.seed, encoding)
+    final = model.fit_forest(df, plan.features, label, **settings)
     others = [f for f in plan.features if f not in ("quarter", plan.area)]
     profile = future_profile(df, plan.area, plan.quarters, others)
     probs = materialise(

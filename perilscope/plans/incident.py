@@ -118,22 +118,26 @@ def run_pipeline(
     named, _ = schema.resolve_columns(
         raw, [plan.area, plan.cause, plan.severity], plan.optional, plan.renames
     )
-    df, unmapped = rules.classify(
-        features(cleaned, plan), plan.cause, plan.rules, plan.synonyms, plan.stages,
-        plan.min_score, "campaign_theme",
+    rows = features(cleaned, plan)
+    theme = "campaign_theme"
+    # the area table needs nothing but counts; only the row-level output joins the rows
+    counts, labelled = rules.classify_counts(
+        rows, [plan.area, plan.severity], plan.cause, plan.rules, plan.synonyms, plan.stages,
+        plan.min_score, theme,
     )
+    unmapped = rules.unmapped_texts(labelled, plan.cause, theme)
     df = joins.lookup(
-        df, ["campaign_theme", plan.severity], plan.row_products, "insurance_recommendation",
-        plan.default_row_product,
+        rules.attach_by_text(rows, plan.cause, labelled, theme), [theme, plan.severity],
+        plan.row_products, "insurance_recommendation", plan.default_row_product,
     )
     summary = areas.area_summary(
-        df, plan.area, "campaign_theme", plan.severity, plan.severe, plan.themes, plan.weights,
+        counts, plan.area, theme, plan.severity, plan.severe, plan.themes, plan.weights,
         *plan.bands, products=plan.area_products, default_product=plan.default_area_product,
-        texts=plan.texts,
+        texts=plan.texts, n="n",
     )
     summary = areas.sort_by_risk(
         areas.attach_detail(
-            summary, df, plan.area, "campaign_theme", plan.cause, text=plan.cause_text
+            summary, counts, plan.area, theme, plan.cause, text=plan.cause_text, count="n"
         ),
         plan.area,
     )

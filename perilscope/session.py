@@ -67,12 +67,3 @@ def run_folder(spark: SparkSession, name: str) -> str:
     if folder is None:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
     return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
-def spread_over_cores(df: DataFrame) -> DataFrame:
-    """Repartition a materialised frame that has fewer partitions than there are cores.
-
-    So it only ever moves small data: a large table has more partitions than that.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -12,50 +12,68 @@ from pyspark.sql.types import StringType, StructField, StructType
 from perilscope.columns import col_of, cols_of
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str | None = None,
+    multi_line: bool = False,
+) -> DataFrame:
     """Parquet, or CSV with a header when the path says so; CSV values stay text.
 
     CSV without a schema is read as text columns, so that no extra pass infers types.
+    ``multi_line`` reads line breaks within quotes, as form exports have them in their column
+    names; a file is then one task. Large exports are read in parts by ``read_sheet``.
     """
     if not path.rstrip("/").endswith((".csv", ".csv.gz")):
         reader = spark.read.schema(schema) if schema else spark.read
         return reader.parquet(path)
-    reader = spark.read.option("header", True).option("multiLine", False)
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def read_sheet(spark: SparkSession, path: str, width: int, line: str = "line") -> DataFrame:
+def read_sheet(
+    spark: SparkSession, path: str, width: int, line: str = "line", multi_line: bool = False
+) -> DataFrame:
     """A CSV without a trusted header: text columns ``c0..`` and a growing line number.
 
-    The number grows with the place in the file; it has gaps between file splits.
+    The number is a text that sorts by file name, place of the split in the file, and place in
+    the split. ``multi_line`` as in ``read_table``.
     """
     schema = StructType([StructField(f"c{i}", StringType()) for i in range(width)])
+    place = F.concat(
+        F.col("_metadata.file_path"), F.lit("\n"),
+        F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0"),
+        F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0"),
+    )
     return (
-        spark.read.schema(schema)
-        .option("header", False)
-        .csv(path)
-        .withColumn(line, F.monotonically_increasing_id())
+        spark.read.schema(schema).option("header", False).option("multiLine", multi_line)
+        .option("escape", '"').csv(path).withColumn(line, place)
     )
 
 
-def promote_header(df: DataFrame, line: str, markers: Sequence[str]) -> DataFrame:
-    """Use the first row in which a cell contains a marker as the header.
+def promote_header(
+    df: DataFrame, line: str, markers: Sequence[str], look: int = 5, unnamed: str = "Unnamed"
+) -> DataFrame:
+    """Use the header of a sheet as column names and drop it and the rows above it.
 
-    Rows up to that one are dropped. Without such a row the frame is returned as it is.
-    The search is one aggregate over the whole table that brings back a single row.
+    The first row is the header if its first ``look`` cells all have a text that does not
+    begin with ``unnamed``. Otherwise the rows below it are searched for the first one in which
+    a cell contains a marker; without such a row the first one is the header after all. An
+    empty frame is returned as it is. The search is one aggregate that brings back two rows.
     """
     names = [c for c in df.columns if c != line]
-    hit = reduce(
-        lambda a, b: a | b,
-        [F.coalesce(col_of(c).contains(m), F.lit(False)) for c in names for m in markers],
-    )
-    header = (
-        df.where(hit)
-        .agg(F.min_by(F.struct(*cols_of([line, *names])), col_of(line)).alias("h"))
-        .first()["h"]
-    )
-    if header is None:
+    row = F.struct(*cols_of([line, *names]))
+    top = df.agg(F.min_by(row, col_of(line)).alias("h")).first()["h"]
+    if top is None:
         return df
+    header = top
+    if any(not title or title.startswith(unnamed) for title in top[1 : look + 1]):
+        hit = reduce(
+            lambda a, b: a | b,
+            [F.coalesce(col_of(c).contains(m), F.lit(False)) for c in names for m in markers],
+        )
+        below = df.where((col_of(line) > top[0]) & hit)
+        header = below.agg(F.min_by(row, col_of(line)).alias("h")).first()["h"] or top
     picked = []
     for place, name in enumerate(names):
         title = header[place + 1]

@@ -38,6 +38,26 @@ def test_spread_join_splits_the_hot_key(frame):
     assert salts.count() == 16 and salts.agg(F.max("count")).first()[0] < 400
 
 
+@pytest.mark.parametrize(
+    "one,other",
+    [("int", "bigint"), ("int", "double"), ("date", "timestamp"), ("bigint", "int")],
+)
+def test_spread_join_with_keys_of_two_types(spark, one, other):
+    value = "date_add(DATE'2025-01-01', cast(id % 3 as int))" if one == "date" else "id % 3"
+    left = spark.range(0, 900, 1, 5).selectExpr(f"cast({value} as {one}) AS k", "id AS v")
+    right = spark.range(2).selectExpr(f"cast({value} as {other}) AS k", "id AS w")
+    got = joins.spread_left_join(left, right, ["k"], salts=5, hot_rows=10)
+    assert got.schema["k"].dataType.simpleString() == one
+    assert got.where("w IS NOT NULL").count() == 600 and got.count() == 900
+
+
+def test_every_hot_key_is_split(frame):
+    left = frame(k=[i % 60 for i in range(3000)], v=list(range(3000)))
+    right = frame(k=list(range(60)), w=list(range(60)))
+    got = joins.spread_left_join(left, right, ["k"], salts=4, hot_rows=10)
+    assert got.where("w = k").count() == 3000
+
+
 def test_size_check(frame):
     df = frame(t=["x" * 100] * 10)
     assert joins.fits_broadcast(df, 1160) and not joins.fits_broadcast(df, 1159)
@@ -55,21 +75,78 @@ def test_lookup(frame):
         }
 
 
+def test_lookup_replaces_a_column(frame):
+    df = frame(a=["x", "y"], p=["old", "old"], z=[1, 2])
+    small = {"x": "new"}
+    large = small | {f"k{i}": "no" for i in range(60)}
+    for entries in (small, large, joins.lookup_frame(df, ["a"], small, "p")):
+        got = joins.lookup(df, ["a"], entries, "p", "none")
+        assert got.columns == ["a", "z", "p"]
+        assert {tuple(r) for r in got.collect()} == {("x", 1, "new"), ("y", 2, "none")}
+
+
 def test_personalised(frame):
-    raw = frame(k=[1, 2], t=["a", "b"])
+    raw = frame(k=[1, 2, None], t=["a", "b", "c"])
     derived = frame(k=[2, 1], theme=["B", "A"])
     out = joins.personalised(raw, derived, "k", {"theme": "advice", "gone": "x"})
-    assert {tuple(r) for r in out.collect()} == {(1, "a", "A"), (2, "b", "B")}
+    assert {tuple(r) for r in out.collect()} == {(1, "a", "A"), (2, "b", "B"), (None, "c", None)}
+
+    def derive(df):
+        return df.withColumn("theme", F.upper("t")).withColumn("t", F.lit("changed")).drop("k")
+
+    out = joins.personalised(raw, derive, "k", {"theme": "advice", "t": "now", "gone": "x"})
+    assert out.columns == ["k", "t", "advice", "now"]
+    assert {tuple(r) for r in out.collect()} == {
+        (1, "a", "A", "changed"), (2, "b", "B", "changed"), (None, "c", "C", "changed"),
+    }
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_ordinal_codes(frame):
     df = frame(a=["z", "b", None, "b"], q=[3, 1, 2, 1])
     codes = model.OrdinalEncoding.fit(df, ["a", "q"])
-    assert codes.categories == {"a": ["Unknown", "b", "z"], "q": ["1", "2", "3"]}
+    assert codes.sizes == {"a": 3, "q": 3} and codes.largest == 3
+    known = codes.codes.orderBy("place", "code").collect()
+    assert [(r["v"], r["code"]) for r in known] == [
+        ("Unknown", 0.0), ("b", 1.0), ("z", 2.0), ("1", 0.0), ("2", 1.0), ("3", 2.0),
+    ]
     out = codes.transform(frame(a=["b", "new"], q=[3, 9])).orderBy("q").collect()
     assert [(r["a_code"], r["q_code"]) for r in out] == [(1.0, 2.0), (-1.0, -1.0)]
-    with pytest.raises(ValueError, match="more than 2"):
-        model.OrdinalEncoding.fit(df, ["a"], limit=2)
+
+
+def test_thousands_of_categories(frame):
+    names = [f"area {i}" for i in range(3000)]
+    df = frame(partitions=5, a=names, y=["u" if i < 1500 else "v" for i in range(3000)], q=[i % 4 for i in range(3000)])
+    codes = model.OrdinalEncoding.fit(df, ["a", "q"])
+    got = {r["a"]: r["a_code"] for r in codes.transform(df).collect()}
+    assert got == {n: float(i) for i, n in enumerate(sorted(names))}
+    fitted = model.fit_forest(df, ["a", "q"], "y", trees=2, depth=2, max_bins=64)
+    assert fitted.classes == ["u", "v"]
+
+
+def test_forest_does_not_depend_on_partitions(learned):
+    found = [
+        [tuple(r) for r in model.importances(
+            model.fit_forest(learned.repartition(n), ["x", "z"], "y", trees=6, depth=3), learned
+        ).collect()]
+        for n in (2, 8)
+    ]
+    assert found[0] == found[1]
+
+
+def test_forest_on_a_bounded_sample(learned):
+    fitted = model.fit_forest(learned, ["x", "z"], "y", trees=5, depth=3, train_rows=100)
+    assert fitted.classes == ["high", "low"]
+
+
+def test_plain_split_where_a_class_is_too_small(frame):
+    df = frame(k=[str(i) for i in range(101)], y=["a"] * 60 + ["b"] * 40 + ["only one"])
+    flagged = model.split_flag(df, "y", ["k"])
+    assert flagged.columns == ["k", "y", "is_test"]
+    assert flagged.where("is_test").count() == 20
+    few = frame(k=[str(i) for i in range(8)], y=["a", "b"] * 4)
+    assert model.split_flag(few, "y", ["k"]).where("is_test").count() == 1
+    assert model.split_flag(few.limit(0), "y", ["k"]).count() == 0
 
 
 def test_split_is_stratified_disjoint_and_stable(frame):

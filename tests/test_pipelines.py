@@ -71,7 +71,7 @@ def test_incident_run(spark, thai, frame, tmp_path):
     assert {r[presets.AREA] for r in summary} == {"เขต 1", "เขต 2", "เขต 3"}
     scores = [r["risk_score"] for r in summary]
     assert scores == sorted(scores, reverse=True)
-    assert all("Risk Score" in r["reason"] and r["insight"].startswith("• Risk Level") for r in summary)
+    assert all("คะแนน" in r["reason"] and r["insight"].startswith("ความเสี่ยง: ") for r in summary)
     assert any("ครั้ง)" in r["recommended_campaign_detail"] for r in summary)
     assert result.joined.count() == 60 and result.joined.where("branch IS NOT NULL").count() == 2
     paths = incident.write_run(result, plan(), str(tmp_path), "run 1")
@@ -143,7 +143,7 @@ def test_empty_frames_are_not_written(spark, frame, tmp_path):
 
 
 def test_sheet_with_a_late_header(spark, tmp_path):
-    lines = ["report,,", ",,", "no,พื้นที่,", *[f"{i},เขต {i},{i}" for i in range(2000)]]
+    lines = ["พื้นที่ 2025,,", ",,", "no,พื้นที่,", *[f"{i},เขต {i},{i}" for i in range(2000)]]
     path = tmp_path / "sheet.csv"
     path.write_text("\n".join(lines), encoding="utf-8")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
@@ -157,6 +157,27 @@ def test_sheet_with_a_late_header(spark, tmp_path):
         assert [r["n"] for r in late] == list(range(2000))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert promote_header(df, "line", ["no such mark"]).columns == df.columns
+    first = promote_header(read_sheet(spark, str(path), 3), "line", ["no such mark"])
+    assert first.columns == ["line", "พื้นที่ 2025", "Unnamed: 1", "Unnamed: 2"] and first.count() == 2002
     csv = read_table(spark, str(path))
     assert csv.count() == 2002
+
+
+def test_sheet_of_several_files(spark, tmp_path):
+    """Spark reads the largest file first; the header is in the first one by name."""
+    (tmp_path / "a.csv").write_text("title,,\nno,พื้นที่,x\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("".join(f"{i},z,y\n" for i in range(500)), encoding="utf-8")
+    (tmp_path / "c.csv").write_text("500,z,y\n", encoding="utf-8")
+    df = promote_header(read_sheet(spark, str(tmp_path), 3), "line", presets.HEADER_MARKERS)
+    assert df.columns == ["line", "no", "พื้นที่", "x"]
+    assert [int(r["no"]) for r in df.orderBy("line").collect()] == list(range(501))
+
+
+def test_header_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "form.csv"
+    path.write_text('area,"speed \n(digits)",cause\n1,"2",x\n', encoding="utf-8")
+    df = read_table(spark, str(path), multi_line=True)
+    assert df.columns == ["area", "speed \n(digits)", "cause"] and df.count() == 1
+    cells = read_sheet(spark, str(path), 3, multi_line=True)
+    assert promote_header(cells, "line", ["area"]).columns[2] == "speed \n(digits)"
+    assert promote_header(cells.limit(0), "line", ["area"]).columns == cells.columns

@@ -62,3 +62,19 @@ def test_rule_tables_are_literals(spark, frame):
     label = rules.label_of("t", [(f"p{i}", "x") for i in range(50)])
     plan = df.select(label.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan
+
+
+@pytest.mark.parametrize("name", ["area_risk_summary", "attach_detail", "kpis", "yoy_trend"])
+def test_area_queries_work_on_counts(spark, name):
+    """The rows are read once, to be counted; nothing but counts is left for the query itself."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = initial(QUERIES[name](spark, FOLDER))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "lineitem" not in plan and "FileScan" not in plan
+
+
+def test_personalised_output_joins_no_rows(spark):
+    plan = initial(QUERIES["personalised_output"](spark, FOLDER))
+    assert plan.count("lineitem.parquet") == 1

@@ -64,7 +64,7 @@ def test_too_many_labels_to_broadcast(frame, monkeypatch):
 def test_thai_rules(frame):
     texts = ["ขับเร็ว", "รถตัดหน้า (ด้านขวา)", "ถนนลื่น/ฝนตก", "ผู้ขับขี่ผิดพลาดเอง", "???"]
     out, unmapped = rules.classify(
-        frame(t=texts), "t", presets.CAUSE_PATTERNS, presets.SYNONYMS, min_score=presets.FUZZY_MIN
+        frame(t=texts), "t", presets.CAUSE_PATTERNS, presets.SYNONYMS, min_score=97
     )
     assert labels(out) == {
         "ขับเร็ว": "Speed Awareness", "รถตัดหน้า (ด้านขวา)": "Defensive Driving",

@@ -16,10 +16,26 @@ def test_drops(frame):
 
 def test_a_late_value_keeps_its_column(frame):
     df = frame(a=[1] * 9, b=[None] * 8 + ["x"], c=[None] * 9, types={"c": pa.string()})
-    assert schema.drop_empty_columns(df, first=2).columns == ["a", "b"]
     assert schema.drop_empty_columns(df).columns == ["a", "b"]
 
 
+def test_name_scores():
+    """Names that contain or reorder the wanted words."""
+    assert schema.name_score("area", "area") == 100
+    assert schema.name_score("cause", "true cause of it") == 90
+    assert schema.name_score("first second", "second first") == 95
+    assert schema.name_score("area", "cause") < 80 and schema.name_score("", "x") == 0
+    assert 0 < schema.name_score("ab", "a" * 40) < 60
+    assert schema.part_score("abc", "xxabcxx") == 100 and schema.part_score("ab", "bc") == 200 / 3
+
+
+def test_a_name_within_another(frame):
+    df = frame(**{"the true cause of it": ["x"], "other": ["y"]})
+    out, report = schema.resolve_columns(df, ["true cause"])
+    assert out.columns == ["true cause", "other"]
+    assert report.first()["score"] == 90
+
+
 def test_resolve_by_white_space_and_similarity(frame):
     df = frame(
         **{" area\n name ": ["x"], "cause of it": ["y"], "severty": ["z"], "old": [1], "spare": [2]}
