@@ -37,7 +37,7 @@ class Rules:
 
     per_language: int = 2_000
     max_languages: int = 64
-    cells: int = 6_000_000
+    cells: int = 4_000_000
     symbols: int = 127
 
 
@@ -93,15 +93,17 @@ def train(
         .where(F.col("n") <= rules.per_language).select("id", "lang").distinct()
     )
 
+    names = sorted(sizes, key=lambda s: s.encode())
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in parts(whole, 0)):
             texts, langs = batch.column(0), batch.column(1)
             for name in pc.unique(langs):
                 keys, n = four_grams(texts.filter(pc.equal(langs, name)))
+                who = np.full(len(keys), names.index(name.as_py()), np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name.as_py()] * len(keys), pa.string()),
-                     pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))],
-                    ["lang", "key", "n"],
+                    [pa.array(who), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))],
+                    ["who", "key", "n"],
                 )
 
     # two numbers for each of a bounded number of texts
@@ -110,75 +112,71 @@ def train(
         col_of(text).cast("string").alias("text"),
     ).where("text is not null").join(F.broadcast(chosen), ["id", "lang"], "left_semi")
     counts = (
-        sample.select("text", "lang").mapInArrow(count, "lang string, key bigint, n bigint")
-        .groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
-    )
-    return build(
-        sorted(sizes, key=lambda s: s.encode()), counts["lang"].to_pylist(),
-        counts["key"].to_numpy(), counts["n"].to_numpy(), rules,
+        sample.select("text", "lang").mapInArrow(count, "who int, key bigint, n bigint")
+        .groupBy("who", "key").agg(F.sum("n").alias("n")).toArrow()
     )
+    return build(names, *(counts[c].to_numpy() for c in ("who", "key", "n")), rules)
 
 
 def build(
-    languages: list[str], lang: list[str], keys: np.ndarray, counts: np.ndarray, rules: Rules
+    languages: list[str], who: np.ndarray, keys: np.ndarray, counts: np.ndarray, rules: Rules
 ) -> Model:
-    """The table of code lengths from counts of four bytes by language."""
+    """The table of code lengths from counts of four bytes by language (its place in the list)."""
     if not languages or not len(keys):
         return Model([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((1, 0), np.int32))
-    of = {name: i for i, name in enumerate(languages)}
-    who = np.array([of[name] for name in lang], np.int64)
-    grams = np.stack([(keys >> s) & 255 for s in (24, 16, 8, 0)])
-    seen = np.bincount(grams[3], weights=counts, minlength=256)
+    seen = np.bincount(keys & 255, weights=counts, minlength=256)
     common = [b for b in np.argsort(-seen, kind="stable")[: rules.symbols] if seen[b] > 0]
     symbol_of = np.zeros(256, np.int64)
     symbol_of[sorted(common)] = np.arange(1, len(common) + 1)
     k, n_lang = len(common) + 1, len(languages)
-    grams = symbol_of[grams]
+    grams = [symbol_of[(keys >> s) & 255].astype(np.int32) for s in (24, 16, 8, 0)]
 
     # contexts by length; a context is the number of its symbols in base k
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for order in range(ORDER + 1):
-        context = np.zeros(len(keys), np.int64)
+        context = np.zeros(len(keys), np.int32)
         for part in grams[ORDER - order : ORDER]:
             context = context * k + part
         names, inverse = np.unique(context, return_inverse=True)
-        found.append((names, inverse))
-    limit = max(1, rules.cells // (k * max(n_lang, 1)))
+        found.append((names.astype(np.int64), inverse.astype(np.int32)))
+    limit = max(1, rules.cells // (k * n_lang))
     totals = [np.bincount(inv, weights=counts, minlength=len(names)) for names, inv in found]
     orders = np.repeat(np.arange(ORDER + 1), [len(t) for t in totals])
     # a shorter context has at least the count of a longer one that ends with it
-    best = np.lexsort((orders, -np.concatenate(totals)))[:limit]
     kept = np.zeros(len(orders), bool)
-    kept[best] = True
+    kept[np.lexsort((orders, -np.concatenate(totals)))[:limit]] = True
 
     row_of = np.zeros((k,) * ORDER, np.int32)
-    tables, rows, base = [np.full((1, k, n_lang), 1.0 / k)], 0, 0
-    flat = row_of.reshape(-1)
+    chances = np.zeros((int(kept.sum()), k, n_lang), np.float32)
+    bits = np.zeros(chances.shape, np.int32)
+    rows = base = 0
     for order, (names, inverse) in enumerate(found):
         keep = kept[base : base + len(names)]
         base += len(names)
         contexts = names[keep]
-        if not len(contexts):
-            continue
         place = np.full(len(names), -1, np.int64)
         place[keep] = np.arange(len(contexts))
-        use = place[inverse] >= 0
-        seen = np.zeros((len(contexts), k, n_lang))
-        np.add.at(seen, (place[inverse][use], grams[3][use], who[use]), counts[use])
-        # the row that the context has without its first symbol
-        if order == 0:
-            shorter = tables[0][[0]]
-        else:
-            below = contexts % k ** (order - 1)
-            shorter = np.concatenate(tables)[1 + row_of.reshape(-1, k ** (order - 1))[0][below]]
-        tables.append(with_escapes(seen, shorter))
+        place = place[inverse]
+        by_place = np.argsort(place, kind="stable")
+        by_place = by_place[np.searchsorted(place[by_place], 0) :]
+        below = row_of.reshape(-1, k ** max(order - 1, 0))[0] if order else None
+        for lo in range(0, len(contexts), 256):
+            hi = min(lo + 256, len(contexts))
+            own = by_place[slice(*np.searchsorted(place[by_place], [lo, hi]))]
+            seen = np.zeros((hi - lo, k, n_lang))
+            np.add.at(seen, (place[own] - lo, grams[3][own], who[own]), counts[own])
+            # the row that the context has without its first symbol
+            shorter = (
+                np.full((1, k, n_lang), 1.0 / k) if order == 0
+                else chances[below[contexts[lo:hi] % k ** (order - 1)]].astype(np.float64)
+            )
+            chance = with_escapes(seen, shorter)
+            chances[rows + lo : rows + hi] = chance
+            bits[rows + lo : rows + hi] = np.rint(-np.log2(chance) * UNIT)
         # all contexts that end so take this row, until a longer one is found
-        view = row_of.reshape(-1, k**order)
-        view[:, contexts] = rows + np.arange(len(contexts))
+        row_of.reshape(-1, k**order)[:, contexts] = rows + np.arange(len(contexts))
         rows += len(contexts)
-    lengths = np.concatenate(tables)[1:] if rows else tables[0]
-    bits = np.rint(-np.log2(lengths) * UNIT).astype(np.int32)
-    return Model(languages, symbol_of, flat, bits.reshape(-1, n_lang))
+    return Model(languages, symbol_of, row_of.reshape(-1), bits.reshape(-1, n_lang))
 
 
 def with_escapes(seen: np.ndarray, shorter: np.ndarray) -> np.ndarray:

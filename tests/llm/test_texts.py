@@ -292,10 +292,10 @@ def model_of(samples, rules=language.Rules()):
     langs, keys, counts = [], [], []
     for lang, texts in samples.items():
         k, n = language.four_grams(pa.array(texts))
-        langs += [lang] * len(k)
+        langs += [sorted(samples).index(lang)] * len(k)
         keys.append(k.astype(np.int64))
         counts.append(n)
-    return language.build(sorted(samples), langs, np.concatenate(keys), np.concatenate(counts), rules)
+    return language.build(sorted(samples), np.array(langs), np.concatenate(keys), np.concatenate(counts), rules)
 
 
 def test_code_lengths_are_exact():
