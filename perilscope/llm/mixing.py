@@ -24,7 +24,7 @@ from perilscope.llm.frames import WORDS, col_of, cols_of, materialise, same, tex
 #: More sources than this are an error: a mix is configured per source.
 MAX_SOURCES = 100_000
 #: Rows of one source that are put in order by one task.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 5_000
 FLAT = ((0.0, 1.0), (1.0, 1.0))
 ADDED = ("size", "source_size", "target", "taken", "positions")
 SEGMENTS = "array<struct<d0:double,t0:double,w0:double,slope:double>>"
