@@ -40,7 +40,7 @@ class Rules:
     length: int = 100
     gram: int = 32
     shard: int = 2 * BLOCK
-    crowd: int = 1_000
+    crowd: int = 100
 
 
 def in_order(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, str]:
