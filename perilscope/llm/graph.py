@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from perilscope.llm.frames import join_counted, materialise
 
+#: From so many nodes on, a root with many of them is kept from meeting in one task.
+LARGE = 1_000_000
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root``, the smallest node it is linked with, for all nodes with a link.
@@ -21,6 +24,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v"))
         .select("node", F.least("node", "v").alias("root"))
     )
+    large = roots.count() > LARGE
     while True:
         of_v = roots.select(F.col("node").alias("v"), F.col("root").alias("near"))
         of_u = roots.select(F.col("node").alias("u"), F.col("root").alias("own"))
@@ -33,17 +37,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lower = roots.join(least, "node", "left").select(
             "node", "root", F.least("root", "near").alias("next")
         )
-        lower = materialise(lower)
-        # a node that many have as their root is joined by its number of rows
         above = lower.where("next <> node").select(
             F.col("node").alias("next"), F.col("next").alias("top")
         )
-        above = materialise(lower.groupBy("next").agg(F.count("*").alias("n")).join(above, "next"))
+        if large:  # a node that many have as their root is joined by its number of rows
+            lower = materialise(lower)
+            above = lower.groupBy("next").agg(F.count("*").alias("n")).join(above, "next")
+            joined = join_counted(lower, materialise(above), ["next"], "n")
+        else:
+            joined = lower.join(above, "next", "left")
         top = F.coalesce("top", "next")
         moved = materialise(
-            join_counted(lower, above, ["next"], "n").select(
-                "node", top.alias("root"), (top < F.col("root")).alias("moved")
-            )
+            joined.select("node", top.alias("root"), (top < F.col("root")).alias("moved"))
         )
         roots = moved.drop("moved")
         if moved.where("moved").isEmpty():

@@ -4,8 +4,9 @@ Texts with equal sets of shingles form a class, which takes part once. A signatu
 trees, each a sequence of hash values by which the classes are sorted; classes with a long
 common prefix are neighbours in that order. A region of the order, the classes that agree in
 the first values, is compared pair by pair where it is small. Where it is large it is cut at
-the next value, as deep as it takes, and only neighbours are compared across the cuts. What
-is linked is decided on the whole sets, and components are those of the links.
+the next value, as deep as it takes, and only neighbours are compared across the cuts; families
+of candidates that are not connected after that are compared whole. What is linked is decided
+on the whole sets, and components are those of the links.
 """
 
 from __future__ import annotations
@@ -47,6 +48,11 @@ class Rules:
     first_trees: int = 4
     #: Regions with more than one in so many of all rows are dealt to several tasks.
     share: int = 10_000
+    #: Of families of more than ``region`` classes that are not yet connected, all pairs are
+    #: compared in groups of so many classes and shingles at most.
+    group: int = 4_000
+    group_shingles: int = 4_000_000
+    group_trees: int = 6
 
 
 CODE = 32
@@ -305,11 +311,158 @@ def verified(pairs: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
     return joined.mapInArrow(run, "a binary, b binary")
 
 
-def links(
+def links_within(
+    nodes: list[bytes], parts: list[bytes], sets: list[np.ndarray], percent: int
+) -> Iterator[tuple[bytes, bytes]]:
+    """Links between the classes of a group that connect all of their ``parts`` that are linked.
+
+    Every set that is not of the most frequent part is counted against all others, by lists of
+    the sets that hold a shingle: the counts are the sizes of the intersections.
+    """
+    number = {p: i for i, p in enumerate(dict.fromkeys(parts))}
+    part = np.array([number[p] for p in parts])
+    size = np.array([len(v) for v in sets])
+    first = np.concatenate([[0], np.cumsum(size)])
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(place, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(values)))])
+    for i in np.flatnonzero(part != np.bincount(part).argmax()):
+        own = place[first[i] : first[i + 1]]
+        holders = np.concatenate([owner[begin[v] : begin[v + 1]] for v in own])
+        shared = np.bincount(holders, minlength=len(sets))
+        linked = 100 * shared >= percent * (size[i] + size - shared)
+        linked &= part != part[i]
+        others, one = np.unique(part[linked], return_index=True)
+        for j in np.flatnonzero(linked)[one]:
+            yield (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
+        # from now on they are one part
+        part[np.isin(part, others)] = part[i]
+
+
+def dense_links(
+    pairs: DataFrame, roots: DataFrame | None, sets: DataFrame, classes: DataFrame, rules: Rules
+) -> DataFrame | None:
+    """Links that are missing in families of more than ``rules.region`` classes: in the forest,
+    their regions were cut. A family is a component of candidates. One that fits a group is
+    compared as a whole; a larger one in groups that agree in the first values of a tree, as
+    few as make the groups fit, for several trees."""
+    rooted = components(pairs).select("node", F.col("root").alias("family"))
+    if roots is not None:
+        rooted = rooted.join(roots.withColumnRenamed("root", "part"), "node", "left")
+    else:
+        rooted = rooted.withColumn("part", F.lit(None).cast("binary"))
+    sizes = sets.select("node", (F.octet_length("values") / 8).cast("bigint").alias("size"))
+    rooted = materialise(
+        rooted.withColumn("part", F.coalesce("part", "node")).join(sizes, "node")
+    )
+    stats = rooted.groupBy("family").agg(
+        F.count("*").alias("n"), F.count_distinct("part").alias("parts"),
+        F.sum("size").alias("shingles"),
+    )
+    fits = (F.col("n") <= rules.group) & (F.col("shingles") <= rules.group_shingles)
+    open_ = materialise(
+        stats.where((F.col("n") > rules.region) & (F.col("parts") > 1))
+        .select("family", "n", fits.alias("whole"))
+    )
+    if open_.isEmpty():
+        return None
+    rows = join_counted(rooted, open_, ["family"], "n").where("whole is not null")
+    empty = F.lit(b"")
+    dealt = rows.where("whole").select(
+        "family", F.lit(-1).alias("tree"), empty.alias("deal"), "node", "part", "size"
+    )
+    if not open_.where("not whole").isEmpty():
+        dealt = dealt.union(large_families(rows.where("not whole"), classes, rules))
+    ordered = (
+        dealt.join(sets, "node").repartition("family", "tree", "deal")
+        .sortWithinPartitions("family", "tree", "deal", "node")
+        .select("family", "tree", "deal", "node", "part", "values")
+    )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = (None, [], [], [])
+
+        def links_of() -> pa.RecordBatch:
+            out = list(links_within(*held[1:], rules.percent)) if len(held[1]) > 1 else []
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"]
+            )
+
+        for batch in batches:
+            for *key, node, part, values in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != held[0]:
+                    yield links_of()
+                    held = (key, [], [], [])
+                held[1].append(node)
+                held[2].append(part)
+                held[3].append(np.frombuffer(values, np.uint64))
+        yield links_of()
+
+    return ordered.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def large_families(rows: DataFrame, classes: DataFrame, rules: Rules) -> DataFrame:
+    """``rows`` of families too large for a group, dealt by prefixes of ``group_trees`` trees. A
+    prefix that still holds too many at full depth is split by the nodes."""
+    size = 2 * rules.depth
+    trees = F.transform(
+        F.sequence(F.lit(0), F.lit(rules.group_trees - 1)),
+        lambda t: F.struct(
+            t.alias("tree"), F.substring(F.col("signature"), t * size + 1, F.lit(size)).alias("path")
+        ),
+    )
+    signed = rows.join(classes.select("node", "signature"), "node")
+    dealt = signed.select("family", F.explode(trees).alias("x"), "node", "part", "size").select(
+        "family", "x.tree", "x.path", F.substring("x.path", 1, 2).alias("deal"), "node", "part", "size"
+    )
+    keys = ["family", "tree", "deal"]
+    for depth in range(2, rules.depth + 2):
+        dealt = materialise(dealt)
+        heavy = dealt.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+        over = F.greatest(F.col("n") / rules.group, F.col("w") / rules.group_shingles)
+        heavy = materialise(
+            heavy.where(over > 1).select(*keys, "n", F.ceil(2 * over).alias("pieces"))
+        )
+        if heavy.isEmpty():
+            break
+        longer = F.substring("path", 1, 2 * depth)
+        if depth > rules.depth:
+            piece = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("string")
+            longer = F.concat("path", F.encode(piece, "utf-8"))
+        dealt = join_counted(dealt, heavy, keys, "n").select(
+            "family", "tree", "path",
+            F.when(F.col("pieces").isNotNull(), longer).otherwise(F.col("deal")).alias("deal"),
+            "node", "part", "size",
+        )
+    return dealt.select("family", "tree", "deal", "node", "part", "size")
+
+
+def joined_roots(roots: DataFrame | None, more: DataFrame) -> DataFrame | None:
+    """Components ``node`` and ``root`` after further links, which are few: the graph of the
+    components that they connect is solved on its own."""
+    if more.isEmpty():
+        return roots
+    if roots is None:
+        return components(more)
+    of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    between = more.join(of_a, "a", "left").join(of_b, "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")
+    )
+    merged = components(between).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    known = roots.select("node", F.col("root").alias("old"))
+    alone = merged.join(roots, F.col("old") == F.col("node"), "left_anti").select(
+        F.col("old").alias("node"), "old"
+    )
+    renamed = known.union(alone).join(merged, "old", "left")
+    return materialise(renamed.select("node", F.coalesce("new", "old").alias("root")))
+
+
+def linked_classes(
     docs: DataFrame, sketched: DataFrame, id: str, text: str, rules: Rules
 ) -> DataFrame | None:
-    """Verified links ``a``, ``b`` between classes that have the components of all links found;
-    None if there is no candidate.
+    """``node`` and ``root`` of the classes that have a verified link, by all links found; None
+    if there are none.
 
     Neighbours in the first trees are verified first; of all other candidates only those whose
     ends are not yet connected.
@@ -326,16 +479,17 @@ def links(
         whole_sets(docs, classes.select("node", "uid").join(ends, "node"), id, text, rules)
     )
     first = materialise(verified(pairs.where(F.col("near") < rules.first_trees), sets, rules))
+    roots = joined_roots(None, first)
     rest = pairs.where(F.col("near") >= rules.first_trees)
-    if not first.isEmpty():
-        root = components(first)
-        of_a = root.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        of_b = root.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    if roots is not None:
+        of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         rest = rest.join(of_a, "a", "left").join(of_b, "b", "left").where(
             "ra is null or rb is null or ra <> rb"
         )
-    second = materialise(verified(rest, sets, rules))
-    return first.union(second)
+    roots = joined_roots(roots, materialise(verified(rest, sets, rules)))
+    third = dense_links(pairs, roots, sets, classes, rules)
+    return roots if third is None else joined_roots(roots, materialise(third))
 
 
 def near_duplicates(
@@ -356,18 +510,18 @@ def near_duplicates(
 def judged(docs: DataFrame, id: str, text: str, rules: Rules) -> DataFrame:
     """The result of ``near_duplicates`` with the ``uid`` of each row and its id as ``id``."""
     sketched = materialise(sketch(docs, id, text, rules))
-    found = links(docs, sketched, id, text, rules)
+    roots = linked_classes(docs, sketched, id, text, rules)
     per_class = sketched.where("node is not null").groupBy("node").agg(
         F.min("id").alias("least"), F.count("*").alias("rows")
     )
-    if found is None or found.isEmpty():
+    if roots is None:
         named = per_class.where("rows > 1").select("node", F.col("least").alias("component"), "rows")
     else:
-        rooted = materialise(per_class.join(components(found), "node", "left"))
+        rooted = materialise(per_class.join(roots, "node", "left"))
         linked = rooted.where("root is not null")
-        roots = linked.groupBy("root").agg(F.min("least").alias("component"))
+        least = linked.groupBy("root").agg(F.min("least").alias("component"))
         single = rooted.where("root is null and rows > 1")
-        named = linked.join(roots, "root").select("node", "component", "rows").union(
+        named = linked.join(least, "root").select("node", "component", "rows").union(
             single.select("node", F.col("least").alias("component"), "rows")
         )
     named = materialise(named.withColumn("grouped", F.lit(True)))

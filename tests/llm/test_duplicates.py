@@ -94,9 +94,10 @@ def near_rows(seed=2):
                 copy[random.randrange(len(copy))] = random.choice(vocabulary)
             texts.append(" ".join(copy))
     big = make(120)
-    for i in range(150):  # a dense region
+    for i in range(150):  # a dense region, in which some are linked with few others
         copy = list(big)
-        copy[random.randrange(120)] = f"own{i}"
+        for k in range(1 + i % 6):
+            copy[random.randrange(120)] = f"own{i}.{k}"
         texts.append(" ".join(copy))
     texts += [" ".join(make(30_000))] * 2 + ["same text of a large group"] * 40
     random.shuffle(texts)
@@ -104,9 +105,8 @@ def near_rows(seed=2):
 
 
 RULES = [
-    neardup.Rules(width=4),
-    neardup.Rules(width=4, region=4, near=3),
     neardup.Rules(width=3, share=10),
+    neardup.Rules(width=4, region=4, near=1, group=40, group_trees=16),
 ]
 
 
