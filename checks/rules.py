@@ -334,4 +334,4 @@ FROM conversations c LEFT JOIN hit h ON c.text = h.text"""
 )
 def keyword_theme_conversations(spark, folder):
     df = table(spark, folder, "conversations").select("conv_id", "turn", "text")
-    return rules.keyword_theme(df, "text", _TALK, fuzzy=False)[0].drop("text")
+    return rules.keyword_theme(df, "text", _TALK)[0].drop("text")
