@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilscope.columns import col_of, cols_of
-from perilscope.session import materialise
+from perilscope.session import materialise, run_folder
 
 #: More bytes than this are never broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -41,6 +41,24 @@ def computed_once(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
+def staged(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again.
+
+    For frames that are joined round after round. A checkpoint keeps the estimated size of the
+    joins it is made of, as a product that each round squares; a table has the size it has.
+    The table of the frame it ``replaces`` is removed.
+    """
+    spark = df.sparkSession
+    path = run_folder(spark, "staged")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if replaces is not None:
+        for old in {f.rpartition("/")[0] for f in replaces.inputFiles()}:
+            target = spark._jvm.org.apache.hadoop.fs.Path(old)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return out
+
+
 def small(df: DataFrame, row_bytes: int, limit: int | None = None) -> bool:
     """Whether the rows of ``df``, of at most ``row_bytes`` each, fit a broadcast."""
     limit = BROADCAST_BYTES if limit is None else limit
@@ -88,5 +106,5 @@ def join_counted(
 
 __all__ = [
     "BROADCAST_BYTES", "WORDS", "col_of", "cols_of", "computed_once", "fresh", "join_counted", "materialise",
-    "same", "small", "text_or_empty",
+    "same", "small", "staged", "text_or_empty",
 ]

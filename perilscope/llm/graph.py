@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perilscope.llm.frames import join_counted, materialise
+from perilscope.llm.frames import join_counted, staged
 
 #: From so many nodes on, a root with many of them is kept from meeting in one task.
 LARGE = 1_000_000
@@ -19,8 +19,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     log n rounds. All steps are joins and minima that are combined before they are shuffled.
     """
     one = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = materialise(one.union(one.select("v", "u")).where("u <> v").distinct())
-    roots = materialise(
+    both = staged(one.union(one.select("v", "u")).where("u <> v").distinct())
+    roots = staged(
         both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v"))
         .select("node", F.least("node", "v").alias("root"))
     )
@@ -41,15 +41,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             F.col("node").alias("next"), F.col("next").alias("top")
         )
         if large:  # a node that many have as their root is joined by its number of rows
-            lower = materialise(lower)
+            lower = staged(lower)
             above = lower.groupBy("next").agg(F.count("*").alias("n")).join(above, "next")
-            joined = join_counted(lower, materialise(above), ["next"], "n")
+            joined = join_counted(lower, staged(above), ["next"], "n")
         else:
             joined = lower.join(above, "next", "left")
         top = F.coalesce("top", "next")
-        moved = materialise(
-            joined.select("node", top.alias("root"), (top < F.col("root")).alias("moved"))
+        moved = staged(
+            joined.select("node", top.alias("root"), (top < F.col("root")).alias("moved")),
+            replaces=roots,
         )
-        roots = moved.drop("moved")
+        roots = moved.select("node", "root")
         if moved.where("moved").isEmpty():
             return roots

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilscope.llm.frames import (
-    col_of, cols_of, fresh, join_counted, materialise, same, small, text_or_empty,
+    col_of, cols_of, fresh, join_counted, materialise, same, small, staged, text_or_empty,
 )
 from perilscope.llm.graph import components
 from perilscope.llm.words import mix, multipliers, parts, shingles, words
@@ -339,20 +339,22 @@ def links_within(
         part[np.isin(part, others)] = part[i]
 
 
-def dense_links(
-    pairs: DataFrame, roots: DataFrame | None, sets: DataFrame, classes: DataFrame, rules: Rules
-) -> DataFrame | None:
-    """Links that are missing in families of more than ``rules.region`` classes: in the forest,
-    their regions were cut. A family is a component of candidates. One that fits a group is
-    compared as a whole; a larger one in groups that agree in the first values of a tree, as
-    few as make the groups fit, for several trees."""
-    rooted = components(pairs).select("node", F.col("root").alias("family"))
+def open_families(
+    pairs: DataFrame, roots: DataFrame | None, sets: DataFrame, rules: Rules
+) -> DataFrame:
+    """The classes of families of more than ``rules.region`` classes that are not connected yet:
+    ``family``, ``whole`` (whether it fits a group), ``node``, ``part``, ``size``. In the forest,
+    their regions were cut. A family is a component of neighbours in the first trees."""
+    family = joined_roots(roots, pairs.where(F.col("near") < rules.first_trees).select("a", "b"))
+    sizes = sets.select("node", (F.octet_length("values") / 8).cast("bigint").alias("size"))
+    if family is None:
+        family = sizes.select("node", F.col("node").alias("root"))
+    rooted = family.withColumnRenamed("root", "family")
     if roots is not None:
         rooted = rooted.join(roots.withColumnRenamed("root", "part"), "node", "left")
     else:
         rooted = rooted.withColumn("part", F.lit(None).cast("binary"))
-    sizes = sets.select("node", (F.octet_length("values") / 8).cast("bigint").alias("size"))
-    rooted = materialise(
+    rooted = staged(
         rooted.withColumn("part", F.coalesce("part", "node")).join(sizes, "node")
     )
     stats = rooted.groupBy("family").agg(
@@ -360,18 +362,25 @@ def dense_links(
         F.sum("size").alias("shingles"),
     )
     fits = (F.col("n") <= rules.group) & (F.col("shingles") <= rules.group_shingles)
-    open_ = materialise(
+    some = materialise(
         stats.where((F.col("n") > rules.region) & (F.col("parts") > 1))
         .select("family", "n", fits.alias("whole"))
     )
-    if open_.isEmpty():
-        return None
-    rows = join_counted(rooted, open_, ["family"], "n").where("whole is not null")
+    rows = join_counted(rooted, some, ["family"], "n").where("whole is not null")
+    return staged(rows.select("family", "whole", "node", "part", "size"))
+
+
+def dense_links(
+    rows: DataFrame, sets: DataFrame, classes: DataFrame, rules: Rules
+) -> DataFrame:
+    """All links that connect parts of the families ``rows``: ``family``, ``whole``, ``node``,
+    ``part`` and ``size``. A whole family is compared as one group; a larger one in groups that
+    agree in the first values of a tree, as few as make the groups fit, for several trees."""
     empty = F.lit(b"")
     dealt = rows.where("whole").select(
         "family", F.lit(-1).alias("tree"), empty.alias("deal"), "node", "part", "size"
     )
-    if not open_.where("not whole").isEmpty():
+    if not rows.where("not whole").isEmpty():
         dealt = dealt.union(large_families(rows.where("not whole"), classes, rules))
     ordered = (
         dealt.join(sets, "node").repartition("family", "tree", "deal")
@@ -417,7 +426,7 @@ def large_families(rows: DataFrame, classes: DataFrame, rules: Rules) -> DataFra
     )
     keys = ["family", "tree", "deal"]
     for depth in range(2, rules.depth + 2):
-        dealt = materialise(dealt)
+        dealt = staged(dealt)
         heavy = dealt.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("w"))
         over = F.greatest(F.col("n") / rules.group, F.col("w") / rules.group_shingles)
         heavy = materialise(
@@ -455,7 +464,7 @@ def joined_roots(roots: DataFrame | None, more: DataFrame) -> DataFrame | None:
         F.col("old").alias("node"), "old"
     )
     renamed = known.union(alone).join(merged, "old", "left")
-    return materialise(renamed.select("node", F.coalesce("new", "old").alias("root")))
+    return staged(renamed.select("node", F.coalesce("new", "old").alias("root")))
 
 
 def linked_classes(
@@ -464,14 +473,14 @@ def linked_classes(
     """``node`` and ``root`` of the classes that have a verified link, by all links found; None
     if there are none.
 
-    Neighbours in the first trees are verified first; of all other candidates only those whose
-    ends are not yet connected.
+    Neighbours in the first trees are verified first, then large families whole; of all other
+    candidates only those whose ends are not yet connected.
     """
     classes = sketched.where("node is not null").groupBy("node").agg(
         F.min("uid").alias("uid"), F.first("n_shingles").alias("n"),
         F.first("signature").alias("signature"), F.first("code").alias("code"),
     )
-    pairs = materialise(candidates(forest(classes, rules), rules))
+    pairs = staged(candidates(forest(classes, rules), rules))
     if pairs.isEmpty():
         return None
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -480,16 +489,24 @@ def linked_classes(
     )
     first = materialise(verified(pairs.where(F.col("near") < rules.first_trees), sets, rules))
     roots = joined_roots(None, first)
-    rest = pairs.where(F.col("near") >= rules.first_trees)
+    dense = open_families(pairs, roots, sets, rules)
+    rest = pairs.where(F.col("near") >= rules.first_trees).select("a", "b")
+    if not dense.isEmpty():
+        roots = joined_roots(roots, materialise(dense_links(dense, sets, classes, rules)))
+        of_a = dense.select(F.col("node").alias("a"), F.col("family").alias("fa"))
+        of_b = dense.select(F.col("node").alias("b"), F.col("family").alias("fb"))
+        rest = rest.join(of_a, "a", "left").join(of_b, "b", "left").where(
+            "fa is null or fb is null or fa <> fb"
+        )
+        rest = staged(rest.select("a", "b"))
     if roots is not None:
         of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         rest = rest.join(of_a, "a", "left").join(of_b, "b", "left").where(
             "ra is null or rb is null or ra <> rb"
         )
-    roots = joined_roots(roots, materialise(verified(rest, sets, rules)))
-    third = dense_links(pairs, roots, sets, classes, rules)
-    return roots if third is None else joined_roots(roots, materialise(third))
+    rest = staged(rest.select("a", "b"))
+    return joined_roots(roots, materialise(verified(rest, sets, rules)))
 
 
 def near_duplicates(
