@@ -21,7 +21,7 @@ HEADLINE = [
     "rule_priority", "keyword_theme", "row_product_lookup", "master_join",
     "personalised_output", "union_years", "mode_profile", "yoy_trend", "subcause_forecast",
     "theme_forecast", "ordinal_encode", "stratified_split", "classification_report",
-    "forest_importance",
+    "forest_importance", "rule_cascade_148", "pipeline_rows", "describe_in_ranges",
 ]
 
 
