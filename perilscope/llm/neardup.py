@@ -5,8 +5,8 @@ trees, each a sequence of hash values by which the classes are sorted; classes w
 common prefix are neighbours in that order. A region of the order, the classes that agree in
 the first values, is compared pair by pair where it is small. Where it is large it is cut at
 the next value, as deep as it takes, and only neighbours are compared across the cuts; families
-of candidates that are not connected after that are compared whole. What is linked is decided
-on the whole sets, and components are those of the links.
+of candidates that are not connected after that are compared whole, large ones piece by piece.
+What is linked is decided on the whole sets, and components are those of the links.
 """
 
 from __future__ import annotations
@@ -52,6 +52,8 @@ class Rules:
     #: compared in groups of so many classes and shingles at most.
     group: int = 4_000
     group_shingles: int = 4_000_000
+    #: Families larger than that are first compared by the prefixes of so many trees, so that
+    #: few parts are left to compare piece by piece.
     group_trees: int = 6
 
 
@@ -373,15 +375,21 @@ def open_families(
 def dense_links(
     rows: DataFrame, sets: DataFrame, classes: DataFrame, rules: Rules
 ) -> DataFrame:
-    """All links that connect parts of the families ``rows``: ``family``, ``whole``, ``node``,
-    ``part`` and ``size``. A whole family is compared as one group; a larger one in groups that
-    agree in the first values of a tree, as few as make the groups fit, for several trees."""
+    """Links that connect parts of the families ``rows``: ``family``, ``whole``, ``node``,
+    ``part`` and ``size``. A whole family is compared as one group, which finds all of them; a
+    larger one in groups that agree in the first values of a tree, as few as make the groups fit,
+    for several trees, which leaves some to ``links_between_pieces``."""
     empty = F.lit(b"")
     dealt = rows.where("whole").select(
         "family", F.lit(-1).alias("tree"), empty.alias("deal"), "node", "part", "size"
     )
     if not rows.where("not whole").isEmpty():
         dealt = dealt.union(large_families(rows.where("not whole"), classes, rules))
+    return links_of_groups(dealt, sets, rules)
+
+
+def links_of_groups(dealt: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
+    """The links that connect parts of each group of ``family``, ``tree`` and ``deal``."""
     ordered = (
         dealt.join(sets, "node").repartition("family", "tree", "deal")
         .sortWithinPartitions("family", "tree", "deal", "node")
@@ -446,6 +454,59 @@ def large_families(rows: DataFrame, classes: DataFrame, rules: Rules) -> DataFra
     return dealt.select("family", "tree", "deal", "node", "part", "size")
 
 
+def links_between_pieces(
+    rows: DataFrame, roots: DataFrame | None, sets: DataFrame, rules: Rules
+) -> DataFrame | None:
+    """All links that connect parts of the families ``rows``, which are too large for a group;
+    None if each is one part by ``roots``.
+
+    The classes of a family are dealt by their nodes to pieces of half a group, and each two
+    pieces are compared as one group. The most frequent part has pieces of its own, which are not
+    compared with each other: where the others fit one piece, every class of that part is read
+    once, and the others once for each of its pieces.
+    """
+    if roots is not None:
+        rows = rows.drop("part").join(roots.withColumnRenamed("root", "part"), "node", "left")
+    rows = staged(
+        rows.select("family", F.coalesce("part", "node").alias("part"), "node", "size")
+    )
+    per_part = rows.groupBy("family", "part").agg(
+        F.count("*").alias("n"), F.sum("size").alias("w")
+    )
+    stats = per_part.groupBy("family").agg(
+        F.max(F.struct("n", "w", "part")).alias("main"), F.sum("n").alias("n"),
+        F.sum("w").alias("w"), F.count("*").alias("parts"),
+    )
+
+    def pieces(n: Column, w: Column) -> Column:
+        return F.ceil(2 * F.greatest(n / rules.group, w / rules.group_shingles)).cast("int")
+
+    some = materialise(
+        stats.where("parts > 1").select(
+            "family", "n", F.col("main.part").alias("main"),
+            pieces(F.col("main.n"), F.col("main.w")).alias("of_main"),
+            pieces(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("of_others"),
+        )
+    )
+    if some.isEmpty():
+        return None
+    met = join_counted(rows, some, ["family"], "n").where("main is not null")
+    # pieces of the others are numbered first
+    own = F.when(
+        F.col("part") == F.col("main"),
+        F.col("of_others") + F.pmod(F.xxhash64("node"), F.col("of_main")),
+    ).otherwise(F.pmod(F.xxhash64("node"), F.col("of_others"))).cast("int")
+    last = F.when(F.col("part") == F.col("main"), F.col("of_others")).otherwise(
+        F.col("of_others") + F.col("of_main")
+    )
+    others = F.filter(F.sequence(F.lit(0), last - 1), lambda i: i != F.col("own"))
+    dealt = met.withColumn("own", own).select("family", "node", "part", "own", F.explode(others).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return links_of_groups(
+        dealt.select("family", low.alias("tree"), high.alias("deal"), "node", "part"), sets, rules
+    )
+
+
 def joined_roots(roots: DataFrame | None, more: DataFrame) -> DataFrame | None:
     """Components ``node`` and ``root`` after further links, which are few: the graph of the
     components that they connect is solved on its own."""
@@ -474,7 +535,8 @@ def linked_classes(
     if there are none.
 
     Neighbours in the first trees are verified first, then large families whole; of all other
-    candidates only those whose ends are not yet connected.
+    candidates only those whose ends are not yet connected. What is then not connected of
+    families that do not fit a group is compared piece by piece.
     """
     classes = sketched.where("node is not null").groupBy("node").agg(
         F.min("uid").alias("uid"), F.first("n_shingles").alias("n"),
@@ -493,8 +555,8 @@ def linked_classes(
     rest = pairs.where(F.col("near") >= rules.first_trees).select("a", "b")
     if not dense.isEmpty():
         roots = joined_roots(roots, materialise(dense_links(dense, sets, classes, rules)))
-        of_a = dense.select(F.col("node").alias("a"), F.col("family").alias("fa"))
-        of_b = dense.select(F.col("node").alias("b"), F.col("family").alias("fb"))
+        of_a = dense.where("whole").select(F.col("node").alias("a"), F.col("family").alias("fa"))
+        of_b = dense.where("whole").select(F.col("node").alias("b"), F.col("family").alias("fb"))
         rest = rest.join(of_a, "a", "left").join(of_b, "b", "left").where(
             "fa is null or fb is null or fa <> fb"
         )
@@ -506,7 +568,13 @@ def linked_classes(
             "ra is null or rb is null or ra <> rb"
         )
     rest = staged(rest.select("a", "b"))
-    return joined_roots(roots, materialise(verified(rest, sets, rules)))
+    roots = joined_roots(roots, materialise(verified(rest, sets, rules)))
+    large = dense.where("not whole")
+    if not large.isEmpty():
+        more = links_between_pieces(large, roots, sets, rules)
+        if more is not None:
+            roots = joined_roots(roots, materialise(more))
+    return roots
 
 
 def near_duplicates(

@@ -122,6 +122,65 @@ def test_near_duplicates(spark, rules, monkeypatch):
     assert found == sorted(slow_near(rows, rules.width), key=str)
 
 
+def large_family_rows():
+    """A large family of texts that share 0.6 to 0.8 of their unions, linked by few pairs."""
+    random.seed(13)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(80):
+        at = random.sample(range(5, 145, 5), 4)
+        for own in (at[1:2], at[2:]):
+            copy = list(base)
+            copy[at[0]] = f"pair{i}"
+            for k in own:
+                copy[k] = f"own{i}.{k}"
+            texts.append(" ".join(copy))
+    return list(enumerate(texts))
+
+
+def test_large_families_are_compared_whole(spark):
+    # with the trees of production, and groups so small that prefixes of several values are needed
+    rules = neardup.Rules(region=6, near=1, group=3)
+    rows = large_family_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = sorted(map(tuple, neardup.near_duplicates(docs, rules=rules).collect()))
+    assert found == sorted(slow_near(rows, rules.width))
+
+
+@pytest.mark.parametrize(("main", "limits"), [(0, {"group": 8}), (60, {"group_shingles": 600})])
+def test_pieces_of_a_family_are_compared_with_each_other(spark, main, limits):
+    random.seed(17)
+    sets = [set(range(1000 * i, 1000 * i + 90)) for i in range(40)]
+    sets += [set(random.sample(sorted(s), 85)) for s in sets]
+    sets += [set(range(90_000, 90_090)) | {10**6 + i} for i in range(main)]
+    # one that only a class of the most frequent part is linked with
+    sets += [set(range(90_000, 90_088)) | {10**7}] if main else []
+    first = len(sets) - main - bool(main)
+    node = lambda i: i.to_bytes(16, "big")
+    rows = spark.createDataFrame(
+        [
+            (b"f", False, bytearray(node(i)), bytearray(node(first if first <= i < first + main else i)), len(s))
+            for i, s in enumerate(sets)
+        ],
+        "family binary, whole boolean, node binary, part binary, size bigint",
+    )
+    whole = spark.createDataFrame(
+        [(bytearray(node(i)), bytearray(np.array(sorted(s), np.uint64).tobytes())) for i, s in enumerate(sets)],
+        "node binary, values binary",
+    )
+    roots = rows.select("node", "part").where("node <> part or conv(hex(node), 16, 10) = '%d'" % first)
+    roots = roots.withColumnRenamed("part", "root") if main else None
+    links = neardup.links_between_pieces(rows, roots, whole, neardup.Rules(**limits))
+    found = {(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in links.collect()}
+    assert {(i, i + 40) for i in range(40)} <= found
+    assert all(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in found)
+    merged = slow_components([*found, *((first, first + i) for i in range(main))])
+    expect = slow_components(
+        [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    )
+    assert merged == expect
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = near_rows(4)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
