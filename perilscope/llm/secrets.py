@@ -40,9 +40,9 @@ SPAN = "array<struct<start:int,kind:int,end:int>>"
 class Rules:
     """Limits of the Markov stage and of its training.
 
-    ``sample_docs`` documents, those with the smallest hashes of their ids, give the ordinary
-    identifiers, and ``sample_values`` matches of the patterns the random strings. Ordinary
-    tokens have ``ordinary_chars`` characters at most: what is long enough to be judged is not
+    ``sample_docs`` ids, those with the smallest hashes, give the ordinary identifiers, and
+    ``sample_values`` different matches of the patterns the random strings, so that copies of
+    one do not use up the sample. Ordinary tokens have ``ordinary_chars`` characters at most: what is long enough to be judged is not
     learned from, or unknown secrets would pass as ordinary.
     """
 
@@ -140,12 +140,13 @@ def train(docs: DataFrame, id: str, text: str, rules: Rules) -> list[float]:
     random = (
         docs.select(F.explode(values).alias("token"))
         .where((F.length("token") >= 16) & F.regexp_like("token", F.lit("[0-9]")))
+        .distinct()
         .select("token", F.lit(1).alias("random"))
         .orderBy(F.xxhash64("token"), "token")
         .limit(rules.sample_values)
     )
     ids = docs.select(col_of(id).alias("sample_id")).where("sample_id is not null")
-    ids = ids.orderBy(F.xxhash64("sample_id"), "sample_id").limit(rules.sample_docs).distinct()
+    ids = ids.distinct().orderBy(F.xxhash64("sample_id"), "sample_id").limit(rules.sample_docs)
     # what the patterns cover is cut out before the tokens are taken
     rest = whole
     for kind, pattern, _, _ in PATTERNS:

@@ -139,6 +139,25 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert all(not found[i] for i in range(300))
 
 
+def test_copies_do_not_use_up_the_samples(spark):
+    random.seed(7)
+    hexed = lambda: "".join(random.choice("0123456789abcdef") for _ in range(32))
+    texts = [f"key {hexed()} of item_{i} in some_place" for i in range(30)]
+    rules = secrets.Rules(sample_docs=30, sample_values=30)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    schema = "doc_id bigint, text string"
+    alone = secrets.train(spark.createDataFrame(rows, schema), "doc_id", "text", rules)
+    # copies of any token, under one id, leave the random strings as they are
+    for hot in (0, 7, 15, 22):
+        copies = [(None, texts[hot])] * 40
+        docs = spark.createDataFrame(rows + copies, schema)
+        assert secrets.train(docs, "doc_id", "text", rules) == alone
+    # an id of many rows counts once; its other rows have no tokens
+    for hot in (0, 7, 15, 22):
+        docs = spark.createDataFrame(rows + [(hot, "")] * 40, schema)
+        assert secrets.train(docs, "doc_id", "text", rules) == alone
+
+
 def test_redaction(spark):
     docs = frame(spark, [f"a token={KEY} b AKIA{'B' * 12}", "clean", None])
     model = [0.0] * secrets.STATES**2
