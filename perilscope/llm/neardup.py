@@ -63,8 +63,8 @@ HELD = 50_000
 
 
 def uid(id: str, text: str) -> Column:
-    """A number for a document; documents without an id are told apart by their texts."""
-    return F.xxhash64(col_of(id), F.when(col_of(id).isNull(), text_or_empty(text)))
+    """A number for a document; documents with the same id or none are told apart by their texts."""
+    return F.xxhash64(col_of(id), text_or_empty(text))
 
 
 def sets_of(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:

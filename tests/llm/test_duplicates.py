@@ -190,6 +190,13 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == expect
 
 
+def test_an_id_on_a_duplicate_and_on_another_text(spark):
+    rows = [(0, "a b c d e f"), (1, "a b c d e f"), (1, "nothing like the others at all")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = neardup.drop_near_duplicates(docs).collect()
+    assert sorted(map(tuple, kept)) == [rows[0], rows[2]]
+
+
 def test_nothing_to_compare(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert neardup.near_duplicates(docs).collect() == []
