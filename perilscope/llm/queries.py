@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perilscope.llm import (
-    chat, decontamination, language, mixing, neardup, quality, repeats, secrets, sharding, warc,
+    chat, decontamination, language, merkle, mixing, neardup, quality, repeats, secrets, sharding,
+    warc,
 )
 from perilscope.session import run_folder
 
@@ -289,3 +290,96 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.summary(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+#: The bits of a byte are taken one by one; DuckDB has no CRC-32.
+CRC32 = """xor(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+      lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384 ELSE 0 END),
+    4294967295::BIGINT), 4294967295::BIGINT)"""
+
+
+def _level_sql(name: str, leaves: str) -> str:
+    """All nodes above the ``leaves`` (tree, pos, digest) of binary trees, level by level."""
+    return f"""{name} AS (
+  SELECT tree, pos, digest, 0 AS level, count(*) OVER (PARTITION BY tree) AS size FROM {leaves}
+  UNION ALL
+  SELECT tree, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), any_value(level) + 1,
+    (any_value(size) + 1) // 2
+  FROM {name} WHERE size > 1 GROUP BY tree, pos // 2
+)"""
+
+
+def _path_sql(name: str, nodes: str) -> str:
+    """The siblings on the way from each leaf to the root: those of the odd places stand left."""
+    return f"""{name} AS (
+  SELECT a.tree, a.pos, n.level, (a.pos >> n.level) & 1 AS slot, coalesce(s.digest, '') AS sibling
+  FROM {nodes} a JOIN {nodes} n
+    ON n.tree = a.tree AND n.pos = a.pos >> n.level AND n.size > 1
+  LEFT JOIN {nodes} s ON s.tree = n.tree AND s.level = n.level AND s.pos = xor(n.pos, 1::BIGINT)
+  WHERE a.level = 0
+)"""
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}, '-')"
+
+
+def _leaf_sql(n_chars: str = "n_chars") -> str:
+    return f"sha256({' || '.join(_field_sql(n_chars if f == 'n_chars' else f) for f in FIELDS)})"
+
+
+@query(f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql()} AS digest,
+    CASE WHEN {CRC32} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql()} END AS tampered,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos
+  FROM documents
+),
+{_level_sql("nodes", "leaves")},
+subroots AS (
+  SELECT '' AS tree, tree AS name, digest, row_number() OVER (ORDER BY tree) - 1 AS pos
+  FROM nodes WHERE size = 1
+),
+{_level_sql("tops", "subroots")},
+{_path_sql("low", "nodes")},
+{_path_sql("high", "tops")},
+steps AS (
+  SELECT tree, pos, level, slot, sibling FROM low
+  UNION ALL
+  SELECT l.tree, l.pos, 1000 + h.level, h.slot, h.sibling
+  FROM leaves l JOIN subroots r ON r.name = l.tree JOIN high h ON h.pos = r.pos
+),
+proofs AS (
+  SELECT tree, pos, string_agg(sibling, '' ORDER BY level) AS proof,
+    list(struct_pack(slot := slot, sibling := sibling) ORDER BY level) AS path
+  FROM steps GROUP BY tree, pos
+),
+folds AS (
+  SELECT tree, pos, tampered AS node, coalesce(path, []) AS path, 1 AS k
+  FROM leaves LEFT JOIN proofs USING (tree, pos)
+  UNION ALL
+  SELECT tree, pos, sha256(CASE WHEN path[k].slot = 1 THEN path[k].sibling || node
+    ELSE node || path[k].sibling END), path, k + 1
+  FROM folds WHERE k <= len(path)
+)
+SELECT doc_id, l.digest AS leaf, r.digest AS subroot, t.digest AS root,
+  sha256(coalesce(proof, '')) AS proof_sha256, node AS folded_root, node = t.digest AS verified
+FROM leaves l JOIN subroots r ON r.name = l.tree JOIN tops t ON t.size = 1
+  JOIN folds f ON f.tree = l.tree AND f.pos = l.pos AND f.k = len(f.path) + 1
+  LEFT JOIN proofs p ON p.tree = l.tree AND p.pos = l.pos
+""")
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(*FIELDS)
+    changed = [F.col("n_chars") + 1 if f == "n_chars" else F.col(f) for f in FIELDS]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(hit, merkle.leaf(changed)).alias("tampered")
+    rows = merkle.manifest(docs, fields=FIELDS, more=[tampered])
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root",
+        F.sha2(merkle.siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))

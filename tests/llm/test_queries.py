@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="tables are no
 
 def test_all_are_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert entry_point.queries().keys() >= QUERIES.keys() | {"pipeline"}
 
 
