@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from perilscope.llm import (
     chat, decontamination, language, merkle, mixing, neardup, quality, repeats, secrets, sharding,
-    warc,
+    simhash, warc, whitening,
 )
 from perilscope.session import run_folder
 
@@ -383,3 +383,14 @@ def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(merkle.siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
         folded.alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query()
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs)
+
+
+@query()
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
