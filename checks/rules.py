@@ -230,6 +230,109 @@ def rule_cascade_148(spark, folder):
     return rules.classify(df, "cause", _many_rules(), SYNONYMS)[0]
 
 
+# a rule table that grows with the data, far too large for a literal: all words of the documents
+_WORD_RULES_SQL = r"""rules AS (
+  SELECT pattern, min(coalesce(lang, 'none')) AS label, min(doc_id) AS ord
+  FROM (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS pattern
+        FROM documents)
+  GROUP BY pattern
+)"""
+
+
+def _word_rules(spark, folder):
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    docs = table(spark, folder, "documents").select("doc_id", "lang", F.explode(words).alias("pattern"))
+    return docs.groupBy("pattern").agg(
+        F.min(F.coalesce("lang", F.lit("none"))).alias("label"), F.min("doc_id").alias("ord")
+    )
+
+
+@check(
+    f"""WITH {_WORD_RULES_SQL},
+hit AS (
+  SELECT text, label,
+         row_number() OVER (PARTITION BY text ORDER BY length(pattern) DESC, ord, label, pattern) AS place
+  FROM (SELECT DISTINCT text, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS bare FROM conversations)
+  JOIN rules ON contains(bare, pattern)
+)
+SELECT conv_id, turn, coalesce(label, 'none of them') AS theme
+FROM conversations c LEFT JOIN (FROM hit WHERE place = 1) h ON c.text = h.text"""
+)
+def rule_words_contained(spark, folder):
+    """The longest of some 95,000 rules (at sf0.01) that stands in each message."""
+    df = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    themed_ = rules.first_contains(df, "text", _word_rules(spark, folder), "none of them", "longest")
+    return themed_.drop("text")
+
+
+_PAGE_TOKENS_SQL = f"""split AS (
+  SELECT url, {TOKENS_SQL.format("url")} AS toks FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL)
+),
+tokened AS (SELECT url, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM split)"""
+
+
+@check(
+    f"""WITH {_WORD_RULES_SQL}, {_PAGE_TOKENS_SQL},
+touch AS (
+  SELECT t.token, label, ord, pattern
+  FROM (SELECT DISTINCT token FROM tokened) t
+  JOIN rules ON contains(pattern, t.token) OR contains(t.token, pattern)
+),
+hit AS (
+  SELECT url, label, row_number() OVER (PARTITION BY url ORDER BY pos, ord, label, pattern) AS place
+  FROM tokened JOIN touch USING (token)
+)
+SELECT page_id, label AS theme
+FROM pages p LEFT JOIN (FROM hit WHERE place = 1) h ON p.url = h.url"""
+)
+def rule_words_touching(spark, folder):
+    """The first part of each address with a rule in it, or that is part of a rule."""
+    df = table(spark, folder, "pages").select("page_id", "url")
+    return rules.classify(df, "url", _word_rules(spark, folder), None, ("exact", "token"))[0].drop("url")
+
+
+# every text of a part as a rule, with one character left out
+_ONE_OFF_SQL = """p_all AS (
+  SELECT concat(p_name, ' (', p_brand, ')/', lower(p_type)) AS t, p_brand, p_partkey FROM part
+),
+one_off AS (
+  SELECT substr(t, 1, (p_partkey % length(t))::INT) || substr(t, (p_partkey % length(t))::INT + 2) AS pattern,
+    p_brand, p_partkey FROM p_all
+),
+rules AS (
+  SELECT pattern, min(p_brand) AS label, min(p_partkey) AS ord FROM one_off GROUP BY pattern
+)"""
+
+
+def _one_off_rules(spark, folder):
+    text = F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(")/"), F.lower("p_type"))
+    at = (F.col("p_partkey") % F.length("t")).cast("int")
+    left_out = F.concat(F.substring("t", F.lit(1), at), F.substring("t", at + 2, F.length("t")))
+    parts = table(spark, folder, "part").select(text.alias("t"), "p_brand", "p_partkey")
+    return parts.groupBy(left_out.alias("pattern")).agg(
+        F.min("p_brand").alias("label"), F.min("p_partkey").alias("ord")
+    )
+
+
+@check(
+    f"""WITH RECURSIVE {texts_sql(_ONE_OFF_SQL)},
+cand AS (
+  SELECT DISTINCT text AS a, pattern AS b FROM texts JOIN rules ON {near("text", "pattern", 97)}
+),
+{LCS},
+hit AS (
+  SELECT cause, label, row_number() OVER (PARTITION BY cause ORDER BY score DESC, ord, label DESC, b DESC) AS place
+  FROM texts JOIN scored ON text = a JOIN rules ON b = pattern WHERE score >= 97
+)
+SELECT row_key, i.cause, label AS theme
+FROM incident i LEFT JOIN (FROM hit WHERE place = 1) h ON i.cause = h.cause"""
+)
+def rule_fuzzy_indexed(spark, folder):
+    """As many rules as parts: a text is scored with those that share a segment with it."""
+    df = incident(spark, folder, "row_key", "cause")
+    return rules.classify(df, "cause", _one_off_rules(spark, folder), SYNONYMS, ("fuzzy",))[0]
+
+
 KEYWORDS = {
     "Forged": ["anvyl", "hot"],
     "Fixing": ["bolts", "old bolt"],

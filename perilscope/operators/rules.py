@@ -9,6 +9,7 @@ that pass only once (streams) or tables whose texts hardly repeat.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
@@ -27,11 +28,15 @@ from perilscope.functions.similarity import (
     word_entry,
 )
 from perilscope.functions.text import literal_map, replace_synonym, strip, tokens
+from perilscope.operators import matching
 from perilscope.operators.joins import join_checked
 from perilscope.session import materialise
 
 RuleTable = Mapping[str, Sequence[str]] | Sequence[tuple[str, str]] | DataFrame
+#: More rules than this cannot be literals of a plan.
 RULE_LIMIT = 10_000
+#: From so many rules on, texts are met with them by joins, which give the same labels.
+JOIN_FROM = 500
 CASE_LIMIT = 40
 STAGES = ("exact", "token", "fuzzy", "token_fuzzy")
 
@@ -53,8 +58,20 @@ def rule_list(rules: RuleTable, limit: int = RULE_LIMIT) -> list[tuple[str, str]
     return pairs
 
 
+def many(rules: RuleTable) -> bool:
+    """Whether there are ``JOIN_FROM`` rules or more; no more than that are read to find out."""
+    if isinstance(rules, DataFrame):
+        return rules.limit(JOIN_FROM).count() >= JOIN_FROM
+    if isinstance(rules, Mapping):
+        return sum(len(patterns) for patterns in rules.values()) >= JOIN_FROM
+    return len(rules) >= JOIN_FROM
+
+
 def rule_frame(spark: SparkSession, rules: RuleTable) -> DataFrame:
-    pairs = rule_list(rules)
+    """The rules as a frame of (pattern, label, ord); a frame is taken as it is."""
+    if isinstance(rules, DataFrame):
+        return rules.select("pattern", "label", "ord")
+    pairs = rule_list(rules, sys.maxsize)
     return spark.createDataFrame(
         pa.table(
             {
@@ -209,8 +226,18 @@ def label_texts(
     label: str = "theme",
     n: str | None = None,
 ) -> DataFrame:
-    """The distinct texts with ``n``, their number of rows, and their label, computed once."""
+    """The distinct texts with ``n``, their number of rows, and their label, computed once.
+
+    A table of ``JOIN_FROM`` rules or more is met by joins, one of any size.
+    """
     texts = distinct_texts(df, column, n)
+    if many(rules):
+        texts = materialise(texts)
+        found = matching.label_frame(
+            texts, column, rule_frame(df.sparkSession, rules), synonyms, tuple(stages), min_score
+        )
+        named = found.select(col_of(column), F.col("label").alias(label))
+        return materialise(texts.join(named, column, "left"))
     return materialise(
         texts.withColumn(label, label_of(column, rules, synonyms, stages, min_score))
     )
@@ -267,10 +294,12 @@ def first_contains(
 
     ``order='longest'`` tries longer rules first, so that none is hidden by a part of it.
     """
+    bare = strip(column)
+    if many(rules):
+        return _first_contains_joined(df, column, rules, default, order, label)
     pairs = rule_list(rules)
     if order == "longest":
         pairs = sorted(pairs, key=lambda p: -len(p[0]))
-    bare = strip(column)
     if len(pairs) <= CASE_LIMIT:
         hit = F.coalesce(*[F.when(bare.contains(p), F.lit(x)) for p, x in pairs])
     else:
@@ -279,27 +308,56 @@ def first_contains(
     return df.withColumn(label, F.coalesce(hit, F.lit(default)))
 
 
+def _first_contains_joined(
+    df: DataFrame, column: str, rules: RuleTable, default: str, order: str, label: str
+) -> DataFrame:
+    """``first_contains`` of the distinct texts by joins, joined back to the rows."""
+    table = rule_frame(df.sparkSession, rules)
+    table = matching.longest_first(table) if order == "longest" else table
+    texts = materialise(
+        distinct_texts(df, column).select(col_of(column), "n", strip(column).alias("bare"))
+    )
+    hit = matching.first_contained(texts.select("bare"), "bare", table)
+    hit = hit.select(F.col("text").alias("bare"), F.col("rule.label").alias("label"))
+    named = texts.join(hit, "bare", "left").select(
+        col_of(column), "n", F.coalesce("label", F.lit(default)).alias(label)
+    )
+    out = attach_by_text(df, column, materialise(named), label)
+    return out.withColumn(label, F.coalesce(col_of(label), F.lit(default)))
+
+
 def shadow_report(rules: DataFrame) -> DataFrame:
     """Rules that "first contains" never reaches, because an earlier one with another label
-    is part of them: (pattern, label, ord, shadowed_by, shadow_label)."""
-    table = _rule_array(rule_list(rules))
+    is part of them: (pattern, label, ord, shadowed_by, shadow_label).
 
-    def hides(r: Column) -> Column:
-        return (-r["place"] < F.col("place")) & F.col("pattern").contains(r["pattern"])
+    ``ord`` is the number of the rule in the order of the table.
+    """
+    placed = materialise(_placed(rules))
+    return matching.first_hidden(placed).where(F.col("rule.label") != F.col("label")).select(
+        "pattern",
+        "label",
+        "ord",
+        F.col("rule.pattern").alias("shadowed_by"),
+        F.col("rule.label").alias("shadow_label"),
+    )
 
-    first = F.get(F.filter(table, hides), F.lit(0))
-    ranked = rule_frame(rules.sparkSession, rules).withColumnRenamed("ord", "place")
-    return (
-        ranked.withColumn("hit", first)
-        .where(F.col("hit").isNotNull() & (F.col("hit")["label"] != F.col("label")))
-        .select(
-            "pattern",
-            "label",
-            F.col("place").alias("ord"),
-            F.col("hit")["pattern"].alias("shadowed_by"),
-            F.col("hit")["label"].alias("shadow_label"),
-        )
+
+def _placed(rules: DataFrame) -> DataFrame:
+    """The rules with ``ord`` as their number from 0, by a range sort and the sizes of the ranges."""
+    ranged = rules.select("pattern", "label", "ord").repartitionByRange("ord").sortWithinPartitions("ord")
+    ranged = materialise(ranged.withColumn("at", F.monotonically_increasing_id()))
+    sizes = ranged.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).collect()
+    before, shift = 0, {}
+    for row in sorted(sizes, key=lambda r: r["part"]):
+        shift[row["part"]] = before - (row["part"] << 33)
+        before += row["n"]
+    if not shift:
+        return ranged.select("pattern", "label", F.lit(0).alias("ord"))
+    place = F.col("at") + F.element_at(
+        constant({str(k): v for k, v in shift.items()}, "map<string, bigint>"),
+        F.shiftright("at", 33).cast("string"),
     )
+    return ranged.select("pattern", "label", place.cast("int").alias("ord"))
 
 
 def rule_table(rules: DataFrame, label: str | None = None) -> DataFrame:
