@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from checks.fixtures import INCIDENT, incident, table
 from checks.registry import check
 from perilscope.operators import cleaning, schema
-from perilscope.session import run_folder
+from perilscope.session import materialise, run_folder
 from perilscope.sources.outputs import read_output, write_outputs
-from perilscope.sources.tables import promote_header, read_sheet, read_table
+from perilscope.sources.tables import promote_header, read_sheet, read_table, read_with_header
 
 # the same dirty texts in both dialects
 _DIRTY = """CASE l_linenumber WHEN 1 THEN concat('  ', l_returnflag, ' ') WHEN 2 THEN 'nan'
@@ -271,3 +271,58 @@ def promote_first_row(spark, folder):
         F.first(F.lit(None).cast("string")).alias("c1"), F.first(F.lit("segment")).alias("c2"),
     )
     return promote_header(body.unionByName(top), "line", ["no such mark"]).drop("line")
+
+
+def _quoted_export(spark, folder, rows):
+    """Customers as one CSV file with line breaks and quotes in values, below other rows."""
+    customer = table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("c0"), F.col("c_name").alias("c1"),
+        F.concat(
+            "c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, F.lit('\n"a, b"\n')).otherwise(F.lit(""))
+        ).alias("c2"),
+    )
+    body = customer.repartitionByRange(1, "c0")
+    base = run_folder(spark, "quoted")
+    as_is = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    top = spark.createDataFrame(rows, "c0 string, c1 string, c2 string").coalesce(1)
+    top.write.options(**as_is).csv(f"{base}/1")
+    for part in ("2", "3"):
+        some = body.where((F.crc32(F.col("c0").cast("binary")) % 2 == 0) == (part == "2"))
+        some.write.options(**as_is, quoteAll=part == "3").csv(f"{base}/{part}")
+    return f"{base}/*"
+
+
+_QUOTED_SQL = """SELECT CAST(c_custkey AS VARCHAR) AS "key", c_name AS "name",
+  c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || '"a, b"' || chr(10) ELSE '' END
+    AS segment FROM customer"""
+
+
+def _in_parts(spark, read):
+    """A frame whose files are cut into parts of 4 kB, computed at once."""
+    before = {k: spark.conf.get(k) for k in _SMALL_PARTS}
+    try:
+        for key, value in _SMALL_PARTS.items():
+            spark.conf.set(key, value)
+        return materialise(read())
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+_SMALL_PARTS = {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "64"}
+
+
+@check(_QUOTED_SQL)
+def read_quoted_in_parts(spark, folder):
+    """Quoted line breaks in large files, each read by several tasks."""
+    rows = [("report", None, None), ("key", "name", "segment")]
+    path = _quoted_export(spark, folder, rows)
+    return _in_parts(spark, lambda: read_with_header(spark, path, 3, ["key"], multi_line=True))
+
+
+@check(_QUOTED_SQL)
+def read_sheet_by_probe(spark, folder):
+    """The header is found among the first rows of the first of many files."""
+    rows = [("a report\nof customers", None, None), (None, "x", None), ("key", "name", "segment")]
+    path = _quoted_export(spark, folder, rows)
+    return read_with_header(spark, path, 3, ["segment"], multi_line=True)

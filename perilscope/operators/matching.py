@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilscope.columns import col_of
-from perilscope.functions.similarity import allowed_edits, indel_ratio
+from perilscope.functions.similarity import allowed_edits, char_masks, ratio_from_masks
 from perilscope.functions.text import replace_synonym, tokens
 from perilscope.operators.joins import fits_broadcast, join_checked
 from perilscope.session import materialise
@@ -236,12 +236,13 @@ def near_pairs(texts: DataFrame, text: str, known: DataFrame, min_score: float)
     """
     pairs = candidates(texts, text, known, min_score)
     allowed = allowed_edits(F.length("text") + F.length("pattern"), min_score)
-    close = pairs.where(F.call_function("levenshtein", F.col("text"), F.col("pattern"), allowed) >= 0)
-    # equal texts need no table of their characters
-    score = F.when(F.col("text") == F.col("pattern"), F.lit(100.0)).otherwise(
-        indel_ratio("text", "pattern")
+    close = materialise(
+        pairs.where(F.call_function("levenshtein", F.col("text"), F.col("pattern"), allowed) >= 0)
     )
-    scored = close.withColumn("score", score)
+    # the table of a rule's characters is made once, not for every text
+    masks = materialise(close.select("pattern").distinct().withColumn("masks", char_masks("pattern")))
+    score = ratio_from_masks(F.col("text"), F.col("masks"), F.length("pattern"))
+    scored = close.join(masks, "pattern").select("text", "pattern", score.alias("score"))
     return scored.where(F.col("score") >= float(min_score))
 
 
