@@ -10,7 +10,9 @@ from checks.summaries import _SHARES
 from perilscope.functions.numbers import round_even
 from perilscope.functions.text import natural_key
 from perilscope.operators import area as areas
-from perilscope.operators import report
+from perilscope.operators import joins, report
+from perilscope.session import run_folder
+from perilscope.sources import footers
 
 
 @check(
@@ -186,3 +188,69 @@ SELECT area FROM (SELECT DISTINCT area FROM incident) ORDER BY substr(area, 8)::
 def natural_area_list(spark, folder):
     df = incident(spark, folder, "area").distinct()
     return report.rank_rows(df, [natural_key("area")], [True])
+
+
+@check(
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
+WHERE l_partkey IN (SELECT 3 * x FROM range(100000) t(x))
+  AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)"""
+)
+def long_list_slice(spark, folder):
+    """A filter of 100,000 values, and one that is a frame."""
+    df = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
+    )
+    rich = table(spark, folder, "supplier").where("s_acctbal > 0").select("s_suppkey")
+    return report.slice_rows(df, {"l_partkey": range(0, 300_000, 3), "l_suppkey": rich})
+
+
+_DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@check(
+    f"""WITH n AS (
+  SELECT {", ".join(f"count(*) - count({c}) AS {c}" for c in _DOCUMENT_COLUMNS)} FROM documents
+)
+SELECT * FROM (UNPIVOT n ON {", ".join(_DOCUMENT_COLUMNS)} INTO NAME "column" VALUE nulls)"""
+)
+def null_counts_by_footer(spark, folder):
+    return footers.null_counts(spark, f"{folder}/documents.parquet")
+
+
+@check("SELECT c_custkey, c_mktsegment FROM customer")
+def read_filled_columns(spark, folder):
+    """Columns without a value are told by the footers."""
+    base = run_folder(spark, "filled")
+    customer = table(spark, folder, "customer")
+    customer.select(
+        "c_custkey", F.lit(None).cast("string").alias("never"), "c_mktsegment",
+        F.when(F.col("c_custkey") < 0, 1).alias("not yet"),
+    ).repartition(3).write.parquet(base)
+    return footers.read_filled(spark, base)
+
+
+@check(
+    """SELECT l_returnflag, l_linenumber, l_quantity * 2 AS twice, l_linestatus = 'O' AS is_open
+FROM lineitem"""
+)
+def personalised_by_position(spark, folder):
+    """A table without a key, with many copies of rows, joined with what was derived from it."""
+    lines = joins.positioned(table(spark, folder, "lineitem"))
+    raw = lines.select(joins.POSITION, "l_returnflag", "l_linenumber")
+    derived = lines.select(
+        joins.POSITION, (F.col("l_quantity") * 2).alias("d"), (F.col("l_linestatus") == "O").alias("o")
+    )
+    return joins.personalised(raw, derived, None, {"d": "twice", "o": "is_open", "x": "absent"})
+
+
+@check(
+    """SELECT CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderkey, c_name
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 7 = 0"""
+)
+def master_join_filtered(spark, folder):
+    """A master above the broadcast limit, filtered by the keys of the rows before the shuffle."""
+    rows = table(spark, folder, "orders").select("o_custkey", "o_orderkey")
+    master = table(spark, folder, "customer").where("c_custkey % 7 = 0").select(
+        F.col("c_custkey").alias("o_custkey"), "c_name"
+    )
+    return joins.join_master(rows, master, "o_custkey", limit=-1)

@@ -25,6 +25,14 @@ def cols_of(values: Iterable[ColumnLike]) -> list[Column]:
     return [col_of(v) for v in values]
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores in front as long as another column is called so."""
+    lowered = {t.lower() for t in taken}
+    while name.lower() in lowered:
+        name = "_" + name
+    return name
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
 
-from perilscope.columns import col_of, cols_of
+from perilscope.columns import col_of, cols_of, free_name
 from perilscope.functions.text import strip
 from perilscope.session import materialise
 
@@ -64,20 +64,24 @@ def spread_left_join(
     spark = left.sparkSession
     salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     types = {k: common_type(spark, left.schema[k].dataType, right.schema[k].dataType) for k in keys}
-    inner = {k: f"_key{i}" for i, k in enumerate(keys)}
+    taken = [*left.columns, *right.columns]
+    inner = {k: free_name(f"_key{i}", taken) for i, k in enumerate(keys)}
+    hot_, salt_, n_ = (free_name(c, taken) for c in ("_hot", "_salt", "_n"))
 
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumns({inner[k]: col_of(k).cast(types[k]) for k in keys})
 
     if counts is None:
-        counts = left.groupBy(*cols_of(keys)).agg(F.count("*").alias("n"))
-    counts = keyed(counts).groupBy(*inner.values()).agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+        counts = left.groupBy(*cols_of(keys)).agg(F.count("*").alias(n_))
+    else:
+        counts = counts.select(*cols_of(keys), col_of("n").alias(n_))
+    counts = keyed(counts).groupBy(*inner.values()).agg(F.sum(n_).alias(n_))
+    total = counts.agg(F.sum(n_)).first()[0] or 0
     hot = F.broadcast(
         materialise(
-            counts.where(F.col("n") >= max(hot_rows, total // 100_000))
+            counts.where(F.col(n_) >= max(hot_rows, total // 100_000))
             .na.drop(subset=list(inner.values()))
-            .select(*inner.values(), F.lit(True).alias("_hot"))
+            .select(*inner.values(), F.lit(True).alias(hot_))
         )
     )
     some_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in inner.values()])
@@ -85,16 +89,16 @@ def spread_left_join(
     spread = F.pmod(
         F.xxhash64(*cols_of(left.columns), F.spark_partition_id()), F.lit(salts)
     ).cast("int")
-    is_hot = F.coalesce("_hot", F.lit(False))
+    is_hot = F.coalesce(hot_, F.lit(False))
     salted_left = keyed(left).join(hot, [*inner.values()], "left").withColumn(
-        "_salt", F.when(some_null | is_hot, spread).otherwise(F.lit(0))
+        salt_, F.when(some_null | is_hot, spread).otherwise(F.lit(0))
     )
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_right = (
         keyed(right).drop(*keys).join(hot, [*inner.values()], "left")
-        .withColumn("_salt", F.explode(copies)).drop("_hot")
+        .withColumn(salt_, F.explode(copies)).drop(hot_)
     )
-    joined = salted_left.join(salted_right, [*inner.values(), "_salt"], "left")
+    joined = salted_left.join(salted_right, [*inner.values(), salt_], "left")
     others = [c for c in left.columns if c not in keys]
     return joined.select(*cols_of([*keys, *others, *[c for c in right.columns if c not in keys]]))
 
@@ -112,6 +116,51 @@ def join_checked(
     return spread_left_join(left, right, keys, counts=counts)
 
 
+#: 64-bit words of a filter at most: 8 MB, enough for some six million keys.
+FILTER_WORDS = 1 << 20
+HASHES = 4
+
+
+def key_filter(df: DataFrame, keys: Sequence[Column]) -> Callable[[Sequence[Column]], Column] | None:
+    """A Bloom filter of the keys of ``df``: a condition that is true for all of them, and for
+    about one in a hundred others; None if there are too many for one to tell.
+
+    The bits are set by a distributed aggregate and travel as one scalar of bounded size, as
+    those of Spark's own run-time filters do.
+    """
+    known = df.select(F.xxhash64(*keys).alias("h")).where(
+        reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])
+    )
+    count = known.agg(F.approx_count_distinct("h")).first()[0]
+    words = 1
+    while words * 64 < 10 * count:
+        words *= 2
+    if words > FILTER_WORDS:
+        return None
+
+    def places(h: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(words * 64)) for i in range(HASHES)]
+
+    bits = known.select(F.explode(F.array(*places(F.col("h")))).alias("bit"))
+    masks = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")
+    )
+    everywhere = df.sparkSession.range(words).withColumnRenamed("id", "word")
+    filled = everywhere.join(masks, "word", "left").select("word", F.coalesce("mask", F.lit(0)).alias("mask"))
+    table = filled.agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("t")
+    ).scalar()
+
+    def may_have(values: Sequence[Column]) -> Column:
+        tests = []
+        for place in places(F.xxhash64(*values)):
+            word = F.get(table, F.shiftright(place, 6).cast("int"))
+            tests.append(F.getbit(word, (place % 64).cast("int")) == 1)
+        return reduce(lambda a, b: a & b, tests)
+
+    return may_have
+
+
 def lookup_value(keys: Sequence[Column], table: Mapping, default: object = None) -> Column:
     """The entry of a small dictionary for the key columns, as an expression."""
     out = F.lit(default)
@@ -160,33 +209,56 @@ def join_key(value: Column) -> Column:
 
 
 def join_master(
-    df: DataFrame, master: DataFrame, key: str, suffix: str = "_bank"
+    df: DataFrame, master: DataFrame, key: str, suffix: str = "_bank", limit: int | None = None
 ) -> DataFrame:
     """All rows of ``df`` with the columns of ``master``; clashing names get ``suffix``.
 
-    Keys compare as trimmed text, null matches nothing, several master rows repeat the row.
+    Keys compare as trimmed text, null matches nothing, several master rows repeat the row. A
+    master above the broadcast ``limit`` loses the rows without a partner before it is shuffled.
     """
     left = df.withColumn(key, join_key(col_of(key)))
     right = master.withColumn(key, join_key(col_of(key)))
     clashes = {c: c + suffix for c in right.columns if c in left.columns and c != key}
     right = right.withColumnsRenamed(clashes).where(col_of(key).isNotNull())
-    joined = join_checked(left, right, [key])
+    if fits_broadcast(right, limit):
+        joined = left.join(F.broadcast(right), [key], "left")
+    else:
+        joined = spread_left_join(left, partners(right, left, key), [key])
     return joined.select(*cols_of([*left.columns, *[c for c in right.columns if c != key]]))
 
 
+def partners(right: DataFrame, left: DataFrame, key: str) -> DataFrame:
+    """``right`` without nearly all rows whose key is not in ``left``, told by a filter."""
+    may_have = key_filter(left, [col_of(key)])
+    return right if may_have is None else right.where(may_have([col_of(key)]))
+
+
+#: The identity of a row of a table without a key: its file and its place there.
+POSITION = "row_position"
+
+
+def positioned(table: DataFrame, name: str = POSITION) -> DataFrame:
+    """A Parquet table as it is read, with the place of each row, which is unique and the same
+    for each reading; copies of a row are told apart by it."""
+    return table.withColumn(
+        name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    )
+
+
 def personalised(
     raw: DataFrame,
     derived: DataFrame | Callable[[DataFrame], DataFrame],
-    key: str | Sequence[str],
+    key: str | Sequence[str] | None,
     names: Mapping[str, str],
 ) -> DataFrame:
     """``raw`` with the existing ones of some derived columns under new names.
 
     ``derived`` is best a function that works on the rows of ``raw`` and keeps them all: the
     raw values then travel along, and nothing is joined. A frame is joined by ``key``, which
-    must be unique in both; rows with a null key are spread.
+    must be unique in both; rows with a null key are spread. Without a key, both have to be
+    ``positioned``, and rows are joined by their place, which is then left out.
     """
-    keys = [key] if isinstance(key, str) else list(key)
+    keys = [POSITION] if key is None else [key] if isinstance(key, str) else list(key)
 
     def picked(columns: Sequence[str]) -> dict[str, str]:
         return {old: new for old, new in names.items() if old in columns}
@@ -201,5 +273,10 @@ def personalised(
     chosen = derived.select(
         *cols_of(keys), *[col_of(old).alias(new) for old, new in picked(derived.columns).items()]
     )
+    if key is None:  # no two rows have the same place
+        joined = raw.join(chosen, POSITION, "left").drop(POSITION)
+        return joined.select(
+            *cols_of(c for c in raw.columns if c != POSITION), *cols_of(picked(derived.columns).values())
+        )
     joined = spread_left_join(raw, chosen, keys)
     return joined.select(*cols_of([*raw.columns, *picked(derived.columns).values()]))

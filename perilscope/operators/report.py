@@ -9,19 +9,47 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perilscope.columns import col_of, cols_of, rows_of
+from perilscope.columns import col_of, cols_of, free_name, rows_of
 from perilscope.functions.dates import month_key
 from perilscope.functions.numbers import round_even
+from perilscope.operators.joins import common_type, fits_broadcast
 
 
-def slice_rows(df: DataFrame, filters: Mapping[str, Sequence | None]) -> DataFrame:
-    """Rows whose columns are in the given lists; an empty or absent list does not filter."""
+#: Longer lists are joined, so that the plan does not grow with them.
+LIST_LIMIT = 1000
+
+
+def slice_rows(df: DataFrame, filters: Mapping[str, Sequence | DataFrame | None]) -> DataFrame:
+    """Rows whose columns are in the given lists; an empty or absent list does not filter.
+
+    A list of more than ``LIST_LIMIT`` values, or a frame, whose first column is the list, is
+    met by a semi join; the range of a list is a filter that reaches the scan. A frame filters
+    even if it is empty.
+    """
     for name, values in filters.items():
-        if values:
+        if isinstance(values, DataFrame):
+            df = _in_frame(df, name, values.select(col_of(values.columns[0]).alias("v")))
+        elif values is not None and len(values) > LIST_LIMIT:
+            known = sorted({v for v in values if v is not None})
+            if known:
+                df = df.where(col_of(name).between(known[0], known[-1]))
+            listed = df.sparkSession.createDataFrame(pa.table({"v": pa.array(known)}))
+            df = _in_frame(df, name, listed)
+        elif values:
             df = df.where(col_of(name).isin(list(values)))
     return df
 
 
+def _in_frame(df: DataFrame, name: str, listed: DataFrame) -> DataFrame:
+    """Rows with a value of ``listed``: broadcast within a checked size, else shuffled, where
+    null and frequent values do not matter to a semi join with distinct values."""
+    kind = common_type(df.sparkSession, df.schema[name].dataType, listed.schema["v"].dataType)
+    value = free_name("value", df.columns)
+    given = listed.select(F.col("v").cast(kind).alias(value)).where(F.col(value).isNotNull()).distinct()
+    given = F.broadcast(given) if fits_broadcast(given) else given
+    return df.join(given, col_of(name).cast(kind) == F.col(value), "left_semi")
+
+
 def value_counts(
     df: DataFrame, name: str, dropna: bool = True, top: int | None = None
 ) -> DataFrame:

@@ -17,7 +17,7 @@ from perilscope.operators.crosstab import to_wide
 from perilscope.operators.ranking import cause_share
 from perilscope.operators.trend import expand_values, modal_profile, yoy_trend
 from perilscope.session import materialise
-from perilscope.sources.outputs import write_outputs
+from perilscope.sources.outputs import publish_outputs
 
 
 def future_profile(
@@ -189,7 +189,7 @@ def write_forecast(
         "importances": result.importances,
         "accuracy": result.accuracy,
     }
-    return write_outputs(frames, base, run_id, fmt, skip_empty=("forecast", "theme_forecast"))
+    return publish_outputs(frames, base, run_id, fmt, skip_empty=("forecast", "theme_forecast"))
 
 
 def forecast_kpis(forecast: DataFrame, area: str, theme: str, rising: float = 1.1) -> DataFrame:

@@ -13,7 +13,7 @@ from perilscope.functions.numbers import bin_right_closed
 from perilscope.functions.text import clock_hour, day_period, duration_months, leading_year
 from perilscope.operators import area as areas
 from perilscope.operators import cleaning, joins, rules, schema
-from perilscope.sources.outputs import write_outputs
+from perilscope.sources.outputs import publish_outputs
 
 
 @dataclass(frozen=True)
@@ -148,4 +148,4 @@ def run_pipeline(
 
 
 def write_run(result: IncidentResult, plan: IncidentPlan, base: str, run_id: str, fmt: str = "parquet"):
-    return write_outputs(result.frames(plan.row_columns), base, run_id, fmt)
+    return publish_outputs(result.frames(plan.row_columns), base, run_id, fmt)
