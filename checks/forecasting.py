@@ -387,6 +387,55 @@ def forest_importance(spark, folder):
     )
 
 
+# a label that two features decide, among others that say nothing about it
+_SIGNAL = """CASE WHEN left(priority, 1) IN ('1', '4') THEN 'early'
+  WHEN surface = 'F' THEN 'late' ELSE 'never' END"""
+_SIGNAL_FEATURES = ["quarter", "area", "surface", "priority"]
+
+
+def _signal(spark, folder):
+    """Rows with the label, and a forest that has learned it from 80 of 100 of them."""
+    df = incident(spark, folder, "row_key", *_SIGNAL_FEATURES).withColumn("label", F.expr(_SIGNAL))
+    train, test = model.stratified_split(df, "label", ["row_key"])
+    fitted = model.fit_forest(
+        train, _SIGNAL_FEATURES, "label", trees=60, depth=8, train_rows=20_000
+    )
+    return df, test, fitted
+
+
+@check(
+    f"""WITH {INCIDENT}
+SELECT DISTINCT {", ".join(_SIGNAL_FEATURES)}, {_SIGNAL} AS pred FROM incident"""
+)
+def forest_signal(spark, folder):
+    """The forest predicts the planted label of every combination of features."""
+    df, _, fitted = _signal(spark, folder)
+    return model.predict_class(fitted, df.select(*_SIGNAL_FEATURES).distinct())
+
+
+@check("SELECT 100.0::DOUBLE AS accuracy")
+def forest_signal_accuracy(spark, folder):
+    """What was held out is predicted without an error; the rows are those of ``stratified_split``."""
+    _, test, fitted = _signal(spark, folder)
+    return model.accuracy(model.predict_class(fitted, test), "label", "pred")
+
+
+@check(
+    """SELECT * FROM (VALUES ('priority', 1::INT, true), ('surface', 2, true), ('area', NULL, false),
+  ('quarter', NULL, false)) AS v(feature, place, decides)"""
+)
+def forest_signal_importance(spark, folder):
+    """The features that decide the label come first, and have nearly all of the importance."""
+    df, _, fitted = _signal(spark, folder)
+    found = model.importances(fitted, df)
+    larger = found.select(F.col("importance").alias("other"))
+    place = found.join(larger, F.col("other") >= F.col("importance")).groupBy("feature", "importance").agg(
+        F.count("*").cast("int").alias("place")
+    )
+    decides = F.col("importance") > 15
+    return place.select("feature", F.when(decides, F.col("place")).alias("place"), decides.alias("decides"))
+
+
 @check(
     f"""WITH {INCIDENT}
 SELECT row_key, quarter, coalesce(area, 'Unknown') AS area, year::INT AS year,

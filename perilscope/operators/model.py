@@ -12,15 +12,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perilscope.columns import bounded_values, col_of, cols_of, constant
+from perilscope.columns import bounded_values, col_of, cols_of, constant, free_name
 from perilscope.functions.numbers import round_even, safe_ratio
-from perilscope.operators.joins import BROADCAST_BYTES, join_checked
+from perilscope.operators.joins import BROADCAST_BYTES, fits_broadcast, join_checked
 from perilscope.session import materialise
 
 PREFIX_DIGITS = (3, 6)
-#: Partitions of the training rows: a fixed number, since the forest draws its samples by
-#: partition and must not change with the cluster.
+#: Partitions of the training rows: a number that depends on the rows alone, since the forest
+#: draws its samples by partition and must not change with the cluster.
 TRAIN_PARTITIONS = 16
+ROWS_PER_PARTITION = 250_000
+
+
+def train_partitions(rows: int) -> int:
+    return max(TRAIN_PARTITIONS, -(-rows // ROWS_PER_PARTITION))
 
 
 def category_text(name: str) -> Column:
@@ -72,13 +77,22 @@ class OrdinalEncoding:
         return cls(list(names), codes, {n: sizes.get(i, 0) for i, n in enumerate(names)})
 
     def coded(self, df: DataFrame, into: Mapping[str, str]) -> DataFrame:
-        """``df`` with the codes of the columns ``into`` names as keys, in new columns."""
-        columns = list(df.columns)
+        """``df`` with the codes of the columns ``into`` names as keys, in new columns.
+
+        Where all codes together fit a broadcast, which is asked once, the rows are not shuffled
+        for any of them.
+        """
+        columns, narrow = list(df.columns), fits_broadcast(self.codes)
+        category = free_name("_category", [*columns, *into.values()])
         for name, target in into.items():
             own = self.codes.where(F.col("place") == self.names.index(name)).select(
-                F.col("v").alias("_category"), F.col("code").alias(target)
+                F.col("v").alias(category), F.col("code").alias(target)
             )
-            df = join_checked(df.withColumn("_category", category_text(name)), own, ["_category"])
+            keyed = df.withColumn(category, category_text(name))
+            if narrow:
+                df = keyed.join(F.broadcast(own), category, "left")
+            else:
+                df = join_checked(keyed, own, [category])
             columns.append(target)
             df = df.withColumn(target, F.coalesce(F.col(target), F.lit(-1.0))).select(*cols_of(columns))
         return df
@@ -184,16 +198,23 @@ class Forest:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``probs``, an array of class probabilities in the order of ``classes``."""
-        scored = self.model.transform(_assembled(df, self.encoding, self.features))
-        return scored.select(
-            *cols_of(df.columns), vector_to_array(F.col("probability")).alias("probs")
+        taken = [*df.columns, "probs"]
+        vector, raw, probability, best = (
+            free_name(c, taken) for c in ("_features", "_raw", "_probability", "_prediction")
         )
+        names = {"featuresCol": vector, "rawPredictionCol": raw, "probabilityCol": probability}
+        model = self.model.copy({getattr(self.model, k): v for k, v in names.items()})
+        model = model.setPredictionCol(best)
+        scored = model.transform(_assembled(df, self.encoding, self.features, vector))
+        return scored.select(*cols_of(df.columns), vector_to_array(F.col(probability)).alias("probs"))
 
 
-def _assembled(df: DataFrame, encoding: OrdinalEncoding, features: Sequence[str]) -> DataFrame:
-    codes = {f: f"_code{i}" for i, f in enumerate(features)}
+def _assembled(
+    df: DataFrame, encoding: OrdinalEncoding, features: Sequence[str], vector: str
+) -> DataFrame:
+    codes = {f: free_name(f"_code{i}", df.columns) for i, f in enumerate(features)}
     coded = encoding.coded(df, codes)
-    assembler = VectorAssembler(inputCols=list(codes.values()), outputCol="_features")
+    assembler = VectorAssembler(inputCols=list(codes.values()), outputCol=vector)
     return assembler.transform(coded).drop(*codes.values())
 
 
@@ -217,30 +238,35 @@ def fit_forest(
     """
     encoding = encoding or OrdinalEncoding.fit(df, features)
     classes = [str(c) for c in bounded_values(df, label, max_classes)]
+    rows = df.count()
     if train_rows is not None:
-        share = min(1.0, train_rows / max(1, df.count()))
+        share = min(1.0, train_rows / max(1, rows))
         draw = F.pmod(F.xxhash64(*cols_of(df.columns), F.lit(seed)), F.lit(1 << 30))
         df = df.where(draw < int(share * (1 << 30)))
+        rows = min(rows, train_rows)
     known = constant(classes, "array<string>")
-    codes = {f: f"_code{i}" for i, f in enumerate(features)}
+    taken = [*features, label]
+    codes = {f: free_name(f"_code{i}", taken) for i, f in enumerate(features)}
+    target = free_name("_label", taken)
     place = F.array_position(known, col_of(label).cast("string")) - 1
     coded = encoding.coded(df.select(*cols_of(dict.fromkeys([*features, label]))), codes)
-    names = [*codes.values(), "_label"]
+    names = [*codes.values(), target]
     # the trainer passes over its input many times, and draws by partition and place
     train = materialise(
-        coded.withColumn("_label", place.cast("double")).where(F.col("_label") >= 0)
-        .select(*names).repartition(TRAIN_PARTITIONS, *names).sortWithinPartitions(*names)
+        coded.withColumn(target, place.cast("double")).where(F.col(target) >= 0)
+        .select(*names).repartition(train_partitions(rows), *names).sortWithinPartitions(*names)
     )
-    train = VectorAssembler(inputCols=list(codes.values()), outputCol="_features").transform(train)
+    vector = free_name("_features", names)
+    train = VectorAssembler(inputCols=list(codes.values()), outputCol=vector).transform(train)
     model = RandomForestClassifier(
-        featuresCol="_features",
-        labelCol="_label",
+        featuresCol=vector,
+        labelCol=target,
         numTrees=trees,
         maxDepth=depth,
         seed=seed,
         maxBins=max(32, min(encoding.largest + 1, max_bins)),
         featureSubsetStrategy="sqrt",
-    ).fit(train.select("_features", "_label"))
+    ).fit(train.select(vector, target))
     return Forest(model, list(features), encoding, classes)
 
 
