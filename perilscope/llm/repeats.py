@@ -20,27 +20,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from perilscope.llm.frames import (
-    col_of, cols_of, fresh, materialise, text_or_empty,
+    col_of, cols_of, fresh, join_counted, materialise, text_or_empty,
 )
 from perilscope.llm.suffixes import common_prefixes, suffix_array
 from perilscope.llm.words import (
     BLOCK, mix, multipliers, parts, prefix_hashes, span_hashes, utf8,
 )
 
-REPEATED, OPEN, CROWDED, MARK = 0, 1, 2, 3
+REPEATED, OPEN = 0, 1
 PLACE_BITS = np.uint64(24)
 
 
 @dataclass(frozen=True)
 class Rules:
     """Strings of ``length`` bytes are filed by substrings of ``gram`` bytes. A shard is about
-    ``shard`` bytes; a place with more than ``crowd`` different stretches is not dealt to one
-    shard; its strings are compared one by one by 128 bits of hashes."""
+    ``shard`` bytes; a place whose stretches take more than ``place`` bytes is split into several
+    by a longer key. The first ``keys`` longer keys are of further substrings, the next ones of
+    growing beginnings of the strings, up to all of them."""
 
     length: int = 100
     gram: int = 32
     shard: int = 2 * BLOCK
-    crowd: int = 100
+    place: int = 4 * BLOCK
+    keys: int = 3
 
 
 def in_order(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, str]:
@@ -168,92 +170,62 @@ def filed(texts: DataFrame, rules: Rules, flush: int = 16 * BLOCK) -> DataFrame:
     return texts.select("ord", "text").mapInArrow(run, FOUND_DDL)
 
 
-def compared(found: DataFrame, rules: Rules) -> DataFrame:
-    """What follows from the stretches alone.
+def compared(found: DataFrame) -> DataFrame:
+    """What follows from the stretches alone, rows of ``FOUND`` with any further columns.
 
-    Of equal stretches all but the first are REPEATED. A stretch alone in its place is dropped.
-    Others stay OPEN, up to ``crowd`` in a place; the place of more is MARKed and the further
-    ones are CROWDED. The rows of a place are read as a stream.
+    Of equal stretches all but the first are REPEATED. A stretch alone in its place is dropped,
+    the others stay OPEN. The rows of a place are read as a stream.
     """
     ordered = found.repartition("place").sortWithinPartitions(
         "place", "kind", "content", "ord", "lo"
     )
+    kind_at = found.columns.index("kind")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: tuple | None = None  # the only stretch so far in its place
+        waiting: pa.RecordBatch | None = None  # the only stretch so far in its place
         last = (None, None)  # place and content of the row before
-        number = 0  # different stretches so far in that place
-
         for batch in batches:
-            place, content, doc, lo, strings, kind = (c.to_numpy() for c in batch.columns)
-            n = len(place)
-            if not n:
+            place, content = batch.column("place").to_numpy(), batch.column("content").to_numpy()
+            kind = batch.column(kind_at).to_numpy().copy()
+            if not len(place):
                 continue
-            open_ = kind == OPEN
-            rows = np.flatnonzero(open_)
-            done = np.flatnonzero(~open_)
+            rows = np.flatnonzero(kind == OPEN)
             p, c = place[rows], content[rows]
-            first = np.ones(len(rows), bool)
-            first[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
-            if len(rows) and last == (p[0], c[0]):
-                first[0] = False
-            new_place = np.ones(len(rows), bool)
-            new_place[1:] = p[1:] != p[:-1]
-            if len(rows) and last[0] == p[0]:
-                new_place[0] = False
-            # how many different stretches the place has had, this row included
-            group = np.cumsum(new_place)
-            total = np.cumsum(first)
-            at = np.flatnonzero(new_place)
-            base = np.concatenate([[-number], total[at] - first[at]])
-            count = total - base[group] if len(rows) else total
-            more = np.zeros(len(rows), bool)  # another stretch of the place follows here
-            heads = np.flatnonzero(first)
-            if len(heads):
-                more[heads[:-1]] = p[heads[1:]] == p[heads[:-1]]
-            extra: list[tuple] = []
+            same_place, equal = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+            same_place[1:] = p[1:] == p[:-1]
+            equal[1:] = same_place[1:] & (c[1:] == c[:-1])
+            if len(rows):
+                same_place[0] = last[0] == p[0]
+                equal[0] = last == (p[0], c[0])
+                last = (p[-1], c[-1])
+            kind[rows[equal]] = REPEATED
+            heads = np.flatnonzero(~equal)  # each different stretch once
+            # a stretch has company if the one before or after it has the same place
+            before = same_place[heads]
+            after = np.zeros(len(heads), bool)
+            after[:-1] = p[heads[1:]] == p[heads[:-1]]
             if waiting is not None and len(heads):
-                if p[heads[0]] == waiting[0] and count[heads[0]] == 2:
-                    extra.append((*waiting, OPEN))
-                waiting = None
-            if waiting is not None and len(rows) and p[-1] != waiting[0]:
+                if before[0]:
+                    yield waiting
                 waiting = None
-            stay = first & ((count > 1) | more)
-            final = heads[-1] if len(heads) else None
-            if final is not None and count[final] == 1:
-                f = rows[final]
-                waiting = (p[final], c[final], doc[f], lo[f], strings[f])
-            crowded = stay & (count > rules.crowd)
-            marks = p[first & (count == rules.crowd + 1)]
-            if len(rows):
-                last, number = (p[-1], c[-1]), int(count[-1])
-            again = rows[~first]
-            pick = np.concatenate([done, again, rows[stay]])
-            kinds = np.concatenate(
-                [np.full(len(done) + len(again), REPEATED),
-                 np.where(crowded[stay], CROWDED, OPEN)]
-            )
-            cols = [v[pick] for v in (place, content, doc, lo, strings)] + [kinds]
-            if extra:
-                cols = [np.append(v, [e[i] for e in extra]) for i, v in enumerate(cols)]
-            if len(marks):
-                zero = np.zeros(len(marks), np.int64)
-                cols = [
-                    np.append(v, x) for v, x in zip(cols, (marks, zero, zero, zero, zero, zero + MARK))
-                ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v.astype(f.type.to_pandas_dtype())) for v, f in zip(cols, FOUND)],
-                schema=FOUND,
-            )
+            alone = ~before & ~after
+            if len(heads) and alone[-1]:
+                waiting = batch.slice(int(rows[heads[-1]]), 1)
+            stay = np.ones(len(kind), bool)
+            stay[rows[heads[alone]]] = False
+            pick = np.flatnonzero(stay)
+            columns = [col.take(pa.array(pick)) for col in batch.columns]
+            columns[kind_at] = pa.array(kind[pick], pa.int8())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return ordered.mapInArrow(run, FOUND_DDL).drop("content")
+    return ordered.mapInArrow(run, found.schema).drop("content")
 
 
 def bytes_of(texts: DataFrame, wanted: DataFrame, rules: Rules) -> DataFrame:
-    """The bytes of stretches: ``place``, ``crowded``, ``ord``, ``lo``, ``bytes``."""
+    """The bytes of stretches: ``place``, ``ord``, ``lo``, ``bytes``."""
     # about a tenth of the texts in size, so this is a shuffle at any scale
     lists = wanted.groupBy("ord").agg(
-        F.collect_list(F.struct("lo", "strings", "place", "crowded")).alias("list")
+        F.collect_list(F.struct("lo", "strings", "place")).alias("list")
     )
     joined = texts.join(lists, "ord").select("text", "ord", "list")
 
@@ -270,15 +242,13 @@ def bytes_of(texts: DataFrame, wanted: DataFrame, rules: Rules) -> DataFrame:
             for s in range(0, len(row), 20_000):
                 cut = slice(s, s + 20_000)
                 yield pa.RecordBatch.from_arrays(
-                    [items.field("place")[cut], items.field("crowded")[cut],
+                    [items.field("place")[cut],
                      batch.column(1).take(pa.array(row[cut])), pa.array(lo[cut]),
                      pa.array([raw[a:b] for a, b in zip(begin[cut], end[cut])], pa.binary())],
-                    ["place", "crowded", "ord", "lo", "bytes"],
+                    ["place", "ord", "lo", "bytes"],
                 )
 
-    return joined.mapInArrow(
-        run, "place bigint, crowded boolean, ord bigint, lo bigint, bytes binary"
-    )
+    return joined.mapInArrow(run, "place bigint, ord bigint, lo bigint, bytes binary")
 
 
 RANGES = "ord bigint, lo bigint, strings int"
@@ -301,17 +271,10 @@ def equal_in_shard(pieces: list[bytes], doc: np.ndarray, lo: np.ndarray, rules:
     hashes = prefix_hashes(data)
     array = suffix_array(data.astype(np.uint16), hashes, rules.length)
     room = begin[owner + 1] - np.arange(len(data))
-    shared = common_prefixes(array, hashes, room, rules.length, least=rules.length)
-    # a suffix with the whole length in common belongs to the group of the one before it; those
-    # with less room than that separate nothing, they stand before the longer ones
-    ordered = array[room[array] >= rules.length]
-    at = ordered.copy()
-    equal = np.zeros(len(at), bool)
-    if len(at) > 1:
-        equal[1:] = span_hashes(hashes, at[1:], at[1:] + rules.length) == span_hashes(
-            hashes, at[:-1], at[:-1] + rules.length
-        )
-    equal |= shared[at] >= rules.length
+    # strings that reach over the end of their stretch are none, but stand between equal ones;
+    # of the others, one that shares the whole length with the one before it is the same
+    at = array[room[array] >= rules.length]
+    equal = common_prefixes(at, data, room, rules.length, hashes)[at] >= rules.length
     group = np.cumsum(~equal)
     several = np.bincount(group)[group] > 1
     at, group = at[several], group[several]
@@ -355,66 +318,95 @@ def in_shards(stretched: DataFrame, rules: Rules) -> DataFrame:
     return ordered.select("place", "ord", "lo", "bytes").mapInArrow(run, RANGES)
 
 
-def one_by_one(stretched: DataFrame, rules: Rules) -> DataFrame:
-    """Repeated strings in crowded places: each string is a stretch of its own, filed under its
-    own hash, so what is left of a place is a row for each string and part of a task's input."""
+def finer(stretched: DataFrame, level: int, rules: Rules) -> DataFrame:
+    """The stretches of places that are too large, cut where a longer key changes: rows of
+    ``FOUND`` and their ``bytes``. Equal strings have equal keys.
+
+    The key is the smallest hash of a substring in another order of the hashes, which differs
+    where what surrounds a passage differs; at later levels it is the hash of the first part of
+    the string, of all of it at last.
+    """
+    reach = min(rules.gram + (level - rules.keys) * rules.gram, rules.length)
+
+    def keys_of(hashes: np.ndarray, n: int) -> np.ndarray:
+        """The key of the string that begins at each byte, for those with room for one."""
+        count = n - rules.length + 1
+        if level >= rules.keys:
+            at = np.arange(count)
+            return span_hashes(hashes, at, at + reach)
+        at = np.arange(n - rules.gram + 1)
+        least = mix(span_hashes(hashes, at, at + rules.gram) ^ multipliers(level + 1, 71)[level])
+        grams, step = rules.length - rules.gram + 1, 1
+        while 2 * step <= grams:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        return np.minimum(least[:count], least[grams - step : grams - step + count])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        for whole in batches:
-            for s in range(0, len(whole), 2_000):
-                batch = whole.slice(s, 2_000)
-                ords, los = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                pieces = batch.column(2).to_pylist()
-                length = np.array([len(p) for p in pieces], np.int64)
-                begin = np.cumsum(length) - length
-                hashes = prefix_hashes(np.frombuffer(b"".join(pieces), np.uint8))
-                count = length - rules.length + 1
-                row = np.repeat(np.arange(len(length)), count)
-                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                start = begin[row] + at
-                place = span_hashes(hashes, start, start + rules.length)
-                content = span_hashes(hashes, start, start + rules.gram) ^ mix(
-                    span_hashes(hashes, start + rules.gram, start + rules.length) + np.uint64(1)
-                )
-                held.append((ords[row], los[row] + at, np.ones(len(at), np.int64), place, content))
-                size += len(at)
-                if size >= 500_000:
-                    yield combined(held)
-                    held, size = [], 0
-        if held:
-            yield combined(held)
+        for batch in (b.slice(s, 2_000) for b in batches for s in range(0, len(b), 2_000)):
+            place, ords, los = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            pieces = batch.column(3).to_pylist()
+            length = np.array([len(x) for x in pieces], np.int64)
+            begin = np.cumsum(length) - length
+            raw = b"".join(pieces)
+            if len(raw) < rules.length:
+                continue
+            hashes = prefix_hashes(np.frombuffer(raw, np.uint8))
+            key = keys_of(hashes, len(raw))
+            row = np.repeat(np.arange(len(length)), length)[: len(key)]
+            inside = np.arange(len(key)) - begin[row]
+            whole = inside + rules.length <= length[row]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+            start = np.flatnonzero(new & whole)
+            edge = np.flatnonzero(new | ~whole)
+            strings = np.append(edge, len(key))[np.searchsorted(edge, start, "right")] - start
+            end = start + strings + rules.length - 1
+            own = row[start]
+            content = mix(span_hashes(hashes, start, end) + strings.astype(np.uint64))
+            finer_place = mix(place[own].view(np.uint64) + mix(key[start] + np.uint64(level)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(finer_place.view(np.int64)), pa.array(content.view(np.int64)),
+                 pa.array(ords[own]), pa.array(los[own] + inside[start]),
+                 pa.array(strings.astype(np.int32)), pa.array(np.full(len(start), OPEN, np.int8)),
+                 pa.array([raw[a:b] for a, b in zip(start, end)], pa.binary())],
+                [*FOUND.names, "bytes"],
+            )
 
-    each = stretched.select("ord", "lo", "bytes").mapInArrow(run, FOUND_DDL)
-    return compared(each, rules).where(F.col("kind") == REPEATED).select("ord", "lo", "strings")
+    return stretched.select("place", "ord", "lo", "bytes").mapInArrow(
+        run, FOUND_DDL + ", bytes binary"
+    )
 
 
 def repeated_ranges(texts: DataFrame, rules: Rules) -> DataFrame:
     """``ord`` and ``list``, the ranges of bytes to remove in order, of each text that has any;
-    ``texts`` has ``ord`` and ``text``."""
-    found = materialise(compared(filed(texts, rules), rules))
-    wanted = found.where(F.col("kind").isin(OPEN, CROWDED)).select(
-        "place", "ord", "lo", "strings", (F.col("kind") == CROWDED).alias("crowded")
-    )
-    marks = found.where(F.col("kind") == MARK).select("place").distinct()
-    some_crowded = not marks.isEmpty()
-    if some_crowded:
-        # at most `crowd` rows of a place are not marked yet
-        marks = materialise(marks.withColumn("marked", F.lit(True)))
-        calm = wanted.where("not crowded").join(marks, "place", "left").withColumn(
-            "crowded", F.coalesce("marked", F.lit(False))
+    ``texts`` has ``ord`` and ``text``.
+
+    Places within ``rules.place`` bytes are dealt to shards. The strings of larger ones are filed
+    again by longer keys until all places are, which the last key, the whole string, makes sure.
+    """
+    found = materialise(compared(filed(texts, rules)))
+    ranges_of = [found.where(F.col("kind") == REPEATED).select("ord", "lo", "strings")]
+    stretched = materialise(bytes_of(texts, found.where(F.col("kind") == OPEN), rules))
+    level = 0
+    while True:
+        size = F.octet_length("bytes").cast("bigint")
+        large = materialise(
+            stretched.groupBy("place").agg(F.sum(size).alias("size"), F.count("*").alias("n"))
+            .where(F.col("size") > rules.place).select("place", "n", F.lit(True).alias("large"))
         )
-        wanted = wanted.where("crowded").unionByName(calm.drop("marked"))
-    stretched = materialise(bytes_of(texts, wanted, rules))
-    parts_ = [
-        found.where(F.col("kind") == REPEATED).select("ord", "lo", "strings"),
-        in_shards(stretched.where("not crowded"), rules),
-    ]
-    if some_crowded:
-        parts_.append(one_by_one(stretched.where("crowded"), rules))
-    every = parts_[0]
-    for part in parts_[1:]:
+        last = level > rules.keys + -(-rules.length // rules.gram)
+        if last or large.isEmpty():
+            ranges_of.append(in_shards(stretched, rules))
+            break
+        marked = materialise(join_counted(stretched, large, ["place"], "n"))
+        ranges_of.append(in_shards(marked.where("large is null"), rules))
+        found = materialise(compared(finer(marked.where("large"), level, rules)))
+        ranges_of.append(found.where(F.col("kind") == REPEATED).select("ord", "lo", "strings"))
+        stretched = found.where(F.col("kind") == OPEN).select("place", "ord", "lo", "bytes")
+        level += 1
+    every = ranges_of[0]
+    for part in ranges_of[1:]:
         every = every.union(part)
     spans = F.struct(
         F.col("lo"), (F.col("lo") + F.col("strings") + rules.length - 1).alias("hi")

@@ -133,28 +133,44 @@ def suffix_array(text: np.ndarray, hashes: np.ndarray, depth: int) -> np.ndarray
 
 
 def common_prefixes(
-    array: np.ndarray, hashes: np.ndarray, room: np.ndarray, depth: int, least: int = 0
+    array: np.ndarray, data: np.ndarray, room: np.ndarray, depth: int, hashes: np.ndarray | None = None
 ) -> np.ndarray:
-    """For each suffix, in the order of the text, how much of ``depth`` symbols it shares with
-    the one before it in the array; ``room`` says how far a suffix may be read. Less than
-    ``least`` counts as nothing."""
-    before = np.full(len(array), -1, np.int64)
+    """For each suffix, in the order of the text, how many bytes, up to ``depth``, it shares with
+    the one before it in the array, which may leave suffixes out; ``room`` says how far a suffix
+    may be read.
+
+    In the order of the text, suffixes that follow each other often stand behind suffixes that
+    follow each other as well. The bytes of such a run are compared once, and each of its lengths
+    is the way to the next difference: a pass over the permuted suffixes. With ``hashes``, only
+    suffixes that share the whole depth count, and those whose hashes differ are left out.
+    """
+    before = np.full(len(data), -1, np.int64)
     before[array[1:]] = array[:-1]
+    out = np.zeros(len(data), np.int64)
     at = np.flatnonzero(before >= 0)
     other = before[at]
     most = np.minimum(np.minimum(room[at], room[other]), depth)
-    if least:
-        far = most >= least
-        at, other, most = at[far], other[far], most[far]
-        alike = span_hashes(hashes, at, at + least) == span_hashes(hashes, other, other + least)
-        at, other, most = at[alike], other[alike], most[alike]
-    low, high = np.full(len(at), least), most
-    while (open := low < high).any():
-        middle = (low + high + 1) // 2
-        equal = span_hashes(hashes, at, at + middle) == span_hashes(hashes, other, other + middle)
-        low, high = np.where(open & equal, middle, low), np.where(open & ~equal, middle - 1, high)
-    out = np.zeros(len(array), np.int64)
-    out[at] = low
+    if hashes is not None:
+        some = most >= depth
+        at, other, most = at[some], other[some], most[some]
+        some = span_hashes(hashes, at, at + depth) == span_hashes(hashes, other, other + depth)
+        at, other, most = at[some], other[some], most[some]
+    if not len(at):
+        return out
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (other[1:] != other[:-1] + 1)
+    head, run = np.flatnonzero(new), np.cumsum(new) - 1
+    size = np.diff(np.append(head, len(at))) + depth
+    first = np.cumsum(size) - size
+    step = np.arange(size.sum()) - np.repeat(first, size)
+    left, right = np.repeat(at[head], size) + step, np.repeat(other[head], size) + step
+    end = np.maximum(left, right) >= len(data)
+    last = len(data) - 1
+    differ = end | (data[np.minimum(left, last)] != data[np.minimum(right, last)])
+    # a difference behind all ends the last run
+    places = np.append(np.flatnonzero(differ), len(differ))
+    own = first[run] + np.arange(len(at)) - head[run]
+    out[at] = np.minimum(places[np.searchsorted(places, own)] - own, most)
+    if hashes is not None:
+        out[out < depth] = 0
     return out
-
-

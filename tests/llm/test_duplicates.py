@@ -235,12 +235,27 @@ def test_suffix_array(text):
     expect = sorted(range(n), key=lambda i: raw[i:])
     assert found.tolist() == expect
     for depth in (3, 1000):
-        shared = suffixes.common_prefixes(found, hashes, n - np.arange(n), depth)
+        shared = suffixes.common_prefixes(found, data, n - np.arange(n), depth)
         for a, b in zip(expect, expect[1:]):
             k = 0
             while k < min(depth, n - max(a, b)) and raw[a + k] == raw[b + k]:
                 k += 1
             assert shared[b] == k
+        whole = suffixes.common_prefixes(found, data, n - np.arange(n), depth, hashes)
+        assert whole.tolist() == [k if k == depth else 0 for k in shared]
+
+
+def test_common_prefixes_decide_what_is_equal(monkeypatch):
+    """Not the hashes: with the same hash for everything, other strings are still told apart."""
+    pieces = [b"0123456789abcdef", b"xx0123456789zz", b"0123456789abcdef"]
+    doc, lo = np.array([1, 2, 3]), np.array([0, 5, 7])
+    rules = repeats.Rules(length=10, gram=4)
+    want = {"ord": [2, 3], "lo": [7, 7], "strings": [1, 7]}
+    assert repeats.equal_in_shard(pieces, doc, lo, rules).to_pydict() == want
+    monkeypatch.setattr(suffixes, "span_hashes", lambda hashes, a, b: np.zeros(len(a), np.uint64))
+    array = np.array(sorted(range(46), key=lambda i: b"".join(pieces)[i:][:10]))
+    monkeypatch.setattr(repeats, "suffix_array", lambda *_: array)
+    assert repeats.equal_in_shard(pieces, doc, lo, rules).to_pydict() == want
 
 
 def test_kinds_of_suffixes():
@@ -283,10 +298,11 @@ def repeat_rows():
     return rows
 
 
-@pytest.mark.parametrize("crowd", [5_000, 2])
-def test_repeats(spark, crowd, monkeypatch):
-    monkeypatch.setattr(repeats, "BLOCK", 64 if crowd == 2 else 1 << 20)
-    rules = repeats.Rules(length=10, gram=4, shard=300, crowd=crowd)
+#: Places of few bytes are split by longer keys, at last by whole strings.
+@pytest.mark.parametrize("place,keys", [(50_000, 3), (40, 2), (40, 0), (0, 1)])
+def test_repeats(spark, place, keys, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", 64 if place <= 40 else 1 << 20)
+    rules = repeats.Rules(length=10, gram=4, shard=300, place=place, keys=keys)
     rows = repeat_rows()
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id int, text string, ord int").repartition(4)
     found = sorted(map(tuple, repeats.summary(docs, rules=rules).collect()))
