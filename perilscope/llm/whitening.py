@@ -31,12 +31,14 @@ LONG = 2**63
 class Rules:
     """``components`` are returned, of vectors rounded down to multiples of 1 / ``scale``. Steps
     end when the residuals of these components are below ``tolerance`` of the largest singular
-    value, or when there are as many as dimensions. ``block`` numbers are worked on at a time."""
+    value, or when there are as many as dimensions. ``block`` numbers are worked on at a time,
+    ``task_bytes`` of them by a task."""
 
     components: int = 4
     scale: int = 256
     tolerance: float = 1e-15
     block: int = 1 << 18
+    task_bytes: int = 1 << 24
     seed: int = 42
 
 
@@ -74,10 +76,11 @@ def packed(vectors: DataFrame, size: int, rules: Rules) -> DataFrame:
 def added(blocks: DataFrame, each, length: int, kind: str = "double") -> np.ndarray | list[int]:
     """The sums over all blocks of ``each(rows)``, which gives ``length`` numbers.
 
-    Tasks add up their own blocks; places are summed apart, so that no task gets more than a
-    number for each task and the driver gets ``length`` of them.
+    Tasks add up their own blocks, and give one row of ``length`` numbers each.
     """
 
+    names = [f"v{i}" for i in range(length)]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
@@ -85,16 +88,11 @@ def added(blocks: DataFrame, each, length: int, kind: str = "double") -> np.ndar
                 part = each(np.frombuffer(x.as_buffer(), np.int64).reshape(n, -1))
                 total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(length), pa.int32()), pa.array(total)], ["place", "value"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names)
 
-    parts = blocks.mapInArrow(run, f"place int, value {kind}")
-    rows = parts.groupBy("place").agg(F.sum("value").alias("value")).collect()
-    out = [0] * length
-    for r in rows:
-        out[r["place"]] = r["value"]
-    return out if kind != "double" else np.array(out, float)
+    parts = blocks.mapInArrow(run, ", ".join(f"{n} {kind}" for n in names))
+    found = [v or 0 for v in parts.agg(*[F.sum(n).alias(n) for n in names]).first()]
+    return np.array(found, float) if kind == "double" else found
 
 
 def moments(blocks: DataFrame, size: int) -> tuple[int, list[int]]:
@@ -216,10 +214,14 @@ def converged(diagonal: list[float], beside: list[float], total: float, rules: R
     return bool((residuals <= rules.tolerance * near).all())
 
 
-def fit(vectors: DataFrame, size: int, rules: Rules = Rules()) -> Fit | None:
-    """The components of the distinct ``vectors``, a column ``x`` of ``size`` integers; None
-    without any. Components without variance are left out."""
-    blocks = staged(packed(vectors.select("x").distinct(), size, rules))
+def fit(vectors: DataFrame, size: int, rows: int, rules: Rules = Rules()) -> Fit | None:
+    """The components of the distinct ``vectors``, a column ``x`` of ``size`` integers, of at
+    most ``rows`` rows; None without any. Components without variance are left out.
+
+    Each step passes over all blocks, so a task has about ``task_bytes`` of them.
+    """
+    tasks = -(-rows * size * 8 // rules.task_bytes)
+    blocks = staged(packed(vectors.select("x").distinct().coalesce(max(1, tasks)), size, rules))
     n, sums = moments(blocks, size)
     if n == 0:
         return None
@@ -284,7 +286,7 @@ def whiten(
     found = None
     if most is not None:
         rows = rows.where(F.size("x") == most["size"])
-        found = fit(rows, most["size"], rules)
+        found = fit(rows, most["size"], most["n"], rules)
     if found is None or found.vectors.shape[1] == 0:
         return df.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id)
     mean, k = found.mean, found.vectors.shape[1]
