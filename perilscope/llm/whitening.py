@@ -233,6 +233,8 @@ def fit(vectors: DataFrame, size: int, rows: int, rules: Rules = Rules()) -> Fit
     # the spectrum's rounding errors are no components
     found = found[:, s[: rules.components] > s[0] * 1e-7] if s[0] > 0 else found[:, :0]
     k = found.shape[1]
+    if not k:
+        return Fit(n, tuple(sums), found, np.zeros(0), total / n, 0.0, len(diagonal))
 
     def each(x: np.ndarray) -> np.ndarray:
         centred = x - mean
@@ -242,7 +244,7 @@ def fit(vectors: DataFrame, size: int, rows: int, rules: Rules = Rules()) -> Fit
     covariance = added(blocks, each, k * k).reshape(k, k) / n
     values = np.diag(covariance).copy()
     root = np.sqrt(values)
-    error = float(np.abs(covariance / np.outer(root, root) - np.eye(k)).max()) if k else 0.0
+    error = float(np.abs(covariance / np.outer(root, root) - np.eye(k)).max())
     return Fit(n, tuple(sums), found, values, total / n, error, len(diagonal))
 
 
