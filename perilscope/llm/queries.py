@@ -394,3 +394,69 @@ def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+ORACLES["op1_near_duplicates"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+    '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(0, len(w) - 3), lambda i: array_to_string(w[i + 1:i + 4], ' ')) END) AS g
+  FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+  FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * k >= 80 * (x.n + y.n - k)
+), t AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, t.b FROM reach r JOIN t ON r.b = t.a
+), c AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept
+FROM c LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES["op3_repeats"] = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n
+  FROM documents
+), k AS (
+  SELECT doc_id, lo, least(512, n - 99 - lo) AS m, substr(h, (2 * lo + 1)::INT, 1222) AS piece
+  FROM (SELECT *, unnest(range(0, n - 99, 512)) AS lo FROM d WHERE n >= 100)
+), w AS (
+  SELECT doc_id, lo + i AS p, md5(substr(piece, (2 * i + 1)::INT, 200)) AS g
+  FROM (SELECT *, unnest(range(0, m)) AS i FROM k)
+), r AS (
+  SELECT doc_id, p FROM w
+  QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1
+), e AS (
+  SELECT doc_id, p,
+    CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new
+  FROM r
+), s AS (
+  SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM e
+), spans AS (
+  SELECT doc_id, min(p) AS lo, max(p) + 100 AS hi FROM s GROUP BY doc_id, run
+), removed AS (
+  SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last
+  FROM spans GROUP BY doc_id
+), gaps AS (
+  SELECT doc_id, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS lo, lo AS hi FROM spans
+  UNION ALL SELECT doc_id, coalesce(last, 0), n FROM d LEFT JOIN removed USING (doc_id)
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, (2 * lo + 1)::INT, (2 * (hi - lo))::INT), '' ORDER BY lo) AS kept
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""
