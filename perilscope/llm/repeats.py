@@ -40,8 +40,8 @@ class Rules:
 
     length: int = 100
     gram: int = 32
-    shard: int = 2 * BLOCK
-    place: int = 4 * BLOCK
+    shard: int = BLOCK
+    place: int = 2 * BLOCK
     keys: int = 3
 
 

@@ -132,6 +132,31 @@ def suffix_array(text: np.ndarray, hashes: np.ndarray, depth: int) -> np.ndarray
     return Buckets(text, kind, len(alphabet)).sort_from(order)
 
 
+#: Bytes of runs that are compared at a time.
+COMPARED = 1 << 20
+
+
+def run_prefixes(
+    data: np.ndarray, at: np.ndarray, other: np.ndarray, head: np.ndarray, depth: int
+) -> np.ndarray:
+    """How many bytes each ``at`` shares with its ``other``, up to ``depth`` at least. Both grow
+    by one from each to the next within a run; ``head`` says where runs begin, and the end."""
+    runs = head[:-1]
+    size = np.diff(head) + depth
+    first = np.cumsum(size) - size
+    step = np.arange(size.sum()) - np.repeat(first, size)
+    left, right = np.repeat(at[runs], size) + step, np.repeat(other[runs], size) + step
+    last = len(data) - 1
+    differ = (np.maximum(left, right) > last) | (
+        data[np.minimum(left, last)] != data[np.minimum(right, last)]
+    )
+    # the end stands for a difference
+    places = np.append(np.flatnonzero(differ), len(differ))
+    run = np.repeat(np.arange(len(runs)), np.diff(head))
+    own = first[run] + np.arange(len(at)) - runs[run]
+    return places[np.searchsorted(places, own)] - own
+
+
 def common_prefixes(
     array: np.ndarray, data: np.ndarray, room: np.ndarray, depth: int, hashes: np.ndarray | None = None
 ) -> np.ndarray:
@@ -159,18 +184,16 @@ def common_prefixes(
         return out
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (other[1:] != other[:-1] + 1)
-    head, run = np.flatnonzero(new), np.cumsum(new) - 1
-    size = np.diff(np.append(head, len(at))) + depth
-    first = np.cumsum(size) - size
-    step = np.arange(size.sum()) - np.repeat(first, size)
-    left, right = np.repeat(at[head], size) + step, np.repeat(other[head], size) + step
-    end = np.maximum(left, right) >= len(data)
-    last = len(data) - 1
-    differ = end | (data[np.minimum(left, last)] != data[np.minimum(right, last)])
-    # a difference behind all ends the last run
-    places = np.append(np.flatnonzero(differ), len(differ))
-    own = first[run] + np.arange(len(at)) - head[run]
-    out[at] = np.minimum(places[np.searchsorted(places, own)] - own, most)
+    head = np.append(np.flatnonzero(new), len(at))
+    reach = np.cumsum(np.diff(head) + depth)
+    done = 0
+    while done < len(reach):  # as many runs at a time as may be held
+        so_far = reach[done - 1] if done else 0
+        end = max(int(np.searchsorted(reach, so_far + COMPARED, "right")), done + 1)
+        some = slice(head[done], head[end])
+        out[at[some]] = run_prefixes(data, at[some], other[some], head[done : end + 1] - head[done], depth)
+        done = end
+    out[at] = np.minimum(out[at], most)
     if hashes is not None:
         out[out < depth] = 0
     return out
