@@ -63,8 +63,10 @@ HELD = 50_000
 
 
 def uid(id: str, text: str) -> Column:
-    """A number for a document; documents with the same id or none are told apart by their texts."""
-    return F.xxhash64(col_of(id), text_or_empty(text))
+    """128 bits for a document; documents with the same id or none are told apart by their texts."""
+    named = col_of(id).cast("string")
+    own = F.coalesce(F.concat(F.lit("="), F.octet_length(named).cast("string"), F.lit(":"), named), F.lit("-"))
+    return F.unhex(F.md5(F.concat(own, text_or_empty(text)).cast("binary")))
 
 
 def sets_of(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +139,7 @@ def sketch(docs: DataFrame, id: str, text: str, rules: Rules) -> DataFrame:
         col_of(id).alias("id"), uid(id, text).alias("uid"), text_or_empty(text).alias("text")
     ).mapInArrow(
         run,
-        f"id {id_type}, uid bigint, n_shingles bigint, node binary, signature binary, code binary",
+        f"id {id_type}, uid binary, n_shingles bigint, node binary, signature binary, code binary",
     )
 
 

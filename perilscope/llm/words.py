@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20
+#: Longer words are hashed as a whole: sums of powers modulo 2**64 are equal for certain pairs of
+#: words of a thousand characters, whatever the base is.
+LONG = 256
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -62,6 +66,10 @@ def span_hashes(prefixes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return mix((prefixes[ends] - prefixes[starts]) * inverse[starts])
 
 
+def whole_hash(word: bytes) -> np.uint64:
+    return np.uint64(int.from_bytes(blake2b(word, digest_size=8).digest(), "little"))
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in one array, and where each begins; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -128,7 +136,10 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
         last = ink.copy()
         last[:-1] &= first[1:] | ~ink[1:]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        hashes.append(span_hashes(prefix_hashes(part), starts, ends))
+        hashed = span_hashes(prefix_hashes(part), starts, ends)
+        for i in np.flatnonzero(ends - starts > LONG):
+            hashed[i] = whole_hash(part[starts[i] : ends[i]].tobytes())
+        hashes.append(hashed)
         begins.append(starts + lo)
     if not hashes:
         return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))

@@ -348,3 +348,14 @@ def test_merged_ranges(ranges):
         assert start - 1 not in cover[i] and end not in cover[i]
         back[i].update(range(start, end))
     assert back == cover
+
+
+def test_long_words_that_differ_are_not_linked(spark):
+    """Thue-Morse words, for which sums of powers modulo 2**64 are equal."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert found == {1: 1, 2: 2, 3: 1}
