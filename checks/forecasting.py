@@ -428,12 +428,10 @@ def forest_signal_importance(spark, folder):
     """The features that decide the label come first, and have nearly all of the importance."""
     df, _, fitted = _signal(spark, folder)
     found = model.importances(fitted, df)
-    larger = found.select(F.col("importance").alias("other"))
-    place = found.join(larger, F.col("other") >= F.col("importance")).groupBy("feature", "importance").agg(
-        F.count("*").cast("int").alias("place")
-    )
+    falling = found.agg(F.sort_array(F.collect_list("importance"), False).alias("all")).scalar()
     decides = F.col("importance") > 15
-    return place.select("feature", F.when(decides, F.col("place")).alias("place"), decides.alias("decides"))
+    place = F.array_position(falling, F.col("importance")).cast("int")
+    return found.select("feature", F.when(decides, place).alias("place"), decides.alias("decides"))
 
 
 @check(
