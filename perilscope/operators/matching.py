@@ -7,7 +7,8 @@ meets only the rules with which it has such a piece in common.
 
 - Containment: a text is looked up at each of its places by the next ``GRAM`` characters among
   the beginnings of the rules, which gives the lengths of the rules that begin so; the parts of
-  these lengths are looked up among the rules. No pair is made that does not match.
+  these lengths are looked up among the rules. No pair is made that does not match. Rules without
+  blanks are met with the distinct words of the texts, not with each text.
 - Nearly equal texts: of ``k`` edits at most ``k`` of ``k + 1`` segments of a rule are touched.
   Texts are looked up by the parts that can be an untouched segment, by its number, its place and
   the length of the rule (partition-based joins, as in Li et al. 2011, "Pass-Join").
@@ -18,6 +19,8 @@ repeats; tables of them are broadcast within a checked size and shuffled beyond
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ from perilscope.session import materialise
 GRAM = 4
 #: Places of a long text that are cut out at a time.
 CHUNK = 512
+#: What stands between words.
+BLANK = r"[\x20\x09-\x0D]+"
 #: Segments shorter than this are shared by nearly all texts; all rules of a length are compared.
 SEGMENT = 2
 
@@ -52,13 +57,23 @@ def numbered(texts: DataFrame, text: str) -> DataFrame:
     return materialise(subject.distinct().withColumn("key", F.monotonically_increasing_id()))
 
 
+def ranked(rules: DataFrame) -> DataFrame:
+    """``first_rules`` with a ``rank`` that grows in their order: ord, label, pattern. The least
+    of many ranks is found by a plain hash aggregate, before any shuffle."""
+    order = ["ord", "label", "pattern"]
+    dealt = first_rules(rules).repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialise(dealt.withColumn("rank", F.monotonically_increasing_id()))
+
+
 def contained(texts: DataFrame, parts: DataFrame) -> DataFrame:
     """``key`` of a text of ``texts`` (``text``, ``key``) with the row of ``parts`` whose ``part``
     stands in it, for all of them; a part that stands there more than once may come again.
 
     Parts are distinct and not empty; one of fewer than ``GRAM`` characters is its own beginning.
-    Long texts are cut into chunks, each with what a part that begins in it may still take.
+    Long texts are cut into chunks, each with what a part that begins in it may still take. Of a
+    text with a number ``least``, parts with fewer characters than that are left out.
     """
+    least = F.col("least") if "least" in texts.columns else F.lit(0)
     longest = texts.agg(F.max(F.length("text"))).first()[0] or 0
     given = materialise(parts.where(F.length("part") <= longest))
     most = given.agg(F.max(F.length("part"))).first()[0] or 1
@@ -66,9 +81,10 @@ def contained(texts: DataFrame, parts: DataFrame) -> DataFrame:
         given.groupBy(F.substring("part", 1, GRAM).alias("gram"))
         .agg(F.collect_set(F.length("part")).alias("lengths"))
     )
+    sizes = [r[0] for r in lengths.select(F.length("gram")).distinct().collect()]
     starts = F.sequence(F.lit(1), F.length("text"), F.lit(CHUNK))
     chunks = texts.select(
-        "key",
+        "key", least.alias("least"),
         F.explode(
             F.transform(
                 starts,
@@ -80,45 +96,98 @@ def contained(texts: DataFrame, parts: DataFrame) -> DataFrame:
         ).alias("c"),
     )
     places = chunks.select(
-        "key", F.col("c.chunk").alias("chunk"), F.explode(F.sequence(F.lit(1), "c.places")).alias("place")
+        "key", "least", F.col("c.chunk").alias("chunk"),
+        F.explode(F.sequence(F.lit(1), "c.places")).alias("place"),
+    )
+    # what begins at a place, no longer than the longest part
+    begun = places.select("key", "least", F.substring("chunk", F.col("place"), F.lit(most)).alias("rest"))
+    grams = [F.substring("rest", 1, n) for n in sizes] or [F.lit("")]
+    heads = begun.where(F.length("rest") >= F.col("least")).select(
+        "key", "least", "rest", F.explode(F.array_distinct(F.array(*grams))).alias("gram")
     )
-    grams = [F.substring("chunk", F.col("place"), F.lit(n)) for n in range(1, GRAM + 1)]
-    heads = places.select("key", "chunk", "place", F.explode(F.array_distinct(F.array(*grams))).alias("gram"))
     flat = lengths.select("gram", F.explode("lengths").alias("length"))
     met = heads.join(F.broadcast(lengths) if fits_broadcast(flat) else lengths, "gram")
-    cut = met.select("key", "chunk", "place", F.explode("lengths").alias("length")).where(
-        F.col("place") + F.col("length") - 1 <= F.length("chunk")
+    cut = met.select("key", "least", "rest", F.explode("lengths").alias("length")).where(
+        (F.col("length") <= F.length("rest")) & (F.col("length") >= F.col("least"))
     )
-    found = cut.select("key", F.substring("chunk", F.col("place"), F.col("length")).alias("part"))
+    found = cut.select("key", F.substring("rest", F.lit(1), F.col("length")).alias("part"))
     return found.join(_sized(given), "part")
 
 
-def _first(pairs: DataFrame, key: str) -> DataFrame:
-    """The first rule in order for each ``key``: ``key``, ``rule`` (ord, label, pattern)."""
-    return pairs.groupBy(key).agg(F.min("rule").alias("rule"))
-
-
 def _ruled(known: DataFrame) -> DataFrame:
     return known.select("pattern", F.struct("ord", "label", "pattern").alias("rule"))
 
 
-def first_contained(texts: DataFrame, text: str, rules: DataFrame) -> DataFrame:
+def _by_rank(best: DataFrame, known: DataFrame) -> DataFrame:
+    """``text`` and ``rule`` for ``text`` and ``rank``, the rank of the first rule of each text."""
+    first = best.groupBy("text").agg(F.min("rank").alias("rank"))
+    rules = known.select("rank", F.struct("ord", "label", "pattern").alias("rule"))
+    return first.join(rules, "rank").select("text", "rule")
+
+
+def first_contained(
+    texts: DataFrame, text: str, rules: DataFrame, longest: bool = False
+) -> DataFrame:
     """``text`` and ``rule``, the first one (a struct of ord, label and pattern) whose pattern
-    stands in it, for the distinct texts that have one."""
-    subject = numbered(texts, text)
-    parts = _ruled(first_rules(rules)).withColumnRenamed("pattern", "part")
-    return subject.join(_first(contained(subject, parts), "key"), "key").select("text", "rule")
+    stands in it, for the distinct texts that have one.
+
+    A rule without blanks stands in a text where it stands in one of its words: these rules are
+    met with the distinct words, and only the others with whole texts. ``longest`` says that a
+    longer rule always comes before a shorter one. Then the words that are rules themselves need
+    no search, and the longest of them leaves only longer words and rules to be looked for.
+    """
+    known = ranked(rules)
+    blank = F.col("pattern").rlike(BLANK)
+    return _by_rank(_ranks_in(numbered(texts, text), known, blank, longest), known)
+
+
+def _ranks_in(subject: DataFrame, known: DataFrame, blank: Column, longest: bool) -> DataFrame:
+    """``text`` and the ``rank`` of rules in it, the first one among them."""
+    bare = known.where(~blank).select(F.col("pattern").alias("part"), "rank")
+    spaced = materialise(known.where(blank).select(F.col("pattern").alias("part"), "rank"))
+    words = subject.select(
+        "key", F.explode(F.array_distinct(F.split("text", BLANK))).alias("word")
+    ).where("word <> ''")
+    hits = []
+    if longest:
+        # the words that are rules, the longest of them, and the words that may hold a longer one
+        met = words.join(bare.withColumnRenamed("part", "word"), "word", "left")
+        own = materialise(
+            met.groupBy("key").agg(
+                F.min("rank").alias("rank"),
+                F.coalesce(F.max(F.when(F.col("rank").isNotNull(), F.length("word"))), F.lit(0)).alias("least"),
+                F.collect_list(F.when(F.col("rank").isNull(), F.col("word"))).alias("others"),
+            )
+        )
+        hits.append(own.where("rank is not null").select("key", "rank"))
+        words = own.select("key", "least", F.explode("others").alias("word")).where(
+            F.length("word") > F.col("least")
+        )
+        subject = subject.join(own.select("key", "least"), "key", "left").na.fill(0, ["least"])
+    else:
+        words = words.withColumn("least", F.lit(0))
+    words = materialise(words)
+    distinct = words.groupBy(F.col("word").alias("text")).agg(F.min("least").alias("least"))
+    distinct = materialise(distinct.withColumn("key", F.monotonically_increasing_id()))
+    in_words = contained(distinct, bare).groupBy("key").agg(F.min("rank").alias("rank"))
+    of_words = distinct.join(in_words, "key").select(F.col("text").alias("word"), "rank")
+    hits.append(words.join(of_words, "word").select("key", "rank"))
+    if not spaced.isEmpty():
+        hits.append(contained(subject, spaced).select("key", "rank"))
+    first = reduce(DataFrame.union, hits).groupBy("key").agg(F.min("rank").alias("rank"))
+    return subject.join(first, "key").select("text", "rank")
 
 
 def first_touching(texts: DataFrame, text: str, rules: DataFrame) -> DataFrame:
     """As ``first_contained``, of the rules whose pattern stands in the text or has it in itself."""
-    known = materialise(_ruled(first_rules(rules)))
-    inside = first_contained(texts, text, known.select("rule.*"))
-    subject = numbered(known, "pattern")
+    known = ranked(rules)
+    blank = F.col("pattern").rlike(BLANK)
+    inside = _ranks_in(numbered(texts, text), known, blank, False)
+    # here a rule is the text, and its rank the key
+    subject = known.select(F.col("pattern").alias("text"), F.col("rank").alias("key"))
     parts = texts.select(col_of(text).alias("part")).where("part is not null and part <> ''").distinct()
-    pairs = contained(subject, parts).distinct().join(subject, "key")
-    around = pairs.join(known, F.col("text") == F.col("pattern")).select(F.col("part").alias("text"), "rule")
-    return _first(inside.union(_first(around, "text")), "text")
+    around = contained(subject, parts).groupBy("part").agg(F.min("key").alias("rank"))
+    return _by_rank(inside.union(around.select(F.col("part").alias("text"), "rank")), known)
 
 
 def first_equal(texts: DataFrame, text: str, rules: DataFrame) -> DataFrame:

@@ -317,7 +317,7 @@ def _first_contains_joined(
     texts = materialise(
         distinct_texts(df, column).select(col_of(column), "n", strip(column).alias("bare"))
     )
-    hit = matching.first_contained(texts.select("bare"), "bare", table)
+    hit = matching.first_contained(texts.select("bare"), "bare", table, order == "longest")
     hit = hit.select(F.col("text").alias("bare"), F.col("rule.label").alias("label"))
     named = texts.join(hit, "bare", "left").select(
         col_of(column), "n", F.coalesce("label", F.lit(default)).alias(label)
