@@ -25,7 +25,7 @@ from perilscope.operators import model, trend
 from perilscope.operators.crosstab import to_wide
 from perilscope.plans import forecast
 from perilscope.plans import incident as pipeline
-from perilscope.session import run_folder
+from perilscope.session import run_folder, stored
 from perilscope.sources.outputs import read_output
 
 _TREND = f"""{CASCADE},
@@ -395,7 +395,8 @@ _SIGNAL_FEATURES = ["quarter", "area", "surface", "priority"]
 
 def _signal(spark, folder):
     """Rows with the label, and a forest that has learned it from 80 of 100 of them."""
-    df = incident(spark, folder, "row_key", *_SIGNAL_FEATURES).withColumn("label", F.expr(_SIGNAL))
+    df = stored(incident(spark, folder, "row_key", *_SIGNAL_FEATURES), "signal")
+    df = df.withColumn("label", F.expr(_SIGNAL))
     train, test = model.stratified_split(df, "label", ["row_key"])
     fitted = model.fit_forest(
         train, _SIGNAL_FEATURES, "label", trees=60, depth=8, train_rows=20_000

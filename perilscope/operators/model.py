@@ -12,10 +12,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perilscope.columns import bounded_values, col_of, cols_of, constant, free_name
+from perilscope.columns import col_of, cols_of, constant, free_name
 from perilscope.functions.numbers import round_even, safe_ratio
 from perilscope.operators.joins import BROADCAST_BYTES, fits_broadcast, join_checked
-from perilscope.session import materialise
+from perilscope.session import materialise, stored
 
 PREFIX_DIGITS = (3, 6)
 #: Partitions of the training rows: a number that depends on the rows alone, since the forest
@@ -119,15 +119,16 @@ def split_flag(
     about one in 16 million. So no label, however large, is sorted as a whole, and the flag
     itself is a comparison. Rows with equal keys stay on one side; a group of them that
     would exceed the share is left to the training side. The rows are read twice: for labels
-    and hashes, which are kept, and for the result.
+    and hashes, of which 16 bytes a row are kept, and for the result.
     """
-    digest = F.md5(F.concat_ws("|", *cols_of(key), F.lit(str(seed))))
-    place = F.concat_ws("|", digest, *cols_of(key))
-    rows = materialise(
-        df.select(col_of(label).cast("string").alias("_l"), place.alias("_h")).where(
+    place = F.md5(F.concat_ws("|", *cols_of(key), F.lit(str(seed))))
+    kept = stored(
+        df.select(col_of(label).cast("string").alias("_l"), F.unhex(place).alias("_h")).where(
             F.col("_l").isNotNull()
-        )
+        ),
+        "split",
     )
+    rows = kept.select("_l", F.lower(F.hex("_h")).alias("_h"))
     first, second = PREFIX_DIGITS
     rows_per = F.count("*").alias("n")
     sizes = materialise(rows.groupBy("_l", F.substring("_h", 1, first).alias("_b")).agg(rows_per))
@@ -237,8 +238,7 @@ def fit_forest(
     labelled rows that are learned from: about so many, drawn by a hash of the whole row.
     """
     encoding = encoding or OrdinalEncoding.fit(df, features)
-    classes = [str(c) for c in bounded_values(df, label, max_classes)]
-    rows = df.count()
+    classes, rows = _classes(df, label, max_classes)
     if train_rows is not None:
         share = min(1.0, train_rows / max(1, rows))
         draw = F.pmod(F.xxhash64(*cols_of(df.columns), F.lit(seed)), F.lit(1 << 30))
@@ -270,6 +270,15 @@ def fit_forest(
     return Forest(model, list(features), encoding, classes)
 
 
+def _classes(df: DataFrame, label: str, limit: int) -> tuple[list[str], int]:
+    """The values of a label in ascending order and the number of rows, by one pass."""
+    counts = df.groupBy(col_of(label).alias("v")).agg(F.count("*").alias("n")).limit(limit + 2).collect()
+    values = sorted(r["v"] for r in counts if r["v"] is not None)
+    if len(values) > limit:
+        raise ValueError(f"column {label!r} has more than {limit} distinct values")
+    return [str(v) for v in values], sum(r["n"] for r in counts)
+
+
 def importances(forest: Forest, df: DataFrame) -> DataFrame:
     """(feature, importance) in percent, largest first."""
     values = forest.model.featureImportances.toArray()

@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from perilscope.operators import matching
+from perilscope.operators import matching, model
 
 
 def rules_of(spark, words):
@@ -41,3 +41,24 @@ def test_words_are_searched_once_not_once_a_text(spark, monkeypatch, longest):
     distinct = {w for t in said if t for w in t.split()}
     of_words = [n for n, bare in searched if bare]
     assert of_words and max(of_words) <= (12 if longest else len(distinct))
+
+
+def test_a_split_keeps_sixteen_bytes_a_row(spark, monkeypatch):
+    kept, whole = [], model.stored
+
+    def seen(df, name):
+        kept.append({f.name: f.dataType.simpleString() for f in df.schema})
+        return whole(df, name)
+
+    monkeypatch.setattr(model, "stored", seen)
+    df = spark.range(500).selectExpr("id", "concat('k', id % 2) AS label")
+    train, test = model.stratified_split(df, "label", ["id"])
+    assert (train.count(), test.count()) == (400, 100)
+    assert kept == [{"_l": "string", "_h": "binary"}]
+
+
+def test_classes_and_rows_by_one_pass(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "y string")
+    assert model._classes(df, "y", 2) == (["a", "b"], 4)
+    with pytest.raises(ValueError, match="more than 1"):
+        model._classes(df, "y", 1)
