@@ -25,6 +25,7 @@ from perilscope.operators import area as areas
 from perilscope.operators import crosstab as ct
 from perilscope.operators import joins, ranking, trend
 from perilscope.operators.rules import classify
+from perilscope.session import stored
 
 
 def _pct(part: str, total: str, digits: int = 1) -> str:
@@ -338,7 +339,7 @@ def master_join(spark, folder):
     master = table(spark, folder, "customer").select(
         "c_custkey", "c_mktsegment", "c_name"
     )
-    return joins.join_master(df, master, "c_custkey")
+    return joins.join_master(stored(df, "rows"), master, "c_custkey")
 
 
 @check(

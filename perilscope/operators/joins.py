@@ -214,7 +214,8 @@ def join_master(
     """All rows of ``df`` with the columns of ``master``; clashing names get ``suffix``.
 
     Keys compare as trimmed text, null matches nothing, several master rows repeat the row. A
-    master above the broadcast ``limit`` loses the rows without a partner before it is shuffled.
+    master above the broadcast ``limit`` loses the rows without a partner before it is shuffled;
+    one pass over the keys of ``df``, which counts them, tells these and the hot keys.
     """
     left = df.withColumn(key, join_key(col_of(key)))
     right = master.withColumn(key, join_key(col_of(key)))
@@ -223,7 +224,12 @@ def join_master(
     if fits_broadcast(right, limit):
         joined = left.join(F.broadcast(right), [key], "left")
     else:
-        joined = spread_left_join(left, partners(right, left, key), [key])
+        # spread_left_join expects the counts as ``n``
+        counts = None if key.lower() == "n" else materialise(
+            left.groupBy(col_of(key)).agg(F.count("*").alias("n"))
+        )
+        few = partners(right, left if counts is None else counts, key)
+        joined = spread_left_join(left, few, [key], counts=counts)
     return joined.select(*cols_of([*left.columns, *[c for c in right.columns if c != key]]))
 
 

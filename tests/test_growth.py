@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from perilscope.operators import matching, model
+from perilscope.operators import joins, matching, model
 
 
 def rules_of(spark, words):
@@ -43,6 +43,21 @@ def test_words_are_searched_once_not_once_a_text(spark, monkeypatch, longest):
     assert of_words and max(of_words) <= (12 if longest else len(distinct))
 
 
+def test_one_pass_tells_hot_keys_and_partners(spark, monkeypatch):
+    rows = spark.range(600).selectExpr("id", "cast(id % 20 AS string) AS k")
+    master = spark.range(500).selectExpr("cast(id AS string) AS k", "id * 2 AS twice")
+    asked, whole = [], joins.key_filter
+
+    def counted(df, keys):
+        asked.append(df.count())
+        return whole(df, keys)
+
+    monkeypatch.setattr(joins, "key_filter", counted)
+    out = joins.join_master(rows, master, "k", limit=-1)
+    assert sorted((r["id"], r["twice"]) for r in out.collect()) == [(i, i % 20 * 2) for i in range(600)]
+    assert asked == [20]
+
+
 def test_a_split_keeps_sixteen_bytes_a_row(spark, monkeypatch):
     kept, whole = [], model.stored
 
