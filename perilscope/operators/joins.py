@@ -241,6 +241,9 @@ def partners(right: DataFrame, left: DataFrame, key: str) -> DataFrame:
 
 #: The identity of a row of a table without a key: its file and its place there.
 POSITION = "row_position"
+#: Rows of a table joined by position that a task gets; their file names shrink so well that
+#: the bytes of a shuffle do not tell how many rows fit.
+ROWS_PER_TASK = 500_000
 
 
 def positioned(table: DataFrame, name: str = POSITION) -> DataFrame:
@@ -280,9 +283,18 @@ def personalised(
         *cols_of(keys), *[col_of(old).alias(new) for old, new in picked(derived.columns).items()]
     )
     if key is None:  # no two rows have the same place
-        joined = raw.join(chosen, POSITION, "left").drop(POSITION)
-        return joined.select(
-            *cols_of(c for c in raw.columns if c != POSITION), *cols_of(picked(derived.columns).values())
-        )
+        others = [c for c in raw.columns if c != POSITION]
+        new = picked(derived.columns).values()
+        file_, row_ = (free_name(c, [*others, *new]) for c in ("_file", "_row"))
+        parts = -(-raw.count() // ROWS_PER_TASK)
+        least = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+        def placed(df: DataFrame) -> DataFrame:
+            place = {row_: F.col(POSITION)["row"], file_: F.col(POSITION)["file"]}
+            flat = df.withColumns(place).drop(POSITION)
+            return flat.repartition(max(parts, least), row_, file_) if parts > 1 else flat
+
+        joined = placed(raw).join(placed(chosen), [row_, file_], "left")
+        return joined.select(*cols_of([*others, *new]))
     joined = spread_left_join(raw, chosen, keys)
     return joined.select(*cols_of([*raw.columns, *picked(derived.columns).values()]))

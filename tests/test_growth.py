@@ -43,6 +43,20 @@ def test_words_are_searched_once_not_once_a_text(spark, monkeypatch, longest):
     assert of_words and max(of_words) <= (12 if longest else len(distinct))
 
 
+def test_rows_joined_by_position_go_to_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    spark.range(1000).selectExpr("id", "id % 3 AS k").write.parquet(str(tmp_path / "t"))
+    rows = joins.positioned(spark.read.parquet(str(tmp_path / "t")))
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 10)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = joins.personalised(rows.select(joins.POSITION, "id"), rows.select(joins.POSITION, "k"), None, {"k": "K"})
+        assert out.rdd.getNumPartitions() == 100
+        assert sorted(map(tuple, out.collect())) == [(i, i % 3) for i in range(1000)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_one_pass_tells_hot_keys_and_partners(spark, monkeypatch):
     rows = spark.range(600).selectExpr("id", "cast(id % 20 AS string) AS k")
     master = spark.range(500).selectExpr("cast(id AS string) AS k", "id * 2 AS twice")
