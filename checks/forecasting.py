@@ -506,7 +506,7 @@ def _incident_run(spark, folder, name):
         optional=["age", "month", "employee id"], numbers=["age"], age="age", month="month",
         personal=["employee id"], employee="employee id", area_products=AREA_PRODUCTS,
     )
-    result = pipeline.run_pipeline(raw, plan)
+    result = pipeline.run_pipeline(stored(raw, "raw"), plan)
     base = run_folder(spark, "incidents")
     pipeline.write_run(result, plan, base, "r1")
     return read_output(spark, base, name, "r1")
