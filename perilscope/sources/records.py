@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 from perilscope.operators.joins import fits_broadcast
 from perilscope.session import materialise
 
-RECORD = "file string, block bigint, at bigint, n bigint, record string"
+RECORD = "file string, block bigint, at bigint, n bigint, kind int, record string"
 WHOLE, BEGUN, CONTINUED = 0, 1, 2
 
 
@@ -53,14 +53,15 @@ def joined_lines(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.
     """Lines (``file``, ``block``, ``at``, ``within``, ``text``) put together to records.
 
     With ``whole``, the records that begin and end in their part; otherwise the pieces of those
-    that do not, ``n`` then being ``BEGUN`` or ``CONTINUED``.
+    that do not, of the kind ``BEGUN`` or ``CONTINUED``. ``n`` is the record's number in the part
+    in which it begins.
     """
     held: tuple | None = None  # file, block, at, n, kind, texts of the record that is still open
     key, n, odd = None, 0, 0
 
     def piece() -> Iterator[pa.RecordBatch]:
         if held is not None and not whole:
-            yield batch_of([held[0]], [held[1]], [held[2]], [held[4]], ["\n".join(held[5])])
+            yield batch_of([held[0]], [held[1]], [held[2]], [held[3]], [held[4]], ["\n".join(held[5])])
 
     for batch in batches:
         files = batch.column(0).dictionary_encode()
@@ -86,12 +87,17 @@ def joined_lines(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.
                     if held[4] == CONTINUED:
                         yield from piece()
                     elif whole:
-                        yield batch_of([own[0]], [own[1]], [held[2]], [held[3]], ["\n".join(held[5])])
+                        yield batch_of(
+                            [own[0]], [own[1]], [held[2]], [held[3]], [WHOLE], ["\n".join(held[5])]
+                        )
                     held = None
             if not len(starts):
                 continue
             ends = np.concatenate([starts[1:], [hi - lo]])
             done = len(starts) - odd  # the last one goes on
+            if done and not whole:
+                blank = pc.is_in(text, pa.array(["", "\r"])).to_numpy(zero_copy_only=False)
+                n += done - int(blank[starts[:done]].sum())
             if whole and done:
                 offsets = np.concatenate([starts[:done], ends[done - 1 : done]])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), text)
@@ -99,7 +105,8 @@ def joined_lines(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.
                 blank = pc.is_in(records, pa.array(["", "\r"])).to_numpy(zero_copy_only=False)
                 count = np.cumsum(~blank)
                 yield batch_of(
-                    [own[0]] * done, [own[1]] * done, at[starts[:done]], n + count - 1, records
+                    [own[0]] * done, [own[1]] * done, at[starts[:done]], n + count - 1,
+                    [WHOLE] * done, records,
                 )
                 n += int(count[-1])
             if odd:
@@ -109,11 +116,12 @@ def joined_lines(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.
     yield from piece()
 
 
-def batch_of(file, block, at, n, record) -> pa.RecordBatch:
+def batch_of(file, block, at, n, kind, record) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(file, pa.string()), pa.array(block, pa.int64()), pa.array(at, pa.int64()),
-         pa.array(n, pa.int64()), record if isinstance(record, pa.Array) else pa.array(record, pa.string())],
-        ["file", "block", "at", "n", "record"],
+         pa.array(n, pa.int64()), pa.array(kind, pa.int32()),
+         record if isinstance(record, pa.Array) else pa.array(record, pa.string())],
+        ["file", "block", "at", "n", "kind", "record"],
     )
 
 
@@ -134,24 +142,20 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     told = F.broadcast(parts) if fits_broadcast(parts) else parts
     columns = ["file", "block", "at", F.coalesce("within", F.lit(False)).alias("within"), "text"]
     given = lines.join(told, ["file", "block"], "left").select(*columns)
-    records = _bare(given.mapInArrow(run(True), RECORD))
+    records = _bare(given.mapInArrow(run(True), RECORD).drop("kind"))
     if not parts.isEmpty():
         some = lines.join(told, ["file", "block"]).select(*columns)
         pieces = some.mapInArrow(run(False), RECORD)
         order = Window.partitionBy("file").orderBy("block", "at")
-        begun = F.last(F.when(F.col("n") == BEGUN, F.struct("block", "at")), ignorenulls=True)
+        begun = F.last(F.when(F.col("kind") == BEGUN, F.struct("block", "at", "n")), ignorenulls=True)
         grouped = pieces.withColumn("begin", begun.over(order)).groupBy("file", "begin").agg(
             F.array_sort(F.collect_list(F.struct("block", "at", "record"))).alias("p")
         )
-        numbers = records.groupBy("file", "block").agg(F.max("n").alias("n"))
         merged = grouped.select(
             "file", F.col("begin.block").alias("block"), F.col("begin.at").alias("at"),
+            F.coalesce("begin.n", F.lit(0)).alias("n"),
             F.array_join(F.transform("p", lambda x: x["record"]), "\n").alias("record"),
         )
-        # a record that goes on is the last one to begin in its part
-        merged = merged.join(numbers, ["file", "block"], "left").select(
-            "file", "block", "at", (F.coalesce("n", F.lit(-1)) + 1).alias("n"), "record"
-        )
         records = records.union(_bare(merged))
     return records
 

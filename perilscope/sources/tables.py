@@ -143,10 +143,13 @@ def read_with_header(
     if place is None:
         sheet = read_sheet(spark, path, width, multi_line=multi_line)
         return promote_header(sheet, "line", markers, look, unnamed).drop("line")
-    # the rows up to the header are the first ones of its file, which is read by itself
-    head = _cells(spark, file, width, multi_line).where((F.col("block") > 0) | (F.col("n") > place))
     names = [f"c{i}" for i in range(width)]
     same = F.regexp_replace("file", "^file:/+", "/") == F.regexp_replace(F.lit(file), "^file:/+", "/")
+    below = (F.col("block") > 0) | (F.col("n") > place)
+    if multi_line:  # records are numbered in each part, so that one reading does for all files
+        return titled(_cells(spark, path, width, True).where(~same | below).select(*names), names, rows[place])
+    # the rows up to the header are the first ones of its file, which is read by itself
+    head = _cells(spark, file, width, multi_line).where(below)
     rest = _cells(spark, path, width, multi_line).where(~same)
     return titled(head.select(*names).union(rest.select(*names)), names, rows[place])
 

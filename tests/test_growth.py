@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from perilscope.operators import joins, matching, model
+from perilscope.sources import tables
 
 
 def rules_of(spark, words):
@@ -91,3 +92,14 @@ def test_classes_and_rows_by_one_pass(spark):
     assert model._classes(df, "y", 2) == (["a", "b"], 4)
     with pytest.raises(ValueError, match="more than 1"):
         model._classes(df, "y", 1)
+
+
+def test_parts_of_quoted_files_are_read_together(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("t,,\nkey,a,b\n" * (i == 0) + f'{i},"x\ny",z\n')
+    calls, whole = [], tables.read_records
+    monkeypatch.setattr(tables, "read_records", lambda s, p: calls.append(p) or whole(s, p))
+    df = tables.read_with_header(spark, str(tmp_path), 3, ["key"], multi_line=True)
+    assert df.columns == ["key", "a", "b"]
+    assert sorted(map(tuple, df.collect())) == [(str(i), "x\ny", "z") for i in range(3)]
+    assert len(calls) == 1
