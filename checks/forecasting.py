@@ -288,8 +288,11 @@ def _plan() -> forecast.ForecastPlan:
     )
 
 
-def _years(spark, folder):
+def _years(spark, folder, land=False):
+    """The rows of two years; a run that passes over them many times gets them as a table."""
     df = incident(spark, folder, "row_key", "area", "cause", "month", "surface", "priority", "year")
+    if land:
+        df = stored(df.where("year IN (1999, 2000)"), "years")
     named = df.withColumnRenamed("cause", "cause text")
     first = named.where("year = 1999").drop("year").withColumn("Unnamed: 9", F.lit(1))
     second = named.where("year = 2000").drop("year").withColumnRenamed("area", "place")
@@ -304,7 +307,7 @@ FROM (SELECT DISTINCT area FROM incident WHERE year IN (1999, 2000)), (VALUES ('
 def forest_forecast(spark, folder):
     """The whole forecast run, written and read back, by what must hold for any forest: the
     probabilities of an area sum to 100 and the top theme has the largest one."""
-    result = forecast.run_forecast(*_years(spark, folder), _plan())
+    result = forecast.run_forecast(*_years(spark, folder, land=True), _plan())
     base = run_folder(spark, "forecast")
     forecast.write_forecast(result, base, "r1")
     back = read_output(spark, base, "theme_forecast", "r1").drop("run_id")
@@ -363,7 +366,7 @@ FROM top JOIN trends USING (area, theme), (VALUES ('Q3'), ('Q4')) AS v(q)"""
 )
 def forest_forecast_rows(spark, folder):
     """Of the whole forecast run, all that does not depend on the forest itself."""
-    out = forecast.run_forecast(*_years(spark, folder), _plan()).forecast
+    out = forecast.run_forecast(*_years(spark, folder, land=True), _plan()).forecast
     share = F.col("base_prob").between(0, 100) & (F.col("estimated_prob") <= F.col("base_prob") * 1.5)
     return out.select("quarter", "area", "campaign_theme", "trend", "sub_cause", share.alias("is_share"))
 
@@ -375,7 +378,7 @@ FROM (VALUES {", ".join(f"('{f}')" for f in _plan().features)}) AS v(feature)"""
 def forest_importance(spark, folder):
     """Importances of exactly the given features, which are shares of 100."""
     plan = _plan()
-    df, _ = forecast.forecast_input(*_years(spark, folder), plan)
+    df, _ = forecast.forecast_input(*_years(spark, folder, land=True), plan)
     fitted = model.fit_forest(
         df, plan.features, "campaign_theme", plan.trees, plan.depth, train_rows=plan.train_rows
     )

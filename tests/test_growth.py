@@ -5,9 +5,12 @@ import random
 import pyarrow as pa
 import pytest
 
+from checks import forecasting, summaries
 from perilscope.operators import joins, matching, model
 from perilscope.sources import tables
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def rules_of(spark, words):
     return spark.createDataFrame(
@@ -103,3 +106,31 @@ def test_parts_of_quoted_files_are_read_together(spark, tmp_path, monkeypatch):
     assert df.columns == ["key", "a", "b"]
     assert sorted(map(tuple, df.collect())) == [(str(i), "x\ny", "z") for i in range(3)]
     assert len(calls) == 1
+
+
+def test_incidents_are_joined_once(spark, monkeypatch):
+    """What passes over the incidents several times reads them from a table."""
+    seen = []
+
+    def plan(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+
+    stop = RuntimeError("seen")
+
+    def given(*frames, **_):
+        for df in frames[:2]:
+            if hasattr(df, "_jdf"):
+                plan(df)
+        raise stop
+
+    for module, name, query in [
+        (forecasting.pipeline, "run_pipeline", forecasting.pipeline_rows),
+        (forecasting.forecast, "run_forecast", forecasting.forest_forecast),
+        (forecasting.model, "stratified_split", forecasting.forest_signal),
+        (summaries.joins, "join_master", summaries.master_join),
+    ]:
+        with monkeypatch.context() as patch:
+            patch.setattr(module, name, given)
+            with pytest.raises(RuntimeError, match="seen"):
+                query(spark, FOLDER)
+    assert len(seen) >= 5 and not any("Join" in text for text in seen)
