@@ -47,6 +47,16 @@ def test_words_are_searched_once_not_once_a_text(spark, monkeypatch, longest):
     assert of_words and max(of_words) <= (12 if longest else len(distinct))
 
 
+def test_pairs_that_touch_are_cut_to_the_first_rule_of_a_text(spark):
+    patterns = [f"en{i}" for i in range(300)]
+    given = rules_of(spark, patterns[::-1])
+    df = spark.createDataFrame(pa.table({"t": ["en", "en29", "xen7x", "zz"]}))
+    found = matching.first_touching(df, "t", given)
+    assert {r["text"]: r["rule"]["pattern"] for r in found.collect()} == {
+        "en": "en299", "en29": "en299", "xen7x": "en7"
+    }
+
+
 def test_rows_joined_by_position_go_to_tasks_by_their_number(spark, tmp_path, monkeypatch):
     spark.range(1000).selectExpr("id", "id % 3 AS k").write.parquet(str(tmp_path / "t"))
     rows = joins.positioned(spark.read.parquet(str(tmp_path / "t")))
