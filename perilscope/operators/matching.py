@@ -294,20 +294,16 @@ def candidates(texts: DataFrame, text: str, known: DataFrame, min_score: float)
         F.explode(F.when(F.col("short"), whole).otherwise(asked(F.col("count")))).alias("s"),
     ).select("text", "length", "s.i", "s.piece")
     met = looked.join(_sized(filed), ["length", "i", "piece"])
-    return met.select("text", "pattern").distinct()
+    # the edit distance is at most the number of insertions and deletions: a bounded one, which
+    # is cheap, rules out most pairs that meet before any is shuffled or scored
+    allowed = allowed_edits(F.length("text") + F.length("pattern"), min_score)
+    close = met.where(F.call_function("levenshtein", F.col("text"), F.col("pattern"), allowed) >= 0)
+    return close.select("text", "pattern").distinct()
 
 
 def near_pairs(texts: DataFrame, text: str, known: DataFrame, min_score: float) -> DataFrame:
-    """``text``, ``pattern`` and ``score`` of all pairs of at least ``min_score``.
-
-    The edit distance is at most the number of insertions and deletions, so a bounded
-    Levenshtein distance, which is cheap, rules out most candidates before one is scored.
-    """
-    pairs = candidates(texts, text, known, min_score)
-    allowed = allowed_edits(F.length("text") + F.length("pattern"), min_score)
-    close = materialise(
-        pairs.where(F.call_function("levenshtein", F.col("text"), F.col("pattern"), allowed) >= 0)
-    )
+    """``text``, ``pattern`` and ``score`` of all pairs of at least ``min_score``."""
+    close = materialise(candidates(texts, text, known, min_score))
     # the table of a rule's characters is made once, not for every text
     masks = materialise(close.select("pattern").distinct().withColumn("masks", char_masks("pattern")))
     score = ratio_from_masks(F.col("text"), F.col("masks"), F.length("pattern"))

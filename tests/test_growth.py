@@ -57,6 +57,17 @@ def test_pairs_that_touch_are_cut_to_the_first_rule_of_a_text(spark):
     }
 
 
+def test_candidates_are_near(spark):
+    """Pairs that share a segment but differ elsewhere are dropped before they are shuffled."""
+    rng = random.Random(5)
+    half = "abcdefghijklmnopqrst"
+    given = rules_of(spark, [half + "".join(rng.choices("uvwxyz", k=20)) for _ in range(50)])
+    near = given.first()["pattern"]
+    df = spark.createDataFrame(pa.table({"t": [near[:30] + near[31:]]}))
+    met = matching.candidates(df, "t", given, 97).collect()
+    assert [r["pattern"] for r in met] == [near]
+
+
 def test_rows_joined_by_position_go_to_tasks_by_their_number(spark, tmp_path, monkeypatch):
     spark.range(1000).selectExpr("id", "id % 3 AS k").write.parquet(str(tmp_path / "t"))
     rows = joins.positioned(spark.read.parquet(str(tmp_path / "t")))
