@@ -241,10 +241,12 @@ _WORD_RULES_SQL = r"""rules AS (
 
 def _word_rules(spark, folder):
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    docs = table(spark, folder, "documents").select("doc_id", "lang", F.explode(words).alias("pattern"))
-    return docs.groupBy("pattern").agg(
-        F.min(F.coalesce("lang", F.lit("none"))).alias("label"), F.min("doc_id").alias("ord")
+    docs = table(spark, folder, "documents").select(
+        "doc_id", F.coalesce("lang", F.lit("none")).alias("label"), F.explode(words).alias("pattern")
     )
+    # the least of numbers needs no sort; that of labels does, and gets each one of a word once
+    labelled = docs.groupBy("pattern", "label").agg(F.min("doc_id").alias("ord"))
+    return labelled.groupBy("pattern").agg(F.min("label").alias("label"), F.min("ord").alias("ord"))
 
 
 @check(

@@ -101,9 +101,11 @@ def contained(texts: DataFrame, parts: DataFrame) -> DataFrame:
     )
     # what begins at a place, no longer than the longest part
     begun = places.select("key", "least", F.substring("chunk", F.col("place"), F.lit(most)).alias("rest"))
-    grams = [F.substring("rest", 1, n) for n in sizes] or [F.lit("")]
-    heads = begun.where(F.length("rest") >= F.col("least")).select(
-        "key", "least", "rest", F.explode(F.array_distinct(F.array(*grams))).alias("gram")
+    # a beginning shorter than it should be is that of a smaller size, if there is one
+    asked = F.explode(F.lit(sizes).cast("array<int>")).alias("size")
+    heads = begun.where(F.length("rest") >= F.col("least")).select("key", "least", "rest", asked)
+    heads = heads.where(F.length("rest") >= F.col("size")).select(
+        "key", "least", "rest", F.substring("rest", F.lit(1), F.col("size")).alias("gram")
     )
     flat = lengths.select("gram", F.explode("lengths").alias("length"))
     met = heads.join(F.broadcast(lengths) if fits_broadcast(flat) else lengths, "gram")
@@ -180,7 +182,11 @@ def _ranks_in(subject: DataFrame, known: DataFrame, blank: Column, longest: bool
 
 def first_touching(texts: DataFrame, text: str, rules: DataFrame) -> DataFrame:
     """As ``first_contained``, of the rules whose pattern stands in the text or has it in itself."""
-    known = ranked(rules)
+    return _touching(texts, text, ranked(rules))
+
+
+def _touching(texts: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """``first_touching`` of ``ranked`` rules."""
     blank = F.col("pattern").rlike(BLANK)
     inside = _ranks_in(numbered(texts, text), known, blank, False)
     # here a rule is the text, and its rank the key
@@ -192,8 +198,13 @@ def first_touching(texts: DataFrame, text: str, rules: DataFrame) -> DataFrame:
 
 def first_equal(texts: DataFrame, text: str, rules: DataFrame) -> DataFrame:
     """As ``first_contained``, of the rule whose pattern is the text."""
+    return _equal(texts, text, first_rules(rules))
+
+
+def _equal(texts: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """``first_equal`` of ``first_rules``; a few texts are sent to the rules, not rules to them."""
     subject = texts.select(col_of(text).alias("text")).where("text is not null").distinct()
-    return subject.join(_ruled(first_rules(rules)).withColumnRenamed("pattern", "text"), "text")
+    return _ruled(known).withColumnRenamed("pattern", "text").join(_sized(subject), "text")
 
 
 def first_hidden(rules: DataFrame) -> DataFrame:
@@ -216,7 +227,11 @@ def segment_count(length: Column, min_score: float) -> Column:
 def nearest(texts: DataFrame, text: str, rules: DataFrame, min_score: float) -> DataFrame:
     """``text`` and ``best``, (score, -ord, label, pattern) of the rule that is most similar from
     ``min_score`` on, the first of equally similar ones, for the distinct texts that have one."""
-    known = first_rules(rules)
+    return _nearest(texts, text, first_rules(rules), min_score)
+
+
+def _nearest(texts: DataFrame, text: str, known: DataFrame, min_score: float) -> DataFrame:
+    """``nearest`` of ``first_rules``."""
     pairs = near_pairs(texts, text, known, min_score)
     scored = join_checked(pairs, known, ["pattern"]).select(
         "text", F.struct("score", (-F.col("ord")).alias("place"), "label", "pattern").alias("best")
@@ -322,19 +337,21 @@ def label_frame(
 ) -> DataFrame:
     """``text`` and ``label`` of the distinct texts of ``df`` that a stage of the cascade labels.
 
-    A stage gets the texts that no earlier one has labelled; the result is computed once.
+    A stage gets the texts that no earlier one has labelled; the result is computed once, and so
+    are the rules and what each stage finds, which is measured before it is joined.
     """
     open_ = df.select(col_of(text).alias("cause")).where("cause is not null").distinct()
     open_ = materialise(open_.withColumn("said", replace_synonym("cause", synonyms)))
-    known = materialise(first_rules(rules))
+    known = ranked(rules) if "token" in stages else materialise(first_rules(rules))
     done = None
     for stage in stages:
         if stage == "exact":
-            hit = first_equal(open_, "said", known).select(F.col("text").alias("said"), "rule.label")
-            found = join_checked(open_, hit, ["said"])
+            hit = _equal(open_, "said", known).select(F.col("text").alias("said"), "rule.label")
+            found = join_checked(open_, materialise(hit), ["said"])
         elif stage == "fuzzy":
-            hit = nearest(open_, "said", known, min_score)
-            found = join_checked(open_, hit.select(F.col("text").alias("said"), "best.label"), ["said"])
+            hit = _nearest(open_, "said", known, min_score)
+            hit = hit.select(F.col("text").alias("said"), "best.label")
+            found = join_checked(open_, materialise(hit), ["said"])
         else:
             found = _by_token(open_, known, stage, min_score, min_token_len)
         found = materialise(found.select("cause", "said", "label"))
@@ -352,13 +369,13 @@ def _by_token(
     usable = F.filter(tokens("said"), lambda t: F.length(t) >= least)
     said = materialise(open_.select("cause", "said", F.posexplode(usable).alias("pos", "token")))
     if stage == "token":
-        hit = first_touching(said, "token", known).select(F.col("text").alias("token"), "rule")
-        met = join_checked(said, hit, ["token"]).where("rule is not null")
+        hit = _touching(said, "token", known).select(F.col("text").alias("token"), "rule")
+        met = join_checked(said, materialise(hit), ["token"]).where("rule is not null")
         best = met.groupBy("cause").agg(F.min(F.struct("pos", "rule")).alias("b"))
         label = F.col("b.rule.label")
     else:
-        hit = nearest(said, "token", known, min_score).select(F.col("text").alias("token"), "best")
-        met = join_checked(said, hit, ["token"]).where("best is not null")
+        hit = _nearest(said, "token", known, min_score).select(F.col("text").alias("token"), "best")
+        met = join_checked(said, materialise(hit), ["token"]).where("best is not null")
         key = F.struct("best.score", (-F.col("pos")).alias("pos"), "best.place", "best.label")
         best = met.groupBy("cause").agg(F.max(key).alias("b"))
         label = F.col("b.label")

@@ -30,7 +30,7 @@ from perilscope.functions.similarity import (
 from perilscope.functions.text import literal_map, replace_synonym, strip, tokens
 from perilscope.operators import matching
 from perilscope.operators.joins import join_checked
-from perilscope.session import materialise
+from perilscope.session import materialise, shared_dir
 
 RuleTable = Mapping[str, Sequence[str]] | Sequence[tuple[str, str]] | DataFrame
 #: More rules than this cannot be literals of a plan.
@@ -67,6 +67,14 @@ def many(rules: RuleTable) -> bool:
     return len(rules) >= JOIN_FROM
 
 
+def computed_once(rules: RuleTable) -> RuleTable:
+    """The rules; a frame, which is counted before it is met with texts, is computed, if there
+    is a folder for it."""
+    if isinstance(rules, DataFrame) and shared_dir(rules.sparkSession) is not None:
+        return materialise(rules.select("pattern", "label", "ord"))
+    return rules
+
+
 def rule_frame(spark: SparkSession, rules: RuleTable) -> DataFrame:
     """The rules as a frame of (pattern, label, ord); a frame is taken as it is."""
     if isinstance(rules, DataFrame):
@@ -231,6 +239,7 @@ def label_texts(
     A table of ``JOIN_FROM`` rules or more is met by joins, one of any size.
     """
     texts = distinct_texts(df, column, n)
+    rules = computed_once(rules)
     if many(rules):
         texts = materialise(texts)
         found = matching.label_frame(
@@ -295,6 +304,7 @@ def first_contains(
     ``order='longest'`` tries longer rules first, so that none is hidden by a part of it.
     """
     bare = strip(column)
+    rules = computed_once(rules)
     if many(rules):
         return _first_contains_joined(df, column, rules, default, order, label)
     pairs = rule_list(rules)

@@ -4,9 +4,11 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from checks import forecasting, summaries
-from perilscope.operators import joins, matching, model
+from checks import rules as rule_checks
+from perilscope.operators import joins, matching, model, rules
 from perilscope.sources import tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -57,6 +59,64 @@ def test_pairs_that_touch_are_cut_to_the_first_rule_of_a_text(spark):
     }
 
 
+def plan_of(df, phase="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), phase)().toString()
+
+
+@pytest.mark.parametrize("label", [
+    lambda df, given: rules.classify(df, "t", given, None, ("exact", "token"))[0],
+    lambda df, given: rules.first_contains(df, "t", given, None),
+])
+def test_a_frame_of_rules_is_computed_once(spark, monkeypatch, label):
+    words = [f"en{i}" for i in range(20)]
+    monkeypatch.setattr(rules, "JOIN_FROM", len(words))
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(word):
+        seen.add(1)
+        return word
+
+    given = rules_of(spark, words).repartition(2)
+    given = given.withColumn("pattern", F.udf(same, "string")("pattern"))
+    df = spark.createDataFrame(pa.table({"t": ["xen7x", "xen13", "zz"]}))
+    got = {r["t"]: r["theme"] for r in label(df, given).collect()}
+    assert got == {"xen7x": "l7", "xen13": "l1", "zz": None}
+    assert seen.value == len(words)
+
+
+def test_what_a_stage_finds_is_computed_before_it_is_measured(spark, monkeypatch):
+    plans, whole = [], matching.join_checked
+
+    def noted(left, right, *more, **named):
+        plans.append(plan_of(right))
+        return whole(left, right, *more, **named)
+
+    monkeypatch.setattr(matching, "join_checked", noted)
+    monkeypatch.setattr(matching, "near_pairs", lambda texts, text, known, least: known.select(
+        F.col("pattern").alias("text"), "pattern", F.lit(100.0).alias("score")))
+    df = spark.createDataFrame(pa.table({"t": ["a gear", "gears/bolt", "gear", "bolt ", "no"]}))
+    out = matching.label_frame(df, "t", rules_of(spark, ["gear", "bolt"]))
+    assert {(r["t"], r["label"]) for r in out.collect()} == {
+        ("a gear", "l0"), ("gears/bolt", "l0"), ("gear", "l0"), ("bolt ", "l1")
+    }
+    assert len(plans) >= 4
+    assert not [p for p in plans if "Join" in p or "Aggregate" in p]
+
+
+def test_words_of_the_documents_are_not_sorted_to_become_rules(spark):
+    lines = plan_of(rule_checks._word_rules(spark, FOLDER), "executedPlan").splitlines()
+    above = lines[: next(i for i, x in enumerate(lines) if "Generate explode" in x)]
+    assert "HashAggregate" in [x for x in above if "Aggregate" in x][-1]
+
+
+def test_beginnings_shorter_than_the_rest_of_a_text_are_met_once(spark):
+    said = spark.createDataFrame(pa.table({"text": ["abab", "é", "bcd"], "key": pa.array([1, 2, 3], pa.int64())}))
+    parts = spark.createDataFrame(pa.table({"part": ["a", "ab", "b", "é", "bcd", "abab", "cdef"]}))
+    got = sorted((r["key"], r["part"]) for r in matching.contained(said, parts).collect())
+    assert got == sorted([(1, "a"), (1, "a"), (1, "ab"), (1, "ab"), (1, "b"), (1, "b"), (1, "abab"),
+                          (2, "é"), (3, "b"), (3, "bcd")])
+
+
 def test_candidates_are_near(spark):
     """Pairs that share a segment but differ elsewhere are dropped before they are shuffled."""
     rng = random.Random(5)
