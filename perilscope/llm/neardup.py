@@ -165,7 +165,6 @@ def forest(classes: DataFrame, rules: Rules) -> DataFrame:
         heavy = (
             rows.groupBy("tree", "deal").agg(F.count("*").alias("rows"))
             .where(F.col("rows") > max(HELD // 10, total // rules.share))
-            .select("tree", F.col("deal").alias("heavy"), "rows")
         )
         heavy = materialise(heavy)
         if heavy.isEmpty():
@@ -174,14 +173,15 @@ def forest(classes: DataFrame, rules: Rules) -> DataFrame:
         if depth > rules.depth:
             # equal in the whole path: dealt by the code, where close ones are still together
             some = F.ceil(F.log2(F.col("rows") / (HELD // 10))).cast("int")
+            pieces = F.call_function("shiftleft", F.lit(1), some)
             longer = F.concat(
                 F.col("path"),
-                F.unhex(F.lpad(F.hex(F.pmod(F.xxhash64(F.substring("code", 1, 8)), F.shiftleft(F.lit(1), some))), 8, "0")),
+                F.unhex(F.lpad(F.hex(F.pmod(F.xxhash64(F.substring("code", 1, 8)), pieces)), 8, "0")),
             )
-        met = (rows["tree"] == heavy["tree"]) & (rows["deal"] == heavy["heavy"])
-        rows = rows.join(F.broadcast(heavy), met, "left").select(
-            rows["tree"], "path", "node", "code", "n",
-            F.when(F.col("heavy").isNotNull(), longer).otherwise(F.col("deal")).alias("deal"),
+        # by names: a checkpoint keeps the columns it is made of, so a reference to one is ambiguous
+        rows = rows.join(F.broadcast(heavy), ["tree", "deal"], "left").select(
+            "tree", "path", "node", "code", "n",
+            F.when(F.col("rows").isNotNull(), longer).otherwise(F.col("deal")).alias("deal"),
         )
     return rows
 

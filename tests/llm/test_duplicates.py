@@ -148,6 +148,22 @@ def test_large_families_are_compared_whole(spark):
     assert found == sorted(slow_near(rows, rules.width))
 
 
+def test_regions_that_hold_many_rows_are_dealt_deeper(spark, monkeypatch):
+    # more than HELD // 10 copies agree in all values of a tree, so that their deals are cut each time
+    monkeypatch.setattr(neardup, "HELD", 100)
+    base = [f"w{i}" for i in range(500)]
+    rows = [(i, " ".join([*base[: 4 * i], f"own{i}", *base[4 * i + 1 :]])) for i in range(120)]
+    rows += [(200 + i, " ".join(f"other{i}.{k}" for k in range(20))) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    rules = neardup.Rules()
+    classes = neardup.sketch(docs, "doc_id", "text", rules).withColumnRenamed("n_shingles", "n")
+    dealt = neardup.forest(classes, rules).select("tree", "node", "deal").collect()
+    assert len({(r["tree"], bytes(r["node"])) for r in dealt}) == len(dealt) == 130 * rules.trees
+    assert {len(r["deal"]) for r in dealt} >= {2 * rules.min_depth, 2 * rules.depth, 2 * rules.depth + 4}
+    found = sorted(map(tuple, neardup.near_duplicates(docs, rules=rules).collect()))
+    assert found == sorted(slow_near(rows, rules.width))
+
+
 @pytest.mark.parametrize(("main", "limits"), [(0, {"group": 8}), (60, {"group_shingles": 600})])
 def test_pieces_of_a_family_are_compared_with_each_other(spark, main, limits):
     random.seed(17)
