@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -22,12 +23,21 @@ PREFIX_DIGITS = (3, 6)
 #: draws its samples by partition and must not change with the cluster.
 TRAIN_PARTITIONS = 16
 ROWS_PER_PARTITION = 250_000
+#: The square of the bins is a 32-bit number in the trainer.
+MOST_BINS = 46_340
 
 
 def train_partitions(rows: int) -> int:
     return max(TRAIN_PARTITIONS, -(-rows // ROWS_PER_PARTITION))
 
 
+def bins(codes: int, limit: int, rows: int) -> int:
+    """Bins of a feature with at most so many ``codes``: one for each up to ``limit``, and no fewer
+    than the root of ``rows``, since the trainer looks for thresholds in a sample of more rows than
+    the square of its bins. Features with fewer codes use as many bins as they have codes."""
+    return min(MOST_BINS, max(32, min(codes + 1, limit), math.isqrt(max(rows - 1, 0)) + 1))
+
+
 def category_text(name: str) -> Column:
     """Categories compare as text; null is a category of its own."""
     return F.coalesce(col_of(name).cast("string"), F.lit("Unknown"))
@@ -234,8 +244,10 @@ def fit_forest(
     """Random forest on ordinal codes, which the trees treat as numbers.
 
     A label with more than ``max_classes`` values is an error. A feature with more than
-    ``max_bins`` codes is split at quantiles of them. ``train_rows``, if given, bounds the
-    labelled rows that are learned from: about so many, drawn by a hash of the whole row.
+    ``max_bins`` codes, or the root of the rows if that is more, is split at quantiles of them.
+    All labelled rows are learned from, and thresholds come from all of them (up to two billion).
+    Only a caller that gives ``train_rows`` gets a bound: about so many, drawn by a hash of the
+    whole row.
     """
     encoding = encoding or OrdinalEncoding.fit(df, features)
     classes, rows = _classes(df, label, max_classes)
@@ -264,7 +276,7 @@ def fit_forest(
         numTrees=trees,
         maxDepth=depth,
         seed=seed,
-        maxBins=max(32, min(encoding.largest + 1, max_bins)),
+        maxBins=bins(encoding.largest, max_bins, rows),
         featureSubsetStrategy="sqrt",
     ).fit(train.select(vector, target))
     return Forest(model, list(features), encoding, classes)

@@ -139,6 +139,22 @@ def test_forest_on_a_bounded_sample(learned):
     assert fitted.classes == ["high", "low"]
 
 
+def test_thresholds_come_from_all_rows(spark):
+    # five of 200,000 rows have the value between the others, and a label of their own
+    rare = F.col("id") % 40_000 == 7
+    z = F.when(rare, "b").when(F.col("id") % 2 == 0, "a").otherwise("c")
+    df = spark.range(200_000).select(z.alias("z"), F.when(rare, "rare").otherwise(z).alias("y"))
+    fitted = model.fit_forest(df, ["z"], "y", trees=10, depth=3)
+    found = model.predict_class(fitted, df.distinct()).collect()
+    assert {(r["z"], r["pred"]) for r in found} == {("a", "a"), ("b", "rare"), ("c", "c")}
+
+
+def test_bins_for_all_rows():
+    assert [model.bins(*x) for x in ((3, 4096, 0), (3, 4096, 9), (99, 64, 9), (99, 4096, 9))] == [32, 32, 64, 100]
+    assert [model.bins(3, 4096, n) for n in (40_000, 40_001, 10**12)] == [200, 201, 46_340]
+    assert all(model.bins(3, 4096, n) ** 2 >= n for n in (1025, 10_001, 123_456_789))
+
+
 def test_plain_split_where_a_class_is_too_small(frame):
     df = frame(k=[str(i) for i in range(101)], y=["a"] * 60 + ["b"] * 40 + ["only one"])
     flagged = model.split_flag(df, "y", ["k"])
