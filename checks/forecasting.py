@@ -272,7 +272,7 @@ def model_accuracy(spark, folder):
 
 
 def _plan() -> forecast.ForecastPlan:
-    """The forest of the original size, learned from some 20,000 labelled rows."""
+    """The forest of the original size, learned from all labelled rows."""
     themes: dict[str, list[str]] = {}
     for pattern, label in RULES[:11]:
         themes.setdefault(label, []).append(pattern)
@@ -284,7 +284,7 @@ def _plan() -> forecast.ForecastPlan:
         factor_default="Man", surface="surface",
         features=["quarter", "area", "surface", "priority", "traffic", "factor"],
         key=["row_key"], years=(1999, 2000), second_year_renames={"place": "area"},
-        drop=["course"], trees=200, depth=10, train_rows=20_000,
+        drop=["course"], trees=200, depth=10,
     )
 
 
@@ -379,9 +379,7 @@ def forest_importance(spark, folder):
     """Importances of exactly the given features, which are shares of 100."""
     plan = _plan()
     df, _ = forecast.forecast_input(*_years(spark, folder, land=True), plan)
-    fitted = model.fit_forest(
-        df, plan.features, "campaign_theme", plan.trees, plan.depth, train_rows=plan.train_rows
-    )
+    fitted = model.fit_forest(df, plan.features, "campaign_theme", plan.trees, plan.depth)
     found = model.importances(fitted, df)
     total = found.agg(F.sum("importance").alias("t")).scalar()
     return found.select(

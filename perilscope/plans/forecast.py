@@ -101,7 +101,6 @@ class ForecastPlan:
     trees: int = 200
     depth: int = 10
     seed: int = 42
-    train_rows: int | None = None
 
 
 @dataclass(frozen=True)
@@ -150,10 +149,7 @@ def run_forecast(first: DataFrame, second: DataFrame, plan: ForecastPlan) -> For
     label = "campaign_theme"
     encoding = model.OrdinalEncoding.fit(df, plan.features)
     train, test = model.stratified_split(df, label, plan.key, 0.2, plan.seed)
-    settings = dict(
-        trees=plan.trees, depth=plan.depth, seed=plan.seed, encoding=encoding,
-        train_rows=plan.train_rows,
-    )
+    settings = dict(trees=plan.trees, depth=plan.depth, seed=plan.seed, encoding=encoding)
     fitted = model.fit_forest(train, plan.features, label, **settings)
     judged = materialise(
         model.predict_class(fitted, test).select(col_of(label), F.col("pred"))
