@@ -399,9 +399,7 @@ def _signal(spark, folder):
     df = stored(incident(spark, folder, "row_key", *_SIGNAL_FEATURES), "signal")
     df = df.withColumn("label", F.expr(_SIGNAL))
     train, test = model.stratified_split(df, "label", ["row_key"])
-    fitted = model.fit_forest(
-        train, _SIGNAL_FEATURES, "label", trees=60, depth=8, train_rows=20_000
-    )
+    fitted = model.fit_forest(train, _SIGNAL_FEATURES, "label", trees=60, depth=8)
     return df, test, fitted
 
 

@@ -215,3 +215,35 @@ def test_incidents_are_joined_once(spark, monkeypatch):
             with pytest.raises(RuntimeError, match="seen"):
                 query(spark, FOLDER)
     assert len(seen) >= 5 and not any("Join" in text for text in seen)
+
+
+@pytest.mark.parametrize(
+    ("query", "share"),
+    [("forest_forecast", 0.8), ("forest_importance", 1.0), ("forest_signal", 0.8),
+     ("forest_signal_accuracy", 0.8), ("forest_signal_importance", 0.8)],
+)
+def test_forests_learn_from_all_rows(spark, monkeypatch, query, share):
+    n = 30_000
+    of = lambda *given: F.element_at(F.array(*map(F.lit, given)), (F.col("id") % len(given) + 1).cast("int"))
+    rows = spark.range(n).select(
+        F.col("id").cast("string").alias("row_key"), of("A", "B", "C", "D").alias("area"),
+        of("anvil", "hot rod", "bolt").alias("cause"), of("Jan", "Apr", "Aug").alias("month"),
+        of("F", "O").alias("surface"), of("1-U", "2-H", "3-M", "4-N", "5-L").alias("priority"),
+        of(1999, 2000).alias("year"), of(1, 2, 3, 4).alias("quarter"),
+    )
+    learned = []
+    stop = RuntimeError("learned")
+
+    class Trainer:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, df):
+            learned.append(df.count())
+            raise stop
+
+    monkeypatch.setattr(forecasting, "incident", lambda spark, folder, *columns: rows.select(*columns))
+    monkeypatch.setattr(model, "RandomForestClassifier", Trainer)
+    with pytest.raises(RuntimeError, match="learned"):
+        getattr(forecasting, query)(spark, FOLDER)
+    assert n * share <= learned[0] <= n * share + 10
